@@ -79,3 +79,34 @@ txd as (
          case when (l_orderkey + l_linenumber) % 109 = 0 then 2 else y end as y,
          y2, s
   from tx)"""
+
+
+def tx_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tx with missing values only (null and NaN): what cleaning drops."""
+    t = tx(spark, sf_dir)
+    k = F.col("l_orderkey") + F.col("l_linenumber")
+    return t.select(
+        *TX_KEY,
+        F.when(k % 97 == 0, F.lit(None).cast("double")).otherwise(F.col("l_quantity")).alias("l_quantity"),
+        F.when(k % 101 == 0, F.lit(float("nan"))).otherwise(F.col("l_extendedprice")).alias("l_extendedprice"),
+        "l_discount", "l_tax", "y", "y2", "s")
+
+
+TX_MISSING_SQL = TX_SQL + """,
+txm as (
+  select l_orderkey, l_linenumber, l_partkey, l_suppkey,
+         case when (l_orderkey + l_linenumber) % 97 = 0 then null else l_quantity end as l_quantity,
+         case when (l_orderkey + l_linenumber) % 101 = 0 then 'nan'::double else l_extendedprice end as l_extendedprice,
+         l_discount, l_tax, y, y2, s
+  from tx)"""
+
+ORDERS_LABEL = "urgent"
+
+
+def orders_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders with a 0/1 label (urgent priority, about 20 %)."""
+    o = table(spark, sf_dir, "orders")
+    return o.withColumn(ORDERS_LABEL, F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0))
+
+
+ORDERS_SQL = """ol as (select *, case when o_orderpriority = '1-URGENT' then 1 else 0 end as urgent from orders)"""
