@@ -110,3 +110,58 @@ def orders_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORDERS_SQL = """ol as (select *, case when o_orderpriority = '1-URGENT' then 1 else 0 end as urgent from orders)"""
+
+
+# --- ev: events as Kafka records --------------------------------------------------
+
+EV_RUN_ID = "driver-events"
+EV_RATE = 5.0
+EV_SCORE = "value / (value + 100.0)"
+MALFORMED = "{malformed json"
+
+
+def ev_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events with injected bad values, before encoding."""
+    e = table(spark, sf_dir, "events")
+    i = F.col("event_id")
+    value = (F.when(i % 97 == 0, F.lit(None).cast("double")).when(i % 101 == 0, F.lit(float("nan")))
+             .when(i % 103 == 0, F.lit(float("inf"))).otherwise(F.col("value")))
+    eid = F.when(i % 83 == 0, F.lit("  ")).otherwise(F.concat(F.lit(f"{EV_RUN_ID}:"), i.cast("string")))
+    return e.select("event_id", "ts", "event_type", value.alias("value"), "user_id",
+                    F.when(F.col("value") >= 150, 1.0).otherwise(0.0).alias("Class"), eid.alias("eid"))
+
+
+def ev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kafka-shaped events: key, value (JSON), topic, partition, offset, timestamp."""
+    from rareflow.streaming.events import build_events, epoch_seconds
+
+    i = F.col("event_id")
+    rec = build_events(ev_frame(spark, sf_dir), EV_FEATURES, "Class", "event_id", run_id=EV_RUN_ID,
+                       ingestion_rate=EV_RATE, event_time=epoch_seconds("ts"), event_id=F.col("eid"),
+                       topic=F.col("event_type"), partition=i % 2, offset=i, timestamp=F.col("ts"), check=False)
+    return rec.withColumn("value", F.when(F.col("offset") % 89 == 0, F.lit(MALFORMED).cast("binary"))
+                          .otherwise(F.col("value")))
+
+
+EV_SQL = f"""e0 as (
+  select event_id, ts, event_type, user_id,
+         event_id % 89 = 0 as malformed,
+         case when event_id % 97 = 0 then null when event_id % 101 = 0 then 'nan'::double
+              when event_id % 103 = 0 then 'inf'::double else value end as v,
+         case when event_id % 83 = 0 then '  ' else '{EV_RUN_ID}:' || event_id::varchar end as eid,
+         case when value >= 150 then 1.0 else 0.0 end::double as cls
+  from events),
+pe as (
+  select event_type as kafka_topic, (event_id % 2)::int as kafka_partition, event_id as kafka_offset,
+         ts as kafka_timestamp,
+         case when not malformed then v end as value,
+         case when not malformed then user_id::double end as user_id,
+         case when not malformed then cls end as Class,
+         case when not malformed then eid end as EventId,
+         case when not malformed then '{EV_RUN_ID}' end as ProducerRunId,
+         case when not malformed then epoch_us(ts)::double / 1000000.0::double end as EventTimestamp,
+         case when not malformed then {EV_RATE}::double end as IngestionRate,
+         case when malformed then '{MALFORMED}' end as _corrupt_record,
+         coalesce(not malformed and length(trim(eid)) > 0 and v is not null and not isnan(v) and not isinf(v)
+                  and epoch_us(ts) > 0, false) as valid_event
+  from e0)"""
