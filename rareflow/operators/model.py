@@ -94,6 +94,14 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features",
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid=handle_invalid).transform(df)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a fit at least one partition per core: MLlib trees work per input partition,
+    so a narrow input (one file, one row group) would train on a single task."""
+    sc = df.sparkSession.sparkContext
+    want = sc.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def train_forest(train: DataFrame, spec: FeatureSpec, *, seed: int = MODEL_SEED, num_trees: int = 100,
                  max_depth: int = 5, min_instances_per_node: int = 1, weighting: str = "none",
                  counts: dict | None = None, validate: bool = True) -> PipelineModel:
@@ -111,7 +119,7 @@ def train_forest(train: DataFrame, spec: FeatureSpec, *, seed: int = MODEL_SEED,
     if weighting != "none":
         data = apply_class_weights(data, spec.label, weights)
         params["weightCol"] = "class_weight"
-    forest = RandomForestClassifier(**params).fit(data)
+    forest = RandomForestClassifier(**params).fit(data if "features" in train.columns else spread(data))
     return PipelineModel(stages=[assembler, forest])
 
 
@@ -177,7 +185,7 @@ def search_candidates(train: DataFrame, validation: DataFrame, spec: FeatureSpec
     assert_valid(validation, spec, "Validation data")
     counts = counts_dict(train, spec.label)
     assembler = VectorAssembler(inputCols=list(spec.features), outputCol="features")
-    feats = assembler.transform(train.select(*spec.features, spec.label)).select("features", spec.label) \
+    feats = spread(assembler.transform(train.select(*spec.features, spec.label)).select("features", spec.label)) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     spark = train.sparkSession
     models, rows = [], []
