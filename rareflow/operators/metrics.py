@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType, IntegralType, LongType, StructField, S
 
 from rareflow.functions.columns import INF, check_threshold, col, f1_from_counts, ratio
 from rareflow.operators.ordered import (
-    DEFAULT_QUANTILES, clean_edges, global_row_number, prefix_sum, quantile_probabilities,
+    DEFAULT_QUANTILES, clean_edges, global_row_number, prefix_sum, quantile_accuracy, quantile_probabilities,
 )
 from rareflow.session import ensure_checkpoint_dir
 
@@ -65,7 +65,7 @@ def score_report(groups: DataFrame, partition_by: str | None = None,
     if quantiles:
         aggs += [F.count_if(s == F.lit(t)).alias(f"has_{i}") for i, t in enumerate(EXTRA_THRESHOLDS)]
         aggs.append(F.percentile_approx(F.when(~bad_score, s), quantile_probabilities(quantiles),
-                                        10000).alias("edges"))
+                                        quantile_accuracy(quantiles)).alias("edges"))
     return groups.groupBy(partition_by).agg(*aggs) if partition_by else groups.agg(*aggs)
 
 
@@ -155,8 +155,10 @@ def threshold_sweep(groups: DataFrame, *, partition_by: str | None = None, uniqu
 
 
 def sweep_scores(df: DataFrame, score: str | Column, label: str | Column, *,
-                 materialize: bool = False) -> DataFrame:
-    """score_groups + threshold_sweep."""
+                 materialize: bool = True) -> DataFrame:
+    """score_groups + threshold_sweep. The groups are checkpointed by default: the guard job,
+    the bucket offsets and the final window then read the small group table instead of
+    re-aggregating the raw rows three times."""
     return threshold_sweep(score_groups(df, score, label), unique_scores=True, materialize=materialize)
 
 
@@ -254,7 +256,8 @@ def incremental_evaluation(df: DataFrame, score: str | Column, label: str | Colu
     if not sizes or sizes[0] <= 0:
         raise ValueError("subset sizes must be positive integers")
     t = F.lit(check_threshold(threshold))
-    ranked = global_row_number(df.select(*key, col(score).alias("_s"), col(label).alias("_y")), key)
+    ranked = global_row_number(df.select(*key, col(score).alias("_s"), col(label).alias("_y")), key,
+                               rows=sizes[-1])
     rn = F.col("row_number")
     idx = F.when(rn <= sizes[0], F.lit(0))
     for i, s in enumerate(sizes[1:], start=1):

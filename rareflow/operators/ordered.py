@@ -30,7 +30,22 @@ from rareflow.functions.columns import hash32
 
 BUCKET = "_rf_bucket"
 DEFAULT_HASH_BUCKETS = 1 << 14
-DEFAULT_QUANTILES = 1024
+DEFAULT_QUANTILES = 4096
+ROWS_PER_BUCKET = 2_000_000
+MAX_BUCKETS = 1 << 20
+
+
+def buckets_for(rows: int | None, minimum: int = DEFAULT_HASH_BUCKETS) -> int:
+    """Bucket count so that one bucket holds about ``ROWS_PER_BUCKET`` rows (bounded offsets table)."""
+    if not rows:
+        return minimum
+    return int(min(MAX_BUCKETS, max(minimum, -(-rows // ROWS_PER_BUCKET))))
+
+
+def quantile_accuracy(quantiles: int) -> int:
+    """percentile_approx accuracy: rank error n/accuracy stays below one bucket (n/quantiles);
+    capped so the per-task sketch stays small."""
+    return min(8 * quantiles, 1_000_000)
 
 
 def quantile_probabilities(n: int = DEFAULT_QUANTILES) -> list[float]:
@@ -92,15 +107,17 @@ def prefix_sum(df: DataFrame, order_col: str, sums: dict[str, str], *, edges: Se
 
 def global_row_number(df: DataFrame, key: Sequence[str], *, seed: int | str | None = None,
                       partition_by: Sequence[str] = (), name: str = "row_number",
-                      buckets: int = DEFAULT_HASH_BUCKETS) -> DataFrame:
+                      buckets: int | None = None, rows: int | None = None) -> DataFrame:
     """1-based row number in the order ``(hash32(seed, key), key)``, per ``partition_by``.
 
     Equal to ``row_number() over (partition by p order by md5-prefix(k), k)``
     without putting a partition's rows into a single task. ``key`` must be
-    unique (within the partition) for the number to be deterministic.
+    unique (within the partition) for the number to be deterministic. Pass
+    ``rows`` (a known row count) to size the buckets to the data.
     """
     key = list(key)
     partition_by = list(partition_by)
+    buckets = buckets or buckets_for(rows)
     h = "_rf_hash"
     tagged = df.withColumn(h, hash32(*key, seed=seed)) \
         .withColumn(BUCKET, F.floor(F.col(h) * F.lit(buckets) / F.lit(float(1 << 32))).cast("int"))

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rareflow.functions.columns import hash32
-from rareflow.operators.ordered import clean_edges, global_row_number, prefix_sum, quantile_probabilities
+from rareflow.operators.ordered import (
+    buckets_for, clean_edges, global_row_number, prefix_sum, quantile_accuracy, quantile_probabilities,
+)
 from rareflow.operators.validate import counts_dict, require_both_classes_counts
 
 # Split seeds and held-out fractions (test first, then validation).
@@ -98,7 +100,8 @@ def balance_classes_exact(df: DataFrame, label: str, key: Sequence[str], seed: i
     counts = counts_dict(df, label)
     require_both_classes_counts(counts, "data")
     m = min(counts.values())
-    ranked = global_row_number(df, key, seed=seed, partition_by=[label], name="_rn")
+    ranked = global_row_number(df, key, seed=seed, partition_by=[label], name="_rn",
+                               rows=max(counts.values()))
     return ranked.filter(F.col("_rn") <= m).drop("_rn")
 
 
@@ -123,27 +126,28 @@ def sample_with_replacement(df: DataFrame, key: Sequence[str], count: int, seed:
     n = rows if rows is not None else df.count()
     if n == 0:
         raise ValueError("No transactions are available to send")
-    ranked = global_row_number(df, key, name="_rn")
+    ranked = global_row_number(df, key, name="_rn", rows=n)
     draws = df.sparkSession.range(count).select(
         F.col("id").alias("draw"), (hash32("id", seed=seed) % F.lit(n) + 1).alias("_rn"))
     return draws.join(ranked, "_rn").drop("_rn")
 
 
-def sequential_take(df: DataFrame, order_col: str, count: int, quantiles: int = 1024) -> DataFrame:
+def sequential_take(df: DataFrame, order_col: str, count: int) -> DataFrame:
     """First ``count`` rows in ``order_col`` order (unique column); error if fewer rows exist.
 
-    Row positions come from a bucketed prefix count (one guard job returns the
-    row count and quantile edges), so no single task sees all rows.
+    Row positions come from a bucketed prefix count: a row count sizes the
+    buckets (about two million rows each), one percentile job gives their
+    edges, so no single task sees all rows.
     """
     if count <= 0:
         raise ValueError("Count must be a positive integer")
-    row = df.agg(F.count(F.lit(1)).alias("n"),
-                 F.percentile_approx(order_col, quantile_probabilities(quantiles), 10000).alias("e")).first()
-    if count > row["n"]:
+    n = df.count()
+    if count > n:
         raise ValueError("count cannot exceed the dataset row count in sequential mode")
+    q = buckets_for(n, minimum=1024)
+    edges = df.agg(F.percentile_approx(order_col, quantile_probabilities(q), quantile_accuracy(q))).first()[0]
     one = df.withColumn("_rf_one", F.lit(1))
-    numbered = prefix_sum(one, order_col, {"_rf_pos": "_rf_one"}, edges=clean_edges(row["e"]),
-                          descending=False)
+    numbered = prefix_sum(one, order_col, {"_rf_pos": "_rf_one"}, edges=clean_edges(edges), descending=False)
     return numbered.filter(F.col("_rf_pos") <= count).drop("_rf_one", "_rf_pos")
 
 

@@ -61,7 +61,7 @@ def q_write_csv_versioned(spark, d):
 
 @register("write_sweep", SWEEP_SQL + f" select {SWEEP_COLS} from m")
 def q_write_sweep(spark, d):
-    sweep = M.threshold_sweep(M.score_groups(tx(spark, d), "s", "y"), unique_scores=True)
+    sweep = M.sweep_scores(tx(spark, d), "s", "y")
     path = work_path(spark, "sweep")
     FS.write_sweep(sweep, path)
     return FS.read_csv(spark, path, sweep.schema)

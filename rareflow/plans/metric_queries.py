@@ -62,7 +62,7 @@ def _groups(spark, d):
 
 
 def _sweep(spark, d):
-    return M.threshold_sweep(_groups(spark, d), unique_scores=True)
+    return M.sweep_scores(tx(spark, d), "s", "y")
 
 
 @register("scan_parquet", "select * from orders")
@@ -165,7 +165,8 @@ pr as (select p, pp,
 select round(sum(p::double * (prec + coalesce(prev, prec)) / 2.0::double / pp::double), 9) as auprc
 from pr""")
 def q_auprc(spark, d):
-    return M.auprc(_groups(spark, d), unique_scores=True).select(F.round("auprc", 9).alias("auprc"))
+    return M.auprc(_groups(spark, d), unique_scores=True, materialize=True) \
+        .select(F.round("auprc", 9).alias("auprc"))
 
 
 @register("apply_threshold", "with " + TX_SQL + """
@@ -201,7 +202,8 @@ select candidate, {SWEEP_COLS},
        row_number() over (order by f1 desc, recall desc, precision desc, candidate asc) as rank
 from best""")
 def q_rank_candidates(spark, d):
-    sweep = M.threshold_sweep(_candidates(spark, d), partition_by="candidate", unique_scores=True)
+    sweep = M.threshold_sweep(_candidates(spark, d), partition_by="candidate", unique_scores=True,
+                              materialize=True)
     best = M.select_threshold(sweep, partition_by=["candidate"])
     return M.rank_candidates(best, "candidate")
 

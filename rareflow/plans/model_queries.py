@@ -100,7 +100,7 @@ select {SWEEP_COLS}, threshold in (select threshold from best) as selected, 'tx-
        'fraud_f1' as objective
 from m""")
 def q_threshold_table(spark, d):
-    sweep = M.threshold_sweep(M.score_groups(tx(spark, d), "s", "y"), unique_scores=True)
+    sweep = M.sweep_scores(tx(spark, d), "s", "y")
     path = work_path(spark, "threshold-table")
     MD.write_threshold_table(MD.threshold_table(sweep, "tx-score", TX_FEATURES), path)
     MD.load_selected_threshold(spark, path, "tx-score", TX_FEATURES)
