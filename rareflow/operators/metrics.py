@@ -15,7 +15,8 @@ from pyspark.sql.types import DoubleType, IntegralType, LongType, StructField, S
 
 from rareflow.functions.columns import INF, check_threshold, col, f1_from_counts, ratio
 from rareflow.operators.ordered import (
-    DEFAULT_QUANTILES, clean_edges, global_row_number, prefix_sum, quantile_accuracy, quantile_probabilities,
+    DEFAULT_QUANTILES, buckets_for, clean_edges, global_row_number, min_buckets, prefix_sum, quantile_accuracy,
+    quantile_probabilities,
 )
 from rareflow.session import ensure_checkpoint_dir
 
@@ -69,17 +70,18 @@ def score_report(groups: DataFrame, partition_by: str | None = None,
     return groups.groupBy(partition_by).agg(*aggs) if partition_by else groups.agg(*aggs)
 
 
-def check_scores(groups: DataFrame, partition_by: str | None = None,
-                 quantiles: int = DEFAULT_QUANTILES) -> dict:
+def check_scores(groups: DataFrame, partition_by: str | None = None, quantiles: int | None = None) -> dict:
     """Guard job for a sweep (one aggregate; one row per partition to the driver).
 
     Fails on a score that is null, NaN, infinite or outside [0, 1], on counts
     that are negative or fractional, and when a class is absent. Returns the
     class totals, which extra thresholds are missing, and quantile edges of the
-    scores used to bucket the prefix sum. ``partition_by`` (e.g. a candidate
-    id) must have few distinct values: one row each comes back.
+    scores used to bucket the prefix sum: a few per core from this job, and a
+    finer set from a second percentile job only when the groups outgrow them.
+    ``partition_by`` (e.g. a candidate id) must have few distinct values.
     """
-    rows = score_report(groups, partition_by, quantiles).collect()
+    q0 = quantiles or min_buckets(groups.sparkSession)
+    rows = score_report(groups, partition_by, q0).collect()
     if not rows:
         raise ValueError("Validation data must contain both fraud (1) and legitimate (0) rows")
     totals, missing, edges = {}, [], set()
@@ -94,6 +96,10 @@ def check_scores(groups: DataFrame, partition_by: str | None = None,
         totals[part] = (int(row["positives"]), int(row["negatives"]))
         missing += [(part, t) for i, t in enumerate(EXTRA_THRESHOLDS) if not row[f"has_{i}"]]
         edges.update(clean_edges(row["edges"]))
+    q1 = buckets_for(max(r["groups"] for r in rows), minimum=q0)
+    if q1 > q0:
+        fine = groups.agg(F.percentile_approx("score", quantile_probabilities(q1), quantile_accuracy(q1))).first()[0]
+        edges.update(clean_edges(fine))
     return dict(totals=totals, missing=missing, edges=sorted(edges))
 
 
@@ -246,11 +252,14 @@ def rank_candidates(selected: DataFrame, order_col: str = "candidate") -> DataFr
 
 
 def incremental_evaluation(df: DataFrame, score: str | Column, label: str | Column, key: Sequence[str],
-                           sizes: Sequence[int], threshold: float) -> DataFrame:
-    """Metrics on growing subsets (first ``size`` rows in key-hash order) in one job.
-
-    Each row gets the index of the smallest size that covers its rank; counts
-    are aggregated per index (one row per size) and cumulated over sizes.
+                           sizes: Sequence[int], threshold: float, *, with_auprc: bool = True) -> DataFrame:
+    """Metrics on growing subsets (first ``size`` rows in key-hash order) without one job per size.
+
+    Each row gets the index of the smallest size that covers its rank. Score
+    groups are counted per (index, score) and each is added to every size
+    that contains it (``explode`` over at most ``len(sizes)`` indices), which
+    gives the score groups of every subset at once; confusion counts and the
+    exact AUPRC per subset follow from those groups.
     """
     sizes = sorted({int(s) for s in sizes})
     if not sizes or sizes[0] <= 0:
@@ -262,17 +271,45 @@ def incremental_evaluation(df: DataFrame, score: str | Column, label: str | Colu
     idx = F.when(rn <= sizes[0], F.lit(0))
     for i, s in enumerate(sizes[1:], start=1):
         idx = idx.when(rn <= s, F.lit(i))
-    s_, y = F.col("_s"), F.col("_y")
-    per = ranked.filter(rn <= sizes[-1]).groupBy(idx.alias("idx")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if((y == 1) & (s_ >= t)).alias("tp"), F.count_if((y == 0) & (s_ >= t)).alias("fp"),
-        F.count_if((y == 1) & (s_ < t)).alias("fn"), F.count_if((y == 0) & (s_ < t)).alias("tn"))
+    per_idx = ranked.filter(rn <= sizes[-1]).groupBy(idx.alias("idx"), F.col("_s").cast("double").alias("score")) \
+        .agg(F.count_if(F.col("_y") == 1).alias("positives"), F.count_if(F.col("_y") == 0).alias("negatives"),
+             F.count(F.lit(1)).alias("n"))
+    groups = per_idx.select(F.explode(F.sequence("idx", F.lit(len(sizes) - 1))).alias("subset"), "score",
+                            "positives", "negatives", "n") \
+        .groupBy("subset", "score").agg(*[F.sum(c).alias(c) for c in ("positives", "negatives", "n")])
+    groups = _materialize(groups)
+    s_ = F.col("score")
+    conf = groups.groupBy("subset").agg(
+        F.sum("n").cast("bigint").alias("rows"),
+        *[F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0)).cast("bigint").alias(name)
+          for name, cond, c in (("tp", s_ >= t, "positives"), ("fp", s_ >= t, "negatives"),
+                                ("fn", s_ < t, "positives"), ("tn", s_ < t, "negatives"))])
     spark = df.sparkSession
-    size_df = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "idx int, subset_size bigint")
-    w = Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = size_df.join(per, "idx", "left").select(
-        "idx", "subset_size",
-        *[F.sum(F.coalesce(F.col(c), F.lit(0))).over(w).cast("bigint").alias(c)
-          for c in ("n", "tp", "fp", "fn", "tn")])
-    out = classification_metrics(cum.withColumnRenamed("n", "rows"))
-    return out.drop("idx")
+    size_df = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "subset int, subset_size bigint")
+    out = classification_metrics(conf.join(F.broadcast(size_df), "subset"))
+    if with_auprc:
+        area = _auprc_lenient(groups.select("subset", "score", "positives", "negatives"), "subset")
+        out = out.join(area, "subset", "left")
+    return out.drop("subset")
+
+
+def _auprc_lenient(groups: DataFrame, partition_by: str) -> DataFrame:
+    """Exact AUPRC per partition; 0.0 where a partition has no positive (a small subset may lack one)."""
+    report = score_report(groups, partition_by, min_buckets(groups.sparkSession)).collect()
+    edges = sorted({e for r in report for e in clean_edges(r["edges"])})
+    ok = [r[partition_by] for r in report if r["positives"]]
+    info = dict(totals={r[partition_by]: (int(r["positives"]), int(r["negatives"])) for r in report if r["positives"]})
+    if not ok:
+        return groups.select(partition_by).distinct().withColumn("auprc", F.lit(0.0))
+    g = groups.filter(F.col(partition_by).isin(ok))
+    cum = prefix_sum(g, "score", {"tp": "positives", "fp": "negatives"}, edges=edges, descending=True,
+                     partition_by=[partition_by])
+    tp, fp = F.col("tp"), F.col("fp")
+    tp0, fp0 = tp - F.col("positives"), fp - F.col("negatives")
+    pr = ratio(tp, tp + fp)
+    pr0 = F.when(tp0 + fp0 > 0, tp0.cast("double") / (tp0 + fp0).cast("double")).otherwise(pr)
+    term = F.col("positives").cast("double") * (pr + pr0) / F.lit(2.0)
+    P = _per_partition(info, partition_by, 0).cast("double")
+    area = cum.groupBy(partition_by).agg(F.sum(term / P).alias("auprc"))
+    return groups.select(partition_by).distinct().join(area, partition_by, "left") \
+        .select(partition_by, F.coalesce("auprc", F.lit(0.0)).alias("auprc"))

@@ -35,6 +35,11 @@ ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 1 << 20
 
 
+def min_buckets(spark) -> int:
+    """Buckets bound the parallelism of the final window: keep several per core of the cluster."""
+    return max(256, 4 * spark.sparkContext.defaultParallelism)
+
+
 def buckets_for(rows: int | None, minimum: int = DEFAULT_HASH_BUCKETS) -> int:
     """Bucket count so that one bucket holds about ``ROWS_PER_BUCKET`` rows (bounded offsets table)."""
     if not rows:

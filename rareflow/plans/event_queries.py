@@ -129,9 +129,14 @@ def q_response_time(spark, d):
 select count(*) as rows, round(avg({PROCESSING_EPOCH}::double - EventTimestamp), 6) as avg_response_time
 from sc where status = 'scored'""")
 def q_response_time_stats(spark, d):
-    s = _scored(spark, d).filter(F.col("status") == "scored")
-    st = E.response_time_stats(E.response_time(s, processing_time=F.lit(PROCESSING_TIME)))
-    return st.select("rows", F.round("avg_response_time", 6).alias("avg_response_time"))
+    """Running count and mean response time over the scored stream (complete mode)."""
+    base, staged, inp = _stage(spark, d)
+    for p in range(4):
+        _copy_part(spark, staged, inp, p)
+    scored = _stream_scored(spark, inp, max_files=1).filter(F.col("status") == "scored")
+    stats = E.response_time_stats(E.response_time(scored, processing_time=F.lit(PROCESSING_TIME)))
+    res = _memory_complete(spark, stats, "rf_response_" + base.rsplit("-", 1)[-1])
+    return res.select("rows", F.round("avg_response_time", 6).alias("avg_response_time"))
 
 
 @register("json_event_functions", """

@@ -216,22 +216,33 @@ n as (select count(*) as n from tx),
 sz as (select * from (values (0, 8), (1, 4), (2, 2), (3, 1)) v(idx, div)),
 sizes as (select idx, (select n from n) // div as subset_size from sz),
 r as (select s, y, row_number() over (order by {TX_HASH}, {', '.join(TX_KEY)}) as rn from tx),
-cm as (select subset_size,
-              (select count(*) from r where rn <= subset_size) as rows,
-              (select count(*) from r where rn <= subset_size and y = 1 and s >= 0.5) as tp,
-              (select count(*) from r where rn <= subset_size and y = 0 and s >= 0.5) as fp,
-              (select count(*) from r where rn <= subset_size and y = 1 and s < 0.5) as fn,
-              (select count(*) from r where rn <= subset_size and y = 0 and s < 0.5) as tn
-       from sizes),
+sub as (select subset_size, s, y from sizes join r on r.rn <= sizes.subset_size),
+cm as (select subset_size, count(*) as rows,
+              count(*) filter (where y = 1 and s >= 0.5) as tp, count(*) filter (where y = 0 and s >= 0.5) as fp,
+              count(*) filter (where y = 1 and s < 0.5) as fn, count(*) filter (where y = 0 and s < 0.5) as tn
+       from sub group by subset_size),
+g as (select subset_size, s as score, count(*) filter (where y = 1) as p, count(*) filter (where y = 0) as n
+      from sub group by subset_size, s),
+cu as (select subset_size, p, n, sum(p) over w as tp, sum(n) over w as fp,
+              sum(p) over (partition by subset_size) as pp
+       from g window w as (partition by subset_size order by score desc rows between unbounded preceding and current row)),
+pz as (select subset_size, p, pp,
+              case when tp + fp > 0 then tp::double / (tp + fp)::double else 0.0::double end as prec,
+              case when (tp - p) + (fp - n) > 0 then (tp - p)::double / ((tp - p) + (fp - n))::double end as prev
+       from cu),
+au as (select subset_size, round(sum(p::double * (prec + coalesce(prev, prec)) / 2.0::double / pp::double), 9) as auprc
+       from pz group by subset_size),
 pr as (select *, case when tp + fp > 0 then tp::double / (tp + fp)::double else 0.0::double end as precision,
                  case when tp + fn > 0 then tp::double / (tp + fn)::double else 0.0::double end as recall
        from cm)
-select subset_size::bigint as subset_size, rows, tp, fp, fn, tn, precision, recall,
+select pr.subset_size::bigint as subset_size, rows, tp, fp, fn, tn, precision, recall,
        case when precision + recall > 0 then 2.0::double * precision * recall / (precision + recall)
-            else 0.0::double end as f1
-from pr""")
+            else 0.0::double end as f1,
+       au.auprc
+from pr join au using (subset_size)""")
 def q_incremental_evaluation(spark, d):
     t = tx(spark, d)
     n = t.count()
     sizes = [n // 8, n // 4, n // 2, n]
-    return M.incremental_evaluation(t, "s", "y", TX_KEY, sizes, 0.5)
+    out = M.incremental_evaluation(t, "s", "y", TX_KEY, sizes, 0.5)
+    return out.withColumn("auprc", F.round("auprc", 9))

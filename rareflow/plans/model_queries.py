@@ -65,11 +65,36 @@ def q_search_candidates(spark, d):
     return ranked
 
 
-@register("evaluate_model")
+@register("evaluate_model", "with " + TX_SQL + f""",
+te as (select * from tx where {TX_SPLIT_SQL} = 'test'),
+g as (select s as score, count(*) filter (where y2 = 1) as p, count(*) filter (where y2 = 0) as n
+      from te group by s),
+cm as (select coalesce(sum(p) filter (where score >= 0.5), 0)::bigint as tp,
+              coalesce(sum(n) filter (where score >= 0.5), 0)::bigint as fp,
+              coalesce(sum(p) filter (where score < 0.5), 0)::bigint as fn,
+              coalesce(sum(n) filter (where score < 0.5), 0)::bigint as tn from g),
+pr as (select *, case when tp + fp > 0 then tp::double / (tp + fp)::double else 0.0::double end as precision,
+                 case when tp + fn > 0 then tp::double / (tp + fn)::double else 0.0::double end as recall
+       from cm),
+cu as (select p, n, sum(p) over w as tp, sum(n) over w as fp, sum(p) over () as pp
+       from g window w as (order by score desc rows between unbounded preceding and current row)),
+pz as (select p, pp, case when tp + fp > 0 then tp::double / (tp + fp)::double else 0.0::double end as prec,
+              case when (tp - p) + (fp - n) > 0 then (tp - p)::double / ((tp - p) + (fp - n))::double end as prev
+       from cu)
+select tp, fp, fn, tn, precision, recall,
+       case when precision + recall > 0 then 2.0::double * precision * recall / (precision + recall)
+            else 0.0::double end as f1,
+       (select round(sum(p::double * (prec + coalesce(prev, prec)) / 2.0::double / pp::double), 9) from pz) as auprc,
+       0.5::double as threshold
+from pr""")
 def q_evaluate_model(spark, d):
-    model, (_, val, test) = _fit(spark, d)
-    _, best = MD.tune_threshold(MD.ModelScorer(model, TX_FEATURES), val, TX_SPEC2)
-    return MD.evaluate_model(model, test, TX_SPEC2, best.first()["threshold"])
+    """Held-out evaluation (validate, score, decide, confusion, metrics, exact AUPRC) of the tx score
+    on the test split; the forest path of the same operator is covered by the model tests."""
+    _, _, test = _splits(spark, d)
+    scorer = MD.ExpressionScorer(F.col("s"), uid="tx-score")
+    spec = TX_SPEC2.__class__(TX_FEATURES + ("s",), "y2", TX_KEY)
+    out = MD.evaluate_model(scorer, test, spec, 0.5)
+    return out.withColumn("auprc", F.round("auprc", 9))
 
 
 @register("model_roundtrip", "with " + TX_SQL + f"""

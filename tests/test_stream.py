@@ -78,3 +78,18 @@ def test_progress_and_windows(spark):
     assert len(per) == 3 and sum(r["input_rows"] for r in per) == 30
     win = ST.throughput_windows(spark.read.parquet(src), "timestamp", "1 second", by=["topic"]).collect()
     assert [(r["topic"], r["n"]) for r in win] == [("t", 30)]
+
+
+def test_processing_time_windows_and_stream_stats(spark):
+    base = work_path(spark, "t-pt")
+    src = f"{base}/src"
+    write_batch(spark, src, 0, [ev(i) for i in range(12)])
+    win = ST.processing_time_windows(spark.read.parquet(src), "1 hour").collect()
+    assert sum(r["n"] for r in win) == 12
+    scored = scored_stream(spark, src)
+    stats = E.response_time_stats(E.response_time(scored, processing_time=F.lit(dt.datetime(2024, 1, 1))))
+    q = stats.writeStream.outputMode("complete").format("memory").queryName("t_stats").trigger(
+        availableNow=True).start()
+    q.awaitTermination()
+    r = spark.table("t_stats").first()
+    assert r["rows"] == 12
