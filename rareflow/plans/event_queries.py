@@ -140,9 +140,9 @@ def q_response_time_stats(spark, d):
 
 
 @register("json_event_functions", """
-select event_id, json_extract(props, '$.k')::int as k, length(props) as props_len,
-       trim('  ' || event_type || '  ') as trimmed_type, length(event_type) as type_len,
-       to_json({'event_id': event_id, 'k': json_extract(props, '$.k')::int}) as json_out,
+select event_id, json_extract(props, '$.k')::int as k, length(props)::int as props_len,
+       trim('  ' || event_type || '  ') as trimmed_type, length(event_type)::int as type_len,
+       to_json({'event_id': event_id, 'k': json_extract(props, '$.k')::int})::varchar as json_out,
        event_id::double as event_id_double
 from events""")
 def q_json_event_functions(spark, d):

@@ -199,7 +199,7 @@ g as (select candidate, score, count(*) filter (where y2 = 1) as positives,
 best as (select * from (select *, row_number() over (partition by candidate
              order by f1 desc, recall desc, precision desc, threshold desc) as r from m) where r = 1)
 select candidate, {SWEEP_COLS},
-       row_number() over (order by f1 desc, recall desc, precision desc, candidate asc) as rank
+       (row_number() over (order by f1 desc, recall desc, precision desc, candidate asc))::int as rank
 from best""")
 def q_rank_candidates(spark, d):
     sweep = M.threshold_sweep(_candidates(spark, d), partition_by="candidate", unique_scores=True,
