@@ -135,7 +135,7 @@ def q_response_time_stats(spark, d):
         _copy_part(spark, staged, inp, p)
     scored = _stream_scored(spark, inp, max_files=1).filter(F.col("status") == "scored")
     stats = E.response_time_stats(E.response_time(scored, processing_time=F.lit(PROCESSING_TIME)))
-    res = _memory_complete(spark, stats, "rf_response_" + base.rsplit("-", 1)[-1])
+    res = _complete(spark, stats, base)
     return res.select("rows", F.round("avg_response_time", 6).alias("avg_response_time"))
 
 
@@ -255,10 +255,10 @@ def q_batch_progress(spark, d):
     return per_batch.agg(F.sum("input_rows").cast("bigint").alias("input_rows"))
 
 
-def _memory_complete(spark, agg, name):
-    q = agg.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+def _complete(spark, agg, base):
+    """Run a complete-mode aggregate to a Parquet table in the work folder and read it back."""
+    ST.run_stream(ST.sink_complete(agg, f"{base}/result", f"{base}/result-checkpoint"))
+    return spark.read.parquet(f"{base}/result")
 
 
 @register("throughput_windows", """
@@ -270,8 +270,7 @@ def q_throughput_windows(spark, d):
     for p in range(4):
         _copy_part(spark, staged, inp, p)
     src = ST.file_source(spark, inp)
-    name = "rf_throughput_" + base.rsplit("-", 1)[-1]
-    res = _memory_complete(spark, ST.throughput_windows(src, "timestamp", "1 hour"), name)
+    res = _complete(spark, ST.throughput_windows(src, "timestamp", "1 hour"), base)
     return res.select(ntz("window_start"), ntz("window_end"), "n")
 
 
@@ -284,8 +283,7 @@ def q_multi_topic_throughput(spark, d):
     for p in range(4):
         _copy_part(spark, staged, inp, p)
     src = ST.file_source(spark, inp)
-    name = "rf_topics_" + base.rsplit("-", 1)[-1]
-    res = _memory_complete(spark, ST.throughput_windows(src, "timestamp", "1 hour", by=["topic"]), name)
+    res = _complete(spark, ST.throughput_windows(src, "timestamp", "1 hour", by=["topic"]), base)
     return res.select(ntz("window_start"), ntz("window_end"), "topic", "n")
 
 
@@ -303,3 +301,16 @@ def q_score_parity(spark, d):
     online = ST.read_predictions(spark, out, ST.prediction_schema(["value"])).filter(F.col("status") == "scored")
     offline = _scored(spark, d).filter(F.col("status") == "scored")
     return E.score_parity(offline, online)
+
+
+@register("sink_alerts", SCORED_SQL + """
+select EventId as key_text, EventId, fraud_probability, final_prediction, kafka_offset
+from sc where final_prediction = 1""")
+def q_sink_alerts(spark, d):
+    """Alert records (key = event id, value = whole prediction row as JSON) as the Kafka sink writes them."""
+    rec = E.alert_records(E.fraud_alerts(_scored(spark, d)))
+    back = F.from_json(F.col("value").cast("string"),
+                       "EventId string, fraud_probability double, final_prediction int, kafka_offset bigint")
+    return rec.select(F.col("key").cast("string").alias("key_text"), back["EventId"].alias("EventId"),
+                      back["fraud_probability"].alias("fraud_probability"),
+                      back["final_prediction"].alias("final_prediction"), back["kafka_offset"].alias("kafka_offset"))

@@ -147,3 +147,31 @@ def q_run_registry(spark, d):
         MD.append_registry(MD.registry_rows(spark, run, 2, "status", name=final), path)
     done = MD.completed_runs(spark, path)
     return done.select("run_id", "name", "label", F.lit("rows").alias("metric"), "value")
+
+
+PUBLISH_RUN = "producer-run"
+PUBLISH_TIME = 1704067200.0
+
+
+@register("publish_events", "with " + TX_SQL + f""",
+te as (select * from tx where {TX_SPLIT_SQL} = 'test'),
+r as (select *, row_number() over (order by {md5_hash_sql(*TX_KEY)}, {', '.join(TX_KEY)}) - 1 as idx from te)
+select '{PUBLISH_RUN}:' || idx::varchar as key_text, 'transactions' as topic,
+       l_quantity, l_extendedprice, l_discount, l_tax, y2::double as Class,
+       '{PUBLISH_RUN}:' || idx::varchar as EventId, {PUBLISH_TIME}::double as EventTimestamp
+from r""")
+def q_publish_events(spark, d):
+    """Producer records for the test split: validated, indexed in key-hash order, JSON-encoded;
+    the frame ``publish_records`` hands to the Kafka batch writer."""
+    from rareflow.operators.ordered import global_row_number
+    from rareflow.streaming.events import build_events, event_schema
+    from rareflow.streaming.stream import publish_frame
+
+    _, _, test = _splits(spark, d)
+    indexed = global_row_number(test, TX_KEY, name="idx").withColumn("idx", F.col("idx") - 1)
+    rec = publish_frame(build_events(indexed, TX_FEATURES, "y2", "idx", run_id=PUBLISH_RUN,
+                                     ingestion_rate=20.0, event_time=F.lit(PUBLISH_TIME)))
+    back = F.from_json(F.col("value").cast("string"), event_schema(TX_FEATURES))
+    return rec.select(F.col("key").cast("string").alias("key_text"), "topic",
+                      *[back[f].alias(f) for f in TX_FEATURES], back["Class"].alias("Class"),
+                      back["EventId"].alias("EventId"), back["EventTimestamp"].alias("EventTimestamp"))

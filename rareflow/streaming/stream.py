@@ -71,9 +71,17 @@ def file_source(spark: SparkSession, path: str, schema: T.StructType = KAFKA_REC
     return reader.load(path)
 
 
+def publish_frame(records: DataFrame, topic: str | None = None) -> DataFrame:
+    """The columns a Kafka write sends: key, value and (unless fixed) topic. A ``partition``
+    column is left out on purpose so the producer spreads records by key hash."""
+    cols = ["key", "value"] + (["topic"] if topic is None and "topic" in records.columns else [])
+    return records.select(*cols)
+
+
 def publish_records(records: DataFrame, bootstrap_servers: str, topic: str | None = None) -> None:
-    """Batch write of (key, value[, topic]) records to Kafka; a failed send fails the job."""
-    w = records.write.format("kafka").option("kafka.bootstrap.servers", bootstrap_servers)
+    """Batch write of (key, value[, topic]) records to Kafka (acks=all); a failed send fails the job."""
+    w = publish_frame(records, topic).write.format("kafka") \
+        .option("kafka.bootstrap.servers", bootstrap_servers).option("kafka.acks", "all")
     if topic:
         w = w.option("topic", topic)
     w.save()
@@ -144,6 +152,18 @@ def sink_predictions(scored: DataFrame, output_dir: str, *, available_now: bool
     return w.start()
 
 
+def sink_complete(agg: DataFrame, path: str, checkpoint: str, *, available_now: bool = True,
+                  trigger_seconds: float = 2.0) -> StreamingQuery:
+    """Complete-mode aggregate to a Parquet table: each micro-batch overwrites it with the whole
+    current result (idempotent on retry); nothing is collected to the driver."""
+    def write(batch: DataFrame, _batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    w = agg.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{trigger_seconds} seconds")
+    return w.start()
+
+
 def read_predictions(spark: SparkSession, output_dir: str, schema: T.StructType | None = None) -> DataFrame:
     """Committed predictions only: read the folder (its ``_spark_metadata`` log), never a glob."""
     return (spark.read.schema(schema or prediction_schema()).option("timestampFormat", TIMESTAMP_FORMAT)
