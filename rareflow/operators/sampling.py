@@ -87,13 +87,21 @@ def split_disjointness(source: DataFrame, parts: dict[str, DataFrame], key: Sequ
         F.count_if((F.col("_source") == 0) & (in_parts > 0)).alias("extra_keys"))
 
 
+def shuffle_rows(df: DataFrame, seed: int = 42) -> DataFrame:
+    """Uniformly random row order: rows go to partitions by a random key and are sorted by it
+    inside each partition (one hash shuffle; no sampling job and no range sort)."""
+    r = "_rf_rand"
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.withColumn(r, F.rand(seed)).repartition(n, r).sortWithinPartitions(r).drop(r)
+
+
 def balance_classes(df: DataFrame, label: str, seed: int = 42, shuffle: bool = True) -> DataFrame:
     """Bernoulli down-sampling of each class to the minority size (``sampleBy``); sizes are approximate."""
     counts = counts_dict(df, label)
     require_both_classes_counts(counts, "data")
     m = min(counts.values())
     out = df.sampleBy(label, {k: m / c for k, c in counts.items()}, seed)
-    return out.orderBy(F.rand(seed)) if shuffle else out
+    return shuffle_rows(out, seed) if shuffle else out
 
 
 def balance_classes_exact(df: DataFrame, label: str, key: Sequence[str], seed: int = 42) -> DataFrame:
