@@ -91,7 +91,18 @@ def model_layout(model) -> tuple[VectorAssembler, RandomForestClassificationMode
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features",
              handle_invalid: str = "error") -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid=handle_invalid).transform(df)
+    """Features in order into one vector; numeric array columns (e.g. embeddings) are expanded
+    in place through ``array_to_vector``."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql.types import ArrayType
+
+    arrays = [f for f in features if isinstance(df.schema[f].dataType, ArrayType)]
+    src = df
+    for f in arrays:
+        src = src.withColumn(f"_rf_vec_{f}", array_to_vector(F.col(f)))
+    cols = [f"_rf_vec_{f}" if f in arrays else f for f in features]
+    out_df = VectorAssembler(inputCols=cols, outputCol=out, handleInvalid=handle_invalid).transform(src)
+    return out_df.drop(*[f"_rf_vec_{f}" for f in arrays])
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -69,3 +69,16 @@ def test_run_registry_reads_completed_only(spark):
             MD.append_registry(MD.registry_rows(spark, run, 2, "status", name=final), path)
     got = MD.completed_runs(spark, path).collect()
     assert {r["run_id"] for r in got} == {"r1"} and len(got) == 2
+
+
+def test_assemble_embeddings(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from conftest import SF
+
+    emb = spark.read.parquet(f"{SF}/embeddings.parquet")
+    v = MD.assemble(emb, ["label", "embedding"]).select("vec_id", "label", "embedding",
+                                                         vector_to_array("features").alias("a"))
+    r = v.first()
+    assert len(r["a"]) == 65 and r["a"][0] == r["label"]
+    assert all(abs(x - y) < 1e-6 for x, y in zip(r["a"][1:], r["embedding"]))
