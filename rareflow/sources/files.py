@@ -32,8 +32,17 @@ def scan_csv_cast(spark: SparkSession, path: str, numeric: Sequence[str]) -> Dat
     return df.select(*[F.col(c).try_cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def scan_parquet(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
+    """Parquet scan (pruning and pushdown by Catalyst). With ``spread``, an input that yields
+    fewer scan partitions than cores (a file of one row group cannot be split) is repartitioned
+    to the cores, so per-row work is not one task; a large input is left as it is."""
+    df = spark.read.parquet(path)
+    return spread_partitions(df) if spread else df
+
+
+def spread_partitions(df: DataFrame) -> DataFrame:
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
 def write_split(df: DataFrame, path: str, overwrite: bool = False) -> None:
