@@ -119,8 +119,10 @@ def train_forest(train: DataFrame, spec: FeatureSpec, *, seed: int = MODEL_SEED,
     """Fit a binary forest (optionally class-weighted) and return assembler + forest."""
     if counts is None:
         if validate:
-            assert_valid(train, spec, "Training data")
-        counts = counts_dict(train, spec.label)
+            rep = assert_valid(train, spec, "Training data")
+            counts = {0: int(rep["negatives"]), 1: int(rep["positives"])}
+        else:
+            counts = counts_dict(train, spec.label)
     weights = training_class_weights(counts, weighting)
     assembler = VectorAssembler(inputCols=list(spec.features), outputCol="features")
     data = train.select("features", spec.label) if "features" in train.columns \
@@ -177,9 +179,10 @@ def evaluate_model(model_or_scorer, test: DataFrame, spec: FeatureSpec, threshol
 
 
 def tune_threshold(scorer, validation: DataFrame, spec: FeatureSpec, *,
-                   materialize: bool = True) -> tuple[DataFrame, DataFrame]:
+                   materialize: bool = True, validate: bool = True) -> tuple[DataFrame, DataFrame]:
     """Sweep of validation scores and its selected row."""
-    assert_valid(validation, spec, "Validation data")
+    if validate:
+        assert_valid(validation, spec, "Validation data")
     scored = scorer.score(validation.select(*spec.features, spec.label))
     sweep = M.sweep_scores(scored, PROBABILITY, spec.label, materialize=materialize)
     return sweep, M.select_threshold(sweep)
@@ -192,9 +195,9 @@ def search_candidates(train: DataFrame, validation: DataFrame, spec: FeatureSpec
     Returns (best model, ranked results DataFrame with one row per candidate).
     The assembled training features are persisted once for all fits.
     """
-    assert_valid(train, spec, "Training data")
+    rep = assert_valid(train, spec, "Training data")
     assert_valid(validation, spec, "Validation data")
-    counts = counts_dict(train, spec.label)
+    counts = {0: int(rep["negatives"]), 1: int(rep["positives"])}
     assembler = VectorAssembler(inputCols=list(spec.features), outputCol="features")
     feats = spread(assembler.transform(train.select(*spec.features, spec.label)).select("features", spec.label)) \
         .persist(StorageLevel.MEMORY_AND_DISK)
@@ -206,7 +209,7 @@ def search_candidates(train: DataFrame, validation: DataFrame, spec: FeatureSpec
             fitted = train_forest(feats, spec, seed=seed, counts=counts, validate=False, **params)
             forest = fitted.stages[1]
             model = PipelineModel(stages=[assembler, forest])
-            _, best = tune_threshold(ModelScorer(model, spec.features), validation, spec)
+            _, best = tune_threshold(ModelScorer(model, spec.features), validation, spec, validate=False)
             r = best.first().asDict()
             models.append(model)
             rows.append((i, cand["name"], *[r[c] for c in M.SWEEP_COLUMNS]))
