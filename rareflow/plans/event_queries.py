@@ -130,9 +130,7 @@ select count(*) as rows, round(avg({PROCESSING_EPOCH}::double - EventTimestamp),
 from sc where status = 'scored'""")
 def q_response_time_stats(spark, d):
     """Running count and mean response time over the scored stream (complete mode)."""
-    base, staged, inp = _stage(spark, d)
-    for p in range(4):
-        _copy_part(spark, staged, inp, p)
+    base, inp = staged_input(spark, d)
     scored = _stream_scored(spark, inp, max_files=1).filter(F.col("status") == "scored")
     stats = E.response_time_stats(E.response_time(scored, processing_time=F.lit(PROCESSING_TIME)))
     res = _complete(spark, stats, base)
@@ -157,32 +155,34 @@ def q_json_event_functions(spark, d):
 
 # --- stream runs --------------------------------------------------------------------
 
-def write_ev_source(spark, d, files: int = 4) -> tuple[str, str]:
-    """Materialise the Kafka-shaped events as Parquet files in the shared work folder.
+STAGED_PARTS = 4
 
-    Returns (folder with all but the last file, path of the last file) so a
-    later run can add new input.
-    """
+
+def stage_ev(spark, d) -> str:
+    """Materialise the Kafka-shaped events once in the shared work folder, split into
+    ``STAGED_PARTS`` parts by offset (every task writes its own files; no funnel).
+    Returns the base folder; the stream input is ``<base>/input``, fed part by part."""
     base = work_path(spark, "ev-source")
-    rec = ev(spark, d).withColumn("_f", F.pmod(F.col("offset"), F.lit(files)))
-    rec.repartition(files, "_f").write.partitionBy("_f").parquet(f"{base}/staged")
-    return base, f"{base}/staged"
+    ev(spark, d).withColumn("_f", F.pmod(F.col("offset"), F.lit(STAGED_PARTS))) \
+        .write.partitionBy("_f").parquet(f"{base}/staged")
+    return base
 
 
-def _stream_scored(spark, src_dir, max_files=None):
-    src = ST.file_source(spark, src_dir, max_files_per_trigger=max_files, fmt="parquet")
-    return E.score_events(E.parse_events(src, EV_FEATURES), SCORER, EV_FEATURES, THRESHOLD, keep=["value"])
+def add_part(spark, base: str, part: int) -> None:
+    """Append one staged part to the stream input folder (new files for the next run)."""
+    spark.read.parquet(f"{base}/staged/_f={part}").write.mode("append").parquet(f"{base}/input")
 
 
-def _stage(spark, d):
-    """Stage the events and name a fresh stream input folder to copy them into."""
-    base, staged = write_ev_source(spark, d)
-    inp = f"{base}/input"
-    return base, staged, inp
+def staged_input(spark, d, parts=range(STAGED_PARTS)) -> tuple[str, str]:
+    base = stage_ev(spark, d)
+    for p in parts:
+        add_part(spark, base, p)
+    return base, f"{base}/input"
 
 
-def _copy_part(spark, staged, inp, part):
-    spark.read.parquet(f"{staged}/_f={part}").write.mode("append").parquet(inp)
+def _stream_scored(spark, src_dir, max_files=None):
+    src = ST.file_source(spark, src_dir, max_files_per_trigger=max_files, fmt="parquet")
+    return E.score_events(E.parse_events(src, EV_FEATURES), SCORER, EV_FEATURES, THRESHOLD, keep=["value"])
 
 
 def _stream_config(out):
@@ -192,9 +192,7 @@ def _stream_config(out):
 
 @register("run_stream", SCORED_SQL + " select * from sc")
 def q_run_stream(spark, d):
-    base, staged, inp = _stage(spark, d)
-    for p in range(4):
-        _copy_part(spark, staged, inp, p)
+    base, inp = staged_input(spark, d)
     out = f"{base}/out"
     q = ST.sink_predictions(_stream_scored(spark, inp, max_files=1), out, available_now=False,
                             trigger_seconds=0.5)
@@ -205,9 +203,7 @@ def q_run_stream(spark, d):
 
 @register("sink_predictions", SCORED_SQL + " select * from sc")
 def q_sink_predictions(spark, d):
-    base, staged, inp = _stage(spark, d)
-    for p in range(4):
-        _copy_part(spark, staged, inp, p)
+    base, inp = staged_input(spark, d)
     out = f"{base}/out"
     ST.run_stream(ST.sink_predictions(_stream_scored(spark, inp), out, configuration=_stream_config(out)))
     return scored_view(ST.read_predictions(spark, out, ST.prediction_schema(["value"])))
@@ -215,9 +211,7 @@ def q_sink_predictions(spark, d):
 
 @register("read_predictions", SCORED_SQL + " select status, count(*) as n from sc group by status")
 def q_read_predictions(spark, d):
-    base, staged, inp = _stage(spark, d)
-    for p in range(4):
-        _copy_part(spark, staged, inp, p)
+    base, inp = staged_input(spark, d)
     out = f"{base}/out"
     ST.run_stream(ST.sink_predictions(_stream_scored(spark, inp), out))
     return E.status_counts(ST.read_predictions(spark, out, ST.prediction_schema(["value"])))
@@ -226,9 +220,7 @@ def q_read_predictions(spark, d):
 @register("restart_idempotence", SCORED_SQL + " select * from sc")
 def q_restart_idempotence(spark, d):
     """Run, restart with no new input (adds nothing), add input, restart (adds only it)."""
-    base, staged, inp = _stage(spark, d)
-    for p in range(3):
-        _copy_part(spark, staged, inp, p)
+    base, inp = staged_input(spark, d, parts=range(STAGED_PARTS - 1))
     out = f"{base}/out"
     conf = _stream_config(out)
     ST.run_stream(ST.sink_predictions(_stream_scored(spark, inp), out, configuration=conf))
@@ -236,7 +228,7 @@ def q_restart_idempotence(spark, d):
     ST.run_stream(ST.sink_predictions(_stream_scored(spark, inp), out, configuration=conf))
     if ST.read_predictions(spark, out).count() != first:
         raise RuntimeError("restart without new input changed the output")
-    _copy_part(spark, staged, inp, 3)
+    add_part(spark, base, STAGED_PARTS - 1)
     ST.run_stream(ST.sink_predictions(_stream_scored(spark, inp), out, configuration=conf))
     return scored_view(ST.read_predictions(spark, out, ST.prediction_schema(["value"])))
 
@@ -244,9 +236,7 @@ def q_restart_idempotence(spark, d):
 @register("batch_progress", "select count(*)::bigint as input_rows from events")
 def q_batch_progress(spark, d):
     """Input rows summed over the progress reports of a run capped at one file per batch."""
-    base, staged, inp = _stage(spark, d)
-    for p in range(4):
-        _copy_part(spark, staged, inp, p)
+    base, inp = staged_input(spark, d)
     out = f"{base}/out"
     prog = ST.run_stream(ST.sink_predictions(_stream_scored(spark, inp, max_files=1), out))
     per_batch = ST.batch_progress(spark, prog)
@@ -266,9 +256,7 @@ select time_bucket(interval '1 hour', ts) as window_start, time_bucket(interval
        count(*) as n
 from events group by 1, 2""")
 def q_throughput_windows(spark, d):
-    base, staged, inp = _stage(spark, d)
-    for p in range(4):
-        _copy_part(spark, staged, inp, p)
+    base, inp = staged_input(spark, d)
     src = ST.file_source(spark, inp)
     res = _complete(spark, ST.throughput_windows(src, "timestamp", "1 hour"), base)
     return res.select(ntz("window_start"), ntz("window_end"), "n")
@@ -279,9 +267,7 @@ select time_bucket(interval '1 hour', ts) as window_start, time_bucket(interval
        event_type as topic, count(*) as n
 from events group by 1, 2, 3""")
 def q_multi_topic_throughput(spark, d):
-    base, staged, inp = _stage(spark, d)
-    for p in range(4):
-        _copy_part(spark, staged, inp, p)
+    base, inp = staged_input(spark, d)
     src = ST.file_source(spark, inp)
     res = _complete(spark, ST.throughput_windows(src, "timestamp", "1 hour", by=["topic"]), base)
     return res.select(ntz("window_start"), ntz("window_end"), "topic", "n")
@@ -293,9 +279,7 @@ select count(*) filter (where valid_event) as matched, 0::bigint as only_offline
 from pe""")
 def q_score_parity(spark, d):
     """Streamed scores (sink, read back) against batch scores of the same events, by EventId."""
-    base, staged, inp = _stage(spark, d)
-    for p in range(4):
-        _copy_part(spark, staged, inp, p)
+    base, inp = staged_input(spark, d)
     out = f"{base}/out"
     ST.run_stream(ST.sink_predictions(_stream_scored(spark, inp), out))
     online = ST.read_predictions(spark, out, ST.prediction_schema(["value"])).filter(F.col("status") == "scored")
