@@ -82,3 +82,25 @@ def test_assemble_embeddings(spark):
     r = v.first()
     assert len(r["a"]) == 65 and r["a"][0] == r["label"]
     assert all(abs(x - y) < 1e-6 for x, y in zip(r["a"][1:], r["embedding"]))
+
+
+def test_model_layout_checks(spark, fitted):
+    from pyspark.ml import PipelineModel
+
+    assembler, forest = fitted.stages
+    with pytest.raises(ValueError, match="VectorAssembler"):
+        MD.ModelScorer(PipelineModel(stages=[forest]))
+    with pytest.raises(ValueError, match="VectorAssembler"):
+        MD.ModelScorer(PipelineModel(stages=[forest, assembler]))
+    short = assembler.copy()
+    short.setInputCols(FEATURES[:-1])
+    with pytest.raises(ValueError, match="feature count"):
+        MD.ModelScorer(PipelineModel(stages=[short, forest]))
+    with pytest.raises(ValueError, match="feature order"):
+        MD.ModelScorer(fitted, ["V1", "Time"] + FEATURES[2:])
+
+
+def test_scorer_refuses_output_clash(spark, fitted):
+    df = frame(spark).withColumn("probability", F.lit(1.0))
+    with pytest.raises(ValueError, match="output columns"):
+        MD.ModelScorer(fitted).score(df)
