@@ -8,7 +8,7 @@ from rareflow.operators import sampling as S
 from rareflow.operators import validate as V
 from rareflow.plans.registry import md5_hash_sql, register
 from rareflow.plans.views import (
-    ORDERS_LABEL, ORDERS_SQL, TX_DIRTY_SQL, TX_FEATURES, TX_KEY, TX_MISSING_SQL, TX_SPEC, TX_SPEC2,
+    ORDERS_LABEL, ORDERS_SQL, TX_DIRTY_SQL, TX_FEATURES, TX_KEY, TX_MISSING_SQL, TX_SPEC,
     TX_SQL, orders_labelled, table, tx, tx_dirty, tx_missing,
 )
 

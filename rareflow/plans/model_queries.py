@@ -18,6 +18,7 @@ from rareflow.plans.metric_queries import GROUPS_SQL, SWEEP_COLS, sweep_sql
 from rareflow.plans.registry import md5_hash_sql, register
 from rareflow.plans.views import TX_FEATURES, TX_KEY, TX_SPEC2, TX_SQL, orders_labelled, tx
 from rareflow.session import work_path
+from rareflow.spec import FeatureSpec
 
 TX_SPLIT_SQL = f"""case when {md5_hash_sql(*TX_KEY, seed=42)} % 100 >= 80 then 'test'
             when {md5_hash_sql(*TX_KEY, seed=43)} % 100 >= 80 then 'validation' else 'train' end"""
@@ -92,7 +93,7 @@ def q_evaluate_model(spark, d):
     on the test split; the forest path of the same operator is covered by the model tests."""
     _, _, test = _splits(spark, d)
     scorer = MD.ExpressionScorer(F.col("s"), uid="tx-score")
-    spec = TX_SPEC2.__class__(TX_FEATURES + ("s",), "y2", TX_KEY)
+    spec = FeatureSpec((*TX_FEATURES, "s"), "y2", TX_KEY)
     out = MD.evaluate_model(scorer, test, spec, 0.5)
     return out.withColumn("auprc", F.round("auprc", 9))
 

@@ -1,6 +1,5 @@
 """Splits, balancing, draws and ordered helpers."""
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
