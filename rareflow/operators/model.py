@@ -189,12 +189,16 @@ def tune_threshold(scorer, validation: DataFrame, spec: FeatureSpec, *,
 
 
 def search_candidates(train: DataFrame, validation: DataFrame, spec: FeatureSpec,
-                      candidates: Sequence[dict] = CANDIDATES, seed: int = MODEL_SEED):
+                      candidates: Sequence[dict] = CANDIDATES, seed: int = MODEL_SEED, concurrency: int = 3):
     """Fit each candidate on train, tune its threshold on validation only, rank.
 
     Returns (best model, ranked results DataFrame with one row per candidate).
-    The assembled training features are persisted once for all fits.
+    The assembled training features are persisted once for all fits; up to
+    ``concurrency`` fits run at the same time (Spark schedules jobs from
+    several threads; each fit is seeded, so results do not depend on it).
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     rep = assert_valid(train, spec, "Training data")
     assert_valid(validation, spec, "Validation data")
     counts = {0: int(rep["negatives"]), 1: int(rep["positives"])}
@@ -202,19 +206,24 @@ def search_candidates(train: DataFrame, validation: DataFrame, spec: FeatureSpec
     feats = spread(assembler.transform(train.select(*spec.features, spec.label)).select("features", spec.label)) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     spark = train.sparkSession
-    models, rows = [], []
+
+    def run(i: int):
+        cand = candidates[i]
+        params = {k: v for k, v in cand.items() if k != "name"}
+        forest = train_forest(feats, spec, seed=seed, counts=counts, validate=False, **params).stages[1]
+        model = PipelineModel(stages=[assembler, forest])
+        _, best = tune_threshold(ModelScorer(model, spec.features), validation, spec, validate=False)
+        r = best.first().asDict()
+        return model, (i, cand["name"], *[r[c] for c in M.SWEEP_COLUMNS])
+
     try:
-        for i, cand in enumerate(candidates):
-            params = {k: v for k, v in cand.items() if k != "name"}
-            fitted = train_forest(feats, spec, seed=seed, counts=counts, validate=False, **params)
-            forest = fitted.stages[1]
-            model = PipelineModel(stages=[assembler, forest])
-            _, best = tune_threshold(ModelScorer(model, spec.features), validation, spec, validate=False)
-            r = best.first().asDict()
-            models.append(model)
-            rows.append((i, cand["name"], *[r[c] for c in M.SWEEP_COLUMNS]))
+        feats.count()
+        with ThreadPoolExecutor(max_workers=max(1, concurrency)) as pool:
+            results = list(pool.map(run, range(len(candidates))))
     finally:
         feats.unpersist()
+    models = [m for m, _ in results]
+    rows = [r for _, r in results]
     schema = "candidate int, name string, threshold double, tp bigint, fp bigint, fn bigint, tn bigint, " \
              "precision double, recall double, f1 double"
     ranked = M.rank_candidates(spark.createDataFrame(rows, schema), "candidate")
