@@ -93,3 +93,25 @@ def test_processing_time_windows_and_stream_stats(spark):
     q.awaitTermination()
     r = spark.table("t_stats").first()
     assert r["rows"] == 12
+
+
+def test_stream_scores_with_reloaded_forest_equal_batch(spark):
+    from rareflow.operators import model as MD
+    from rareflow.spec import FeatureSpec
+
+    base = work_path(spark, "t-forest")
+    src, out, mpath = f"{base}/src", f"{base}/out", f"{base}/model"
+    train = spark.createDataFrame([(float(i), (i % 7) / 10, float(i % 3), float(i % 7 >= 4)) for i in range(200)],
+                                  "Time double, V1 double, Amount double, Class double")
+    spec = FeatureSpec(FEATURES, "Class")
+    MD.save_model(MD.train_forest(train, spec, num_trees=4, max_depth=3), mpath)
+    model = MD.load_model(mpath, FEATURES)
+    scorer = MD.ModelScorer(model, FEATURES)
+    write_batch(spark, src, 0, [ev(i) for i in range(20)] + ["{malformed json"])
+    online_stream = E.score_events(E.parse_events(ST.file_source(spark, src), FEATURES), scorer, FEATURES, 0.5)
+    ST.run_stream(ST.sink_predictions(online_stream, out))
+    online = ST.read_predictions(spark, out)
+    offline = E.score_events(E.parse_events(spark.read.parquet(src), FEATURES), scorer, FEATURES, 0.5)
+    assert online.count() == 21 and online.filter("status = 'rejected'").count() == 1
+    par = E.score_parity(offline.filter("status = 'scored'"), online.filter("status = 'scored'")).first()
+    assert par["matched"] == 20 and par["score_mismatches"] == 0 and par["decision_mismatches"] == 0
