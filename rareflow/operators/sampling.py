@@ -142,7 +142,8 @@ def sample_with_replacement(df: DataFrame, key: Sequence[str], count: int, seed:
 
 
 def sequential_take(df: DataFrame, order_col: str, count: int) -> DataFrame:
-    """First ``count`` rows in ``order_col`` order (unique column); error if fewer rows exist.
+    """First ``count`` rows in ``order_col`` order (a non-null, unique column; rows that tie
+    are taken in no particular order); error if fewer rows exist.
 
     Row positions come from a bucketed prefix count: a row count sizes the
     buckets (about two million rows each), one percentile job gives their
@@ -150,7 +151,10 @@ def sequential_take(df: DataFrame, order_col: str, count: int) -> DataFrame:
     """
     if count <= 0:
         raise ValueError("Count must be a positive integer")
-    n = df.count()
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.count(order_col).alias("nonnull")).first()
+    n = row["n"]
+    if row["nonnull"] != n:
+        raise ValueError(f"{order_col} has nulls; sequential order needs a non-null column")
     if count > n:
         raise ValueError("count cannot exceed the dataset row count in sequential mode")
     q = buckets_for(n, minimum=min_buckets(df.sparkSession))
