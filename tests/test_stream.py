@@ -115,3 +115,15 @@ def test_stream_scores_with_reloaded_forest_equal_batch(spark):
     assert online.count() == 21 and online.filter("status = 'rejected'").count() == 1
     par = E.score_parity(offline.filter("status = 'scored'"), online.filter("status = 'scored'")).first()
     assert par["matched"] == 20 and par["score_mismatches"] == 0 and par["decision_mismatches"] == 0
+
+
+def test_windows_append_mode_with_watermark(spark):
+    base = work_path(spark, "t-wm")
+    src, out = f"{base}/src", f"{base}/out"
+    write_batch(spark, src, 0, [ev(i) for i in range(5)])
+    stream = ST.file_source(spark, src).withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 0 SECONDS"))
+    win = ST.throughput_windows(stream, "timestamp", "1 minute", watermark="1 minute")
+    q = (win.writeStream.outputMode("append").format("parquet").option("path", out)
+         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert q.exception() is None
