@@ -2,7 +2,7 @@
 
 Reproducible variants order rows by a key hash (``hash32``), which does not
 move when the input is repartitioned; ``randomSplit``/``sampleBy`` variants
-keep the reference's Bernoulli semantics where approximate sizes are fine.
+keep Bernoulli semantics where approximate sizes are fine.
 """
 
 from __future__ import annotations

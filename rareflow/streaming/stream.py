@@ -219,5 +219,5 @@ def throughput_windows(df: DataFrame, time_col: str | Column, duration: str = "1
 
 
 def processing_time_windows(df: DataFrame, duration: str = "1 second", by: Sequence[str] = ()) -> DataFrame:
-    """Throughput per window of processing time (arrival), as the reference's console counts."""
+    """Throughput per window of processing time (arrival time of each row)."""
     return throughput_windows(df.withColumn("_rf_pt", F.current_timestamp()), "_rf_pt", duration, by=by)
