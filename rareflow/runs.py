@@ -30,8 +30,14 @@ from rareflow.streaming import stream as ST
 
 def _paths(run_dir: str) -> dict:
     r = run_dir.rstrip("/")
-    return {k: f"{r}/{k}" for k in ("train", "validation", "test", "model", "thresholds", "sweep_csv",
-                                    "candidates")}
+    return {k: f"{r}/{k}" for k in ("splits", "model", "thresholds", "sweep_csv", "candidates")}
+
+
+def read_split(spark: SparkSession, run_dir: str, name: str) -> DataFrame:
+    """One split of a run (partition pruning reads only that folder)."""
+    if name not in S.SPLITS:
+        raise ValueError(f"unknown split {name}")
+    return spark.read.parquet(_paths(run_dir)["splits"]).filter(F.col("split") == name).drop("split")
 
 
 def train_run(spark: SparkSession, data: DataFrame, spec: FeatureSpec, run_dir: str, registry: str, *,
@@ -44,11 +50,11 @@ def train_run(spark: SparkSession, data: DataFrame, spec: FeatureSpec, run_dir:
     MD.append_registry(MD.registry_rows(spark, run_id, 0, "status", name="running"), registry)
     try:
         cleaned = V.clean_rows(data, spec, "Cleaned dataset")
-        tagged = S.hash_split(cleaned, spec.key)
-        for name, part in zip(S.SPLITS, S.split_frames(tagged)):
-            FS.write_split(part, p[name])
-        train, val = spark.read.parquet(p["train"]), spark.read.parquet(p["validation"])
-        counts = S.split_class_counts(tagged, spec.label).withColumnRenamed("split", "name")
+        # one pass writes all three splits (partitioned by split); refuses to overwrite a run
+        S.hash_split(cleaned, spec.key).write.partitionBy("split").mode("errorifexists").parquet(p["splits"])
+        train, val = read_split(spark, run_dir, "train"), read_split(spark, run_dir, "validation")
+        counts = S.split_class_counts(spark.read.parquet(p["splits"]), spec.label) \
+            .withColumnRenamed("split", "name")
         MD.append_registry(MD.registry_rows(spark, run_id, 1, "split_counts", counts, metric_cols=["n"]), registry)
         chosen = list(candidates) if search else list(candidates)[:1]
         model, ranked = MD.search_candidates(train, val, spec, chosen)
@@ -81,7 +87,7 @@ def tune_run(spark: SparkSession, run_dir: str, spec: FeatureSpec) -> dict:
     """Re-select the threshold of a finished run from its saved validation split."""
     p = _paths(run_dir)
     model = MD.load_model(p["model"], spec.features)
-    return _tune(spark, model, spark.read.parquet(p["validation"]), spec, p, overwrite=True)
+    return _tune(spark, model, read_split(spark, run_dir, "validation"), spec, p, overwrite=True)
 
 
 def load_run_threshold(spark: SparkSession, run_dir: str, spec: FeatureSpec) -> tuple:
@@ -95,7 +101,7 @@ def evaluate_run(spark: SparkSession, run_dir: str, spec: FeatureSpec, threshold
     """Held-out test metrics (confusion, precision, recall, F1, exact AUPRC) of a run."""
     model, _, saved = load_run_threshold(spark, run_dir, spec)
     t = saved if threshold is None else threshold
-    return MD.evaluate_model(model, spark.read.parquet(_paths(run_dir)["test"]), spec, t)
+    return MD.evaluate_model(model, read_split(spark, run_dir, "test"), spec, t)
 
 
 def score_stream(spark: SparkSession, run_dir: str, spec: FeatureSpec, records: DataFrame, output_dir: str, *,
@@ -115,7 +121,7 @@ def run_events(spark: SparkSession, run_dir: str, spec: FeatureSpec, *, count: i
     """Kafka records for ``count`` events drawn from a run's test split (sequential or seeded)."""
     if not rate > 0 or rate != rate or rate == float("inf"):
         raise ValueError("Rate must be finite and greater than 0")
-    test = spark.read.parquet(_paths(run_dir)["test"])
+    test = read_split(spark, run_dir, "test")
     V.assert_valid(test, spec, "Producer test data", require_both_classes=False)
     key = list(spec.key)
     if sequential:

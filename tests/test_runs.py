@@ -25,7 +25,7 @@ def test_full_lifecycle(spark):
     done = MD.completed_runs(spark, registry)
     assert {r["run_id"] for r in done.collect()} == {"r1"}
     # the three splits cover the cleaned input and are disjoint
-    parts = [spark.read.parquet(f"{run_dir}/{s}") for s in ("train", "validation", "test")]
+    parts = [R.read_split(spark, run_dir, s) for s in ("train", "validation", "test")]
     assert sum(p.count() for p in parts) == 600
     assert parts[0].join(parts[2], "Time").count() == 0
 
