@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from rareflow.operators import metrics as M
 from rareflow.operators import model as MD
+from rareflow.operators.ordered import global_row_number
 from rareflow.operators import sampling as S
 from rareflow.operators import validate as V
 from rareflow.sources import files as FS
@@ -122,17 +123,19 @@ def run_events(spark: SparkSession, run_dir: str, spec: FeatureSpec, *, count: i
     if not rate > 0 or rate != rate or rate == float("inf"):
         raise ValueError("Rate must be finite and greater than 0")
     test = read_split(spark, run_dir, "test")
-    V.assert_valid(test, spec, "Producer test data", require_both_classes=False)
+    rows = V.assert_valid(test, spec, "Producer test data", require_both_classes=False)["rows"]
+    if not rows:
+        raise ValueError("Test dataset is empty")
     key = list(spec.key)
     if sequential:
+        if count > rows:
+            raise ValueError("count cannot exceed the dataset row count with sequential")
         ranked = test.select(*key, *spec.features, spec.label)
-        from rareflow.operators.ordered import global_row_number
-        picked = global_row_number(ranked, key, name="_i").filter(F.col("_i") <= count) \
+        picked = global_row_number(ranked, key, name="_i", rows=rows).filter(F.col("_i") <= count) \
             .withColumn("draw", F.col("_i") - 1)
-        if picked.count() < count:
-            raise ValueError("count cannot exceed the dataset row count with sequential")
     else:
-        picked = S.sample_with_replacement(test.select(*key, *spec.features, spec.label), key, count, seed)
+        picked = S.sample_with_replacement(test.select(*key, *spec.features, spec.label), key, count, seed,
+                                           rows=rows)
     rid = run_id or uuid.uuid4().hex
     return E.build_events(picked, spec.features, spec.label, "draw", run_id=rid, ingestion_rate=rate,
                           topic=topic)
