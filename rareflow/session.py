@@ -62,3 +62,36 @@ def local_path(path: str) -> str:
         while path.startswith("//"):
             path = path[1:]
     return os.path.normpath(path)
+
+
+MB = 1 << 20
+
+
+def cluster_conf(input_bytes: int, cores: int, checkpoint_dir: str) -> dict[str, str]:
+    """Settings for a cluster run, sized from the input and the number of executor cores.
+
+    - scan splits of 512 MB: 100 TB gives ~200k scan tasks, ~25 waves on 8000 cores;
+    - initial shuffle partitions at ~256 MB of input each (capped), which AQE coalesces
+      toward 256 MB per partition after partial aggregation has shrunk the data;
+    - skew-join splitting above 5x the median partition and 512 MB;
+    - writes capped per file so output files stay splittable;
+    - the shared checkpoint folder that the sweeps and streams write to.
+    """
+    if cores <= 0 or input_bytes < 0:
+        raise ValueError("cores must be positive and input size non-negative")
+    shuffle = int(min(200_000, max(2 * cores, input_bytes // (256 * MB))))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(512 * MB),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * MB),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 * MB),
+        "spark.sql.files.maxRecordsPerFile": str(20_000_000),
+        "spark.sql.session.timeZone": "UTC",
+        "spark.checkpoint.dir": checkpoint_dir,
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        "spark.ui.enabled": "false",
+    }

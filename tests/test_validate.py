@@ -115,3 +115,13 @@ def test_feature_order_check():
         SPEC.check_order(["V1", "Time"] + FEATURES[2:])
     with pytest.raises(ValueError):
         FeatureSpec(["a", "a"], "y")
+
+
+def test_cluster_conf_scales_with_input():
+    from rareflow.session import cluster_conf
+
+    small = cluster_conf(10 << 30, 8, "hdfs:///ckpt")
+    big = cluster_conf(100 << 40, 8000, "hdfs:///ckpt")
+    assert int(small["spark.sql.shuffle.partitions"]) == 40
+    assert int(big["spark.sql.shuffle.partitions"]) == 200_000
+    assert big["spark.checkpoint.dir"] == "hdfs:///ckpt"
