@@ -205,10 +205,10 @@ def classification_metrics(confusion: DataFrame) -> DataFrame:
 def weighted_metrics(confusion: DataFrame) -> DataFrame:
     """Support-weighted precision, recall and F1 over both classes (as the multiclass evaluator)."""
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    n = (tp + fp + fn + tn).cast("double")
+    n = tp + fp + fn + tn
     p1, r1 = ratio(tp, tp + fp), ratio(tp, tp + fn)
     p0, r0 = ratio(tn, tn + fn), ratio(tn, tn + fp)
-    w1, w0 = (tp + fn).cast("double") / n, (tn + fp).cast("double") / n
+    w1, w0 = ratio(tp + fn, n), ratio(tn + fp, n)
 
     def f(p, r):
         return F.when(p + r > 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0))
