@@ -230,6 +230,12 @@ def auprc(groups: DataFrame, *, partition_by: str | None = None, unique_scores:
     """
     cum, info = cumulative_groups(groups, partition_by=partition_by, unique_scores=unique_scores,
                                   materialize=materialize, with_extras=False)
+    return _pr_area(cum, info, partition_by)
+
+
+def _pr_area(cum: DataFrame, info: dict, partition_by: str | None) -> DataFrame:
+    """Trapezoids between each group's (recall, precision) and the previous group's, whose
+    running counts are the group's own minus its counts; the first group pairs with itself."""
     tp, fp = F.col("tp"), F.col("fp")
     tp0, fp0 = tp - F.col("positives"), fp - F.col("negatives")
     pr = ratio(tp, tp + fp)
@@ -296,6 +302,8 @@ def incremental_evaluation(df: DataFrame, score: str | Column, label: str | Colu
 def _auprc_lenient(groups: DataFrame, partition_by: str) -> DataFrame:
     """Exact AUPRC per partition; 0.0 where a partition has no positive (a small subset may lack one)."""
     report = score_report(groups, partition_by, min_buckets(groups.sparkSession)).collect()
+    if any(r["bad_scores"] for r in report):
+        raise ValueError("Fraud probabilities must be finite numbers between 0 and 1")
     edges = sorted({e for r in report for e in clean_edges(r["edges"])})
     ok = [r[partition_by] for r in report if r["positives"]]
     info = dict(totals={r[partition_by]: (int(r["positives"]), int(r["negatives"])) for r in report if r["positives"]})
@@ -304,12 +312,6 @@ def _auprc_lenient(groups: DataFrame, partition_by: str) -> DataFrame:
     g = groups.filter(F.col(partition_by).isin(ok))
     cum = prefix_sum(g, "score", {"tp": "positives", "fp": "negatives"}, edges=edges, descending=True,
                      partition_by=[partition_by])
-    tp, fp = F.col("tp"), F.col("fp")
-    tp0, fp0 = tp - F.col("positives"), fp - F.col("negatives")
-    pr = ratio(tp, tp + fp)
-    pr0 = F.when(tp0 + fp0 > 0, tp0.cast("double") / (tp0 + fp0).cast("double")).otherwise(pr)
-    term = F.col("positives").cast("double") * (pr + pr0) / F.lit(2.0)
-    P = _per_partition(info, partition_by, 0).cast("double")
-    area = cum.groupBy(partition_by).agg(F.sum(term / P).alias("auprc"))
+    area = _pr_area(cum, info, partition_by)
     return groups.select(partition_by).distinct().join(area, partition_by, "left") \
         .select(partition_by, F.coalesce("auprc", F.lit(0.0)).alias("auprc"))
