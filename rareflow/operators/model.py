@@ -24,6 +24,7 @@ from rareflow.operators import metrics as M
 from rareflow.operators.validate import (
     apply_class_weights, assert_valid, counts_dict, training_class_weights,
 )
+from rareflow.sources.files import spread_partitions
 from rareflow.spec import FeatureSpec
 
 PROBABILITY = "fraud_probability"
@@ -108,9 +109,7 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features",
 def spread(df: DataFrame) -> DataFrame:
     """Give a fit at least one partition per core: MLlib trees work per input partition,
     so a narrow input (one file, one row group) would train on a single task."""
-    sc = df.sparkSession.sparkContext
-    want = sc.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    return spread_partitions(df)
 
 
 def train_forest(train: DataFrame, spec: FeatureSpec, *, seed: int = MODEL_SEED, num_trees: int = 100,
