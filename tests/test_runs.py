@@ -34,6 +34,15 @@ def test_full_lifecycle(spark):
 
     ev = R.evaluate_run(spark, run_dir, SPEC).first()
     assert ev["tp"] + ev["fp"] + ev["fn"] + ev["tn"] == parts[2].count()
+    zero = R.evaluate_run(spark, run_dir, SPEC, threshold=0.0).first()  # an explicit 0 is honoured
+    assert zero["threshold"] == 0.0 and zero["fn"] == 0 and zero["tn"] == 0
+
+    # a second run into the same folder fails, is recorded as failed, and leaves the run untouched
+    before = sorted(r["Time"] for r in R.read_split(spark, run_dir, "test").collect())
+    with pytest.raises(Exception):
+        R.train_run(spark, data, SPEC, run_dir, registry, candidates=SMALL, run_id="r2")
+    assert {r["run_id"] for r in MD.completed_runs(spark, registry).collect()} == {"r1"}
+    assert sorted(r["Time"] for r in R.read_split(spark, run_dir, "test").collect()) == before
 
     records = R.run_events(spark, run_dir, SPEC, count=30, rate=20.0, run_id="p1")
     assert records.count() == 30
