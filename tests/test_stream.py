@@ -127,3 +127,13 @@ def test_windows_append_mode_with_watermark(spark):
          .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
     assert q.exception() is None
+
+
+def test_parquet_predictions_restart(spark):
+    base = work_path(spark, "t-pq")
+    src, out = f"{base}/src", f"{base}/out"
+    write_batch(spark, src, 0, [ev(i) for i in range(6)] + ["{bad"])
+    for _ in range(2):
+        ST.run_stream(ST.sink_predictions(scored_stream(spark, src), out, fmt="parquet"))
+    got = ST.read_predictions(spark, out, fmt="parquet")
+    assert got.count() == 7 and got.filter("status = 'rejected'").count() == 1
