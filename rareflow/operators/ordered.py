@@ -15,6 +15,9 @@ Buckets come either from explicit edges (``prefix_sum``; typically quantiles of
 the order column, computed by the caller in a job it needs anyway) or from a
 uniform hash (``global_row_number``), so they are deterministic and need no
 sampling or materialisation between tagging and use.
+
+The input is evaluated twice (per-bucket totals, then the final window), so it
+must be deterministic; checkpoint an input built with ``rand()`` first.
 """
 
 from __future__ import annotations
