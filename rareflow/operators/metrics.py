@@ -15,10 +15,10 @@ from pyspark.sql.types import DoubleType, IntegralType, LongType, StructField, S
 
 from rareflow.functions.columns import INF, check_threshold, col, f1_from_counts, ratio
 from rareflow.operators.ordered import (
-    buckets_for, clean_edges, global_row_number, min_buckets, prefix_sum, quantile_accuracy,
+    buckets_for, clean_edges, edge_sample, global_row_number, min_buckets, prefix_sum, quantile_accuracy,
     quantile_probabilities,
 )
-from rareflow.session import ensure_checkpoint_dir
+from rareflow.session import work_path
 
 SWEEP_COLUMNS = ["threshold", "tp", "fp", "fn", "tn", "precision", "recall", "f1"]
 GROUP_SCHEMA = StructType([
@@ -49,9 +49,7 @@ def finite_double(v: Column) -> Column:
     return d.isNotNull() & ~F.isnan(d) & (F.abs(d) != F.lit(INF))
 
 
-def score_report(groups: DataFrame, partition_by: str | None = None,
-                 quantiles: int | None = None) -> DataFrame:
-    """One aggregate over score groups: guards, class totals, extra points present, score quantiles."""
+def _report_aggs(groups: DataFrame, quantiles: int | None) -> list[Column]:
     s = F.col("score")
     bad_score = ~(finite_double(s) & (s >= 0) & (s <= 1))
     bad_count = ~(_count_ok("positives", groups.schema["positives"].dataType)
@@ -65,8 +63,15 @@ def score_report(groups: DataFrame, partition_by: str | None = None,
     ]
     if quantiles:
         aggs += [F.count_if(s == F.lit(t)).alias(f"has_{i}") for i, t in enumerate(EXTRA_THRESHOLDS)]
-        aggs.append(F.percentile_approx(F.when(~bad_score, s), quantile_probabilities(quantiles),
+        aggs.append(F.percentile_approx(edge_sample(F.when(~bad_score, s)), quantile_probabilities(quantiles),
                                         quantile_accuracy(quantiles)).alias("edges"))
+    return aggs
+
+
+def score_report(groups: DataFrame, partition_by: str | None = None,
+                 quantiles: int | None = None) -> DataFrame:
+    """One aggregate over score groups: guards, class totals, extra points present, score quantiles."""
+    aggs = _report_aggs(groups, quantiles)
     return groups.groupBy(partition_by).agg(*aggs) if partition_by else groups.agg(*aggs)
 
 
@@ -81,7 +86,11 @@ def check_scores(groups: DataFrame, partition_by: str | None = None, quantiles:
     ``partition_by`` (e.g. a candidate id) must have few distinct values.
     """
     q0 = quantiles or min_buckets(groups.sparkSession)
-    rows = score_report(groups, partition_by, q0).collect()
+    rows = [r.asDict() for r in score_report(groups, partition_by, q0).collect()]
+    return _checked(groups, rows, partition_by, q0)
+
+
+def _checked(groups: DataFrame, rows: list[dict], partition_by: str | None, q0: int) -> dict:
     if not rows:
         raise ValueError("Validation data must contain both fraud (1) and legitimate (0) rows")
     totals, missing, edges = {}, [], set()
@@ -98,14 +107,32 @@ def check_scores(groups: DataFrame, partition_by: str | None = None, quantiles:
         edges.update(clean_edges(row["edges"]))
     q1 = buckets_for(max(r["groups"] for r in rows), minimum=q0)
     if q1 > q0:
-        fine = groups.agg(F.percentile_approx("score", quantile_probabilities(q1), quantile_accuracy(q1))).first()[0]
+        fine = groups.agg(F.percentile_approx(edge_sample("score"), quantile_probabilities(q1),
+                                              quantile_accuracy(q1))).first()[0]
         edges.update(clean_edges(fine))
     return dict(totals=totals, missing=missing, edges=sorted(edges))
 
 
-def _materialize(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize_checked(groups: DataFrame, quantiles: int | None = None) -> tuple[DataFrame, dict]:
+    """Write the groups to the shared work folder and compute the guard report during that
+    same write (``observe``): one pass over the groups instead of a write plus a guard job."""
+    from pyspark.sql import Observation
+
+    q0 = quantiles or min_buckets(groups.sparkSession)
+    obs = Observation("rf_score_report")
+    path = work_path(groups.sparkSession, "groups")
+    groups.observe(obs, *_report_aggs(groups, q0)).write.parquet(path)
+    written = groups.sparkSession.read.parquet(path)
+    return written, _checked(written, [dict(obs.get)], None, q0)
+
+
+def _materialize(df: DataFrame, name: str = "groups") -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared work folder (below
+    ``spark.checkpoint.dir``): columnar, so later jobs read only the columns they use;
+    measured faster to write and to read than ``DataFrame.checkpoint``."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _per_partition(info: dict, partition_by: str | None, which: int) -> Column:
@@ -127,9 +154,12 @@ def cumulative_groups(groups: DataFrame, *, partition_by: str | None = None, uni
     if not unique_scores:
         groups = groups.groupBy(*part, "score").agg(F.sum("positives").alias("positives"),
                                                     F.sum("negatives").alias("negatives"))
-    if materialize:
-        groups = _materialize(groups)
-    info = check_scores(groups, partition_by)
+    if materialize and not partition_by:
+        groups, info = materialize_checked(groups)
+    else:
+        if materialize:
+            groups = _materialize(groups)
+        info = check_scores(groups, partition_by)
     groups = groups.select(*part, "score", F.col("positives").cast("bigint").alias("positives"),
                            F.col("negatives").cast("bigint").alias("negatives"))
     if with_extras and info["missing"]:

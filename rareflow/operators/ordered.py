@@ -56,6 +56,20 @@ def quantile_accuracy(quantiles: int) -> int:
     return min(8 * quantiles, 1_000_000)
 
 
+EDGE_SAMPLE = 16
+
+
+def edge_sample(c: str | Column) -> Column:
+    """The value for about one row in ``EDGE_SAMPLE`` (by a hash of the value), else null.
+
+    Bucket edges only balance the buckets, they never change a result, so their
+    quantiles are taken over this deterministic sample of distinct values:
+    ``percentile_approx`` skips the nulls and does 1/16 of the work.
+    """
+    v = F.col(c) if isinstance(c, str) else c
+    return F.when(F.pmod(F.xxhash64(v), F.lit(EDGE_SAMPLE)) == 0, v)
+
+
 def quantile_probabilities(n: int = DEFAULT_QUANTILES) -> list[float]:
     return [i / n for i in range(1, n)]
 

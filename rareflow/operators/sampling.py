@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rareflow.functions.columns import hash32
 from rareflow.operators.ordered import (
-    buckets_for, clean_edges, global_row_number, min_buckets, prefix_sum, quantile_accuracy,
+    buckets_for, clean_edges, edge_sample, global_row_number, min_buckets, prefix_sum, quantile_accuracy,
     quantile_probabilities,
 )
 from rareflow.operators.validate import counts_dict, require_both_classes_counts
@@ -158,7 +158,8 @@ def sequential_take(df: DataFrame, order_col: str, count: int) -> DataFrame:
     if count > n:
         raise ValueError("count cannot exceed the dataset row count in sequential mode")
     q = buckets_for(n, minimum=min_buckets(df.sparkSession))
-    edges = df.agg(F.percentile_approx(order_col, quantile_probabilities(q), quantile_accuracy(q))).first()[0]
+    edges = df.agg(F.percentile_approx(edge_sample(order_col), quantile_probabilities(q),
+                                       quantile_accuracy(q))).first()[0]
     one = df.withColumn("_rf_one", F.lit(1))
     numbered = prefix_sum(one, order_col, {"_rf_pos": "_rf_one"}, edges=clean_edges(edges), descending=False)
     return numbered.filter(F.col("_rf_pos") <= count).drop("_rf_one", "_rf_pos")
