@@ -263,6 +263,12 @@ def auprc(groups: DataFrame, *, partition_by: str | None = None, unique_scores:
     return _pr_area(cum, info, partition_by)
 
 
+def auprc_checked(groups: DataFrame, info: dict) -> DataFrame:
+    """Exact AUPRC of already checked, unique score groups (``materialize_checked`` output)."""
+    cum = prefix_sum(groups, "score", {"tp": "positives", "fp": "negatives"}, edges=info["edges"])
+    return _pr_area(cum, info, None)
+
+
 def _pr_area(cum: DataFrame, info: dict, partition_by: str | None) -> DataFrame:
     """Trapezoids between each group's (recall, precision) and the previous group's, whose
     running counts are the group's own minus its counts; the first group pairs with itself."""

@@ -59,6 +59,9 @@ class ModelScorer:
         self.assembler, self.classifier = model_layout(model)
         if features is not None:
             FeatureSpec(tuple(features)).check_order(self.assembler.getInputCols())
+        if self.classifier.hasSummary:
+            self.classifier = without_summary(self.classifier)
+            model = PipelineModel(stages=[self.assembler, self.classifier])
         self.model = model
         self.features = list(self.assembler.getInputCols())
         self.uid = self.classifier.uid
@@ -74,6 +77,17 @@ class ModelScorer:
         return out.withColumn(PROBABILITY, vector_to_array(c.getProbabilityCol())[1]).drop(*produced)
 
 
+def without_summary(forest: RandomForestClassificationModel) -> RandomForestClassificationModel:
+    """The same forest (same uid and trees) without its training summary.
+
+    A freshly fitted model keeps a summary that references the session; once the
+    session has used ``observe``, every task closure that captures such a model fails
+    to serialize (the session's observation manager is not serializable). Scoring
+    never needs the summary.
+    """
+    return forest.copy()
+
+
 def model_layout(model) -> tuple[VectorAssembler, RandomForestClassificationModel]:
     """Exactly assembler + binary forest, assembler output feeding the forest."""
     stages = getattr(model, "stages", None)
@@ -132,7 +146,7 @@ def train_forest(train: DataFrame, spec: FeatureSpec, *, seed: int = MODEL_SEED,
         data = apply_class_weights(data, spec.label, weights)
         params["weightCol"] = "class_weight"
     forest = RandomForestClassifier(**params).fit(data if "features" in train.columns else spread(data))
-    return PipelineModel(stages=[assembler, forest])
+    return PipelineModel(stages=[assembler, without_summary(forest)])
 
 
 def score_table(model: PipelineModel, df: DataFrame, spec: FeatureSpec, keep: Sequence[str] = ()) -> DataFrame:
@@ -152,20 +166,18 @@ def load_model(path: str, features: Sequence[str] | None = None) -> PipelineMode
     return model
 
 
-def evaluate_model(model_or_scorer, test: DataFrame, spec: FeatureSpec, threshold: float = 0.5, *,
-                   materialize: bool = True) -> DataFrame:
+def evaluate_model(model_or_scorer, test: DataFrame, spec: FeatureSpec, threshold: float = 0.5) -> DataFrame:
     """Held-out evaluation: validate, score, decide, confusion, metrics, exact AUPRC.
 
-    Scores are reduced to score groups once (materialised), from which both the
-    confusion at ``threshold`` and the threshold-free AUPRC are computed.
+    Scores are reduced to score groups once (written to the work folder, with the guard
+    report observed during the write), from which both the confusion at ``threshold`` and
+    the threshold-free AUPRC are computed.
     """
     t = check_threshold(threshold)
     assert_valid(test, spec, "Test data")
     scorer = model_or_scorer if hasattr(model_or_scorer, "score") else ModelScorer(model_or_scorer, spec.features)
     scored = scorer.score(test.select(*spec.features, spec.label))
-    groups = M.score_groups(scored, PROBABILITY, spec.label)
-    if materialize:
-        groups = M._materialize(groups)
+    groups, info = M.materialize_checked(M.score_groups(scored, PROBABILITY, spec.label))
     s = F.col("score")
     confusion = groups.agg(
         F.coalesce(F.sum(F.when(s >= t, F.col("positives"))), F.lit(0)).cast("bigint").alias("tp"),
@@ -173,7 +185,7 @@ def evaluate_model(model_or_scorer, test: DataFrame, spec: FeatureSpec, threshol
         F.coalesce(F.sum(F.when(s < t, F.col("positives"))), F.lit(0)).cast("bigint").alias("fn"),
         F.coalesce(F.sum(F.when(s < t, F.col("negatives"))), F.lit(0)).cast("bigint").alias("tn"))
     metrics = M.classification_metrics(confusion)
-    area = M.auprc(groups, unique_scores=True).first()["auprc"]
+    area = M.auprc_checked(groups, info).first()["auprc"]
     return metrics.withColumn("auprc", F.lit(area)).withColumn("threshold", F.lit(t))
 
 

@@ -104,3 +104,17 @@ def test_scorer_refuses_output_clash(spark, fitted):
     df = frame(spark).withColumn("probability", F.lit(1.0))
     with pytest.raises(ValueError, match="output columns"):
         MD.ModelScorer(fitted).score(df)
+
+
+def test_scoring_after_observe_in_same_session(spark):
+    """A sweep (which observes its guard report) followed by a fresh fit and scoring."""
+    from rareflow.operators import metrics as M
+
+    M.sweep_scores(spark.createDataFrame([(0.2, 1), (0.7, 0), (0.9, 1)], "s double, y int"), "s", "y").collect()
+    m = MD.train_forest(frame(spark), SPEC, num_trees=2, max_depth=2)
+    assert MD.score_table(m, frame(spark), SPEC).count() == 256
+    raw = MD.RandomForestClassifier(labelCol="Class", featuresCol="features", numTrees=2, maxDepth=2).fit(
+        MD.assemble(frame(spark), FEATURES))
+    assert raw.hasSummary
+    pipe = MD.PipelineModel(stages=[MD.VectorAssembler(inputCols=FEATURES, outputCol="features"), raw])
+    assert MD.ModelScorer(pipe).score(frame(spark)).count() == 256
