@@ -59,17 +59,18 @@ class ModelScorer:
         self.assembler, self.classifier = model_layout(model)
         if features is not None:
             FeatureSpec(tuple(features)).check_order(self.assembler.getInputCols())
-        if self.classifier.hasSummary:
-            self.classifier = without_summary(self.classifier)
-            model = PipelineModel(stages=[self.assembler, self.classifier])
-        self.model = model
+        # a copy without the training summary that computes only the probability column
+        # (Spark ML skips outputs whose column name is empty)
+        forest = without_summary(self.classifier)
+        forest.setRawPredictionCol("").setPredictionCol("")
+        self.classifier = forest
+        self.model = PipelineModel(stages=[self.assembler, forest])
         self.features = list(self.assembler.getInputCols())
         self.uid = self.classifier.uid
 
     def score(self, df: DataFrame) -> DataFrame:
         c = self.classifier
-        produced = [self.assembler.getOutputCol(), c.getRawPredictionCol(), c.getProbabilityCol(),
-                    c.getPredictionCol()]
+        produced = [self.assembler.getOutputCol(), c.getProbabilityCol()]
         clash = [p for p in produced if p in df.columns]
         if clash:
             raise ValueError(f"input already has model output columns {clash}")
