@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 # JSON timestamps with microseconds so a read-back equals what was written.
 TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
@@ -197,6 +197,37 @@ def run_stream(query: StreamingQuery, timeout_seconds: float | None = None) -> l
     return list(query.recentProgress)
 
 
+class ProgressRecorder(StreamingQueryListener):
+    """Keeps the progress of every micro-batch that read data, for one query or all.
+
+    ``query.recentProgress`` only retains the last reports
+    (``spark.sql.streaming.numRecentProgressUpdates``); a listener sees them all.
+    Register with ``spark.streams.addListener(recorder)``; entries are small dicts.
+    """
+
+    def __init__(self, query_id: str | None = None):
+        self.query_id = query_id
+        self.events: list[dict] = []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if self.query_id and str(p.id) != self.query_id:
+            return
+        if p.numInputRows:
+            self.events.append({"batchId": p.batchId, "numInputRows": p.numInputRows,
+                                "processedRowsPerSecond": p.processedRowsPerSecond,
+                                "durationMs": dict(p.durationMs or {})})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def batch_progress(spark: SparkSession, progress: list[dict]) -> DataFrame:
     """One row per micro-batch that read data: batch id, input rows, rows/s, trigger ms."""
     seen, rows = set(), []

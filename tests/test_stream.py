@@ -137,3 +137,25 @@ def test_parquet_predictions_restart(spark):
         ST.run_stream(ST.sink_predictions(scored_stream(spark, src), out, fmt="parquet"))
     got = ST.read_predictions(spark, out, fmt="parquet")
     assert got.count() == 7 and got.filter("status = 'rejected'").count() == 1
+
+
+def test_progress_listener_sees_every_batch(spark):
+    import time
+
+    base = work_path(spark, "t-listen")
+    src, out = f"{base}/src", f"{base}/out"
+    for b in range(4):
+        write_batch(spark, src, b * 5, [ev(b * 5 + i) for i in range(5)])
+    rec = ST.ProgressRecorder()
+    spark.streams.addListener(rec)
+    try:
+        stream = E.score_events(E.parse_events(ST.file_source(spark, src, max_files_per_trigger=1), FEATURES),
+                                SCORER, FEATURES, 0.3)
+        ST.run_stream(ST.sink_predictions(stream, out))
+        deadline = time.time() + 30
+        while sum(e["numInputRows"] for e in rec.events) < 20 and time.time() < deadline:
+            time.sleep(0.2)  # listener events arrive asynchronously
+    finally:
+        spark.streams.removeListener(rec)
+    per = ST.batch_progress(spark, rec.events).collect()
+    assert len(per) == 4 and sum(r["input_rows"] for r in per) == 20
