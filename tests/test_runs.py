@@ -31,6 +31,11 @@ def test_full_lifecycle(spark):
 
     retuned = R.tune_run(spark, run_dir, SPEC)
     assert retuned["threshold"] == summary["threshold"]
+    # the threshold table and the sweep file are rewritten together
+    table = spark.read.parquet(f"{run_dir}/thresholds")
+    assert table.filter("selected").count() == 1
+    sweep_csv = spark.read.option("header", True).csv(f"{run_dir}/sweep_csv-retuned")
+    assert sweep_csv.count() == table.count()
 
     ev = R.evaluate_run(spark, run_dir, SPEC).first()
     assert ev["tp"] + ev["fp"] + ev["fn"] + ev["tn"] == parts[2].count()
