@@ -83,3 +83,15 @@ def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     return df.agg(F.count(F.lit(1)).alias("rows"),
                   F.sum(F.floor(h / F.lit(65536))).cast("bigint").alias("hash_high"),
                   F.sum(h % F.lit(65536)).cast("bigint").alias("hash_low"))
+
+
+def file_sha256(spark: SparkSession, path: str, glob_filter: str | None = None) -> DataFrame:
+    """SHA-256 of each input file (path, length, sha256), computed in the tasks that read them.
+
+    ``binaryFile`` loads one whole file per row (a file must stay below 2 GB); many files
+    are hashed in parallel, and nothing but the digests reaches the driver.
+    """
+    reader = spark.read.format("binaryFile")
+    if glob_filter:
+        reader = reader.option("pathGlobFilter", glob_filter)
+    return reader.load(path).select("path", "length", F.sha2(F.col("content"), 256).alias("sha256"))

@@ -52,3 +52,15 @@ def test_fingerprint_order_insensitive(spark):
     b = FS.table_fingerprint(df.repartition(7).orderBy(F.rand(3))).first()
     c = FS.table_fingerprint(df.withColumn("v", F.when(F.col("id") == 5, 99).otherwise(F.col("v")))).first()
     assert a == b and a != c and a["rows"] == 1000
+
+
+def test_file_sha256_matches_hashlib(spark):
+    import glob
+    import hashlib
+
+    path = work_path(spark, "t-sha")
+    spark.range(500).write.csv(path)
+    got = {r["path"].split("/")[-1]: r["sha256"] for r in FS.file_sha256(spark, path, "*.csv").collect()}
+    local = path.replace("file:", "")
+    want = {p.split("/")[-1]: hashlib.sha256(open(p, "rb").read()).hexdigest() for p in glob.glob(f"{local}/*.csv")}
+    assert got == want and got
