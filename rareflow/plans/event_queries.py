@@ -19,7 +19,7 @@ PARSED_COLS = ["kafka_topic", "kafka_partition", "kafka_offset", "kafka_timestam
                "EventId", "ProducerRunId", "EventTimestamp", "IngestionRate", "_corrupt_record", "valid_event"]
 # Fixed processing time used by the response-time queries.
 PROCESSING_TIME = dt.datetime(2024, 2, 1, tzinfo=dt.timezone.utc)
-PROCESSING_EPOCH = 1706745600
+PROCESSING_EPOCH = int(PROCESSING_TIME.timestamp())
 
 
 def ntz(c: str):
@@ -60,14 +60,14 @@ sc as (
 
 
 @register("build_events", "with " + EV_SQL + """
-select (case when kafka_offset % 89 = 0 then null else EventId end) as key_text, kafka_topic as topic,
+select key_text, kafka_topic as topic,
        kafka_partition as partition, kafka_offset as "offset", kafka_timestamp as timestamp,
        value, Class, EventId
 from pe""")
 def q_build_events(spark, d):
     rec = ev(spark, d)
     back = F.from_json(F.col("value").cast("string"), E.event_schema(EV_FEATURES))
-    return rec.select(F.when(F.col("offset") % 89 != 0, F.col("key").cast("string")).alias("key_text"),
+    return rec.select(F.col("key").cast("string").alias("key_text"),
                       "topic", "partition", "offset", ntz("timestamp"),
                       back["value"].alias("value"), back["Class"].alias("Class"), back["EventId"].alias("EventId"))
 

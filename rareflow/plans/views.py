@@ -158,7 +158,7 @@ EV_SQL = f"""e0 as (
   from events),
 pe as (
   select event_type as kafka_topic, (event_id % 2)::int as kafka_partition, event_id as kafka_offset,
-         ts as kafka_timestamp,
+         ts as kafka_timestamp, eid as key_text,
          case when not malformed then v end as value,
          case when not malformed then user_id::double end as user_id,
          case when not malformed then cls end as Class,
