@@ -51,11 +51,7 @@ select count(*) filter (where y2 = 1) as positives, count(*) filter (where y2 =
        count(*) filter (where y2 = 1) > 0 and count(*) filter (where y2 = 0) > 0 as both_classes
 from tx""")
 def q_require_both_classes(spark, d):
-    t = tx(spark, d)
-    counts = V.counts_dict(t, "y2")
-    V.require_both_classes_counts(counts)
-    return t.agg(F.count_if(F.col("y2") == 1).alias("positives"), F.count_if(F.col("y2") == 0).alias("negatives"),
-                 ((F.count_if(F.col("y2") == 1) > 0) & (F.count_if(F.col("y2") == 0) > 0)).alias("both_classes"))
+    return V.class_presence(tx(spark, d), "y2")
 
 
 @register("class_counts", "with " + TX_SQL + " select y as label, count(*) as n from tx group by y")

@@ -125,3 +125,10 @@ def test_cluster_conf_scales_with_input():
     assert int(small["spark.sql.shuffle.partitions"]) == 40
     assert int(big["spark.sql.shuffle.partitions"]) == 200_000
     assert big["spark.checkpoint.dir"] == "hdfs:///ckpt"
+
+
+def test_class_presence_guard_in_plan(spark):
+    ok = V.class_presence(spark.createDataFrame([(0,), (1,), (1,)], "y int"), "y").first()
+    assert (ok["positives"], ok["negatives"], ok["both_classes"]) == (2, 1, True)
+    with pytest.raises(Exception, match="both fraud"):
+        V.class_presence(spark.createDataFrame([(1,), (1,)], "y int"), "y").collect()
