@@ -105,6 +105,16 @@ def evaluate_run(spark: SparkSession, run_dir: str, spec: FeatureSpec, threshold
     return MD.evaluate_model(model, read_split(spark, run_dir, "test"), spec, t)
 
 
+def evaluate_run_incremental(spark: SparkSession, run_dir: str, spec: FeatureSpec, sizes,
+                             threshold: float | None = None) -> DataFrame:
+    """Metrics and exact AUPRC of a run's model on growing subsets of its test split (key-hash order)."""
+    model, scorer, saved = load_run_threshold(spark, run_dir, spec)
+    t = saved if threshold is None else threshold
+    test = read_split(spark, run_dir, "test")
+    scored = scorer.score(test.select(*spec.key, *spec.features, spec.label))
+    return M.incremental_evaluation(scored, MD.PROBABILITY, spec.label, spec.key, sizes, t)
+
+
 def score_stream(spark: SparkSession, run_dir: str, spec: FeatureSpec, records: DataFrame, output_dir: str, *,
                  keep=(), available_now: bool = True, trigger_seconds: float = 2.0, source: str = ""):
     """Score a stream of Kafka-shaped records with a run's model and threshold into a bound sink."""

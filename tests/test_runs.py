@@ -39,6 +39,9 @@ def test_full_lifecycle(spark):
 
     ev = R.evaluate_run(spark, run_dir, SPEC).first()
     assert ev["tp"] + ev["fp"] + ev["fn"] + ev["tn"] == parts[2].count()
+    inc = {r["subset_size"]: r for r in R.evaluate_run_incremental(spark, run_dir, SPEC, [10, 50]).collect()}
+    assert inc[10]["rows"] == 10 and inc[50]["rows"] == 50
+    assert inc[50]["tp"] + inc[50]["fp"] + inc[50]["fn"] + inc[50]["tn"] == 50
     zero = R.evaluate_run(spark, run_dir, SPEC, threshold=0.0).first()  # an explicit 0 is honoured
     assert zero["threshold"] == 0.0 and zero["fn"] == 0 and zero["tn"] == 0
 
