@@ -111,7 +111,7 @@ def evaluate_run_incremental(spark: SparkSession, run_dir: str, spec: FeatureSpe
     model, scorer, saved = load_run_threshold(spark, run_dir, spec)
     t = saved if threshold is None else threshold
     test = read_split(spark, run_dir, "test")
-    scored = scorer.score(test.select(*spec.key, *spec.features, spec.label))
+    scored = scorer.score(test.select(*spec.with_key()))
     return M.incremental_evaluation(scored, MD.PROBABILITY, spec.label, spec.key, sizes, t)
 
 
@@ -140,11 +140,11 @@ def run_events(spark: SparkSession, run_dir: str, spec: FeatureSpec, *, count: i
     if sequential:
         if count > rows:
             raise ValueError("count cannot exceed the dataset row count with sequential")
-        ranked = test.select(*key, *spec.features, spec.label)
+        ranked = test.select(*spec.with_key())
         picked = global_row_number(ranked, key, name="_i", rows=rows).filter(F.col("_i") <= count) \
             .withColumn("draw", F.col("_i") - 1)
     else:
-        picked = S.sample_with_replacement(test.select(*key, *spec.features, spec.label), key, count, seed,
+        picked = S.sample_with_replacement(test.select(*spec.with_key()), key, count, seed,
                                            rows=rows)
     rid = run_id or uuid.uuid4().hex
     return E.build_events(picked, spec.features, spec.label, "draw", run_id=rid, ingestion_rate=rate,

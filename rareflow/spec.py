@@ -29,6 +29,10 @@ class FeatureSpec:
     def required(self) -> list[str]:
         return [*self.features, self.label]
 
+    def with_key(self) -> list[str]:
+        """Key, features and label without repeats (a key column may also be a feature)."""
+        return list(dict.fromkeys([*self.key, *self.features, self.label]))
+
     def check_order(self, stored: list[str] | tuple[str, ...]) -> None:
         """A model stored with another feature order would score silently wrong."""
         if list(stored) != list(self.features):
