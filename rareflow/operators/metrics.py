@@ -169,7 +169,7 @@ def cumulative_groups(groups: DataFrame, *, partition_by: str | None = None, uni
         extras = groups.sparkSession.createDataFrame(rows, StructType(fields))
         groups = groups.unionByName(extras)
     cum = prefix_sum(groups, "score", {"tp": "positives", "fp": "negatives"},
-                     edges=info["edges"], descending=True, partition_by=part)
+                     edges=info["edges"], descending=True, partition_by=part, partitions=len(info["totals"]))
     return cum, info
 
 
@@ -347,7 +347,7 @@ def _auprc_lenient(groups: DataFrame, partition_by: str) -> DataFrame:
         return groups.select(partition_by).distinct().withColumn("auprc", F.lit(0.0))
     g = groups.filter(F.col(partition_by).isin(ok))
     cum = prefix_sum(g, "score", {"tp": "positives", "fp": "negatives"}, edges=edges, descending=True,
-                     partition_by=[partition_by])
+                     partition_by=[partition_by], partitions=len(ok))
     area = _pr_area(cum, info, partition_by)
     return groups.select(partition_by).distinct().join(area, partition_by, "left") \
         .select(partition_by, F.coalesce("auprc", F.lit(0.0)).alias("auprc"))

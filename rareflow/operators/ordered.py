@@ -36,6 +36,17 @@ DEFAULT_HASH_BUCKETS = 1 << 14
 DEFAULT_QUANTILES = 4096
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 1 << 20
+MAX_BROADCAST_ROWS = 1 << 22  # offsets rows forced into a broadcast (about 100 MB at most)
+
+
+def _join_offsets(tagged: DataFrame, offsets: DataFrame, keys: list[str], buckets: int,
+                  partitions: int | None, partition_by: Sequence[str]) -> DataFrame:
+    """Join the offsets back: a forced broadcast when their row count is known to be small
+    (buckets x known partition count); otherwise no hint, and AQE decides at run time
+    (broadcast if small, else a sort-merge join)."""
+    n = buckets * (partitions if partition_by else 1) if (partitions or not partition_by) else None
+    side = F.broadcast(offsets) if n is not None and n <= MAX_BROADCAST_ROWS else offsets
+    return tagged.join(side, on=keys, how="inner")
 
 
 def min_buckets(spark) -> int:
@@ -106,13 +117,14 @@ def _offsets(tagged: DataFrame, partition_by: Sequence[str], totals: dict[str, C
 
 
 def prefix_sum(df: DataFrame, order_col: str, sums: dict[str, str], *, edges: Sequence[float],
-               descending: bool = True, partition_by: Sequence[str] = ()) -> DataFrame:
+               descending: bool = True, partition_by: Sequence[str] = (),
+               partitions: int | None = None) -> DataFrame:
     """Running (inclusive) sums ``{out: sum(in)}`` in order of ``order_col``.
 
     ``order_col`` must be unique within each ``partition_by`` group (group ties
     first, e.g. with ``score_groups``), so a row frame equals the range frame.
-    The number of distinct ``partition_by`` values times ``len(edges) + 1``
-    bounds the broadcast offset table.
+    The offset table has one row per (``partition_by`` value, bucket); pass
+    ``partitions`` (the number of distinct values, when known) to let it be broadcast.
     """
     partition_by = list(partition_by)
     tagged = with_edge_bucket(df, order_col, edges)
@@ -120,7 +132,8 @@ def prefix_sum(df: DataFrame, order_col: str, sums: dict[str, str], *, edges: Se
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     w = Window.partitionBy(*partition_by, BUCKET).orderBy(order) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = tagged.join(F.broadcast(offsets), on=[*partition_by, BUCKET], how="inner")
+    joined = _join_offsets(tagged, offsets, [*partition_by, BUCKET], len(clean_edges(edges)) + 1, partitions,
+                           partition_by)
     out = joined.select(
         *df.columns,
         *[(F.sum(i).over(w) + F.col(f"_rf_off_{o}")).alias(o) for o, i in sums.items()])
@@ -129,7 +142,8 @@ def prefix_sum(df: DataFrame, order_col: str, sums: dict[str, str], *, edges: Se
 
 def global_row_number(df: DataFrame, key: Sequence[str], *, seed: int | str | None = None,
                       partition_by: Sequence[str] = (), name: str = "row_number",
-                      buckets: int | None = None, rows: int | None = None) -> DataFrame:
+                      buckets: int | None = None, rows: int | None = None,
+                      partitions: int | None = None) -> DataFrame:
     """1-based row number in the order ``(hash32(seed, key), key)``, per ``partition_by``.
 
     Equal to ``row_number() over (partition by p order by md5-prefix(k), k)``
@@ -145,5 +159,5 @@ def global_row_number(df: DataFrame, key: Sequence[str], *, seed: int | str | No
         .withColumn(BUCKET, F.floor(F.col(h) * F.lit(buckets) / F.lit(float(1 << 32))).cast("int"))
     offsets = _offsets(tagged, partition_by, {"n": F.count(F.lit(1))}, descending=False)
     w = Window.partitionBy(*partition_by, BUCKET).orderBy(F.col(h), *[F.col(k) for k in key])
-    joined = tagged.join(F.broadcast(offsets), on=[*partition_by, BUCKET], how="inner")
+    joined = _join_offsets(tagged, offsets, [*partition_by, BUCKET], buckets, partitions, partition_by)
     return joined.select(*df.columns, (F.row_number().over(w) + F.col("_rf_off_n")).alias(name))

@@ -110,7 +110,7 @@ def balance_classes_exact(df: DataFrame, label: str, key: Sequence[str], seed: i
     require_both_classes_counts(counts, "data")
     m = min(counts.values())
     ranked = global_row_number(df, key, seed=seed, partition_by=[label], name="_rn",
-                               rows=max(counts.values()))
+                               rows=max(counts.values()), partitions=len(counts))
     return ranked.filter(F.col("_rn") <= m).drop("_rn")
 
 
