@@ -70,3 +70,13 @@ def test_balance_classes_sample(spark):
     df = keyed(spark)
     counts = {r["y"]: r["count"] for r in S.balance_classes(df, "y").groupBy("y").count().collect()}
     assert abs(counts[0] - 600) < 120 and abs(counts[1] - 600) < 120
+
+
+def test_row_number_same_with_and_without_broadcast_hint(spark):
+    df = keyed(spark, 4000)
+    hinted = {r["k"]: r["row_number"] for r in
+              global_row_number(df, ["k"], partition_by=["y"], partitions=2, buckets=32).collect()}
+    runtime = {r["k"]: r["row_number"] for r in
+               global_row_number(df, ["k"], partition_by=["y"], buckets=32).collect()}
+    assert hinted == runtime
+    assert sorted(v for k, v in hinted.items() if k % 5 == 0) == list(range(1, 801))
