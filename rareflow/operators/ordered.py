@@ -143,7 +143,7 @@ def prefix_sum(df: DataFrame, order_col: str, sums: dict[str, str], *, edges: Se
 def global_row_number(df: DataFrame, key: Sequence[str], *, seed: int | str | None = None,
                       partition_by: Sequence[str] = (), name: str = "row_number",
                       buckets: int | None = None, rows: int | None = None,
-                      partitions: int | None = None) -> DataFrame:
+                      partitions: int | None = None, hasher: str = "md5") -> DataFrame:
     """1-based row number in the order ``(hash32(seed, key), key)``, per ``partition_by``.
 
     Equal to ``row_number() over (partition by p order by md5-prefix(k), k)``
@@ -155,7 +155,7 @@ def global_row_number(df: DataFrame, key: Sequence[str], *, seed: int | str | No
     partition_by = list(partition_by)
     buckets = buckets or buckets_for(rows)
     h = "_rf_hash"
-    tagged = df.withColumn(h, hash32(*key, seed=seed)) \
+    tagged = df.withColumn(h, hash32(*key, seed=seed, hasher=hasher)) \
         .withColumn(BUCKET, F.floor(F.col(h) * F.lit(buckets) / F.lit(float(1 << 32))).cast("int"))
     offsets = _offsets(tagged, partition_by, {"n": F.count(F.lit(1))}, descending=False)
     w = Window.partitionBy(*partition_by, BUCKET).orderBy(F.col(h), *[F.col(k) for k in key])

@@ -27,12 +27,12 @@ SPLITS = ("train", "validation", "test")
 
 def hash_split(df: DataFrame, key: Sequence[str], *, seeds: tuple[int, int] = (TEST_SEED, VALIDATION_SEED),
                fractions: tuple[float, float] = (TEST_FRACTION, VALIDATION_FRACTION),
-               modulus: int = 100, out: str = "split") -> DataFrame:
+               modulus: int = 100, out: str = "split", hasher: str = "md5") -> DataFrame:
     """Stable nested split: test if ``h(seed0, k) % m >= m(1-f0)``, else validation by seed1, else train."""
     t_cut = round(modulus * (1 - fractions[0]))
     v_cut = round(modulus * (1 - fractions[1]))
-    h_test = hash32(*key, seed=seeds[0]) % modulus
-    h_val = hash32(*key, seed=seeds[1]) % modulus
+    h_test = hash32(*key, seed=seeds[0], hasher=hasher) % modulus
+    h_val = hash32(*key, seed=seeds[1], hasher=hasher) % modulus
     return df.withColumn(out, F.when(h_test >= t_cut, F.lit("test"))
                          .when(h_val >= v_cut, F.lit("validation")).otherwise(F.lit("train")))
 
@@ -104,13 +104,14 @@ def balance_classes(df: DataFrame, label: str, seed: int = 42, shuffle: bool = T
     return shuffle_rows(out, seed) if shuffle else out
 
 
-def balance_classes_exact(df: DataFrame, label: str, key: Sequence[str], seed: int = 42) -> DataFrame:
+def balance_classes_exact(df: DataFrame, label: str, key: Sequence[str], seed: int = 42,
+                          hasher: str = "md5") -> DataFrame:
     """Exactly ``min(count)`` rows per class: the smallest key hashes of each class."""
     counts = counts_dict(df, label)
     require_both_classes_counts(counts, "data")
     m = min(counts.values())
     ranked = global_row_number(df, key, seed=seed, partition_by=[label], name="_rn",
-                               rows=max(counts.values()), partitions=len(counts))
+                               rows=max(counts.values()), partitions=len(counts), hasher=hasher)
     return ranked.filter(F.col("_rn") <= m).drop("_rn")
 
 
@@ -124,7 +125,7 @@ def replicate_rows(df: DataFrame, times: int, copy_col: str | None = None) -> Da
 
 
 def sample_with_replacement(df: DataFrame, key: Sequence[str], count: int, seed: int = 42,
-                            rows: int | None = None) -> DataFrame:
+                            rows: int | None = None, hasher: str = "md5") -> DataFrame:
     """``count`` seeded draws with replacement: draw i takes row ``h(seed, i) % n + 1``.
 
     Rows are numbered in key-hash order (distributed), draws come from
@@ -135,9 +136,9 @@ def sample_with_replacement(df: DataFrame, key: Sequence[str], count: int, seed:
     n = rows if rows is not None else df.count()
     if n == 0:
         raise ValueError("No transactions are available to send")
-    ranked = global_row_number(df, key, name="_rn", rows=n)
+    ranked = global_row_number(df, key, name="_rn", rows=n, hasher=hasher)
     draws = df.sparkSession.range(count).select(
-        F.col("id").alias("draw"), (hash32("id", seed=seed) % F.lit(n) + 1).alias("_rn"))
+        F.col("id").alias("draw"), (hash32("id", seed=seed, hasher=hasher) % F.lit(n) + 1).alias("_rn"))
     return draws.join(ranked, "_rn").drop("_rn")
 
 

@@ -42,7 +42,8 @@ def read_split(spark: SparkSession, run_dir: str, name: str) -> DataFrame:
 
 
 def train_run(spark: SparkSession, data: DataFrame, spec: FeatureSpec, run_dir: str, registry: str, *,
-              candidates=MD.CANDIDATES, search: bool = True, run_id: str | None = None) -> dict:
+              candidates=MD.CANDIDATES, search: bool = True, run_id: str | None = None,
+              hasher: str = "md5") -> dict:
     """Train, tune on validation only, and persist a complete run; failures are recorded as such."""
     if not spec.key:
         raise ValueError("a key is required for a stable split")
@@ -52,7 +53,7 @@ def train_run(spark: SparkSession, data: DataFrame, spec: FeatureSpec, run_dir:
     try:
         cleaned = V.clean_rows(data, spec, "Cleaned dataset")
         # one pass writes all three splits (partitioned by split); refuses to overwrite a run
-        S.hash_split(cleaned, spec.key).write.partitionBy("split").mode("errorifexists").parquet(p["splits"])
+        S.hash_split(cleaned, spec.key, hasher=hasher).write.partitionBy("split").mode("errorifexists").parquet(p["splits"])
         train, val = read_split(spark, run_dir, "train"), read_split(spark, run_dir, "validation")
         counts = S.split_class_counts(spark.read.parquet(p["splits"]), spec.label) \
             .withColumnRenamed("split", "name")

@@ -75,11 +75,11 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> Data
     return spark.read.option("header", True).schema(schema).csv(path)
 
 
-def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None, hasher: str = "md5") -> DataFrame:
     """Order-insensitive fingerprint: row count and the sum of 32-bit row hashes, split in two
     bigint halves (high and low 16 bits) so the sums cannot overflow at any table size."""
     cols = list(columns or df.columns)
-    h = hash32(*cols)
+    h = hash32(*cols, hasher=hasher)
     return df.agg(F.count(F.lit(1)).alias("rows"),
                   F.sum(F.floor(h / F.lit(65536))).cast("bigint").alias("hash_high"),
                   F.sum(h % F.lit(65536)).cast("bigint").alias("hash_low"))

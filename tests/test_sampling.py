@@ -80,3 +80,18 @@ def test_row_number_same_with_and_without_broadcast_hint(spark):
                global_row_number(df, ["k"], partition_by=["y"], buckets=32).collect()}
     assert hinted == runtime
     assert sorted(v for k, v in hinted.items() if k % 5 == 0) == list(range(1, 801))
+
+
+def test_fast_hasher_paths(spark):
+    df = keyed(spark, 3000)
+    rn = [r["row_number"] for r in global_row_number(df, ["k"], hasher="xxhash64").collect()]
+    assert sorted(rn) == list(range(1, 3001))
+    a = {r["k"]: r["split"] for r in S.hash_split(df, ["k"], hasher="xxhash64").collect()}
+    b = {r["k"]: r["split"] for r in S.hash_split(df.repartition(5), ["k"], hasher="xxhash64").collect()}
+    assert a == b and abs(sum(v == "test" for v in a.values()) / 3000 - 0.2) < 0.035
+    bal = S.balance_classes_exact(df, "y", ["k"], hasher="xxhash64").groupBy("y").count().collect()
+    assert {r["y"]: r["count"] for r in bal} == {0: 600, 1: 600}
+    assert S.sample_with_replacement(df, ["k"], 500, hasher="xxhash64").count() == 500
+    import pytest as _pytest
+    with _pytest.raises(ValueError):
+        S.hash_split(df, ["k"], hasher="crc")
