@@ -1,8 +1,9 @@
 """Queries for model operators (tx view, learnable label y2) and run tables.
 
-Forest fits are not reproducible across engines, so fit/score/search/evaluate
-queries have no SQL twin (rows-only); model-free parts (assembly, threshold
-table, run registry, save/load parity) do.
+Forest fits are not reproducible across engines, so fit, score and search
+queries have no SQL twin (rows-only). Evaluation runs with an expression
+scorer, so it has one, as do the model-free parts: assembly, threshold table,
+run registry, save/load parity and event publishing.
 """
 
 from __future__ import annotations
@@ -45,12 +46,13 @@ def q_assemble(spark, d):
 
 @register("train_forest")
 def q_train_forest(spark, d):
-    model, _ = _fit(spark, d)
+    """Fit on the train split, then score that split: rows and mean probability per class."""
+    model, (train, _, _) = _fit(spark, d)
     forest = model.stages[1]
-    imp = forest.featureImportances.toArray().tolist()
-    return spark.createDataFrame([(f, float(w), forest.getNumTrees, forest.totalNumNodes)
-                                  for f, w in zip(TX_FEATURES, imp)],
-                                 "feature string, importance double, trees int, nodes int")
+    scored = MD.score_table(model, train, TX_SPEC2)
+    return scored.groupBy(F.col("y2").alias("label")).agg(
+        F.count(F.lit(1)).alias("rows"), F.avg("fraud_probability").alias("mean_probability"),
+        F.lit(forest.getNumTrees).alias("trees"), F.lit(forest.totalNumNodes).alias("nodes"))
 
 
 @register("score_table")
