@@ -127,6 +127,21 @@ def score_stream(spark: SparkSession, run_dir: str, spec: FeatureSpec, records:
                                trigger_seconds=trigger_seconds, configuration=conf)
 
 
+def score_kafka(spark: SparkSession, run_dir: str, spec: FeatureSpec, bootstrap_servers: str, topics,
+                output_dir: str, *, starting_offsets: str = "earliest", max_offsets_per_trigger: int = 10000,
+                available_now: bool = False, trigger_seconds: float = 2.0, keep=()):
+    """The online scorer: Kafka topics -> parse -> score with the run's model and threshold -> bound sink.
+
+    Needs the Kafka connector on the classpath. Restarting with the same output folder resumes
+    from its checkpoint; ``startingOffsets`` applies to the first start only.
+    """
+    records = ST.kafka_source(spark, bootstrap_servers=bootstrap_servers, topics=topics,
+                              starting_offsets=starting_offsets, max_offsets_per_trigger=max_offsets_per_trigger)
+    source = f"kafka:{bootstrap_servers}/{','.join(topics) if not isinstance(topics, str) else topics}"
+    return score_stream(spark, run_dir, spec, records, output_dir, keep=keep, available_now=available_now,
+                        trigger_seconds=trigger_seconds, source=source)
+
+
 def run_events(spark: SparkSession, run_dir: str, spec: FeatureSpec, *, count: int, rate: float,
                sequential: bool = False, seed: int = 42, run_id: str | None = None,
                topic: str = "transactions") -> DataFrame:

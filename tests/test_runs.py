@@ -86,3 +86,10 @@ def test_sequential_events_and_bad_rate(spark):
         R.run_events(spark, f"{base}/run", SPEC, count=5, rate=0.0)
     with pytest.raises(ValueError):
         R.run_events(spark, f"{base}/run", SPEC, count=10 ** 6, rate=1.0, sequential=True)
+
+
+def test_score_kafka_needs_the_connector(spark):
+    base = work_path(spark, "t-run-kafka")
+    R.train_run(spark, frame(spark, rows(300)), SPEC, f"{base}/run", f"{base}/reg", candidates=SMALL[:1])
+    with pytest.raises(Exception, match="(?i)kafka"):
+        R.score_kafka(spark, f"{base}/run", SPEC, "localhost:9092", ["t"], f"{base}/out")
