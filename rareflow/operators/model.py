@@ -252,6 +252,7 @@ def threshold_table(sweep: DataFrame, model_uid: str, features: Sequence[str]) -
                          on=sweep["threshold"] == best["_best"])  # one-row side
     return flagged.select(
         *sweep.columns, F.col("_best").isNotNull().alias("selected"),
+        (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("validation_rows"),
         F.lit(model_uid).alias("model_uid"),
         F.array(*[F.lit(f) for f in features]).alias("feature_columns"),
         F.lit("fraud_probability >= threshold").alias("comparison"),

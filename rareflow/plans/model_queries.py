@@ -123,7 +123,8 @@ def q_model_roundtrip(spark, d):
 
 @register("threshold_table", "with " + sweep_sql(GROUPS_SQL) + f""",
 best as (select threshold from m order by f1 desc, recall desc, precision desc, threshold desc limit 1)
-select {SWEEP_COLS}, threshold in (select threshold from best) as selected, 'tx-score' as model_uid,
+select {SWEEP_COLS}, threshold in (select threshold from best) as selected,
+       tp + fp + fn + tn as validation_rows, 'tx-score' as model_uid,
        '{",".join(TX_FEATURES)}' as feature_columns, 'fraud_probability >= threshold' as comparison,
        'fraud_f1' as objective
 from m""")
