@@ -185,16 +185,21 @@ def read_predictions(spark: SparkSession, output_dir: str, schema: T.StructType
 
 
 def run_stream(query: StreamingQuery, timeout_seconds: float | None = None) -> list[dict]:
-    """Wait for an availableNow run (or drain a processing-time one) and return its progress."""
-    if timeout_seconds is None:
-        query.awaitTermination()
-    else:
-        if not query.awaitTermination(timeout_seconds):
+    """Wait for an availableNow run (or drain a processing-time one) and return its progress.
+
+    The query is stopped on the way out in every case, so a failure never leaves it running.
+    """
+    try:
+        if timeout_seconds is None:
+            query.awaitTermination()
+        elif not query.awaitTermination(timeout_seconds):
             query.processAllAvailable()
+        if query.exception() is not None:
+            raise RuntimeError(str(query.exception()))
+        return list(query.recentProgress)
+    finally:
+        if query.isActive:
             query.stop()
-    if query.exception() is not None:
-        raise RuntimeError(str(query.exception()))
-    return list(query.recentProgress)
 
 
 class ProgressRecorder(StreamingQueryListener):
