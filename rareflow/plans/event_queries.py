@@ -196,7 +196,7 @@ def q_run_stream(spark, d):
     out = f"{base}/out"
     q = ST.sink_predictions(_stream_scored(spark, inp, max_files=1), out, available_now=False,
                             trigger_seconds=0.5)
-    ST.run_stream(q, timeout_seconds=0)  # processing-time trigger: drain what is there, then stop
+    ST.run_stream(q, drain=True)  # processing-time trigger: drain what is there, then stop
     return scored_view(ST.read_predictions(spark, out, ST.prediction_schema(["value"])))
 
 

@@ -184,13 +184,15 @@ def read_predictions(spark: SparkSession, output_dir: str, schema: T.StructType
             .json(f"{output_dir}/predictions"))
 
 
-def run_stream(query: StreamingQuery, timeout_seconds: float | None = None) -> list[dict]:
-    """Wait for an availableNow run (or drain a processing-time one) and return its progress.
-
-    The query is stopped on the way out in every case, so a failure never leaves it running.
+def run_stream(query: StreamingQuery, timeout_seconds: float | None = None, drain: bool = False) -> list[dict]:
+    """Wait for an availableNow run, or with ``drain`` process what a processing-time query has
+    available; return its progress. The query is stopped on the way out in every case, so a
+    failure never leaves it running.
     """
     try:
-        if timeout_seconds is None:
+        if drain:
+            query.processAllAvailable()
+        elif timeout_seconds is None:
             query.awaitTermination()
         elif not query.awaitTermination(timeout_seconds):
             query.processAllAvailable()
