@@ -171,12 +171,30 @@ def random_row(df: DataFrame, seed: int = 42) -> DataFrame:
     return df.orderBy(F.rand(seed)).limit(1)
 
 
-def top_k_per_class(df: DataFrame, label: str, order: Sequence[str], k: int) -> DataFrame:
+LARGE_K = 100_000
+
+
+def top_k_per_class(df: DataFrame, label: str, order: Sequence[str], k: int, *,
+                    large_k: int = LARGE_K) -> DataFrame:
     """First ``k`` rows of each class by ``order``.
 
-    Spark plans a partial ``WindowGroupLimit`` before the shuffle, so each task
-    ships at most ``k`` rows per class: a hot class does not land in one task.
+    For a small ``k`` Spark plans a partial ``WindowGroupLimit`` before the shuffle, so each
+    task ships at most ``k`` rows per class. A large ``k`` no longer bounds anything, so with a
+    single (unique per class) order column the rows are numbered by a bucketed prefix count per
+    class instead, and no class goes through one task.
     """
+    if k <= 0:
+        raise ValueError("k must be positive")
+    if k > large_k and len(order) == 1:
+        col = order[0]
+        counts = df.groupBy(label).count().count()  # number of classes: bounds the offsets table
+        q = min_buckets(df.sparkSession)
+        edges = df.agg(F.percentile_approx(edge_sample(col), quantile_probabilities(q),
+                                           quantile_accuracy(q))).first()[0]
+        numbered = prefix_sum(df.withColumn("_rf_one", F.lit(1)), col, {"_rf_pos": "_rf_one"},
+                              edges=clean_edges(edges), descending=False, partition_by=[label],
+                              partitions=counts)
+        return numbered.filter(F.col("_rf_pos") <= k).drop("_rf_one", "_rf_pos")
     w = Window.partitionBy(label).orderBy(*order)
     return df.withColumn("_rf_rank", F.row_number().over(w)).filter(F.col("_rf_rank") <= k).drop("_rf_rank")
 

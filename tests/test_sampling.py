@@ -95,3 +95,10 @@ def test_fast_hasher_paths(spark):
     import pytest as _pytest
     with _pytest.raises(ValueError):
         S.hash_split(df, ["k"], hasher="crc")
+
+
+def test_top_k_large_k_path_equals_window(spark):
+    df = keyed(spark, 3000)
+    small = sorted((r["y"], r["k"]) for r in S.top_k_per_class(df, "y", ["k"], 700).collect())
+    large = sorted((r["y"], r["k"]) for r in S.top_k_per_class(df, "y", ["k"], 700, large_k=10).collect())
+    assert small == large and len(small) == 700 + 600
