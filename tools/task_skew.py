@@ -40,8 +40,16 @@ def main(argv):
         F.when(hot, F.lit(1)).otherwise((F.col("l_returnflag") == "R").cast("int")).alias("y"),
         F.when(hot, F.lit("hot-id")).otherwise(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey",
                                                            "l_suppkey")).alias("id"))
+    from rareflow.operators import validate as V
+
     jobs = {
         "threshold_sweep": lambda: M.sweep_scores(df, "s", "y"),
+        "split_disjointness": lambda: S.split_disjointness(
+            df, dict(zip(S.SPLITS, S.split_frames(S.hash_split(df, ["k"])))), ["k"]),
+        "sequential_take": lambda: S.sequential_take(df.select("k", "s", F.xxhash64("k").alias("o")), "o",
+                                                     100000),
+        "class_weights": lambda: V.class_weights(df, "y"),
+        "incremental_evaluation": lambda: M.incremental_evaluation(df, "s", "y", ["k"], [100000, 400000], 0.5),
         "top_k_per_class": lambda: S.top_k_per_class(df, "y", ["k"], 5),
         "balance_classes_exact": lambda: S.balance_classes_exact(df, "y", ["k"]),
         "score_parity": lambda: score_parity(df.select(F.col("id").alias("EventId"), F.col("s").alias(
