@@ -146,23 +146,29 @@ def sequential_take(df: DataFrame, order_col: str, count: int) -> DataFrame:
     """First ``count`` rows in ``order_col`` order (a non-null, unique column; rows that tie
     are taken in no particular order); error if fewer rows exist.
 
-    Row positions come from a bucketed prefix count: a row count sizes the
-    buckets (about two million rows each), one percentile job gives their
-    edges, so no single task sees all rows.
+    Row positions come from a bucketed prefix count. One aggregate returns the row count,
+    the null check and first-cut bucket edges; a finer edge job runs only when the rows
+    outgrow those buckets (about two million rows each). No single task sees all rows.
     """
     if count <= 0:
         raise ValueError("Count must be a positive integer")
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.count(order_col).alias("nonnull")).first()
+    q0 = min_buckets(df.sparkSession)
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.count(order_col).alias("nonnull"),
+                 F.percentile_approx(edge_sample(order_col), quantile_probabilities(q0),
+                                     quantile_accuracy(q0)).alias("edges")).first()
     n = row["n"]
     if row["nonnull"] != n:
         raise ValueError(f"{order_col} has nulls; sequential order needs a non-null column")
     if count > n:
         raise ValueError("count cannot exceed the dataset row count in sequential mode")
-    q = buckets_for(n, minimum=min_buckets(df.sparkSession))
-    edges = df.agg(F.percentile_approx(edge_sample(order_col), quantile_probabilities(q),
-                                       quantile_accuracy(q))).first()[0]
+    edges = row["edges"]
+    q = buckets_for(n, minimum=q0)
+    if q > q0:  # more rows than the first-cut buckets hold: a finer edge job
+        edges = df.agg(F.percentile_approx(edge_sample(order_col), quantile_probabilities(q),
+                                           quantile_accuracy(q))).first()[0]
     one = df.withColumn("_rf_one", F.lit(1))
-    numbered = prefix_sum(one, order_col, {"_rf_pos": "_rf_one"}, edges=clean_edges(edges), descending=False)
+    numbered = prefix_sum(one, order_col, {"_rf_pos": "_rf_one"}, edges=clean_edges(edges or []),
+                          descending=False)
     return numbered.filter(F.col("_rf_pos") <= count).drop("_rf_one", "_rf_pos")
 
 
