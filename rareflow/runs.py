@@ -116,6 +116,29 @@ def evaluate_run_incremental(spark: SparkSession, run_dir: str, spec: FeatureSpe
     return M.incremental_evaluation(scored, MD.PROBABILITY, spec.label, spec.key, sizes, t)
 
 
+def balanced_evaluation(spark: SparkSession, run_dir: str, spec: FeatureSpec, data: DataFrame, *,
+                        times: int = 1, version: int = 1, exact: bool = True, seed: int = 42,
+                        threshold: float | None = None) -> dict:
+    """Scale-up experiment: replicate the data ``times`` times, write it, balance the classes,
+    keep the balanced set as a versioned CSV, and evaluate the run's model on it.
+
+    Replication is an ``explode`` (no n-fold union); balancing is exact by key hash (or
+    Bernoulli with ``exact=False``); every intermediate is a table in the run folder.
+    """
+    model, _, saved = load_run_threshold(spark, run_dir, spec)
+    base = f"{run_dir.rstrip('/')}/experiments/v{int(version)}"
+    big = S.replicate_rows(data.select(*spec.with_key()), times, copy_col="copy")
+    big.write.mode("errorifexists").parquet(f"{base}/replicated")
+    big = spark.read.parquet(f"{base}/replicated")
+    key = [*spec.key, "copy"]
+    balanced = (S.balance_classes_exact(big, spec.label, key, seed=seed) if exact
+                else S.balance_classes(big, spec.label, seed=seed, shuffle=False))
+    path = FS.write_csv_versioned(balanced, f"{base}/balanced", version)
+    balanced = FS.read_csv(spark, path, big.schema)
+    metrics = MD.evaluate_model(model, balanced, spec, saved if threshold is None else threshold).first()
+    return dict(rows=big.count(), balanced_csv=path, **metrics.asDict())
+
+
 def score_stream(spark: SparkSession, run_dir: str, spec: FeatureSpec, records: DataFrame, output_dir: str, *,
                  keep=(), available_now: bool = True, trigger_seconds: float = 2.0, source: str = ""):
     """Score a stream of Kafka-shaped records with a run's model and threshold into a bound sink."""

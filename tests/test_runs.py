@@ -93,3 +93,14 @@ def test_score_kafka_needs_the_connector(spark):
     R.train_run(spark, frame(spark, rows(300)), SPEC, f"{base}/run", f"{base}/reg", candidates=SMALL[:1])
     with pytest.raises(Exception, match="(?i)kafka"):
         R.score_kafka(spark, f"{base}/run", SPEC, "localhost:9092", ["t"], f"{base}/out")
+
+
+def test_balanced_evaluation_experiment(spark):
+    base = work_path(spark, "t-run-exp")
+    data = frame(spark, rows(300))
+    R.train_run(spark, data, SPEC, f"{base}/run", f"{base}/reg", candidates=SMALL[:1])
+    out = R.balanced_evaluation(spark, f"{base}/run", SPEC, data, times=3)
+    assert out["rows"] == 900
+    # 60 positives x 3 copies: exactly 180 of each class after exact balancing
+    assert out["tp"] + out["fn"] == 180 and out["fp"] + out["tn"] == 180
+    assert out["balanced_csv"].endswith(".csv")
