@@ -162,7 +162,19 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 
 def load_model(path: str, features: Sequence[str] | None = None) -> PipelineModel:
-    model = PipelineModel.load(path)
+    """Load a saved pipeline (assembler + forest). A bare forest saved by an older run is
+    wrapped with an assembler over ``features``, which must then be given in training order."""
+    try:
+        model = PipelineModel.load(path)
+    except Exception as pipeline_error:  # noqa: BLE001 - not a pipeline: try a bare forest
+        try:
+            forest = RandomForestClassificationModel.load(path)
+        except Exception:  # noqa: BLE001
+            raise pipeline_error
+        if features is None:
+            raise ValueError("a bare forest needs its feature order to be scored") from None
+        assembler = VectorAssembler(inputCols=list(features), outputCol=forest.getFeaturesCol())
+        model = PipelineModel(stages=[assembler, forest])
     ModelScorer(model, features)
     return model
 

@@ -118,3 +118,14 @@ def test_scoring_after_observe_in_same_session(spark):
     assert raw.hasSummary
     pipe = MD.PipelineModel(stages=[MD.VectorAssembler(inputCols=FEATURES, outputCol="features"), raw])
     assert MD.ModelScorer(pipe).score(frame(spark)).count() == 256
+
+
+def test_load_bare_forest_with_feature_order(spark, fitted):
+    path = work_path(spark, "t-bare")
+    fitted.stages[1].write().save(path)
+    wrapped = MD.load_model(path, FEATURES)
+    a = {r["Time"]: r["fraud_probability"] for r in MD.ModelScorer(fitted).score(frame(spark)).collect()}
+    b = {r["Time"]: r["fraud_probability"] for r in MD.ModelScorer(wrapped).score(frame(spark)).collect()}
+    assert a == b
+    with pytest.raises(ValueError, match="feature order"):
+        MD.load_model(path)
