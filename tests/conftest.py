@@ -1,3 +1,5 @@
+"""Shared Spark session for the tests (local[*], 8 shuffle partitions) and the smoke data folder."""
+
 import os
 import sys
 
