@@ -293,10 +293,14 @@ REGISTRY_SCHEMA = ("run_id string, seq int, recorded_at timestamp, kind string,
 
 
 def registry_rows(spark: SparkSession, run_id: str, seq: int, kind: str, rows: DataFrame | None = None,
-                  name: str | None = None, metric_cols: Sequence[str] = ()) -> DataFrame:
-    """Registry entries: a status row (``rows`` None) or one row per (row, metric) of a metrics frame."""
+                  name: str | None = None, metric_cols: Sequence[str] = (), values: dict | None = None) -> DataFrame:
+    """Registry entries: a status row (``rows`` None), one row per named value (``values``, e.g.
+    seeds and fractions), or one row per (row, metric) of a metrics frame."""
+    if values is not None:
+        return spark.createDataFrame([(run_id, seq, None, kind, name, None, m, float(v)) for m, v in values.items()],
+                                     REGISTRY_SCHEMA).withColumn("recorded_at", F.current_timestamp())
     if rows is None:
-        return spark.createDataFrame([(run_id, seq, None, "status", name, None, None, None)], REGISTRY_SCHEMA) \
+        return spark.createDataFrame([(run_id, seq, None, kind, name, None, None, None)], REGISTRY_SCHEMA) \
             .withColumn("recorded_at", F.current_timestamp())
     stacked = rows.select(
         F.col("name").cast("string").alias("name") if "name" in rows.columns else F.lit(name).alias("name"),

@@ -58,12 +58,16 @@ def train_run(spark: SparkSession, data: DataFrame, spec: FeatureSpec, run_dir:
         counts = S.split_class_counts(spark.read.parquet(p["splits"]), spec.label) \
             .withColumnRenamed("split", "name")
         MD.append_registry(MD.registry_rows(spark, run_id, 1, "split_counts", counts, metric_cols=["n"]), registry)
+        MD.append_registry(MD.registry_rows(spark, run_id, 1, "config", name="split", values={
+            "test_seed": S.TEST_SEED, "validation_seed": S.VALIDATION_SEED, "test_fraction": S.TEST_FRACTION,
+            "validation_fraction": S.VALIDATION_FRACTION, "model_seed": MD.MODEL_SEED}), registry)
         chosen = list(candidates) if search else list(candidates)[:1]
         model, ranked = MD.search_candidates(train, val, spec, chosen)
         ranked.write.parquet(p["candidates"])
         MD.append_registry(MD.registry_rows(spark, run_id, 2, "candidates", ranked, metric_cols=[
             "threshold", "precision", "recall", "f1", "rank"]), registry)
         MD.save_model(model, p["model"])
+        MD.append_registry(MD.registry_rows(spark, run_id, 2, "model", name=model.stages[1].uid), registry)
         summary = _tune(spark, model, val, spec, p)
         MD.append_registry(MD.registry_rows(spark, run_id, 3, "status", name="completed"), registry)
         return dict(run_id=run_id, **summary)

@@ -24,6 +24,9 @@ def test_full_lifecycle(spark):
     assert 0.0 <= summary["threshold"] <= 1.0 and summary["baseline"]["threshold"] == 0.5
     done = MD.completed_runs(spark, registry)
     assert {r["run_id"] for r in done.collect()} == {"r1"}
+    cfg = {r["metric"]: r["value"] for r in done.filter("kind = 'config'").collect()}
+    assert cfg["test_seed"] == 42 and cfg["validation_fraction"] == 0.2
+    assert done.filter("kind = 'model'").first()["name"] == summary["model_uid"]
     # the three splits cover the cleaned input and are disjoint
     parts = [R.read_split(spark, run_dir, s) for s in ("train", "validation", "test")]
     assert sum(p.count() for p in parts) == 600
