@@ -41,8 +41,14 @@ def scan_parquet(spark: SparkSession, path: str, spread: bool = False) -> DataFr
 
 
 def spread_partitions(df: DataFrame) -> DataFrame:
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    """Repartition to the default parallelism when the input has fewer partitions (metadata
+    only, no job); left as is where the partition count is not available (Spark Connect)."""
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD access in this session type
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def write_split(df: DataFrame, path: str, overwrite: bool = False) -> None:
