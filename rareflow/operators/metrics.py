@@ -351,3 +351,16 @@ def _auprc_lenient(groups: DataFrame, partition_by: str) -> DataFrame:
     area = _pr_area(cum, info, partition_by)
     return groups.select(partition_by).distinct().join(area, partition_by, "left") \
         .select(partition_by, F.coalesce("auprc", F.lit(0.0)).alias("auprc"))
+
+
+def auprc_binned(scored: DataFrame, score: str | Column, label: str | Column, num_bins: int = 1000) -> float:
+    """AUPRC as Spark's ``BinaryClassificationEvaluator`` reports it (``num_bins`` down-sampling;
+    1000 is its default), for comparison with numbers computed that way. ``auprc`` is exact."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    s = col(score).cast("double")
+    raw = scored.select(col(label).cast("double").alias("label"),
+                        array_to_vector(F.array(F.lit(1.0) - s, s)).alias("raw"))
+    return BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="raw", metricName="areaUnderPR",
+                                         numBins=num_bins).evaluate(raw)
