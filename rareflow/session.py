@@ -7,7 +7,6 @@ which is the case in local tests.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -55,15 +54,6 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/rareflow-work/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme so Python can inspect a local path."""
-    if path.startswith("file:"):
-        path = path[5:]
-        while path.startswith("//"):
-            path = path[1:]
-    return os.path.normpath(path)
-
-
 MB = 1 << 20
 
 
