@@ -159,3 +159,13 @@ def test_progress_listener_sees_every_batch(spark):
         spark.streams.removeListener(rec)
     per = ST.batch_progress(spark, rec.events).collect()
     assert len(per) == 4 and sum(r["input_rows"] for r in per) == 20
+
+
+def test_alert_stream_needs_the_connector(spark):
+    base = work_path(spark, "t-alerts")
+    src = f"{base}/src"
+    write_batch(spark, src, 0, [ev(i) for i in range(3)])
+    alerts = E.fraud_alerts(scored_stream(spark, src))
+    with pytest.raises(Exception, match="(?i)kafka"):
+        q = ST.stream_alerts(alerts, "localhost:9092", "fraud-alerts", f"{base}/ckpt")
+        ST.run_stream(q)
