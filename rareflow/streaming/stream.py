@@ -252,14 +252,18 @@ def throughput_windows(df: DataFrame, time_col: str | Column, duration: str = "1
                        by: Sequence[str] = (), watermark: str | None = None) -> DataFrame:
     """Rows per tumbling window (and per ``by`` column, e.g. topic).
 
-    Without a watermark this is for complete mode; with one it can run in
-    append mode (a window is emitted once the watermark passes its end).
+    Without a watermark this is for complete mode, over wall-clock time; with one
+    it can run in append mode over instants (a window is emitted once the
+    watermark passes its end).
     """
     t = F.col(time_col) if isinstance(time_col, str) else time_col
     name = "_rf_time"
-    src = df.withColumn(name, t.cast("timestamp"))
     if watermark:
-        src = src.withWatermark(name, watermark)
+        # a watermark needs an instant (timestamp); windows align to the epoch
+        src = df.withColumn(name, t.cast("timestamp")).withWatermark(name, watermark)
+    else:
+        # wall-clock windows (timestamp_ntz): hours align to the clock in any session time zone
+        src = df.withColumn(name, t.cast("timestamp_ntz"))
     agg = src.groupBy(F.window(name, duration).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"))
     return agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "n")
 
