@@ -209,12 +209,15 @@ class ProgressRecorder(StreamingQueryListener):
 
     ``query.recentProgress`` only retains the last reports
     (``spark.sql.streaming.numRecentProgressUpdates``); a listener sees them all.
-    Register with ``spark.streams.addListener(recorder)``; entries are small dicts.
+    Register with ``spark.streams.addListener(recorder)``; entries are small dicts, and only
+    the newest ``max_events`` are kept.
     """
 
-    def __init__(self, query_id: str | None = None):
+    def __init__(self, query_id: str | None = None, max_events: int = 100_000):
+        from collections import deque
+
         self.query_id = query_id
-        self.events: list[dict] = []
+        self.events = deque(maxlen=max_events)  # bounded driver memory on long-running streams
 
     def onQueryStarted(self, event) -> None:
         pass
