@@ -7,6 +7,7 @@ does not grow with the data.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -119,7 +120,7 @@ def materialize_checked(groups: DataFrame, quantiles: int | None = None) -> tupl
     from pyspark.sql import Observation
 
     q0 = quantiles or min_buckets(groups.sparkSession)
-    obs = Observation("rf_score_report")
+    obs = Observation(f"rf_score_report_{uuid.uuid4().hex[:12]}")  # unique: concurrent sweeps never mix
     path = work_path(groups.sparkSession, "groups")
     groups.observe(obs, *_report_aggs(groups, q0)).write.parquet(path)
     written = groups.sparkSession.read.parquet(path)

@@ -129,3 +129,13 @@ def test_load_bare_forest_with_feature_order(spark, fitted):
     assert a == b
     with pytest.raises(ValueError, match="feature order"):
         MD.load_model(path)
+
+
+def test_search_same_result_sequential_and_concurrent(spark):
+    cands = [dict(name=f"c{i}", num_trees=3, max_depth=2 + i % 2, min_instances_per_node=1,
+                  weighting=("none", "balanced", "sqrt_balanced")[i % 3]) for i in range(4)]
+    data = frame(spark, rows(400))
+    train, val = data.filter(F.col("Time") < 300), data.filter(F.col("Time") >= 300)
+    one = sorted(tuple(r) for r in MD.search_candidates(train, val, SPEC, cands, concurrency=1)[1].collect())
+    many = sorted(tuple(r) for r in MD.search_candidates(train, val, SPEC, cands, concurrency=4)[1].collect())
+    assert one == many
