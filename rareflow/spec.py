@@ -22,8 +22,12 @@ class FeatureSpec:
             raise ValueError("features must be a non-empty list of column names")
         if len(set(features)) != len(features):
             raise ValueError("feature names must be distinct")
+        if not isinstance(self.label, str) or not self.label:
+            raise ValueError("the label must be a column name")
         if self.label in features:
             raise ValueError("the label cannot also be a feature")
+        if len(set(self.key)) != len(self.key):
+            raise ValueError("key columns must be distinct")
 
     @property
     def required(self) -> list[str]:

@@ -132,3 +132,13 @@ def test_class_presence_guard_in_plan(spark):
     assert (ok["positives"], ok["negatives"], ok["both_classes"]) == (2, 1, True)
     with pytest.raises(Exception, match="both fraud"):
         V.class_presence(spark.createDataFrame([(1,), (1,)], "y int"), "y").collect()
+
+
+def test_feature_spec_rejects_bad_definitions():
+    with pytest.raises(ValueError):
+        FeatureSpec(["a"], "")
+    with pytest.raises(ValueError):
+        FeatureSpec(["a", "b"], "b")
+    with pytest.raises(ValueError):
+        FeatureSpec(["a"], "y", key=("k", "k"))
+    assert FeatureSpec(["a", "b"], "y", key=("a", "id")).with_key() == ["a", "id", "b", "y"]
