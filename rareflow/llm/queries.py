@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rareflow.llm import packing, quality_rules, records, sharding, token_counts
+from rareflow.llm import ngram_join, packing, quality_rules, records, sharding, token_counts
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 END_ID = 2
@@ -25,6 +25,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE), limit=4096)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents by the Jaccard similarity of their sets of five-word shingles, 0.8 or more."""
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"), size=5, similarity=(80, 100))
+
+
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written as framed records and read back through the offset index."""
     folder, index = records.write_records(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), END_ID)
@@ -50,6 +55,6 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op4_token_records, op7_slot_shards, op8_best_fit_packing, op10_divergence_rules)
+    f.__name__: f for f in (op2_token_counts, op3_ngram_join, op4_token_records, op7_slot_shards, op8_best_fit_packing, op10_divergence_rules)
 }
 ORACLES: dict[str, str] = {}

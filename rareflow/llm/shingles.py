@@ -81,10 +81,10 @@ def _block(texts: list[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
-def shingle_sets(texts: list[str | None], size: int = 5) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | bytes | None], size: int = 5) -> list[np.ndarray]:
     """The sorted distinct shingle fingerprints of each text; a text with fewer words than ``size`` has its
     whole word sequence as one shingle, a null or wordless text none."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    raw = [t if isinstance(t, bytes) else (t or "").encode() for t in texts]
     out, block, held = [], [], 0
     with np.errstate(over="ignore"):
         for t in raw:
