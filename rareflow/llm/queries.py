@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rareflow.llm import ngram_join, packing, quality_rules, records, sharding, token_counts
+from rareflow.llm import ngram_join, packing, preference, quality_rules, records, sharding, token_counts
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 END_ID = 2
@@ -20,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_preference_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by a Bradley-Terry scorer; labels of held-out documents are never learnt from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranker = preference.learn(docs, table(spark, sf_dir, "labels"))
+    return preference.scored(docs, ranker).select(
+        "doc_id", preference.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= preference.CUT).cast("int").alias("predicted"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by the SentencePiece model, long ones spliced from overlapping chunks."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE), limit=4096)
@@ -55,6 +63,6 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_counts, op3_ngram_join, op4_token_records, op7_slot_shards, op8_best_fit_packing, op10_divergence_rules)
+    f.__name__: f for f in (op1_preference_quality, op2_token_counts, op3_ngram_join, op4_token_records, op7_slot_shards, op8_best_fit_packing, op10_divergence_rules)
 }
 ORACLES: dict[str, str] = {}

@@ -43,8 +43,8 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_prints(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and fingerprint of each word in ``data``."""
+def word_prints(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and fingerprint of each word in ``data``."""
     raw = np.frombuffer(data, np.uint8)
     inside = np.zeros(len(raw) + 2, np.int8)
     inside[1:-1] = ~_SPACE[raw]
@@ -53,13 +53,13 @@ def word_prints(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_WEIGHT[raw] * powers(BASE, len(raw)), out=total[1:])
     shift = powers(INVERSE, len(raw) + 1)[start]
-    return start, mix((total[end] - total[start]) * shift + (end - start).astype(np.uint64))
+    return start, end, mix((total[end] - total[start]) * shift + (end - start).astype(np.uint64))
 
 
 def _block(texts: list[bytes], size: int) -> list[np.ndarray]:
     data = b" ".join(texts)
     begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    start, word = word_prints(data)
+    start, _, word = word_prints(data)
     first = np.searchsorted(start, begin)
     n = len(word) - size + 1
     grams = np.zeros(max(n, 0), np.uint64)
