@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rareflow.llm import ngram_join, packing, preference, quality_rules, records, sharding, token_counts
+from rareflow.llm import mixing, ngram_join, packing, preference, quality_rules, records, revisits, sharding, token_counts, topk
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 END_ID = 2
@@ -44,6 +44,38 @@ def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(index, folder, with_ids=False)
 
 
+def crawl(pages: DataFrame) -> DataFrame:
+    """Crawl records of the pages table: for each page a full response and three not-modified revisits, one with its (weak)
+    entity tag, one with its date only, one before it. Every seventh page has another date by the second revisit."""
+    at = (F.col("page_id") * 7919) % 1000003
+    tag, day = F.concat(F.lit('"'), F.md5("html"), F.lit('"')), F.concat(F.lit("day "), F.expr("((page_id * 7919) % 1000003) div 86400"))
+    field = lambda **x: F.create_map(*[y for k, v in x.items() for y in (F.lit(k.replace("_", "-")), v)])
+    date = lambda ts: ts.cast("string")
+    soon, late = at + 1000 + F.col("page_id") % 499979, at + 2000000
+    kinds = [
+        (200, at, field(etag=tag, last_modified=day, cache_control=F.lit("max-age=60"), content_type=F.lit("text/html"),
+                        content_length=F.octet_length("html").cast("string"), date=date(at))),
+        (304, soon, field(etag=F.concat(F.lit("W/"), tag), cache_control=F.lit("max-age=120"), content_length=F.lit("0"), date=date(soon))),
+        (304, late, field(last_modified=F.when(F.col("page_id") % 7 == 0, F.lit("another day")).otherwise(day), date=date(late))),
+        (304, at - 1, field(etag=tag, date=date(at - 1))),
+    ]
+    visits = F.array(*[F.struct((F.col("page_id") * 4 + i).alias("record_id"), F.lit(status).alias("status"), ts.alias("ts"), h.alias("headers"))
+                       for i, (status, ts, h) in enumerate(kinds)])
+    return pages.select("url", F.explode(visits).alias("v")).select("url", "v.*")
+
+
+def op5_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every not-modified revisit of the crawl, with the response it stands for and the merged headers."""
+    found = revisits.resolve(crawl(table(spark, sf_dir, "pages")))
+    fields = ["etag", "last-modified", "cache-control", "content-type", "content-length", "date"]
+    return found.select("record_id", "url_key", "ts", "state", "matched_id", "matched_ts", *[F.col("headers")[f].alias(f.replace("-", "_")) for f in fields])
+
+
+def op6_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every vector whose id is divisible by 20, against all other vectors."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), every=20, k=20, scale=64)
+
+
 def op7_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 40 shards of near equal bytes, by fixed virtual slots and an edited map."""
     out = sharding.shard(table(spark, sf_dir, "documents"), SHARDS)
@@ -56,6 +88,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), END_ID, SEQUENCE_TOKENS)
 
 
+def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in a mix of the sources by tempered weights, earliest deadline first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs, power=0.5, total=1000, block_rows=mixing.BLOCK_ROWS)
+
+
 def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document, and the verdict of its distance from the language references."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
@@ -63,6 +101,60 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_preference_quality, op2_token_counts, op3_ngram_join, op4_token_records, op7_slot_shards, op8_best_fit_packing, op10_divergence_rules)
+    f.__name__: f for f in (op1_preference_quality, op2_token_counts, op3_ngram_join, op4_token_records, op5_revisits, op6_ball_tree_topk,
+                            op7_slot_shards, op8_best_fit_packing, op9_pfair_mixing, op10_divergence_rules)
+}
+
+ORACLES: dict[str, str] = {
+    "op3_ngram_join": r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), x -> x <> '') as w from documents),
+s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), i -> array_to_string(list_slice(w, i, i + 4), ' ')) end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+shared as (
+  select a.doc_id as a, b.doc_id as b, count(*) as o from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+link as (
+  select a, b from shared join n x on a = x.doc_id join n y on b = y.doc_id where 100 * o >= 80 * (x.n + y.n - o)),
+reach as (
+  select doc_id, doc_id as other from w union select reach.doc_id, link.b from reach join link on reach.other = link.a)
+select reach.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(other) as component_id
+from reach left join n on n.doc_id = reach.doc_id group by reach.doc_id
+""",
+    "op5_revisits": r"""
+with p as (
+  select *, (page_id * 7919) % 1000003 as at, '"' || md5(html) || '"' as tag, 'day ' || (((page_id * 7919) % 1000003) // 86400) as day,
+    regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/@?#]*@)?([^/:?#]*)(?::[0-9]*)?([^?#]*)(?:\?([^#]*))?', ['h', 'p', 'q']) as u from pages),
+k as (
+  select *, regexp_replace(lower(u.h), '^(www|m)\.', '') || regexp_replace(u.p, '(/index)?(\.html?)?/*$', '') ||
+    (case when q <> '' then '?' || q else '' end) as url_key
+  from (select *, array_to_string(list_sort(list_filter(string_split(coalesce(u.q, ''), '&'),
+    x -> x <> '' and not regexp_matches(x, '^(utm_[^=]*|ref|gclid|fbclid)(=|$)'))), '&') as q from p)),
+r as (
+  select url_key, at as ts, arg_max({id: page_id * 4, tag: tag, day: day, n: strlen(html), at: at}, page_id * 4) as m from k group by 1, 2),
+v as (
+  select page_id * 4 + 1 as record_id, url_key, at + 1000 + page_id % 499979 as ts, 'W/' || tag as etag, null as lm, 'max-age=120' as cc, '0' as cl from k
+  union all select page_id * 4 + 2, url_key, at + 2000000, null, case when page_id % 7 = 0 then 'another day' else day end, null, null from k
+  union all select page_id * 4 + 3, url_key, at - 1, tag, null, null, null from k),
+j as (
+  select v.*, r.m, case when r.m is null then 'no_earlier_response'
+    when v.etag is not null and replace(v.etag, 'W/', '') = r.m.tag or v.etag is null and v.lm = r.m.day then 'resolved' else 'validator_mismatch' end as state
+  from v asof left join r on v.url_key = r.url_key and v.ts > r.ts)
+select record_id, url_key, ts, state, case when state = 'resolved' then m.id end as matched_id, case when state = 'resolved' then m.at end as matched_ts,
+  case when state = 'resolved' then coalesce(etag, m.tag) else etag end as etag, case when state = 'resolved' then coalesce(lm, m.day) else lm end as last_modified,
+  case when state = 'resolved' then coalesce(cc, 'max-age=60') else cc end as cache_control, case when state = 'resolved' then 'text/html' end as content_type,
+  case when state = 'resolved' then m.n::varchar else cl end as content_length, ts::varchar as date
+from j
+""",
+    "op6_ball_tree_topk": """
+with v as (
+  select vec_id, list_transform(embedding, x -> floor(64 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), z -> z[1] * z[2]))::bigint as score
+  from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id)
+select query_id, rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from s) where rank <= 20
+""",
 }
-ORACLES: dict[str, str] = {}
