@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from rareflow.session import work_path
 
 #: Python workers hand work on in pieces of about this many bytes.
-PIECE = 8 << 20
+PIECE = 4 << 20
 
 
 def kept(frame: DataFrame, name: str) -> DataFrame:

@@ -15,7 +15,7 @@ from rareflow.llm.shingles import BASE, INVERSE, byte_weights, mix, powers
 
 _SEEDED = byte_weights(fold=False)
 #: Units that a worker keeps from batch to batch (about 30 bytes each); only memory and time depend on it.
-MOST_UNITS = 2_000_000
+MOST_UNITS = 1_500_000
 #: Units encoded in one call of the library's batch item.
 GROUP = 64
 
