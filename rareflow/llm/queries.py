@@ -100,18 +100,25 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.references(docs)).drop("lang", "text")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of ``corpus_pipeline``, which imports this module."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_preference_quality, op2_token_counts, op3_ngram_join, op4_token_records, op5_revisits, op6_ball_tree_topk,
-                            op7_slot_shards, op8_best_fit_packing, op9_pfair_mixing, op10_divergence_rules)
+                            op7_slot_shards, op8_best_fit_packing, op9_pfair_mixing, op10_divergence_rules, pipeline)
 }
 
 ORACLES: dict[str, str] = {
     "op3_ngram_join": r"""
 with recursive w as (
-  select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), x -> x <> '') as w from documents),
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
 s as (
   select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
-    else list_transform(range(1, len(w) - 3), i -> array_to_string(list_slice(w, i, i + 4), ' ')) end) as g from w),
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) end) as g from w),
 n as (select doc_id, count(*) as n from s group by doc_id),
 shared as (
   select a.doc_id as a, b.doc_id as b, count(*) as o from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
@@ -124,24 +131,24 @@ from reach left join n on n.doc_id = reach.doc_id group by reach.doc_id
 """,
     "op5_revisits": r"""
 with p as (
-  select *, (page_id * 7919) % 1000003 as at, '"' || md5(html) || '"' as tag, 'day ' || (((page_id * 7919) % 1000003) // 86400) as day,
+  select *, (page_id * 7919) % 1000003 as t0, '"' || md5(html) || '"' as tag, 'day ' || (((page_id * 7919) % 1000003) // 86400) as day,
     regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/@?#]*@)?([^/:?#]*)(?::[0-9]*)?([^?#]*)(?:\?([^#]*))?', ['h', 'p', 'q']) as u from pages),
 k as (
   select *, regexp_replace(lower(u.h), '^(www|m)\.', '') || regexp_replace(u.p, '(/index)?(\.html?)?/*$', '') ||
     (case when q <> '' then '?' || q else '' end) as url_key
   from (select *, array_to_string(list_sort(list_filter(string_split(coalesce(u.q, ''), '&'),
-    x -> x <> '' and not regexp_matches(x, '^(utm_[^=]*|ref|gclid|fbclid)(=|$)'))), '&') as q from p)),
+    lambda x: x <> '' and not regexp_matches(x, '^(utm_[^=]*|ref|gclid|fbclid)(=|$)'))), '&') as q from p)),
 r as (
-  select url_key, at as ts, arg_max({id: page_id * 4, tag: tag, day: day, n: strlen(html), at: at}, page_id * 4) as m from k group by 1, 2),
+  select url_key, t0 as ts, arg_max({id: page_id * 4, tag: tag, day: day, n: strlen(html), t0: t0}, page_id * 4) as m from k group by 1, 2),
 v as (
-  select page_id * 4 + 1 as record_id, url_key, at + 1000 + page_id % 499979 as ts, 'W/' || tag as etag, null as lm, 'max-age=120' as cc, '0' as cl from k
-  union all select page_id * 4 + 2, url_key, at + 2000000, null, case when page_id % 7 = 0 then 'another day' else day end, null, null from k
-  union all select page_id * 4 + 3, url_key, at - 1, tag, null, null, null from k),
+  select page_id * 4 + 1 as record_id, url_key, t0 + 1000 + page_id % 499979 as ts, 'W/' || tag as etag, null as lm, 'max-age=120' as cc, '0' as cl from k
+  union all select page_id * 4 + 2, url_key, t0 + 2000000, null, case when page_id % 7 = 0 then 'another day' else day end, null, null from k
+  union all select page_id * 4 + 3, url_key, t0 - 1, tag, null, null, null from k),
 j as (
   select v.*, r.m, case when r.m is null then 'no_earlier_response'
     when v.etag is not null and replace(v.etag, 'W/', '') = r.m.tag or v.etag is null and v.lm = r.m.day then 'resolved' else 'validator_mismatch' end as state
   from v asof left join r on v.url_key = r.url_key and v.ts > r.ts)
-select record_id, url_key, ts, state, case when state = 'resolved' then m.id end as matched_id, case when state = 'resolved' then m.at end as matched_ts,
+select record_id, url_key, ts, state, case when state = 'resolved' then m.id end as matched_id, case when state = 'resolved' then m.t0 end as matched_ts,
   case when state = 'resolved' then coalesce(etag, m.tag) else etag end as etag, case when state = 'resolved' then coalesce(lm, m.day) else lm end as last_modified,
   case when state = 'resolved' then coalesce(cc, 'max-age=60') else cc end as cache_control, case when state = 'resolved' then 'text/html' end as content_type,
   case when state = 'resolved' then m.n::varchar else cl end as content_length, ts::varchar as date
@@ -149,10 +156,10 @@ from j
 """,
     "op6_ball_tree_topk": """
 with v as (
-  select vec_id, list_transform(embedding, x -> floor(64 * x::double)::bigint) as v from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
-  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), z -> z[1] * z[2]))::bigint as score
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint as score
   from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id)
 select query_id, rank, vec_id, score from (
   select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from s) where rank <= 20
