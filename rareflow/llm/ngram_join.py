@@ -139,7 +139,7 @@ def shared_sets(docs: DataFrame, size: int, similarity: tuple[int, int]) -> Data
                     order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint64), kind="stable")
                     low, doc = flat[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6], doc[order]
                     names, first = np.unique(bucket[order], return_index=True)
-                    last = [*first[1:].tolist(), len(flat)]
+                    last = [*first[1:].tolist(), len(flat)][:len(names)]
                     none = [None] * len(names)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([int(prints[0][0]) % int(buckets), *names.tolist()], pa.int64()), pa.array([number] * (len(names) + 1), pa.int64()),
