@@ -50,6 +50,23 @@ def hash32(*parts: str | Column, seed: int | str | None = None, hasher: str = "m
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
 
 
+def hash60(*parts: str | Column, seed: int | str | None = None, hasher: str = "md5") -> Column:
+    """As ``hash32``, with 60 bits (the first 15 hex digits): a bigint in [0, 2^60)."""
+    if hasher == "xxhash64":
+        cols = ([F.lit(str(seed))] if seed is not None else []) + [col(p) for p in parts]
+        return F.pmod(F.xxhash64(*cols), F.lit(1 << 60))
+    if hasher != "md5":
+        raise ValueError("hasher must be md5 or xxhash64")
+    cols = ([F.lit(str(seed))] if seed is not None else []) + [col(p).cast("string") for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *cols)), 1, 15), 16, 10).cast("bigint")
+
+
+def row_text(*parts: str | Column) -> Column:
+    """The parts as one string from which they can be told apart again: length and text of each, or ``n`` for null."""
+    texts = [col(p).cast("string") for p in parts]
+    return F.concat(*[F.when(t.isNull(), F.lit("n;")).otherwise(F.concat(F.length(t).cast("string"), F.lit(":"), t, F.lit(";"))) for t in texts])
+
+
 def decision(score: str | Column, threshold: float) -> Column:
     """Inclusive decision ``score >= threshold`` as int; null where the score is null."""
     check_threshold(threshold)

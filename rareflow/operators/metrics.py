@@ -1,8 +1,7 @@
 """Threshold sweep, selection and evaluation metrics, all as DataFrames.
 
 Nothing here collects rows to the driver: the only driver-side values are the
-one-row results of guard aggregates (counts, a few quantile edges), whose size
-does not grow with the data.
+one-row results of guard aggregates (counts), whose size does not grow with the data.
 """
 
 from __future__ import annotations
@@ -12,19 +11,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegralType, LongType, StructField, StructType
+from pyspark.sql.types import IntegralType
 
 from rareflow.functions.columns import INF, check_threshold, col, f1_from_counts, ratio
-from rareflow.operators.ordered import (
-    buckets_for, clean_edges, edge_sample, global_row_number, min_buckets, prefix_sum, quantile_accuracy,
-    quantile_probabilities,
-)
-from rareflow.session import work_path
+from rareflow.operators.ordered import global_row_number, in_ranges, prefix_sum
 
 SWEEP_COLUMNS = ["threshold", "tp", "fp", "fn", "tn", "precision", "recall", "f1"]
-GROUP_SCHEMA = StructType([
-    StructField("score", DoubleType()), StructField("positives", LongType()),
-    StructField("negatives", LongType())])
 # Thresholds always present in a sweep (endpoints and the 0.5 baseline).
 EXTRA_THRESHOLDS = (0.0, 0.5, 1.0)
 
@@ -50,140 +42,106 @@ def finite_double(v: Column) -> Column:
     return d.isNotNull() & ~F.isnan(d) & (F.abs(d) != F.lit(INF))
 
 
-def _report_aggs(groups: DataFrame, quantiles: int | None) -> list[Column]:
+def _report_aggs(groups: DataFrame) -> list[Column]:
     s = F.col("score")
-    bad_score = ~(finite_double(s) & (s >= 0) & (s <= 1))
     bad_count = ~(_count_ok("positives", groups.schema["positives"].dataType)
                   & _count_ok("negatives", groups.schema["negatives"].dataType))
-    aggs = [
+    return [
         F.count(F.lit(1)).alias("groups"),
-        F.count_if(bad_score).alias("bad_scores"),
+        F.count_if(~(finite_double(s) & (s >= 0) & (s <= 1))).alias("bad_scores"),
         F.count_if(bad_count).alias("bad_counts"),
         F.coalesce(F.sum("positives"), F.lit(0)).cast("bigint").alias("positives"),
         F.coalesce(F.sum("negatives"), F.lit(0)).cast("bigint").alias("negatives"),
     ]
-    if quantiles:
-        aggs += [F.count_if(s == F.lit(t)).alias(f"has_{i}") for i, t in enumerate(EXTRA_THRESHOLDS)]
-        aggs.append(F.percentile_approx(edge_sample(F.when(~bad_score, s)), quantile_probabilities(quantiles),
-                                        quantile_accuracy(quantiles)).alias("edges"))
-    return aggs
 
 
-def score_report(groups: DataFrame, partition_by: str | None = None,
-                 quantiles: int | None = None) -> DataFrame:
-    """One aggregate over score groups: guards, class totals, extra points present, score quantiles."""
-    aggs = _report_aggs(groups, quantiles)
+def score_report(groups: DataFrame, partition_by: str | None = None) -> DataFrame:
+    """One aggregate over score groups: faulty scores and counts, class totals."""
+    aggs = _report_aggs(groups)
     return groups.groupBy(partition_by).agg(*aggs) if partition_by else groups.agg(*aggs)
 
 
-def check_scores(groups: DataFrame, partition_by: str | None = None, quantiles: int | None = None) -> dict:
-    """Guard job for a sweep (one aggregate; one row per partition to the driver).
+def checked_report(groups: DataFrame) -> DataFrame:
+    """``score_report`` that fails on what ``check_scores`` refuses, in the same pass."""
+    report = score_report(groups)
+    sound = (F.col("bad_scores") == 0) & (F.col("bad_counts") == 0) & (F.col("positives") > 0) & (F.col("negatives") > 0)
+    refused = F.raise_error(F.concat(F.lit("score groups are not fit for a sweep: "), F.to_json(F.struct("*")))).cast("bigint")
+    return report.select(*[F.when(sound, F.col(c)).otherwise(refused).alias(c) for c in report.columns])
 
-    Fails on a score that is null, NaN, infinite or outside [0, 1], on counts
-    that are negative or fractional, and when a class is absent. Returns the
-    class totals, which extra thresholds are missing, and quantile edges of the
-    scores used to bucket the prefix sum: a few per core from this job, and a
-    finer set from a second percentile job only when the groups outgrow them.
-    ``partition_by`` (e.g. a candidate id) must have few distinct values.
+
+def check_scores(groups: DataFrame, partition_by: str | None = None) -> dict:
+    """Guard of a sweep (one aggregate; one row per partition to the driver): the class totals.
+
+    Fails on a score that is null, NaN, infinite or outside [0, 1], on counts that are negative or
+    fractional, and when a class is absent. ``partition_by`` (e.g. a candidate id) must have few distinct values.
     """
-    q0 = quantiles or min_buckets(groups.sparkSession)
-    rows = [r.asDict() for r in score_report(groups, partition_by, q0).collect()]
-    return _checked(groups, rows, partition_by, q0)
+    return _checked([r.asDict() for r in score_report(groups, partition_by).collect()], partition_by)
 
 
-def _checked(groups: DataFrame, rows: list[dict], partition_by: str | None, q0: int) -> dict:
-    if not rows:
-        raise ValueError("Validation data must contain both fraud (1) and legitimate (0) rows")
-    totals, missing, edges = {}, [], set()
-    for row in rows:
+def _checked(rows: list[dict], partition_by: str | None) -> dict:
+    for row in rows or [dict(bad_scores=0, bad_counts=0, positives=0, negatives=0)]:
         if row["bad_scores"]:
-            raise ValueError("Fraud probabilities must be finite numbers between 0 and 1")
+            raise ValueError(f"{row['bad_scores']} scores are missing or outside [0, 1]")
         if row["bad_counts"]:
-            raise ValueError("Class counts must be nonnegative integers")
+            raise ValueError(f"{row['bad_counts']} score groups have counts that are no whole numbers from 0 up")
         if not row["positives"] or not row["negatives"]:
-            raise ValueError("Validation data must contain both fraud (1) and legitimate (0) rows")
-        part = row[partition_by] if partition_by else None
-        totals[part] = (int(row["positives"]), int(row["negatives"]))
-        missing += [(part, t) for i, t in enumerate(EXTRA_THRESHOLDS) if not row[f"has_{i}"]]
-        edges.update(clean_edges(row["edges"]))
-    q1 = buckets_for(max(r["groups"] for r in rows), minimum=q0)
-    if q1 > q0:
-        fine = groups.agg(F.percentile_approx(edge_sample("score"), quantile_probabilities(q1),
-                                              quantile_accuracy(q1))).first()[0]
-        edges.update(clean_edges(fine))
-    return dict(totals=totals, missing=missing, edges=sorted(edges))
-
-
-def materialize_checked(groups: DataFrame, quantiles: int | None = None) -> tuple[DataFrame, dict]:
-    """Write the groups to the shared work folder and compute the guard report during that
-    same write (``observe``): one pass over the groups instead of a write plus a guard job."""
-    from pyspark.sql import Observation
+            raise ValueError("a sweep needs rows of class 0 and of class 1")
+    return {row[partition_by] if partition_by else None: (int(row["positives"]), int(row["negatives"])) for row in rows}
+
 
-    q0 = quantiles or min_buckets(groups.sparkSession)
-    obs = Observation(f"rf_score_report_{uuid.uuid4().hex[:12]}")  # unique: concurrent sweeps never mix
-    path = work_path(groups.sparkSession, "groups")
-    groups.observe(obs, *_report_aggs(groups, q0)).write.parquet(path)
-    written = groups.sparkSession.read.parquet(path)
-    return written, _checked(written, [dict(obs.get)], None, q0)
+def dealt_groups(groups: DataFrame, partition_by: str | None = None, *, unique_scores: bool = True) -> tuple[DataFrame, dict]:
+    """(groups in ranges of the score, class totals), checked.
 
+    The extra thresholds are added as groups without rows (marked ``extra``). The groups are written once, in
+    ranges, and without partitions the guard report is observed during that write, so a sweep needs no
+    pass of its own for it.
+    """
+    from pyspark.sql import Observation
 
-def _materialize(df: DataFrame, name: str = "groups") -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared work folder (below
-    ``spark.checkpoint.dir``): columnar, so later jobs read only the columns they use;
-    measured faster to write and to read than ``DataFrame.checkpoint``."""
-    path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    part = [partition_by] if partition_by else []
+    groups = groups.select(*part, F.col("score").cast("double").alias("score"), "positives", "negatives")
+    if not unique_scores:
+        groups = groups.groupBy(*part, "score").agg(F.sum("positives").alias("positives"), F.sum("negatives").alias("negatives"))
+    points = groups.select(*part).distinct() if part else groups.sparkSession.range(1).select()
+    points = points.select(*part, F.explode(F.array(*[F.lit(t) for t in EXTRA_THRESHOLDS])).alias("score"),
+                           *[F.lit(0).cast(groups.schema[c].dataType).alias(c) for c in ("positives", "negatives")], F.lit(True).alias("extra"))
+    groups = groups.withColumn("extra", F.lit(False)).unionByName(points)
+    if partition_by:
+        dealt = in_ranges(groups, partition_by, "score")
+        totals = check_scores(dealt, partition_by)
+    else:
+        seen = Observation(f"rf_score_report_{uuid.uuid4().hex[:12]}")  # unique: concurrent sweeps never mix
+        dealt = in_ranges(groups, "score", observed=(seen, _report_aggs(groups)))
+        totals = _checked([dict(seen.get)], None)
+    return dealt.withColumns({c: F.col(c).cast("bigint") for c in ("positives", "negatives")}), totals
 
 
-def _per_partition(info: dict, partition_by: str | None, which: int) -> Column:
+def _per_partition(totals: dict, partition_by: str | None, which: int) -> Column:
     """Class total of the row's partition as a literal (one entry per partition)."""
     if not partition_by:
-        return F.lit(info["totals"][None][which])
+        return F.lit(totals[None][which])
     expr = None
-    for part, tot in info["totals"].items():
+    for part, tot in totals.items():
         cond = F.col(partition_by) == F.lit(part)
         expr = F.when(cond, F.lit(tot[which])) if expr is None else expr.when(cond, F.lit(tot[which]))
     return expr
 
 
-def cumulative_groups(groups: DataFrame, *, partition_by: str | None = None, unique_scores: bool = False,
-                      materialize: bool = False, with_extras: bool = True) -> tuple[DataFrame, dict]:
-    """Groups plus running tp/fp in descending score order (``>=`` is inclusive)."""
-    part = [partition_by] if partition_by else []
-    groups = groups.select(*part, F.col("score").cast("double").alias("score"), "positives", "negatives")
-    if not unique_scores:
-        groups = groups.groupBy(*part, "score").agg(F.sum("positives").alias("positives"),
-                                                    F.sum("negatives").alias("negatives"))
-    if materialize and not partition_by:
-        groups, info = materialize_checked(groups)
-    else:
-        if materialize:
-            groups = _materialize(groups)
-        info = check_scores(groups, partition_by)
-    groups = groups.select(*part, "score", F.col("positives").cast("bigint").alias("positives"),
-                           F.col("negatives").cast("bigint").alias("negatives"))
-    if with_extras and info["missing"]:
-        rows = [((p,) if partition_by else ()) + (t, 0, 0) for p, t in info["missing"]]
-        fields = ([StructField(partition_by, groups.schema[partition_by].dataType)] if partition_by else []) \
-            + GROUP_SCHEMA.fields
-        extras = groups.sparkSession.createDataFrame(rows, StructType(fields))
-        groups = groups.unionByName(extras)
-    cum = prefix_sum(groups, "score", {"tp": "positives", "fp": "negatives"},
-                     edges=info["edges"], descending=True, partition_by=part, partitions=len(info["totals"]))
-    return cum, info
-
-
-def threshold_sweep(groups: DataFrame, *, partition_by: str | None = None, unique_scores: bool = False,
-                    materialize: bool = False) -> DataFrame:
+def _running(dealt: DataFrame, partition_by: str | None) -> DataFrame:
+    """Dealt groups plus running tp/fp in descending score order (``>=`` is inclusive); an extra
+    threshold goes where a group has the same score."""
+    return prefix_sum(dealt, "score", {"tp": "positives", "fp": "negatives"},
+                      partition_by=[partition_by] if partition_by else [], first_of_ties="extra")
+
+
+def threshold_sweep(groups: DataFrame, *, partition_by: str | None = None, unique_scores: bool = False) -> DataFrame:
     """Every distinct score plus 0, 0.5 and 1 as a threshold, with confusion and metrics."""
-    cum, info = cumulative_groups(groups, partition_by=partition_by, unique_scores=unique_scores,
-                                  materialize=materialize)
-    P, N = _per_partition(info, partition_by, 0), _per_partition(info, partition_by, 1)
+    dealt, totals = dealt_groups(groups, partition_by, unique_scores=unique_scores)
+    P, N = _per_partition(totals, partition_by, 0), _per_partition(totals, partition_by, 1)
     tp, fp = F.col("tp"), F.col("fp")
     fn, tn = (P - tp), (N - fp)
     part = [partition_by] if partition_by else []
-    return cum.select(
+    return _running(dealt, partition_by).select(
         *part, F.col("score").alias("threshold"), tp.alias("tp"), fp.alias("fp"),
         fn.alias("fn"), tn.alias("tn"),
         ratio(tp, tp + fp).alias("precision"),
@@ -191,12 +149,10 @@ def threshold_sweep(groups: DataFrame, *, partition_by: str | None = None, uniqu
         f1_from_counts(tp, fp, fn).alias("f1"))
 
 
-def sweep_scores(df: DataFrame, score: str | Column, label: str | Column, *,
-                 materialize: bool = True) -> DataFrame:
-    """score_groups + threshold_sweep. The groups are checkpointed by default: the guard job,
-    the bucket offsets and the final window then read the small group table instead of
-    re-aggregating the raw rows three times."""
-    return threshold_sweep(score_groups(df, score, label), unique_scores=True, materialize=materialize)
+def sweep_scores(df: DataFrame, score: str | Column, label: str | Column) -> DataFrame:
+    """score_groups + threshold_sweep. The groups are written once; offsets and the final
+    window read them instead of aggregating the raw rows again."""
+    return threshold_sweep(score_groups(df, score, label), unique_scores=True)
 
 
 def select_threshold(sweep: DataFrame, keys: Sequence[str] = ("f1", "recall", "precision", "threshold"),
@@ -214,14 +170,16 @@ def baseline_row(sweep: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def confusion_matrix(df: DataFrame, score: str | Column, label: str | Column,
                      threshold: float) -> DataFrame:
-    """(tp, fp, fn, tn) at ``score >= threshold``, one pass, empty cells 0."""
+    """(tp, fp, fn, tn) at ``score >= threshold``, one pass, empty cells 0. A row whose score is not finite or
+    whose label is not 0 or 1 belongs to no cell: it fails the query."""
     t = F.lit(check_threshold(threshold))
-    s, y = col(score), col(label)
-    return df.agg(
-        F.count_if((y == 1) & (s >= t)).alias("tp"),
-        F.count_if((y == 0) & (s >= t)).alias("fp"),
-        F.count_if((y == 1) & (s < t)).alias("fn"),
-        F.count_if((y == 0) & (s < t)).alias("tn"))
+    s, y = col(score).cast("double"), col(label).cast("double")
+    sound = F.coalesce(finite_double(s) & y.isin(0.0, 1.0), F.lit(False))
+    faulty = F.count_if(~sound)
+    cells = {"tp": (y == 1) & (s >= t), "fp": (y == 0) & (s >= t), "fn": (y == 1) & (s < t), "tn": (y == 0) & (s < t)}
+    counted = df.agg(faulty.alias("_faulty"), *[F.count_if(c).alias(n) for n, c in cells.items()])
+    refused = F.raise_error(F.concat(F.col("_faulty").cast("string"), F.lit(" rows have no finite score or no label 0 or 1"))).cast("bigint")
+    return counted.select(*[F.when(F.col("_faulty") == 0, F.col(n)).otherwise(refused).alias(n) for n in cells])
 
 
 def classification_metrics(confusion: DataFrame) -> DataFrame:
@@ -250,27 +208,23 @@ def weighted_metrics(confusion: DataFrame) -> DataFrame:
         (w0 * f(p0, r0) + w1 * f(p1, r1)).alias("weighted_f1"))
 
 
-def auprc(groups: DataFrame, *, partition_by: str | None = None, unique_scores: bool = False,
-          materialize: bool = False) -> DataFrame:
+def auprc(groups: DataFrame, *, partition_by: str | None = None, unique_scores: bool = False) -> DataFrame:
     """Exact area under the precision-recall curve (trapezoids over distinct scores).
 
     Equal to ``BinaryClassificationEvaluator(areaUnderPR, numBins=0)``: the curve
     starts at recall 0 with the first precision. Uses the running tp/fp of the
     group itself and of the group before (tp - p, fp - n), so no ``lag`` crosses
-    a bucket boundary.
+    a bucket boundary; thresholds without rows add nothing.
     """
-    cum, info = cumulative_groups(groups, partition_by=partition_by, unique_scores=unique_scores,
-                                  materialize=materialize, with_extras=False)
-    return _pr_area(cum, info, partition_by)
+    return auprc_dealt(*dealt_groups(groups, partition_by, unique_scores=unique_scores), partition_by)
 
 
-def auprc_checked(groups: DataFrame, info: dict) -> DataFrame:
-    """Exact AUPRC of already checked, unique score groups (``materialize_checked`` output)."""
-    cum = prefix_sum(groups, "score", {"tp": "positives", "fp": "negatives"}, edges=info["edges"])
-    return _pr_area(cum, info, None)
+def auprc_dealt(dealt: DataFrame, totals: dict, partition_by: str | None = None) -> DataFrame:
+    """Exact AUPRC of ``dealt_groups``."""
+    return _pr_area(_running(dealt, partition_by), totals, partition_by)
 
 
-def _pr_area(cum: DataFrame, info: dict, partition_by: str | None) -> DataFrame:
+def _pr_area(cum: DataFrame, totals: dict, partition_by: str | None) -> DataFrame:
     """Trapezoids between each group's (recall, precision) and the previous group's, whose
     running counts are the group's own minus its counts; the first group pairs with itself."""
     tp, fp = F.col("tp"), F.col("fp")
@@ -278,7 +232,7 @@ def _pr_area(cum: DataFrame, info: dict, partition_by: str | None) -> DataFrame:
     pr = ratio(tp, tp + fp)
     pr0 = F.when(tp0 + fp0 > 0, tp0.cast("double") / (tp0 + fp0).cast("double")).otherwise(pr)
     term = F.col("positives").cast("double") * (pr + pr0) / F.lit(2.0)
-    P = _per_partition(info, partition_by, 0).cast("double")
+    P = _per_partition(totals, partition_by, 0).cast("double")
     area = F.sum(term / P).alias("auprc")
     return cum.groupBy(partition_by).agg(area) if partition_by else cum.agg(area)
 
@@ -308,19 +262,19 @@ def incremental_evaluation(df: DataFrame, score: str | Column, label: str | Colu
     if not sizes or sizes[0] <= 0:
         raise ValueError("subset sizes must be positive integers")
     t = F.lit(check_threshold(threshold))
-    ranked = global_row_number(df.select(*key, col(score).alias("_s"), col(label).alias("_y")), key,
-                               rows=sizes[-1])
+    source = df.select(*key, col(score).alias("_s"), col(label).alias("_y"))
+    ranked = global_row_number(source, key, rows=source.count(), limit=sizes[-1])
     rn = F.col("row_number")
     idx = F.when(rn <= sizes[0], F.lit(0))
     for i, s in enumerate(sizes[1:], start=1):
         idx = idx.when(rn <= s, F.lit(i))
-    per_idx = ranked.filter(rn <= sizes[-1]).groupBy(idx.alias("idx"), F.col("_s").cast("double").alias("score")) \
+    per_idx = ranked.groupBy(idx.alias("idx"), F.col("_s").cast("double").alias("score")) \
         .agg(F.count_if(F.col("_y") == 1).alias("positives"), F.count_if(F.col("_y") == 0).alias("negatives"),
              F.count(F.lit(1)).alias("n"))
     groups = per_idx.select(F.explode(F.sequence("idx", F.lit(len(sizes) - 1))).alias("subset"), "score",
                             "positives", "negatives", "n") \
         .groupBy("subset", "score").agg(*[F.sum(c).alias(c) for c in ("positives", "negatives", "n")])
-    groups = _materialize(groups)
+    groups = in_ranges(groups, "subset", "score")
     s_ = F.col("score")
     conf = groups.groupBy("subset").agg(
         F.sum("n").cast("bigint").alias("rows"),
@@ -331,27 +285,23 @@ def incremental_evaluation(df: DataFrame, score: str | Column, label: str | Colu
     size_df = spark.createDataFrame([(i, s) for i, s in enumerate(sizes)], "subset int, subset_size bigint")
     out = classification_metrics(conf.join(F.broadcast(size_df), "subset"))
     if with_auprc:
-        area = _auprc_lenient(groups.select("subset", "score", "positives", "negatives"), "subset")
+        area = _auprc_lenient(groups, "subset")
         out = out.join(area, "subset", "left")
     return out.drop("subset")
 
 
-def _auprc_lenient(groups: DataFrame, partition_by: str) -> DataFrame:
-    """Exact AUPRC per partition; 0.0 where a partition has no positive (a small subset may lack one)."""
-    report = score_report(groups, partition_by, min_buckets(groups.sparkSession)).collect()
+def _auprc_lenient(dealt: DataFrame, partition_by: str) -> DataFrame:
+    """Exact AUPRC per partition of groups in ranges; 0.0 where a partition has no positive (a small subset may lack one)."""
+    report = score_report(dealt, partition_by).collect()
     if any(r["bad_scores"] for r in report):
-        raise ValueError("Fraud probabilities must be finite numbers between 0 and 1")
-    edges = sorted({e for r in report for e in clean_edges(r["edges"])})
-    ok = [r[partition_by] for r in report if r["positives"]]
-    info = dict(totals={r[partition_by]: (int(r["positives"]), int(r["negatives"])) for r in report if r["positives"]})
-    if not ok:
-        return groups.select(partition_by).distinct().withColumn("auprc", F.lit(0.0))
-    g = groups.filter(F.col(partition_by).isin(ok))
-    cum = prefix_sum(g, "score", {"tp": "positives", "fp": "negatives"}, edges=edges, descending=True,
-                     partition_by=[partition_by], partitions=len(ok))
-    area = _pr_area(cum, info, partition_by)
-    return groups.select(partition_by).distinct().join(area, partition_by, "left") \
-        .select(partition_by, F.coalesce("auprc", F.lit(0.0)).alias("auprc"))
+        raise ValueError("scores are missing or outside [0, 1]")
+    totals = {r[partition_by]: (int(r["positives"]), int(r["negatives"])) for r in report if r["positives"]}
+    parts = dealt.select(partition_by).distinct()
+    if not totals:
+        return parts.withColumn("auprc", F.lit(0.0))
+    cum = prefix_sum(dealt.where(F.col(partition_by).isin(list(totals))), "score", {"tp": "positives", "fp": "negatives"},
+                     partition_by=[partition_by])
+    return parts.join(_pr_area(cum, totals, partition_by), partition_by, "left").select(partition_by, F.coalesce("auprc", F.lit(0.0)).alias("auprc"))
 
 
 def auprc_binned(scored: DataFrame, score: str | Column, label: str | Column, num_bins: int = 1000) -> float:

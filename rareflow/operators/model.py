@@ -8,6 +8,7 @@ same code, whether the score comes from a fitted pipeline or an expression.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -21,10 +22,8 @@ from pyspark.sql import functions as F
 
 from rareflow.functions.columns import check_threshold
 from rareflow.operators import metrics as M
-from rareflow.operators.validate import (
-    apply_class_weights, assert_valid, counts_dict, training_class_weights,
-)
-from rareflow.sources.files import spread_partitions
+from rareflow.operators.ordered import row_hash
+from rareflow.operators.validate import apply_class_weights, assert_valid, counts_dict, training_class_weights
 from rareflow.spec import FeatureSpec
 
 PROBABILITY = "fraud_probability"
@@ -121,33 +120,45 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features",
     return out_df.drop(*[f"_rf_vec_{f}" for f in arrays])
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a fit at least one partition per core: MLlib trees work per input partition,
-    so a narrow input (one file, one row group) would train on a single task."""
-    return spread_partitions(df)
+#: Partitions of a fit's input, and rows of one beyond which there are more. A forest's bags are drawn per
+#: partition, so the layout may depend on the data but never on the cluster.
+FIT_PARTITIONS, FIT_ROWS = 16, 500_000
 
 
-def train_forest(train: DataFrame, spec: FeatureSpec, *, seed: int = MODEL_SEED, num_trees: int = 100,
-                 max_depth: int = 5, min_instances_per_node: int = 1, weighting: str = "none",
-                 counts: dict | None = None, validate: bool = True) -> PipelineModel:
-    """Fit a binary forest (optionally class-weighted) and return assembler + forest."""
-    if counts is None:
-        if validate:
-            rep = assert_valid(train, spec, "Training data")
-            counts = {0: int(rep["negatives"]), 1: int(rep["positives"])}
-        else:
-            counts = counts_dict(train, spec.label)
-    weights = training_class_weights(counts, weighting)
-    assembler = VectorAssembler(inputCols=list(spec.features), outputCol="features")
-    data = train.select("features", spec.label) if "features" in train.columns \
-        else assembler.transform(train.select(*spec.features, spec.label)).select("features", spec.label)
-    params = dict(labelCol=spec.label, featuresCol="features", numTrees=num_trees, maxDepth=max_depth,
-                  minInstancesPerNode=min_instances_per_node, seed=seed)
-    if weighting != "none":
-        data = apply_class_weights(data, spec.label, weights)
-        params["weightCol"] = "class_weight"
-    forest = RandomForestClassifier(**params).fit(data if "features" in train.columns else spread(data))
-    return PipelineModel(stages=[assembler, without_summary(forest)])
+def fit_input(rows: DataFrame, spec: FeatureSpec, count: int) -> DataFrame:
+    """(features, label) in a layout that only the rows decide: dealt and sorted by a hash of the row."""
+    flat = rows.select(*spec.features, spec.label).withColumn("_rf_hash", row_hash(rows.select(*spec.features, spec.label)))
+    flat = flat.repartition(max(FIT_PARTITIONS, -(-count // FIT_ROWS)), "_rf_hash").sortWithinPartitions("_rf_hash", *spec.features)
+    return assembler_for(spec).transform(flat).select("features", spec.label)
+
+
+def assembler_for(spec: FeatureSpec) -> VectorAssembler:
+    return VectorAssembler(inputCols=list(spec.features), outputCol="features")
+
+
+def fit_forest(vectors: DataFrame, label: str, counts: dict, settings: dict, seed: int) -> RandomForestClassificationModel:
+    """One forest on an assembled table, with ``settings`` as in ``CANDIDATES``."""
+    weights = training_class_weights(counts, settings.get("weighting", "none"))
+    forest = RandomForestClassifier(featuresCol="features", labelCol=label, seed=seed, numTrees=settings["num_trees"],
+                                    maxDepth=settings["max_depth"], minInstancesPerNode=settings["min_instances_per_node"])
+    if len(set(weights.values())) > 1:
+        vectors, forest = apply_class_weights(vectors, label, weights), forest.setWeightCol("class_weight")
+    return without_summary(forest.fit(vectors))
+
+
+def train_forest(train: DataFrame, spec: FeatureSpec, *, seed: int = MODEL_SEED, counts: dict | None = None,
+                 validate: bool = True, **settings) -> PipelineModel:
+    """Assembler and a binary forest fitted on a table; ``settings`` override those of the baseline candidate.
+
+    The same rows and seed give the same forest on any cluster and from any file layout.
+    """
+    if counts is None and validate:
+        report = assert_valid(train, spec, "Training data")
+        counts = {0: int(report["negatives"]), 1: int(report["positives"])}
+    counts = counts or counts_dict(train, spec.label)
+    chosen = {**{k: v for k, v in CANDIDATES[0].items() if k != "name"}, **settings}
+    forest = fit_forest(fit_input(train, spec, sum(counts.values())), spec.label, counts, chosen, seed)
+    return PipelineModel(stages=[assembler_for(spec), forest])
 
 
 def score_table(model: PipelineModel, df: DataFrame, spec: FeatureSpec, keep: Sequence[str] = ()) -> DataFrame:
@@ -190,7 +201,7 @@ def evaluate_model(model_or_scorer, test: DataFrame, spec: FeatureSpec, threshol
     assert_valid(test, spec, "Test data")
     scorer = model_or_scorer if hasattr(model_or_scorer, "score") else ModelScorer(model_or_scorer, spec.features)
     scored = scorer.score(test.select(*spec.features, spec.label))
-    groups, info = M.materialize_checked(M.score_groups(scored, PROBABILITY, spec.label))
+    groups, totals = M.dealt_groups(M.score_groups(scored, PROBABILITY, spec.label))
     s = F.col("score")
     confusion = groups.agg(
         F.coalesce(F.sum(F.when(s >= t, F.col("positives"))), F.lit(0)).cast("bigint").alias("tp"),
@@ -198,61 +209,59 @@ def evaluate_model(model_or_scorer, test: DataFrame, spec: FeatureSpec, threshol
         F.coalesce(F.sum(F.when(s < t, F.col("positives"))), F.lit(0)).cast("bigint").alias("fn"),
         F.coalesce(F.sum(F.when(s < t, F.col("negatives"))), F.lit(0)).cast("bigint").alias("tn"))
     metrics = M.classification_metrics(confusion)
-    area = M.auprc_checked(groups, info).first()["auprc"]
+    area = M.auprc_dealt(groups, totals).first()["auprc"]
     return metrics.withColumn("auprc", F.lit(area)).withColumn("threshold", F.lit(t))
 
 
-def tune_threshold(scorer, validation: DataFrame, spec: FeatureSpec, *,
-                   materialize: bool = True, validate: bool = True) -> tuple[DataFrame, DataFrame]:
+def tune_threshold(scorer, validation: DataFrame, spec: FeatureSpec, *, validate: bool = True) -> tuple[DataFrame, DataFrame]:
     """Sweep of validation scores and its selected row."""
     if validate:
         assert_valid(validation, spec, "Validation data")
     scored = scorer.score(validation.select(*spec.features, spec.label))
-    sweep = M.sweep_scores(scored, PROBABILITY, spec.label, materialize=materialize)
+    sweep = M.sweep_scores(scored, PROBABILITY, spec.label)
     return sweep, M.select_threshold(sweep)
 
 
-def search_candidates(train: DataFrame, validation: DataFrame, spec: FeatureSpec,
-                      candidates: Sequence[dict] = CANDIDATES, seed: int = MODEL_SEED, concurrency: int = 3):
+def search_candidates(train: DataFrame, validation: DataFrame, spec: FeatureSpec, candidates: Sequence[dict] = CANDIDATES,
+                      seed: int = MODEL_SEED, concurrency: int = 3, counts: dict | None = None, seconds: dict | None = None):
     """Fit each candidate on train, tune its threshold on validation only, rank.
 
-    Returns (best model, ranked results DataFrame with one row per candidate).
-    The assembled training features are persisted once for all fits; up to
-    ``concurrency`` fits run at the same time (Spark schedules jobs from
-    several threads; each fit is seeded, so results do not depend on it).
+    Returns (best model, ranked results DataFrame with one row per candidate). The training table is dealt and assembled
+    once and kept for all fits, up to ``concurrency`` of which run at the same time (each is seeded). All
+    forests then score the validation rows in one pass, and one sweep, split by candidate, tunes all thresholds. With ``counts``
+    ({label: rows} of train) both splits count as validated; ``seconds`` receives the time of each fit by name.
     """
     from concurrent.futures import ThreadPoolExecutor
 
-    rep = assert_valid(train, spec, "Training data")
-    assert_valid(validation, spec, "Validation data")
-    counts = {0: int(rep["negatives"]), 1: int(rep["positives"])}
-    assembler = VectorAssembler(inputCols=list(spec.features), outputCol="features")
-    feats = spread(assembler.transform(train.select(*spec.features, spec.label)).select("features", spec.label)) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    spark = train.sparkSession
-
-    def run(i: int):
-        cand = candidates[i]
-        params = {k: v for k, v in cand.items() if k != "name"}
-        forest = train_forest(feats, spec, seed=seed, counts=counts, validate=False, **params).stages[1]
-        model = PipelineModel(stages=[assembler, forest])
-        _, best = tune_threshold(ModelScorer(model, spec.features), validation, spec, validate=False)
-        r = best.first().asDict()
-        return model, (i, cand["name"], *[r[c] for c in M.SWEEP_COLUMNS])
+    if counts is None:
+        report = assert_valid(train, spec, "Training data")
+        assert_valid(validation, spec, "Validation data")
+        counts = {0: int(report["negatives"]), 1: int(report["positives"])}
+    vectors = fit_input(train, spec, sum(counts.values())).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def timed(candidate: dict) -> RandomForestClassificationModel:
+        began = time.monotonic()
+        forest = fit_forest(vectors, spec.label, counts, candidate, seed)
+        if seconds is not None:
+            seconds[candidate["name"]] = time.monotonic() - began
+        return forest
 
     try:
-        feats.count()
         with ThreadPoolExecutor(max_workers=max(1, concurrency)) as pool:
-            results = list(pool.map(run, range(len(candidates))))
+            forests = list(pool.map(timed, candidates))
     finally:
-        feats.unpersist()
-    models = [m for m, _ in results]
-    rows = [r for _, r in results]
-    schema = "candidate int, name string, threshold double, tp bigint, fp bigint, fn bigint, tn bigint, " \
-             "precision double, recall double, f1 double"
-    ranked = M.rank_candidates(spark.createDataFrame(rows, schema), "candidate")
-    best_idx = ranked.filter(F.col("rank") == 1).first()["candidate"]
-    return models[best_idx], ranked
+        vectors.unpersist()
+    models = [PipelineModel(stages=[assembler_for(spec), f]) for f in forests]
+    scored = validation.select(*spec.features, spec.label)
+    for i, model in enumerate(models):
+        scored = ModelScorer(model, spec.features).score(scored).withColumnRenamed(PROBABILITY, f"_rf_p{i}")
+    stacked = scored.select(spec.label, F.posexplode(F.array(*[F.col(f"_rf_p{i}") for i in range(len(models))])).alias("candidate", "score"))
+    groups = stacked.groupBy("candidate", "score").agg(F.count_if(F.col(spec.label) == 1).alias("positives"), F.count_if(F.col(spec.label) == 0).alias("negatives"))
+    best = M.select_threshold(M.threshold_sweep(groups, partition_by="candidate", unique_scores=True), partition_by=["candidate"])
+    names = F.array(*[F.lit(c["name"]) for c in candidates])
+    rows = best.select("candidate", names[F.col("candidate")].alias("name"), *M.SWEEP_COLUMNS).collect()  # one for each candidate
+    ranked = M.rank_candidates(train.sparkSession.createDataFrame(rows, best.select("candidate", F.lit("").alias("name"), *M.SWEEP_COLUMNS).schema), "candidate")
+    return models[ranked.where("rank = 1").first()["candidate"]], ranked
 
 
 # --- threshold table -------------------------------------------------------------
@@ -276,14 +285,14 @@ def write_threshold_table(table: DataFrame, path: str, mode: str = "errorifexist
 
 
 def load_selected_threshold(spark: SparkSession, path: str, model_uid: str, features: Sequence[str]) -> float:
-    """Selected threshold for this model and feature order; error if none."""
+    """The one selected threshold for this model and feature order; an error if there is none, or more than one."""
     t = spark.read.parquet(path)
     feats = F.array(*[F.lit(f) for f in features])
-    row = t.filter(F.col("selected") & (F.col("model_uid") == model_uid)
-                   & (F.col("feature_columns") == feats)).select("threshold").limit(2).collect()
-    if not row:
-        raise ValueError("no threshold saved for this model and feature order; rerun threshold tuning")
-    return check_threshold(row[0]["threshold"])
+    rows = t.filter(F.col("selected") & (F.col("model_uid") == model_uid)
+                    & (F.col("feature_columns") == feats)).select("threshold").limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"{'no' if not rows else 'more than one'} threshold is selected for this model and feature order; tune it again")
+    return check_threshold(rows[0]["threshold"])
 
 
 # --- run registry ----------------------------------------------------------------
@@ -317,10 +326,17 @@ def append_registry(entries: DataFrame, path: str) -> None:
     entries.write.mode("append").parquet(path)
 
 
+def run_status(spark: SparkSession, path: str, run_id: str) -> str | None:
+    """The latest status of a run, or None if the registry has none."""
+    row = spark.read.parquet(path).where((F.col("kind") == "status") & (F.col("run_id") == run_id)) \
+        .agg(F.max_by("name", F.struct("seq", "recorded_at")).alias("status")).first()
+    return row["status"]
+
+
 def completed_runs(spark: SparkSession, path: str) -> DataFrame:
     """Entries of runs whose latest status is ``completed`` (max_by over the status rows)."""
     reg = spark.read.parquet(path)
     latest = reg.filter(F.col("kind") == "status").groupBy("run_id") \
-        .agg(F.max_by("name", "seq").alias("status"))
+        .agg(F.max_by("name", F.struct("seq", "recorded_at")).alias("status"))
     done = latest.filter(F.col("status") == "completed").select("run_id")
     return reg.filter(F.col("kind") != "status").join(done, "run_id", "left_semi")

@@ -9,14 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rareflow.functions.columns import hash32
-from rareflow.operators.ordered import (
-    buckets_for, clean_edges, edge_sample, global_row_number, min_buckets, prefix_sum, quantile_accuracy,
-    quantile_probabilities,
-)
+from rareflow.functions.columns import hash32, hash60
+from rareflow.operators.ordered import first_rows, global_row_number
 from rareflow.operators.validate import counts_dict, require_both_classes_counts
 
 # Split seeds and held-out fractions (test first, then validation).
@@ -28,9 +25,14 @@ SPLITS = ("train", "validation", "test")
 def hash_split(df: DataFrame, key: Sequence[str], *, seeds: tuple[int, int] = (TEST_SEED, VALIDATION_SEED),
                fractions: tuple[float, float] = (TEST_FRACTION, VALIDATION_FRACTION),
                modulus: int = 100, out: str = "split", hasher: str = "md5") -> DataFrame:
-    """Stable nested split: test if ``h(seed0, k) % m >= m(1-f0)``, else validation by seed1, else train."""
-    t_cut = round(modulus * (1 - fractions[0]))
-    v_cut = round(modulus * (1 - fractions[1]))
+    """Stable nested split: test if ``h(seed0, k) % m >= m(1-f0)``, else validation by seed1, else train.
+
+    A fraction must be a whole number of ``1 / modulus`` parts; finer ones need a larger ``modulus``.
+    """
+    parts = [f * modulus for f in fractions]
+    if any(abs(x - round(x)) > 1e-6 or not 0 < round(x) < modulus for x in parts) or modulus > 1 << 24:
+        raise ValueError(f"fractions {fractions} are not whole parts of 1/{modulus}; choose another modulus (up to 2^24)")
+    t_cut, v_cut = (modulus - round(x) for x in parts)
     h_test = hash32(*key, seed=seeds[0], hasher=hasher) % modulus
     h_val = hash32(*key, seed=seeds[1], hasher=hasher) % modulus
     return df.withColumn(out, F.when(h_test >= t_cut, F.lit("test"))
@@ -44,16 +46,23 @@ def split_frames(tagged: DataFrame, col: str = "split") -> tuple[DataFrame, Data
 def nested_split(df: DataFrame, *, seeds: tuple[int, int] = (TEST_SEED, VALIDATION_SEED),
                  fractions: tuple[float, float] = (TEST_FRACTION, VALIDATION_FRACTION),
                  levels: int = 2) -> tuple[DataFrame, ...]:
-    """``randomSplit`` semantics: 80/20 by seed 42, then 80/20 of the first part by seed 43.
+    """Random split, 80/20 by one seed, then 80/20 of the first part by another.
 
-    Returns (train, validation, test), or (train, test) with ``levels=1``.
-    Depends on the input layout; use ``hash_split`` where rows must stay put.
+    Returns (train, validation, test), or (train, test) with ``levels=1``. The parts are filters of
+    one tagged table (two seeded random columns), so they cover the input whatever the layout. Which row
+    goes where does depend on the layout; use ``hash_split`` where rows must stay put.
     """
-    dev, test = df.randomSplit([1 - fractions[0], fractions[0]], seed=seeds[0])
-    if levels == 1:
-        return dev, test
-    train, val = dev.randomSplit([1 - fractions[1], fractions[1]], seed=seeds[1])
-    return train, val, test
+    tagged = random_tags(df, seeds=seeds, fractions=fractions, levels=levels)
+    names = SPLITS if levels > 1 else (SPLITS[0], SPLITS[2])
+    return tuple(tagged.where(F.col("split") == s).drop("split") for s in names)
+
+
+def random_tags(df: DataFrame, *, seeds: tuple[int, int] = (TEST_SEED, VALIDATION_SEED),
+                fractions: tuple[float, float] = (TEST_FRACTION, VALIDATION_FRACTION), levels: int = 2,
+                out: str = "split") -> DataFrame:
+    """``df`` with the part of each row in one pass."""
+    inner = F.when(F.rand(seeds[1]) < fractions[1], F.lit("validation")).otherwise(F.lit("train")) if levels > 1 else F.lit("train")
+    return df.withColumn(out, F.when(F.rand(seeds[0]) < fractions[0], F.lit("test")).otherwise(inner))
 
 
 def tag_splits(train: DataFrame, validation: DataFrame, test: DataFrame, out: str = "split") -> DataFrame:
@@ -89,10 +98,9 @@ def split_disjointness(source: DataFrame, parts: dict[str, DataFrame], key: Sequ
 
 def shuffle_rows(df: DataFrame, seed: int = 42) -> DataFrame:
     """Uniformly random row order: rows go to partitions by a random key and are sorted by it
-    inside each partition (one hash shuffle; no sampling job and no range sort)."""
+    inside each partition (one hash shuffle; as many partitions as the session's, or as AQE makes of them)."""
     r = "_rf_rand"
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.withColumn(r, F.rand(seed)).repartition(n, r).sortWithinPartitions(r).drop(r)
+    return df.withColumn(r, F.rand(seed)).repartition(r).sortWithinPartitions(r).drop(r)
 
 
 def balance_classes(df: DataFrame, label: str, seed: int = 42, shuffle: bool = True) -> DataFrame:
@@ -111,8 +119,8 @@ def balance_classes_exact(df: DataFrame, label: str, key: Sequence[str], seed: i
     require_both_classes_counts(counts, "data")
     m = min(counts.values())
     ranked = global_row_number(df, key, seed=seed, partition_by=[label], name="_rn",
-                               rows=max(counts.values()), partitions=len(counts), hasher=hasher)
-    return ranked.filter(F.col("_rn") <= m).drop("_rn")
+                               rows=max(counts.values()), hasher=hasher, limit=m)
+    return ranked.drop("_rn")
 
 
 def replicate_rows(df: DataFrame, times: int, copy_col: str | None = None) -> DataFrame:
@@ -126,7 +134,8 @@ def replicate_rows(df: DataFrame, times: int, copy_col: str | None = None) -> Da
 
 def sample_with_replacement(df: DataFrame, key: Sequence[str], count: int, seed: int = 42,
                             rows: int | None = None, hasher: str = "md5") -> DataFrame:
-    """``count`` seeded draws with replacement: draw i takes row ``h(seed, i) % n + 1``.
+    """``count`` seeded draws with replacement: draw i takes row ``h60(seed, i) % n + 1`` (a 60-bit hash,
+    so every row of any table can be drawn, and all alike).
 
     Rows are numbered in key-hash order (distributed), draws come from
     ``spark.range`` (distributed) and meet the rows in an equi-join.
@@ -138,38 +147,22 @@ def sample_with_replacement(df: DataFrame, key: Sequence[str], count: int, seed:
         raise ValueError("No transactions are available to send")
     ranked = global_row_number(df, key, name="_rn", rows=n, hasher=hasher)
     draws = df.sparkSession.range(count).select(
-        F.col("id").alias("draw"), (hash32("id", seed=seed, hasher=hasher) % F.lit(n) + 1).alias("_rn"))
+        F.col("id").alias("draw"), (hash60("id", seed=seed, hasher=hasher) % F.lit(n) + 1).alias("_rn"))
     return draws.join(ranked, "_rn").drop("_rn")
 
 
 def sequential_take(df: DataFrame, order_col: str, count: int) -> DataFrame:
-    """First ``count`` rows in ``order_col`` order (a non-null, unique column; rows that tie
-    are taken in no particular order); error if fewer rows exist.
-
-    Row positions come from a bucketed prefix count. One aggregate returns the row count,
-    the null check and first-cut bucket edges; a finer edge job runs only when the rows
-    outgrow those buckets (about two million rows each). No single task sees all rows.
+    """First ``count`` rows in ``order_col`` order, of any type that can be sorted; error if fewer rows exist
+    or the column has nulls. Rows that tie follow a hash of the whole row. No single task sees all rows.
     """
     if count <= 0:
         raise ValueError("Count must be a positive integer")
-    q0 = min_buckets(df.sparkSession)
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.count(order_col).alias("nonnull"),
-                 F.percentile_approx(edge_sample(order_col), quantile_probabilities(q0),
-                                     quantile_accuracy(q0)).alias("edges")).first()
-    n = row["n"]
-    if row["nonnull"] != n:
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.count(order_col).alias("nonnull")).first()
+    if row["nonnull"] != row["n"]:
         raise ValueError(f"{order_col} has nulls; sequential order needs a non-null column")
-    if count > n:
+    if count > row["n"]:
         raise ValueError("count cannot exceed the dataset row count in sequential mode")
-    edges = row["edges"]
-    q = buckets_for(n, minimum=q0)
-    if q > q0:  # more rows than the first-cut buckets hold: a finer edge job
-        edges = df.agg(F.percentile_approx(edge_sample(order_col), quantile_probabilities(q),
-                                           quantile_accuracy(q))).first()[0]
-    one = df.withColumn("_rf_one", F.lit(1))
-    numbered = prefix_sum(one, order_col, {"_rf_pos": "_rf_one"}, edges=clean_edges(edges or []),
-                          descending=False)
-    return numbered.filter(F.col("_rf_pos") <= count).drop("_rf_one", "_rf_pos")
+    return first_rows(df, [order_col], count)
 
 
 def random_row(df: DataFrame, seed: int = 42) -> DataFrame:
@@ -177,32 +170,15 @@ def random_row(df: DataFrame, seed: int = 42) -> DataFrame:
     return df.orderBy(F.rand(seed)).limit(1)
 
 
-LARGE_K = 100_000
-
-
-def top_k_per_class(df: DataFrame, label: str, order: Sequence[str], k: int, *,
-                    large_k: int = LARGE_K) -> DataFrame:
-    """First ``k`` rows of each class by ``order``.
+def top_k_per_class(df: DataFrame, label: str, order: Sequence[str], k: int) -> DataFrame:
+    """First ``k`` rows of each class (null is one) by ``order``, nulls first, ties by a hash of the whole row.
 
-    For a small ``k`` Spark plans a partial ``WindowGroupLimit`` before the shuffle, so each
-    task ships at most ``k`` rows per class. A large ``k`` no longer bounds anything, so with a
-    single (unique per class) order column the rows are numbered by a bucketed prefix count per
-    class instead, and no class goes through one task.
+    One way for every ``k``: portions of each class keep their first ``k`` rows, for which Spark plans a
+    partial ``WindowGroupLimit`` before the shuffle, and positions among those come from ranges of the order.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    if k > large_k and len(order) == 1:
-        col = order[0]
-        counts = df.groupBy(label).count().count()  # number of classes: bounds the offsets table
-        q = min_buckets(df.sparkSession)
-        edges = df.agg(F.percentile_approx(edge_sample(col), quantile_probabilities(q),
-                                           quantile_accuracy(q))).first()[0]
-        numbered = prefix_sum(df.withColumn("_rf_one", F.lit(1)), col, {"_rf_pos": "_rf_one"},
-                              edges=clean_edges(edges), descending=False, partition_by=[label],
-                              partitions=counts)
-        return numbered.filter(F.col("_rf_pos") <= k).drop("_rf_one", "_rf_pos")
-    w = Window.partitionBy(label).orderBy(*order)
-    return df.withColumn("_rf_rank", F.row_number().over(w)).filter(F.col("_rf_rank") <= k).drop("_rf_rank")
+    return first_rows(df, order, k, partition_by=[label], thin=True)
 
 
 def union_all(*frames: DataFrame) -> DataFrame:

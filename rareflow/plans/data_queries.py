@@ -135,15 +135,42 @@ def q_split_disjointness(spark, d):
     return S.split_disjointness(src, {"train": train, "validation": val, "test": test}, ["o_orderkey"])
 
 
-@register("nested_split")
+@register("nested_split", "with " + ORDERS_SQL + """
+select count(*) as rows, sum(o_orderkey::hugeint)::bigint as key_sum, 0::bigint as other_tags,
+       true as train_share_ok, true as validation_share_ok, true as test_share_ok
+from ol""")
 def q_nested_split(spark, d):
-    train, val, test = S.nested_split(orders_labelled(spark, d))
-    return S.tag_splits(train, val, test)
+    """Invariants of the random split: its parts cover the table, and their shares are near 64, 16 and 20 %."""
+    tagged = S.random_tags(orders_labelled(spark, d))
+    share = {s: F.count_if(F.col("split") == s) / F.count(F.lit(1)) for s in S.SPLITS}
+    near = {"train": 0.64, "validation": 0.16, "test": 0.20}
+    return tagged.agg(F.count(F.lit(1)).alias("rows"), F.sum("o_orderkey").cast("bigint").alias("key_sum"),
+                      F.count_if(~F.col("split").isin(*S.SPLITS)).alias("other_tags"),
+                      *[(F.abs(share[s] - near[s]) < 0.035).alias(f"{s}_share_ok") for s in S.SPLITS])
+
+
+@register("nested_split_two_parts", "with " + ORDERS_SQL + """
+select count(*) as source_rows, count(*) as part_rows, 0::bigint as overlapping_keys, 0::bigint as missing_keys, 0::bigint as extra_keys
+from ol""")
+def q_nested_split_two_parts(spark, d):
+    """The two-part form covers the table, and no key is in both parts."""
+    src = orders_labelled(spark, d)
+    train, test = S.nested_split(src, levels=1)
+    rep = S.split_disjointness(src, {"train": train, "test": test}, ["o_orderkey"])
+    return rep.select("source_rows", (F.col("train_rows") + F.col("test_rows")).alias("part_rows"), "overlapping_keys", "missing_keys", "extra_keys")
 
 
-@register("balance_classes")
+@register("balance_classes", "with " + TX_SQL + """
+select y2 as label, true as near_minority, true as all_known from tx group by y2""")
 def q_balance_classes(spark, d):
-    return S.balance_classes(tx(spark, d), "y2", seed=42)
+    """Invariants of Bernoulli balancing: each class is near the minority's size, and every row is one of the table's."""
+    t = tx(spark, d)
+    keys = t.select(*TX_KEY, F.lit(1).alias("known")).distinct()
+    least = min(V.counts_dict(t, "y2").values())
+    kept = S.balance_classes(t, "y2", seed=42).join(keys, list(TX_KEY), "left")
+    return kept.groupBy(F.col("y2").alias("label")).agg(
+        (F.abs(F.count(F.lit(1)) - least) <= 6 * F.sqrt(F.lit(float(least))) + 1).alias("near_minority"),
+        (F.count("known") == F.count(F.lit(1))).alias("all_known"))
 
 
 @register("balance_classes_exact", "with " + TX_SQL + f""",
@@ -163,7 +190,7 @@ def q_replicate_rows(spark, d):
 @register("sample_with_replacement", f"""
 with n as (select count(*) as n from orders),
 r as (select *, row_number() over (order by {md5_hash_sql('o_orderkey')}, o_orderkey) as rn from orders),
-dr as (select range as draw, {md5_hash_sql('range', seed=7)} % (select n from n) + 1 as rn
+dr as (select range as draw, {md5_hash_sql('range', seed=7, digits=15)} % (select n from n) + 1 as rn
        from range((select n from n)))
 select dr.draw, r.* exclude (rn) from dr join r using (rn)""")
 def q_sample_with_replacement(spark, d):
@@ -172,6 +199,16 @@ def q_sample_with_replacement(spark, d):
     return S.sample_with_replacement(o, ["o_orderkey"], n, seed=7, rows=n)
 
 
+@register("top_k_large", "with " + TX_SQL + f"""
+select {TX_COLS} from (select *, row_number() over (partition by y2 order by {', '.join(TX_KEY)}) as rk,
+                              count(*) over (partition by y2) as n from tx)
+where rk <= (select count(*) // 3 from tx)""")
+def q_top_k_large(spark, d):
+    """The same operator where k is a third of the table."""
+    t = tx(spark, d)
+    return S.top_k_per_class(t, "y2", TX_KEY, t.count() // 3)
+
+
 @register("sequential_take", """
 select * exclude (rn) from (select *, row_number() over (order by o_orderkey) as rn from orders)
 where rn <= (select count(*) // 2 from orders)""")
@@ -180,9 +217,13 @@ def q_sequential_take(spark, d):
     return S.sequential_take(o, "o_orderkey", o.count() // 2)
 
 
-@register("random_row")
+@register("random_row", "select 1::bigint as rows, 1::bigint as known")
 def q_random_row(spark, d):
-    return S.random_row(tx(spark, d), seed=42)
+    """One row comes, and it is one of the table's."""
+    o = orders_labelled(spark, d)
+    picked = S.random_row(o, seed=42).select("o_orderkey")
+    return picked.join(o.select("o_orderkey", F.lit(1).alias("known")), "o_orderkey", "left").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("known").alias("known"))
 
 
 @register("top_k_per_class", "with " + TX_SQL + f"""

@@ -131,7 +131,7 @@ from sc where status = 'scored'""")
 def q_response_time_stats(spark, d):
     """Running count and mean response time over the scored stream (complete mode)."""
     base, inp = staged_input(spark, d)
-    scored = _stream_scored(spark, inp, max_files=1).filter(F.col("status") == "scored")
+    scored = _stream_scored(spark, inp).filter(F.col("status") == "scored")
     stats = E.response_time_stats(E.response_time(scored, processing_time=F.lit(PROCESSING_TIME)))
     res = _complete(spark, stats, base)
     return res.select("rows", F.round("avg_response_time", 6).alias("avg_response_time"))
@@ -169,8 +169,8 @@ def stage_ev(spark, d) -> str:
 
 
 def add_part(spark, base: str, part: int) -> None:
-    """Append one staged part to the stream input folder (new files for the next run)."""
-    spark.read.parquet(f"{base}/staged/_f={part}").write.mode("append").parquet(f"{base}/input")
+    """Move one staged part into the stream's input folder (new files for the next run, not written again)."""
+    ST.move(spark, f"{base}/staged/_f={part}", f"{base}/input/_f={part}")
 
 
 def staged_input(spark, d, parts=range(STAGED_PARTS)) -> tuple[str, str]:
@@ -194,7 +194,7 @@ def _stream_config(out):
 def q_run_stream(spark, d):
     base, inp = staged_input(spark, d)
     out = f"{base}/out"
-    q = ST.sink_predictions(_stream_scored(spark, inp, max_files=1), out, available_now=False,
+    q = ST.sink_predictions(_stream_scored(spark, inp), out, available_now=False,
                             trigger_seconds=0.5)
     ST.run_stream(q, drain=True)  # processing-time trigger: drain what is there, then stop
     return scored_view(ST.read_predictions(spark, out, ST.prediction_schema(["value"])))
@@ -234,20 +234,41 @@ def q_restart_idempotence(spark, d):
 
 @register("batch_progress", "select count(*)::bigint as input_rows from events")
 def q_batch_progress(spark, d):
-    """Input rows summed over the progress reports of a run capped at one file per batch."""
+    """Input rows summed over the reports of all micro-batches of a run with a small input cap."""
     base, inp = staged_input(spark, d)
-    out = f"{base}/out"
-    prog = ST.run_stream(ST.sink_predictions(_stream_scored(spark, inp, max_files=1), out))
-    per_batch = ST.batch_progress(spark, prog)
-    if per_batch.count() < 2:
-        raise RuntimeError("expected several micro-batches with one file per trigger")
+    with ST.recording(spark) as seen:
+        ST.run_stream(ST.sink_predictions(_stream_scored(spark, inp, max_files=2), f"{base}/out"))
+    per_batch = ST.batch_progress(spark, seen.events)
+    if len(seen.events) < 2:
+        raise RuntimeError("expected several micro-batches with a cap on files")
     return per_batch.agg(F.sum("input_rows").cast("bigint").alias("input_rows"))
 
 
+@register("batch_timestamp", "select count(*)::bigint as rows, 0::bigint as without_timestamp, true as one_per_batch from events")
+def q_batch_timestamp(spark, d):
+    """Every prediction has its micro-batch's start, the same for all rows of a batch."""
+    base, inp = staged_input(spark, d)
+    with ST.recording(spark) as seen:
+        ST.run_stream(ST.sink_predictions(_stream_scored(spark, inp, max_files=2), f"{base}/out"))
+    rows = ST.read_predictions(spark, f"{base}/out", ST.prediction_schema(["value"]))
+    return rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("BatchTimestamp").isNull()).alias("without_timestamp"),
+                    (F.count_distinct("BatchTimestamp") == len(seen.events)).alias("one_per_batch"))
+
+
+@register("processing_time_windows", "select count(*)::bigint as rows, true as aligned, true as recent from events")
+def q_processing_time_windows(spark, d):
+    """Throughput by arrival: the windows count every event once, are an hour long, and lie in the last day."""
+    base, inp = staged_input(spark, d)
+    res = _complete(spark, ST.processing_time_windows(ST.file_source(spark, inp), "1 hour"), base)
+    hour = F.col("window_end") - F.col("window_start") == F.expr("interval 1 hour")
+    near = F.abs(F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp(F.col("window_start").cast("timestamp"))) < 86400
+    return res.agg(F.sum("n").cast("bigint").alias("rows"), F.every(hour).alias("aligned"), F.every(near).alias("recent"))
+
+
 def _complete(spark, agg, base):
     """Run a complete-mode aggregate to a Parquet table in the work folder and read it back."""
     ST.run_stream(ST.sink_complete(agg, f"{base}/result", f"{base}/result-checkpoint"))
-    return spark.read.parquet(f"{base}/result")
+    return ST.read_complete(spark, f"{base}/result")
 
 
 @register("throughput_windows", """

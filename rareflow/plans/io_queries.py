@@ -67,9 +67,23 @@ def q_write_sweep(spark, d):
     return FS.read_csv(spark, path, sweep.schema)
 
 
+FINGERPRINT_COLS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+ROW_TEXT_SQL = " || ".join(f"case when {c} is null then 'n;' else length({c}::varchar) || ':' || {c}::varchar || ';' end" for c in FINGERPRINT_COLS)
+
+
 @register("table_fingerprint", f"""
-with h as (select {md5_hash_sql('o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate',
-                                'o_orderpriority')} as h from orders)
-select count(*) as rows, sum(h // 65536)::bigint as hash_high, sum(h % 65536)::bigint as hash_low from h""")
+with r as (select {ROW_TEXT_SQL} as r from orders)
+select count(*) as rows, sum(({md5_hash_sql('r', seed=0, digits=15)})::hugeint)::varchar as hash_one,
+       sum(({md5_hash_sql('r', seed=1, digits=15)})::hugeint)::varchar as hash_two from r""")
 def q_table_fingerprint(spark, d):
-    return FS.table_fingerprint(table(spark, d, "orders"))
+    return FS.table_fingerprint(table(spark, d, "orders"), FINGERPRINT_COLS)
+
+
+@register("write_split_overwrite", "with " + TX_SQL + f" select {', '.join(CSV_COLS)} from tx where y2 = 1")
+def q_write_split_overwrite(spark, d):
+    """A split written over another one holds the new rows only."""
+    path = work_path(spark, "split")
+    rows = tx(spark, d).select(*CSV_COLS, "y2")
+    FS.write_split(rows.where("y2 = 0").select(*CSV_COLS), path)
+    FS.write_split(rows.where("y2 = 1").select(*CSV_COLS), path, overwrite=True)
+    return FS.scan_parquet(spark, path)

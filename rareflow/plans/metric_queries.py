@@ -82,9 +82,7 @@ select count(*) as groups,
        sum(positives)::bigint as positives, sum(negatives)::bigint as negatives
 from g""")
 def q_check_scores(spark, d):
-    groups = _groups(spark, d)
-    M.check_scores(groups)
-    return M.score_report(groups)
+    return M.checked_report(_groups(spark, d))
 
 
 @register("threshold_sweep", SWEEP_SQL + f" select {SWEEP_COLS} from m")
@@ -165,7 +163,7 @@ pr as (select p, pp,
 select round(sum(p::double * (prec + coalesce(prev, prec)) / 2.0::double / pp::double), 9) as auprc
 from pr""")
 def q_auprc(spark, d):
-    return M.auprc(_groups(spark, d), unique_scores=True, materialize=True) \
+    return M.auprc(_groups(spark, d), unique_scores=True) \
         .select(F.round("auprc", 9).alias("auprc"))
 
 
@@ -202,8 +200,7 @@ select candidate, {SWEEP_COLS},
        (row_number() over (order by f1 desc, recall desc, precision desc, candidate asc))::int as rank
 from best""")
 def q_rank_candidates(spark, d):
-    sweep = M.threshold_sweep(_candidates(spark, d), partition_by="candidate", unique_scores=True,
-                              materialize=True)
+    sweep = M.threshold_sweep(_candidates(spark, d), partition_by="candidate", unique_scores=True)
     best = M.select_threshold(sweep, partition_by=["candidate"])
     return M.rank_candidates(best, "candidate")
 

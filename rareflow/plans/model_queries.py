@@ -1,9 +1,9 @@
 """Queries for model operators (tx view, learnable label y2) and run tables.
 
-Forest fits are not reproducible across engines, so fit, score and search
-queries have no SQL twin (rows-only). Evaluation runs with an expression
-scorer, so it has one, as do the model-free parts: assembly, threshold table,
-run registry, save/load parity and event publishing.
+A forest's probabilities are not reproducible across engines, so the queries that
+fit one return what must hold whatever the trees are (rows covered, metrics that
+follow from counts, ranks that follow from metrics), which SQL can state. Evaluation
+also runs with an expression scorer, whose result SQL gives in full.
 """
 
 from __future__ import annotations
@@ -25,13 +25,20 @@ TX_SPLIT_SQL = f"""case when {md5_hash_sql(*TX_KEY, seed=42)} % 100 >= 80 then '
             when {md5_hash_sql(*TX_KEY, seed=43)} % 100 >= 80 then 'validation' else 'train' end"""
 
 
+#: Trees of the fits whose forest is only a means to an end; the fit and search queries use the full settings.
+FEW_TREES = 20
+
+
 def _splits(spark, d):
-    return S.split_frames(S.hash_split(tx(spark, d), TX_KEY))
+    """Train, validation and test from one written table: the hash split is computed once for all that a query does with it."""
+    path = work_path(spark, "splits")
+    S.hash_split(tx(spark, d), TX_KEY).write.partitionBy("split").parquet(path)
+    return S.split_frames(spark.read.parquet(path))
 
 
-def _fit(spark, d):
+def _fit(spark, d, **settings):
     train, val, test = _splits(spark, d)
-    return MD.train_forest(train, TX_SPEC2), (train, val, test)
+    return MD.train_forest(train, TX_SPEC2, **settings), (train, val, test)
 
 
 @register("assemble", "with " + TX_SQL + """
@@ -44,28 +51,60 @@ def q_assemble(spark, d):
     return v.select(*TX_KEY, *[a[i].alias(f"f{i}") for i in range(len(TX_FEATURES))])
 
 
-@register("train_forest")
+@register("train_forest", "with " + TX_SQL + f"""
+select y2 as label, count(*) as rows, 100 as trees, true as sound from tx where {TX_SPLIT_SQL} = 'train' group by y2""")
 def q_train_forest(spark, d):
-    """Fit on the train split, then score that split: rows and mean probability per class."""
+    """Fit on the train split, then score that split: rows per class, trees, and probabilities that favour the right class."""
     model, (train, _, _) = _fit(spark, d)
-    forest = model.stages[1]
     scored = MD.score_table(model, train, TX_SPEC2)
-    return scored.groupBy(F.col("y2").alias("label")).agg(
-        F.count(F.lit(1)).alias("rows"), F.avg("fraud_probability").alias("mean_probability"),
-        F.lit(forest.getNumTrees).alias("trees"), F.lit(forest.totalNumNodes).alias("nodes"))
+    p, y = F.col("fraud_probability"), F.col("y2")
+    return scored.groupBy(y.alias("label")).agg(
+        F.count(F.lit(1)).alias("rows"), F.lit(model.stages[1].getNumTrees).alias("trees"),
+        (F.every(p.between(0, 1)) & ((F.avg(p) > 0.5) == (F.max(y) == 1))).alias("sound"))
 
 
-@register("score_table")
+@register("score_table", "with " + TX_SQL + f"""
+select l_linenumber, y2, count(*) as rows, count(*) as in_range, sum(l_orderkey::hugeint)::bigint as order_sum
+from tx where {TX_SPLIT_SQL} = 'test' group by l_linenumber, y2""")
 def q_score_table(spark, d):
-    model, (_, _, test) = _fit(spark, d)
-    return MD.score_table(model, test, TX_SPEC2, keep=TX_KEY)
+    """Every test row is scored once, keeps its key, and has a probability."""
+    model, (_, _, test) = _fit(spark, d, num_trees=FEW_TREES)
+    scored = MD.score_table(model, test, TX_SPEC2, keep=TX_KEY)
+    return scored.groupBy("l_linenumber", "y2").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("fraud_probability").between(0, 1)).alias("in_range"),
+        F.sum("l_orderkey").cast("bigint").alias("order_sum"))
+
+
+CANDIDATE_NAMES = ", ".join(f"({i}, '{c['name']}')" for i, c in enumerate(MD.CANDIDATES))
 
 
-@register("search_candidates")
+@register("search_candidates", "with " + TX_SQL + f""",
+v as (select count(*) filter (where y2 = 1) as positives, count(*) as rows from tx where {TX_SPLIT_SQL} = 'validation')
+select c.candidate, c.name, v.positives, v.rows, true as f1_agrees, true as rank_agrees
+from (values {CANDIDATE_NAMES}) c(candidate, name), v""")
 def q_search_candidates(spark, d):
+    """Each candidate's counts cover the validation rows, its F1 is that of its counts, and ranks follow F1, recall, precision."""
     train, val, _ = _splits(spark, d)
     _, ranked = MD.search_candidates(train, val, TX_SPEC2)
-    return ranked
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    rows = [r.asDict() for r in ranked.collect()]  # six rows
+    order = sorted(rows, key=lambda r: (-r["f1"], -r["recall"], -r["precision"], r["candidate"]))
+    place = F.create_map(*[F.lit(x) for i, r in enumerate(order, start=1) for x in (r["candidate"], i)])
+    return ranked.select("candidate", "name", (tp + fn).alias("positives"), (tp + fp + fn + tn).alias("rows"),
+                         (F.abs(F.col("f1") - 2 * tp / (2 * tp + fp + fn)) < 1e-12).alias("f1_agrees"),
+                         (F.col("rank") == place[F.col("candidate")]).alias("rank_agrees"))
+
+
+@register("evaluate_forest", "with " + TX_SQL + f"""
+select count(*) filter (where y2 = 1) as positives, count(*) filter (where y2 = 0) as negatives, true as metrics_agree
+from tx where {TX_SPLIT_SQL} = 'test'""")
+def q_evaluate_forest(spark, d):
+    """Held-out evaluation of a forest: its cells cover the test rows, and its metrics are those of its cells."""
+    model, (_, _, test) = _fit(spark, d, num_trees=FEW_TREES)
+    out = MD.evaluate_model(model, test, TX_SPEC2, 0.5)
+    tp, fp, fn = (F.col(c).cast("double") for c in ("tp", "fp", "fn"))
+    agree = (F.abs(F.col("precision") * (tp + fp) - tp) < 1e-6) & (F.abs(F.col("recall") * (tp + fn) - tp) < 1e-6) & F.col("auprc").between(0, 1 + 1e-9)
+    return out.select((F.col("tp") + F.col("fn")).alias("positives"), (F.col("fp") + F.col("tn")).alias("negatives"), agree.alias("metrics_agree"))
 
 
 @register("evaluate_model", "with " + TX_SQL + f""",
@@ -108,7 +147,7 @@ def q_model_roundtrip(spark, d):
     """Save, load, and score the test split with both: every row equal."""
     from rareflow.streaming.events import score_parity
 
-    model, (_, _, test) = _fit(spark, d)
+    model, (_, _, test) = _fit(spark, d, num_trees=FEW_TREES)
     path = work_path(spark, "model")
     MD.save_model(model, path)
     loaded = MD.load_model(path, TX_FEATURES)

@@ -24,10 +24,10 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
-def md5_hash_sql(*parts: str, seed: int | str | None = None) -> str:
-    """SQL twin of ``rareflow.functions.columns.hash32``."""
+def md5_hash_sql(*parts: str, seed: int | str | None = None, digits: int = 8) -> str:
+    """SQL twin of ``rareflow.functions.columns.hash32`` (8 digits) and ``hash60`` (15)."""
     items = ([f"'{seed}'"] if seed is not None else []) + [f"cast({p} as varchar)" for p in parts]
-    return f"('0x' || substr(md5(concat_ws(':', {', '.join(items)})), 1, 8))::bigint"
+    return f"('0x' || substr(md5(concat_ws(':', {', '.join(items)})), 1, {digits}))::bigint"
 
 
 def load_all() -> None:

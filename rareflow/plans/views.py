@@ -29,10 +29,7 @@ EV_FEATURES = ("value", "user_id")
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     from rareflow.sources.files import scan_parquet
 
-    return scan_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet", spread=SPREAD)
-
-
-SPREAD = False  # plain scans: an extra shuffle costs more than it saves (measured at sf0.1)
+    return scan_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def tx_score() -> F.Column:

@@ -8,7 +8,7 @@
 ``publish_run`` the test split as events (sequential or seeded draws) to Kafka.
 
 All folders are below ``run_dir`` (a shared file system path on a cluster); the registry is an
-append-only Parquet table whose readers only see runs whose latest status is ``completed``.
+append-only Parquet table; whoever reads a run checks there that its latest status is ``completed``.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from rareflow.streaming import stream as ST
 
 def _paths(run_dir: str) -> dict:
     r = run_dir.rstrip("/")
-    return {k: f"{r}/{k}" for k in ("splits", "model", "thresholds", "sweep_csv", "candidates")}
+    return {k: f"{r}/{k}" for k in ("splits", "model", "tunings", "candidates", "about")}
 
 
 def read_split(spark: SparkSession, run_dir: str, name: str) -> DataFrame:
@@ -41,66 +41,125 @@ def read_split(spark: SparkSession, run_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(_paths(run_dir)["splits"]).filter(F.col("split") == name).drop("split")
 
 
+class _Record:
+    """Appends a run's entries to the registry, numbered in the order they come."""
+
+    def __init__(self, spark: SparkSession, registry: str, run_id: str, seq: int = 0):
+        self.spark, self.registry, self.run_id, self.seq = spark, registry, run_id, seq
+
+    def __call__(self, kind: str, rows: DataFrame | None = None, **about) -> None:
+        MD.append_registry(MD.registry_rows(self.spark, self.run_id, self.seq, kind, rows, **about), self.registry)
+        self.seq += 1
+
+
 def train_run(spark: SparkSession, data: DataFrame, spec: FeatureSpec, run_dir: str, registry: str, *,
               candidates=MD.CANDIDATES, search: bool = True, run_id: str | None = None,
               hasher: str = "md5") -> dict:
-    """Train, tune on validation only, and persist a complete run; failures are recorded as such."""
+    """Train, tune on validation only, and persist a complete run; failures are recorded as such.
+
+    The registry gets the data's fingerprint and row accounting, the split's settings and class counts, each
+    candidate's settings, class weights, fit seconds and results, the one chosen, the model, and the status.
+    """
     if not spec.key:
         raise ValueError("a key is required for a stable split")
-    run_id = run_id or uuid.uuid4().hex[:12]
     p = _paths(run_dir)
-    MD.append_registry(MD.registry_rows(spark, run_id, 0, "status", name="running"), registry)
+    record = _Record(spark, registry, run_id or uuid.uuid4().hex[:12])
+    record("status", name="running")
     try:
+        prints = FS.table_fingerprint(data, spec.with_key()).first()
+        record("fingerprint", name=f"{prints['hash_one']}:{prints['hash_two']}", values={"rows": prints["rows"]})
+        record("rows", name="data", values=V.row_accounting(data, spec).first().asDict())
         cleaned = V.clean_rows(data, spec, "Cleaned dataset")
         # one pass writes all three splits (partitioned by split); refuses to overwrite a run
         S.hash_split(cleaned, spec.key, hasher=hasher).write.partitionBy("split").mode("errorifexists").parquet(p["splits"])
         train, val = read_split(spark, run_dir, "train"), read_split(spark, run_dir, "validation")
-        counts = S.split_class_counts(spark.read.parquet(p["splits"]), spec.label) \
-            .withColumnRenamed("split", "name")
-        MD.append_registry(MD.registry_rows(spark, run_id, 1, "split_counts", counts, metric_cols=["n"]), registry)
-        MD.append_registry(MD.registry_rows(spark, run_id, 1, "config", name="split", values={
+        counts = S.split_class_counts(spark.read.parquet(p["splits"]), spec.label).withColumnRenamed("split", "name")
+        record("split_counts", counts, metric_cols=["n"])
+        known = {(r["name"], int(r["label"])): int(r["n"]) for r in counts.collect()}  # six rows at most
+        for split in S.SPLITS:
+            V.require_both_classes_counts({y: known.get((split, y), 0) for y in (0, 1)}, f"the {split} split")
+        record("config", name="split", values={
             "test_seed": S.TEST_SEED, "validation_seed": S.VALIDATION_SEED, "test_fraction": S.TEST_FRACTION,
-            "validation_fraction": S.VALIDATION_FRACTION, "model_seed": MD.MODEL_SEED}), registry)
-        chosen = list(candidates) if search else list(candidates)[:1]
-        model, ranked = MD.search_candidates(train, val, spec, chosen)
+            "validation_fraction": S.VALIDATION_FRACTION, "model_seed": MD.MODEL_SEED})
+        chosen, seconds = (list(candidates) if search else list(candidates)[:1]), {}
+        of_train = {y: known["train", y] for y in (0, 1)}
+        model, ranked = MD.search_candidates(train, val, spec, chosen, counts=of_train, seconds=seconds)
         ranked.write.parquet(p["candidates"])
-        MD.append_registry(MD.registry_rows(spark, run_id, 2, "candidates", ranked, metric_cols=[
-            "threshold", "precision", "recall", "f1", "rank"]), registry)
+        for c in chosen:
+            weights = V.training_class_weights(of_train, c["weighting"])
+            record("candidate_settings", name=c["name"], values={
+                **{k: v for k, v in c.items() if k not in ("name", "weighting")}, "weight_0": weights[0], "weight_1": weights[1],
+                "fit_seconds": seconds[c["name"]]})
+        record("candidates", ranked, metric_cols=["threshold", "precision", "recall", "f1", "rank"])
+        record("chosen", name=ranked.where("rank = 1").first()["name"])
         MD.save_model(model, p["model"])
-        MD.append_registry(MD.registry_rows(spark, run_id, 2, "model", name=model.stages[1].uid), registry)
-        summary = _tune(spark, model, val, spec, p)
-        MD.append_registry(MD.registry_rows(spark, run_id, 3, "status", name="completed"), registry)
-        return dict(run_id=run_id, **summary)
-    except Exception:
-        MD.append_registry(MD.registry_rows(spark, run_id, 3, "status", name="failed"), registry)
+        record("model", name=model.stages[1].uid)
+        spark.createDataFrame([(record.run_id, registry)], "run_id string, registry string").coalesce(1).write.parquet(p["about"])
+        summary = _tune(spark, model, val, spec, p, record)
+        record("status", name="completed")
+        return dict(run_id=record.run_id, **summary)
+    except Exception as error:
+        record("error", name=f"{type(error).__name__}: {error}"[:2000])
+        record("status", name="failed")
         raise
 
 
-def _tune(spark, model, validation, spec, p, overwrite: bool = False) -> dict:
-    scorer = MD.ModelScorer(model, spec.features)
-    sweep, best = MD.tune_threshold(scorer, validation, spec)
-    table = MD.threshold_table(sweep, scorer.uid, spec.features)
-    MD.write_threshold_table(table, p["thresholds"], mode="overwrite" if overwrite else "errorifexists")
-    stored = spark.read.parquet(p["thresholds"])
-    FS.write_sweep(stored.select(*M.SWEEP_COLUMNS), p["sweep_csv"] + ("-retuned" if overwrite else ""))
-    sel = stored.filter("selected").first()
+def _tune(spark, model, validation, spec, p, record: _Record, number: int = 1) -> dict:
+    """Write the threshold table and the sweep file of one tuning to a folder of their own; the registry
+    entry that makes readers use them comes last."""
+    scorer, folder = MD.ModelScorer(model, spec.features), f"{p['tunings']}/{number}"
+    sweep, _ = MD.tune_threshold(scorer, validation, spec, validate=False)
+    MD.write_threshold_table(MD.threshold_table(sweep, scorer.uid, spec.features), f"{folder}/thresholds")
+    stored = spark.read.parquet(f"{folder}/thresholds")
+    FS.write_sweep(stored.select(*M.SWEEP_COLUMNS), f"{folder}/sweep_csv")
+    selected = stored.filter("selected").first()
     base = stored.filter(F.col("threshold") == 0.5).first()
-    return dict(model_uid=scorer.uid, threshold=sel["threshold"], selected=sel.asDict(),
+    record("tuning", name=str(number), values={"threshold": selected["threshold"]})
+    return dict(model_uid=scorer.uid, threshold=selected["threshold"], selected=selected.asDict(),
                 baseline=base.asDict() if base else None)
 
 
-def tune_run(spark: SparkSession, run_dir: str, spec: FeatureSpec) -> dict:
-    """Re-select the threshold of a finished run from its saved validation split."""
+def _entries(spark: SparkSession, run_dir: str) -> tuple[str, str, DataFrame]:
+    """(run id, registry, entries) of a run that is completed; anything else is refused."""
     p = _paths(run_dir)
-    model = MD.load_model(p["model"], spec.features)
-    return _tune(spark, model, read_split(spark, run_dir, "validation"), spec, p, overwrite=True)
+    if not ST.path_exists(spark, p["about"]):
+        raise ValueError(f"{run_dir} holds no finished training run")
+    about = spark.read.parquet(p["about"]).first()
+    status = MD.run_status(spark, about["registry"], about["run_id"])
+    if status != "completed":
+        raise ValueError(f"run {about['run_id']} is {status or 'not recorded'}, not completed")
+    entries = MD.completed_runs(spark, about["registry"]).where(F.col("run_id") == about["run_id"])
+    return about["run_id"], about["registry"], entries
+
+
+def _last_tuning(entries: DataFrame) -> tuple[int, int]:
+    """Number of the last tuning and the number of its registry entry."""
+    row = entries.where("kind = 'tuning'").agg(F.max(F.col("name").cast("int")).alias("n"), F.max("seq").alias("seq")).first()
+    return row["n"], row["seq"]
+
+
+def tune_run(spark: SparkSession, run_dir: str, spec: FeatureSpec) -> dict:
+    """Re-select the threshold of a completed run from its saved validation split, any number of times. Readers
+    use the new table and sweep file together once both are written."""
+    run_id, registry, entries = _entries(spark, run_dir)
+    p, (number, _) = _paths(run_dir), _last_tuning(entries)
+    while ST.path_exists(spark, f"{p['tunings']}/{number + 1}"):  # left by a tuning that broke off
+        number += 1
+    record = _Record(spark, registry, run_id, entries.agg(F.max("seq")).first()[0] + 2)
+    return _tune(spark, MD.load_model(p["model"], spec.features), read_split(spark, run_dir, "validation"), spec, p, record, number + 1)
 
 
 def load_run_threshold(spark: SparkSession, run_dir: str, spec: FeatureSpec) -> tuple:
+    """(model, scorer, threshold) of a completed run whose model and feature order are those it recorded."""
+    _, _, entries = _entries(spark, run_dir)
     p = _paths(run_dir)
     model = MD.load_model(p["model"], spec.features)
     scorer = MD.ModelScorer(model, spec.features)
-    return model, scorer, MD.load_selected_threshold(spark, p["thresholds"], scorer.uid, spec.features)
+    recorded = entries.where("kind = 'model'").agg(F.max_by("name", "seq").alias("uid")).first()["uid"]
+    if recorded != scorer.uid:
+        raise ValueError(f"the model in {run_dir} is {scorer.uid}; the run recorded {recorded}")
+    table = f"{p['tunings']}/{_last_tuning(entries)[0]}/thresholds"
+    return model, scorer, MD.load_selected_threshold(spark, table, scorer.uid, spec.features)
 
 
 def evaluate_run(spark: SparkSession, run_dir: str, spec: FeatureSpec, threshold: float | None = None) -> DataFrame:
@@ -175,6 +234,7 @@ def run_events(spark: SparkSession, run_dir: str, spec: FeatureSpec, *, count: i
     """Kafka records for ``count`` events drawn from a run's test split (sequential or seeded)."""
     if not rate > 0 or rate != rate or rate == float("inf"):
         raise ValueError("Rate must be finite and greater than 0")
+    _entries(spark, run_dir)
     test = read_split(spark, run_dir, "test")
     rows = V.assert_valid(test, spec, "Producer test data", require_both_classes=False)["rows"]
     if not rows:
@@ -184,8 +244,7 @@ def run_events(spark: SparkSession, run_dir: str, spec: FeatureSpec, *, count: i
         if count > rows:
             raise ValueError("count cannot exceed the dataset row count with sequential")
         ranked = test.select(*spec.with_key())
-        picked = global_row_number(ranked, key, name="_i", rows=rows).filter(F.col("_i") <= count) \
-            .withColumn("draw", F.col("_i") - 1)
+        picked = global_row_number(ranked, key, name="_i", rows=rows, limit=count).withColumn("draw", F.col("_i") - 1)
     else:
         picked = S.sample_with_replacement(test.select(*spec.with_key()), key, count, seed,
                                            rows=rows)

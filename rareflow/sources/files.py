@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rareflow.functions.columns import hash32
+from rareflow.functions.columns import hash60, row_text
 from rareflow.spec import check_schema
 
 
@@ -32,23 +32,9 @@ def scan_csv_cast(spark: SparkSession, path: str, numeric: Sequence[str]) -> Dat
     return df.select(*[F.col(c).try_cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
-def scan_parquet(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
-    """Parquet scan (pruning and pushdown by Catalyst). With ``spread``, an input that yields
-    fewer scan partitions than cores (a file of one row group cannot be split) is repartitioned
-    to the cores, so per-row work is not one task; a large input is left as it is."""
-    df = spark.read.parquet(path)
-    return spread_partitions(df) if spread else df
-
-
-def spread_partitions(df: DataFrame) -> DataFrame:
-    """Repartition to the default parallelism when the input has fewer partitions (metadata
-    only, no job); left as is where the partition count is not available (Spark Connect)."""
-    try:
-        want = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD access in this session type
-        return df
-    return df.repartition(want) if have < want else df
+def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet scan (pruning and pushdown by Catalyst)."""
+    return spark.read.parquet(path)
 
 
 def write_split(df: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -64,17 +50,10 @@ def write_csv_versioned(df: DataFrame, prefix: str, version: int, now: dt.dateti
     return path
 
 
-def write_sweep(sweep: DataFrame, path: str, single_file_max_rows: int = 1_000_000) -> None:
-    """Sweep as CSV with header, ascending threshold.
-
-    Range-partitioned sort for big sweeps (continuous scores); one file only
-    when the sweep is known to be small (forest scores have few distinct values).
-    """
-    ordered = sweep.orderBy("threshold")
-    n = sweep.count()
-    if n <= single_file_max_rows:
-        ordered = ordered.coalesce(1)
-    ordered.write.option("header", True).mode("errorifexists").csv(path)
+def write_sweep(sweep: DataFrame, path: str) -> None:
+    """Sweep as CSV with header, ascending threshold over the files in the order of their names: a
+    range-partitioned sort, of which AQE makes one file where the sweep is small."""
+    sweep.orderBy("threshold").write.option("header", True).mode("errorifexists").csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -82,13 +61,14 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> Data
 
 
 def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None, hasher: str = "md5") -> DataFrame:
-    """Order-insensitive fingerprint: row count and the sum of 32-bit row hashes, split in two
-    bigint halves (high and low 16 bits) so the sums cannot overflow at any table size."""
-    cols = list(columns or df.columns)
-    h = hash32(*cols, hasher=hasher)
-    return df.agg(F.count(F.lit(1)).alias("rows"),
-                  F.sum(F.floor(h / F.lit(65536))).cast("bigint").alias("hash_high"),
-                  F.sum(h % F.lit(65536)).cast("bigint").alias("hash_low"))
+    """Order-insensitive fingerprint: row count and the sums of two 60-bit halves of each row's hash.
+
+    A row is hashed with the length of every value and a mark for null, so values can't move between columns
+    unnoticed; sums are decimals and exact at any size.
+    """
+    row = row_text(*list(columns or df.columns))
+    total = [F.sum(hash60(row, seed=i, hasher=hasher).cast("decimal(38,0)")).cast("string").alias(n) for i, n in enumerate(("hash_one", "hash_two"))]
+    return df.agg(F.count(F.lit(1)).alias("rows"), *total)
 
 
 def file_sha256(spark: SparkSession, path: str, glob_filter: str | None = None) -> DataFrame:

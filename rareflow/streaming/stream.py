@@ -4,7 +4,9 @@ output binding, progress, and processing/event-time throughput windows."""
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+import time
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,33 +117,37 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder within its file system."""
+    fs, p = _fs(spark, source)
+    _, to = _fs(spark, target)
+    fs.mkdirs(to.getParent())
+    if not fs.rename(p, to):
+        raise OSError(f"{source} could not be moved to {target}")
+
+
 def dir_is_empty(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return not fs.exists(p) or len(fs.listStatus(p)) == 0
 
 
 def bind_output(spark: SparkSession, output_dir: str, configuration: dict) -> None:
-    """Bind an output folder (predictions + checkpoint) to one configuration.
+    """Tie an output folder to one configuration, or make sure that it is tied to this one.
 
-    Refuses a changed configuration, predictions without checkpoint and the
-    reverse, and a non-empty folder without a stored configuration.
+    A folder may be used if nothing is in it, or if it was begun with the same configuration and has both
+    predictions and their checkpoint, or neither yet. Anything else is refused, with what was found.
     """
-    conf_path = f"{output_dir}/stream_config"
     wanted = json.dumps(configuration, sort_keys=True)
-    if path_exists(spark, conf_path):
-        stored = spark.read.text(conf_path).first()
-        if stored is None or stored[0] != wanted:
-            raise ValueError("Stream configuration changed. Use a new output folder for this experiment.")
-        has_pred = path_exists(spark, f"{output_dir}/predictions")
-        has_ckpt = path_exists(spark, f"{output_dir}/checkpoint")
-        if has_pred and not has_ckpt:
-            raise ValueError("Predictions exist without their checkpoint. Use a new output folder.")
-        if has_ckpt and not has_pred:
-            raise ValueError("Checkpoint exists without its predictions. Use a new output folder.")
-    else:
-        if not dir_is_empty(spark, output_dir):
-            raise ValueError("Output folder is not empty and has no stored configuration; use a new one.")
-        spark.createDataFrame([(wanted,)], "value string").coalesce(1).write.text(conf_path)
+    note = f"{output_dir}/stream_config"
+    there = {name: path_exists(spark, f"{output_dir}/{name}") for name in ("stream_config", "predictions", "checkpoint")}
+    begun = spark.read.text(note).first() if there["stream_config"] else None
+    if begun is None and not there["stream_config"] and dir_is_empty(spark, output_dir):
+        spark.createDataFrame([(wanted,)], "value string").coalesce(1).write.text(note)
+        return
+    state = "other" if begun is None or begun[0] != wanted else "same"
+    if (state, there["predictions"] == there["checkpoint"]) != ("same", True):
+        found = ", ".join(f"{'a' if there[n] else 'no'} {n}" for n in ("checkpoint",)) + f", {'some' if there['predictions'] else 'no'} predictions"
+        raise ValueError(f"{output_dir} cannot go on with this run: {state} configuration, {found}. Give the run a folder of its own.")
 
 
 def sink_predictions(scored: DataFrame, output_dir: str, *, available_now: bool = True,
@@ -167,16 +173,37 @@ def sink_predictions(scored: DataFrame, output_dir: str, *, available_now: bool
 
 def sink_complete(agg: DataFrame, path: str, checkpoint: str, *, available_now: bool = True,
                   trigger_seconds: float = 2.0) -> StreamingQuery:
-    """Complete-mode aggregate to a Parquet table: each micro-batch overwrites it with the whole
-    current result (idempotent on retry); nothing is collected to the driver."""
-    def write(batch: DataFrame, _batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    """Complete-mode aggregate to Parquet: each micro-batch writes the whole current result to a folder of its
+    own (again, if it is retried), and ``read_complete`` takes the last finished one, so a reader never
+    sees a result half written. The one before the last stays for readers that have begun."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        for old in finished_batches(batch.sparkSession, path)[:-2]:
+            fs, p = _fs(batch.sparkSession, f"{path}/batch={old}")
+            fs.delete(p, True)
 
     w = agg.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=f"{trigger_seconds} seconds")
     return w.start()
 
 
+def finished_batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches whose result is written, ascending."""
+    fs, root = _fs(spark, path)
+    if not fs.exists(root):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch=") and path_exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
+def read_complete(spark: SparkSession, path: str) -> DataFrame:
+    """The last finished result of ``sink_complete``."""
+    done = finished_batches(spark, path)
+    if not done:
+        raise ValueError(f"no batch of {path} is finished")
+    return spark.read.parquet(f"{path}/batch={done[-1]}")
+
+
 def read_predictions(spark: SparkSession, output_dir: str, schema: T.StructType | None = None,
                      fmt: str = "json") -> DataFrame:
     """Committed predictions only: read the folder (its ``_spark_metadata`` log), never a glob."""
@@ -188,8 +215,8 @@ def read_predictions(spark: SparkSession, output_dir: str, schema: T.StructType
 
 def run_stream(query: StreamingQuery, timeout_seconds: float | None = None, drain: bool = False) -> list[dict]:
     """Wait for an availableNow run, or with ``drain`` process what a processing-time query has
-    available; return its progress. The query is stopped on the way out in every case, so a
-    failure never leaves it running.
+    available; return its last progress reports (``recording`` has all of them). A run that isn't over after
+    ``timeout_seconds`` is an error. The query is stopped on the way out in every case.
     """
     try:
         if drain:
@@ -197,7 +224,7 @@ def run_stream(query: StreamingQuery, timeout_seconds: float | None = None, drai
         elif timeout_seconds is None:
             query.awaitTermination()
         elif not query.awaitTermination(timeout_seconds):
-            query.processAllAvailable()
+            raise TimeoutError(f"the stream was not over after {timeout_seconds} s")
         if query.exception() is not None:
             raise RuntimeError(str(query.exception()))
         return list(query.recentProgress)
@@ -210,16 +237,19 @@ class ProgressRecorder(StreamingQueryListener):
     """Keeps the progress of every micro-batch that read data, for one query or all.
 
     ``query.recentProgress`` only retains the last reports
-    (``spark.sql.streaming.numRecentProgressUpdates``); a listener sees them all.
-    Register with ``spark.streams.addListener(recorder)``; entries are small dicts, and only
-    the newest ``max_events`` are kept.
+    (``spark.sql.streaming.numRecentProgressUpdates``); a listener sees them all. None is dropped: an entry is a
+    small dict, and a caller that runs for months takes them out with ``take()`` now and then.
     """
 
-    def __init__(self, query_id: str | None = None, max_events: int = 100_000):
-        from collections import deque
-
+    def __init__(self, query_id: str | None = None):
         self.query_id = query_id
-        self.events = deque(maxlen=max_events)  # bounded driver memory on long-running streams
+        self.events: list[dict] = []
+        self.ended: set[str] = set()
+
+    def take(self) -> list[dict]:
+        """The entries so far, which are then forgotten."""
+        out, self.events = self.events, []
+        return out
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -237,7 +267,24 @@ class ProgressRecorder(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event) -> None:
-        pass
+        self.ended.add(str(event.id))
+
+
+@contextmanager
+def recording(spark: SparkSession, queries: int = 1, wait_seconds: float = 60.0) -> Iterator[ProgressRecorder]:
+    """A recorder of the streams that run inside the block; on the way out it waits until the reports of
+    ``queries`` ended streams have all arrived."""
+    recorder = ProgressRecorder()
+    spark.streams.addListener(recorder)
+    try:
+        yield recorder
+        until = time.monotonic() + wait_seconds
+        while len(recorder.ended) < queries:  # a stream's end is reported after its last batch
+            if time.monotonic() > until:
+                raise TimeoutError("the streams' last reports did not arrive")
+            time.sleep(0.05)
+    finally:
+        spark.streams.removeListener(recorder)
 
 
 def batch_progress(spark: SparkSession, progress: list[dict]) -> DataFrame:

@@ -20,7 +20,7 @@ def test_inferred_csv_contract(spark):
     assert dict(df.dtypes) == {"a": "double", "b": "int", "y": "int"}
     bad = work_path(spark, "t-csv-bad")
     write_text(spark, bad, ["a,b,y", "inf,2,0", "2.5,3,1"])
-    with pytest.raises(ValueError, match="nonnumeric"):
+    with pytest.raises(ValueError, match="numeric columns"):
         FS.scan_csv_inferred(spark, bad, ["a", "b", "y"])
 
 
@@ -54,6 +54,12 @@ def test_fingerprint_order_insensitive(spark):
     assert a == b and a != c and a["rows"] == 1000
 
 
+def test_fingerprint_sees_values_move_between_columns(spark):
+    rows = [[("x", None), ("1:y", "z")], [(None, "x"), ("1:y", "z")], [("x", None), ("1", "y:z")], [("x", None), ("1:y", None)]]
+    prints = {tuple(FS.table_fingerprint(spark.createDataFrame(r, "a string, b string")).first()) for r in rows}
+    assert len(prints) == 4
+
+
 def test_file_sha256_matches_hashlib(spark):
     import glob
     import hashlib

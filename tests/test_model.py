@@ -53,7 +53,7 @@ def test_search_two_candidates(spark):
     cands = [dict(name="a", num_trees=3, max_depth=2, min_instances_per_node=1, weighting="none"),
              dict(name="b", num_trees=3, max_depth=3, min_instances_per_node=1, weighting="sqrt_balanced")]
     data = frame(spark, rows(400))
-    model, ranked = MD.search_candidates(data.filter(F.col("Time") < 300), data.filter(F.col("Time") >= 300),
+    model, ranked = MD.search_candidates(data.filter(F.col("Time") < 3000), data.filter(F.col("Time") >= 3000),
                                          SPEC, cands)
     assert ranked.count() == 2 and sorted(r["rank"] for r in ranked.collect()) == [1, 2]
     assert MD.ModelScorer(model).uid
@@ -135,7 +135,24 @@ def test_search_same_result_sequential_and_concurrent(spark):
     cands = [dict(name=f"c{i}", num_trees=3, max_depth=2 + i % 2, min_instances_per_node=1,
                   weighting=("none", "balanced", "sqrt_balanced")[i % 3]) for i in range(4)]
     data = frame(spark, rows(400))
-    train, val = data.filter(F.col("Time") < 300), data.filter(F.col("Time") >= 300)
+    train, val = data.filter(F.col("Time") < 3000), data.filter(F.col("Time") >= 3000)
     one = sorted(tuple(r) for r in MD.search_candidates(train, val, SPEC, cands, concurrency=1)[1].collect())
     many = sorted(tuple(r) for r in MD.search_candidates(train, val, SPEC, cands, concurrency=4)[1].collect())
     assert one == many
+
+
+def test_same_forest_from_any_layout(spark):
+    def trees(df):
+        return MD.train_forest(df, SPEC, num_trees=3, max_depth=3, weighting="balanced").stages[1].toDebugString.split("\n", 1)[1]
+
+    assert trees(frame(spark).repartition(5)) == trees(frame(spark).coalesce(1).orderBy(F.desc("V3")))
+
+
+def test_two_selected_thresholds_are_refused(spark):
+    path = work_path(spark, "t-two")
+    sweep = spark.createDataFrame([(t, 1, 1, 1, 1, 0.5, 0.5, 0.5, True, "m", ["a"]) for t in (0.3, 0.7)],
+                                  "threshold double, tp long, fp long, fn long, tn long, precision double, recall double, f1 double, "
+                                  "selected boolean, model_uid string, feature_columns array<string>")
+    sweep.write.parquet(path)
+    with pytest.raises(ValueError, match="more than one"):
+        MD.load_selected_threshold(spark, path, "m", ["a"])

@@ -32,13 +32,21 @@ def test_full_lifecycle(spark):
     assert sum(p.count() for p in parts) == 600
     assert parts[0].join(parts[2], "Time").count() == 0
 
-    retuned = R.tune_run(spark, run_dir, SPEC)
-    assert retuned["threshold"] == summary["threshold"]
-    # the threshold table and the sweep file are rewritten together
-    table = spark.read.parquet(f"{run_dir}/thresholds")
-    assert table.filter("selected").count() == 1
-    sweep_csv = spark.read.option("header", True).csv(f"{run_dir}/sweep_csv-retuned")
-    assert sweep_csv.count() == table.count()
+    recorded = {(r["kind"], r["name"], r["metric"]): r["value"] for r in done.collect()}
+    assert recorded["rows", "data", "input_rows"] == 600 and recorded["rows", "data", "dropped_rows"] == 0
+    assert recorded["candidate_settings", "b", "num_trees"] == 4 and recorded["candidate_settings", "a", "fit_seconds"] > 0
+    assert recorded["candidate_settings", "b", "weight_1"] > recorded["candidate_settings", "b", "weight_0"]
+    assert [k[2] for k in recorded if k[0] == "fingerprint"] == ["rows"] and [k[1] for k in recorded if k[0] == "chosen"][0] in "ab"
+
+    # a run can be tuned again and again; table and sweep file of a tuning belong together
+    for number in (2, 3):
+        assert R.tune_run(spark, run_dir, SPEC)["threshold"] == summary["threshold"]
+        table = spark.read.parquet(f"{run_dir}/tunings/{number}/thresholds")
+        assert table.filter("selected").count() == 1
+        assert spark.read.option("header", True).csv(f"{run_dir}/tunings/{number}/sweep_csv").count() == table.count()
+    spark.read.parquet(f"{run_dir}/tunings/3/thresholds").limit(0).write.parquet(f"{run_dir}/tunings/4/thresholds")  # broke off
+    assert R.load_run_threshold(spark, run_dir, SPEC)[2] == summary["threshold"]
+    assert R.tune_run(spark, run_dir, SPEC)["threshold"] == summary["threshold"]
 
     ev = R.evaluate_run(spark, run_dir, SPEC).first()
     assert ev["tp"] + ev["fp"] + ev["fn"] + ev["tn"] == parts[2].count()
@@ -68,16 +76,35 @@ def test_full_lifecycle(spark):
     offline = E.score_events(E.parse_events(spark.read.parquet(src), FEATURES), scorer, FEATURES, t)
     par = E.score_parity(offline, online).first()
     assert par["matched"] == 30 and par["score_mismatches"] == 0 and par["decision_mismatches"] == 0
-    with pytest.raises(ValueError, match="changed"):
+    with pytest.raises(ValueError, match="other configuration"):
         R.score_stream(spark, run_dir, SPEC, ST.file_source(spark, src), out, source="other")
 
 
+def test_failed_run_is_refused(spark):
+    base = work_path(spark, "t-run-gate")
+    R.train_run(spark, frame(spark, rows(300)), SPEC, f"{base}/run", f"{base}/reg", candidates=SMALL[:1], run_id="g")
+    MD.append_registry(MD.registry_rows(spark, "g", 99, "status", name="failed"), f"{base}/reg")
+    for use in (lambda: R.evaluate_run(spark, f"{base}/run", SPEC), lambda: R.tune_run(spark, f"{base}/run", SPEC),
+                lambda: R.run_events(spark, f"{base}/run", SPEC, count=1, rate=1.0), lambda: R.evaluate_run(spark, f"{base}/none", SPEC)):
+        with pytest.raises(ValueError, match="failed|no finished"):
+            use()
+
+
+def test_every_split_needs_both_classes(spark):
+    base = work_path(spark, "t-run-split")
+    data = R.S.hash_split(frame(spark, rows(300)), SPEC.key)
+    lacking = data.where("not (split = 'test' and Class = 1)").drop("split")
+    with pytest.raises(ValueError, match="test split"):
+        R.train_run(spark, lacking, SPEC, f"{base}/run", f"{base}/reg", candidates=SMALL[:1])
+
+
 def test_failed_run_is_recorded(spark):
     base = work_path(spark, "t-run-fail")
     one_class = frame(spark, [r for r in rows(100) if r[-1] == 0.0])
     with pytest.raises(ValueError):
         R.train_run(spark, one_class, SPEC, f"{base}/run", f"{base}/registry", candidates=SMALL, run_id="bad")
     assert MD.completed_runs(spark, f"{base}/registry").count() == 0
+    assert "both classes" in spark.read.parquet(f"{base}/registry").where("kind = 'error'").first()["name"]
 
 
 def test_sequential_events_and_bad_rate(spark):

@@ -1,6 +1,7 @@
 """Splits, balancing, draws and ordered helpers."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rareflow.operators import sampling as S
@@ -72,14 +73,30 @@ def test_balance_classes_sample(spark):
     assert abs(counts[0] - 600) < 120 and abs(counts[1] - 600) < 120
 
 
-def test_row_number_same_with_and_without_broadcast_hint(spark):
-    df = keyed(spark, 4000)
-    hinted = {r["k"]: r["row_number"] for r in
-              global_row_number(df, ["k"], partition_by=["y"], partitions=2, buckets=32).collect()}
-    runtime = {r["k"]: r["row_number"] for r in
-               global_row_number(df, ["k"], partition_by=["y"], buckets=32).collect()}
-    assert hinted == runtime
-    assert sorted(v for k, v in hinted.items() if k % 5 == 0) == list(range(1, 801))
+def test_row_number_limit_keeps_the_first(spark):
+    df = keyed(spark, 4000).withColumn("y", F.when(F.col("k") % 7 == 0, None).otherwise(F.col("y")))
+    whole = {(r["k"], r["y"]): r["row_number"] for r in global_row_number(df, ["k"], partition_by=["y"], buckets=32).collect()}
+    assert len(whole) == 4000  # a null group is a group
+    cut = {(r["k"], r["y"]): r["row_number"] for r in global_row_number(df, ["k"], partition_by=["y"], buckets=32, limit=25).collect()}
+    assert cut == {k: n for k, n in whole.items() if n <= 25}
+
+
+def test_fractions_are_exact_or_refused(spark):
+    df = keyed(spark, 100)
+    for fractions, modulus in (((0.004, 0.2), 100), ((0.2, 0.005), 100), ((0.0, 0.2), 100), ((0.2, 1.0), 100), ((0.1, 0.1), 1 << 30)):
+        with pytest.raises(ValueError):
+            S.hash_split(df, ["k"], fractions=fractions, modulus=modulus)
+    tagged = S.hash_split(keyed(spark, 200_000), ["k"], fractions=(0.004, 0.2), modulus=1000)
+    assert abs(tagged.where("split = 'test'").count() / 200_000 - 0.004) < 0.001
+
+
+def test_draws_reach_beyond_32_bits(spark):
+    from rareflow.functions.columns import hash60
+
+    for hasher in ("md5", "xxhash64"):
+        n = 1 << 40
+        got = [r[0] for r in spark.range(2000).select(hash60("id", seed=7, hasher=hasher) % F.lit(n)).collect()]
+        assert max(got) > n * 0.99 and len(set(got)) == 2000 and abs(sum(got) / len(got) / n - 0.5) < 0.03
 
 
 def test_fast_hasher_paths(spark):
@@ -97,8 +114,24 @@ def test_fast_hasher_paths(spark):
         S.hash_split(df, ["k"], hasher="crc")
 
 
-def test_top_k_large_k_path_equals_window(spark):
-    df = keyed(spark, 3000)
-    small = sorted((r["y"], r["k"]) for r in S.top_k_per_class(df, "y", ["k"], 700).collect())
-    large = sorted((r["y"], r["k"]) for r in S.top_k_per_class(df, "y", ["k"], 700, large_k=10).collect())
-    assert small == large and len(small) == 700 + 600
+@pytest.mark.parametrize("k", [1, 6, 40, 700, 100_000])
+def test_top_k_of_any_size_with_nulls_strings_and_ties(spark, k):
+    df = spark.range(1500).select(
+        (F.col("id") % 3).alias("y3"), F.when(F.col("id") % 10 == 0, None).otherwise((F.col("id") % 50).cast("string")).alias("o"), "id")
+    df = df.withColumn("y", F.when(F.col("y3") < 2, F.col("y3"))).drop("y3")
+    got = S.top_k_per_class(df, "y", ["o"], k).collect()
+    w = Window.partitionBy("y").orderBy("o")
+    ranks = {r["id"]: (r["y"], r["least"]) for r in df.select("id", "y", F.rank().over(w).alias("least")).collect()}
+    for y in (0, 1, None):
+        mine = sorted(ranks[r["id"]][1] for r in got if r["y"] == y)
+        assert mine == sorted(n for z, n in ranks.values() if z == y)[:k]
+    again = S.top_k_per_class(df.repartition(7), "y", ["o"], k).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_sequential_take_of_any_type(spark):
+    df = spark.createDataFrame([(f"k{i % 40:02d}", i) for i in range(400)], "k string, v long")
+    got = sorted(r["k"] for r in S.sequential_take(df, "k", 25).collect())
+    assert got == sorted(f"k{i % 40:02d}" for i in range(400))[:25]
+    with pytest.raises(ValueError):
+        S.sequential_take(df.withColumn("k", F.lit(None).cast("string")), "k", 1)

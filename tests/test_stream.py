@@ -58,11 +58,15 @@ def test_output_binding(spark):
     src, out = f"{base}/src", f"{base}/out"
     write_batch(spark, src, 0, [ev(i) for i in range(3)])
     ST.run_stream(ST.sink_predictions(scored_stream(spark, src), out, configuration={"threshold": 0.3}))
-    with pytest.raises(ValueError, match="changed"):
+    with pytest.raises(ValueError, match="other configuration"):
         ST.bind_output(spark, out, {"threshold": 0.4})
+    ST.bind_output(spark, out, {"threshold": 0.3})
+    ST.move(spark, f"{out}/checkpoint", f"{base}/taken")
+    with pytest.raises(ValueError, match="no checkpoint, some predictions"):
+        ST.bind_output(spark, out, {"threshold": 0.3})
     other = f"{base}/other"
     spark.range(1).write.parquet(f"{other}/junk")
-    with pytest.raises(ValueError, match="not empty"):
+    with pytest.raises(ValueError, match="other configuration"):
         ST.bind_output(spark, other, {"threshold": 0.3})
 
 
@@ -139,26 +143,51 @@ def test_parquet_predictions_restart(spark):
     assert got.count() == 7 and got.filter("status = 'rejected'").count() == 1
 
 
-def test_progress_listener_sees_every_batch(spark):
-    import time
-
+def test_every_batch_is_recorded_beyond_what_the_query_keeps(spark):
     base = work_path(spark, "t-listen")
     src, out = f"{base}/src", f"{base}/out"
-    for b in range(4):
-        write_batch(spark, src, b * 5, [ev(b * 5 + i) for i in range(5)])
-    rec = ST.ProgressRecorder()
-    spark.streams.addListener(rec)
+    spark.range(1040).repartition(104).select(F.lit(b"k").alias("key"), F.lit(b"{}").alias("value"), F.lit("t").alias("topic"), F.lit(0).alias("partition"),
+                                              F.col("id").alias("offset"), F.current_timestamp().alias("timestamp")).write.parquet(src)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "3")
     try:
-        stream = E.score_events(E.parse_events(ST.file_source(spark, src, max_files_per_trigger=1), FEATURES),
-                                SCORER, FEATURES, 0.3)
-        ST.run_stream(ST.sink_predictions(stream, out))
-        deadline = time.time() + 30
-        while sum(e["numInputRows"] for e in rec.events) < 20 and time.time() < deadline:
-            time.sleep(0.2)  # listener events arrive asynchronously
+        with ST.recording(spark) as seen:
+            last = ST.run_stream(ST.sink_predictions(scored_stream_of(spark, src, 1), out))
     finally:
-        spark.streams.removeListener(rec)
-    per = ST.batch_progress(spark, rec.events).collect()
-    assert len(per) == 4 and sum(r["input_rows"] for r in per) == 20
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    per = ST.batch_progress(spark, seen.events).collect()
+    assert len(last) <= 3 and len(per) == 104 and sum(r["input_rows"] for r in per) == 1040
+    assert len(seen.take()) == 104 and seen.events == []
+
+
+def scored_stream_of(spark, src, max_files):
+    return E.score_events(E.parse_events(ST.file_source(spark, src, max_files_per_trigger=max_files), FEATURES), SCORER, FEATURES, 0.3)
+
+
+def test_a_run_that_takes_too_long_is_an_error(spark):
+    base = work_path(spark, "t-slow")
+    write_batch(spark, f"{base}/src", 0, [ev(i) for i in range(3)])
+    q = ST.sink_predictions(scored_stream(spark, f"{base}/src"), f"{base}/out", available_now=False, trigger_seconds=0.2)
+    with pytest.raises(TimeoutError):
+        ST.run_stream(q, timeout_seconds=1)
+    assert not q.isActive
+
+
+def test_complete_results_are_whole_at_any_time(spark):
+    base = work_path(spark, "t-complete")
+    src, out = f"{base}/src", f"{base}/result"
+    with pytest.raises(ValueError, match="finished"):
+        ST.read_complete(spark, out)
+    for b in range(4):
+        write_batch(spark, src, b * 5, [ev(b * 5 + i) for i in range(5)])
+        agg = ST.throughput_windows(ST.file_source(spark, src), "timestamp", "1 hour")
+        ST.run_stream(ST.sink_complete(agg, out, f"{base}/ckpt"))
+        assert ST.read_complete(spark, out).first()["n"] == 5 * (b + 1)
+    done = ST.finished_batches(spark, out)
+    assert len(done) == 2
+    spark.range(1).write.parquet(f"{out}/batch=99")
+    fs, p = ST._fs(spark, f"{out}/batch=99/_SUCCESS")
+    fs.delete(p, False)  # a batch that is still being written
+    assert ST.finished_batches(spark, out) == done
 
 
 def test_alert_stream_needs_the_connector(spark):

@@ -1,6 +1,7 @@
 """Validation matrix, cleaning and class weights."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,12 +14,14 @@ SPEC = FeatureSpec(FEATURES, "Class")
 
 
 def rows(n=256):
-    """Time = i, V1 = label, other features a fixed pattern, Class = 1 every 5th row."""
+    """Seeded random transactions: a fifth of them, those with the largest risk, are positive; V7 and Amount follow the risk."""
+    r = random.Random(n)
+    risk = [r.random() for _ in range(n)]
+    cut = sorted(risk, reverse=True)[-(-n // 5) - 1]
     out = []
-    for i in range(n):
-        label = 1.0 if i % 5 == 0 else 0.0
-        vals = [float(i), label] + [((i * (c + 3)) % 101) / 101 for c in range(2, 30)]
-        out.append(tuple(vals) + (label,))
+    for t, x in enumerate(risk):
+        values = {f: r.gauss(0, 1) for f in FEATURES} | {"Time": 10.0 * t, "V7": 4 * x + r.gauss(0, 0.01), "Amount": 20 + 300 * x * x}
+        out.append((*[values[f] for f in FEATURES], float(x >= cut)))
     return out
 
 
@@ -59,9 +62,9 @@ def test_bad_labels(spark, label):
 
 
 def test_no_rows_and_one_class(spark):
-    with pytest.raises(ValueError, match="both fraud"):
+    with pytest.raises(ValueError, match="both classes"):
         V.assert_valid(frame(spark, []), SPEC)
-    with pytest.raises(ValueError, match="both fraud"):
+    with pytest.raises(ValueError, match="both classes"):
         V.assert_valid(frame(spark, [r for r in rows() if r[-1] == 0.0]), SPEC)
 
 
@@ -90,12 +93,19 @@ def test_class_weights():
     assert math.isclose(s[0], math.sqrt(5 / 9)) and math.isclose(s[1], math.sqrt(5))
 
 
-@pytest.mark.parametrize("counts", [{0: 900}, {0: 900, 1: 0}, {0: 900, 1: -1}, {0: 1, 1: 1, 2: 1},
-                                   {0: 900, 1: 10.5}, {0: 900, 1: float("nan")}, {0: 900, 1: float("inf")},
-                                   {0: 900, 1: True}])
-def test_class_weight_errors(counts):
-    with pytest.raises(ValueError):
-        V.training_class_weights(counts, "balanced")
+@pytest.mark.parametrize("counts", [{}, {0: 7}, {1: 7}, {0: 7, 1: 0}, {0: 3, 1: 4, 2: 1}])
+def test_weights_need_both_classes_and_no_other(counts):
+    for mode in V.WEIGHTINGS:
+        with pytest.raises(ValueError, match="training split"):
+            V.training_class_weights(counts, mode)
+
+
+def test_weights_of_both_forms_agree(spark):
+    df = spark.createDataFrame([(0,)] * 37 + [(1,)] * 5, "y int")
+    by = {r["label"]: r for r in V.class_weights(df, "y").collect()}
+    for mode in V.WEIGHTINGS:
+        plain = V.training_class_weights({0: 37, 1: 5}, mode)
+        assert all(math.isclose(plain[y], by[y][f"weight_{mode}"]) for y in (0, 1))
 
 
 def test_unknown_weighting():
@@ -130,7 +140,7 @@ def test_cluster_conf_scales_with_input():
 def test_class_presence_guard_in_plan(spark):
     ok = V.class_presence(spark.createDataFrame([(0,), (1,), (1,)], "y int"), "y").first()
     assert (ok["positives"], ok["negatives"], ok["both_classes"]) == (2, 1, True)
-    with pytest.raises(Exception, match="both fraud"):
+    with pytest.raises(Exception, match="both classes"):
         V.class_presence(spark.createDataFrame([(1,), (1,)], "y int"), "y").collect()
 
 
