@@ -22,11 +22,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def divergence_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and stay near their language's histograms."""
-    return quality_rules.judge(docs, quality_rules.references(docs)).where("kept").select(*docs.columns)
+    return quality_rules.filtered(docs, quality_rules.references(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of similar documents; documents without a group stay."""
+    """The document with the smallest id of each group of similar documents; documents without a group stay. Rows that
+    share an id stay or go together, and rows with a null id stay."""
     groups = ngram_join.similar_groups(docs, size=5, similarity=(80, 100))
     gone = groups.where("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

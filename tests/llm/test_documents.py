@@ -132,6 +132,8 @@ def test_rules_of_odd_rows(odd, empty):
     found = quality_rules.judge(odd, quality_rules.references(odd))
     compare(found.collect(), verdicts(rows))
     assert len(found.columns) == len(set(found.columns)) and set(odd.columns) <= set(found.columns)
+    left = quality_rules.filtered(odd, quality_rules.references(odd))
+    assert left.columns == odd.columns and left.count() == found.where("kept").count()
     assert quality_rules.references(empty) == {} and quality_rules.judge(empty, {}).count() == 0
     assert {r.word_distance for r in quality_rules.judge(odd, {}).collect()} == {None}
 
