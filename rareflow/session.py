@@ -61,8 +61,9 @@ def cluster_conf(input_bytes: int, cores: int, checkpoint_dir: str) -> dict[str,
     """Settings for a cluster run, sized from the input and the number of executor cores.
 
     - scan splits of 512 MB: 100 TB gives ~200k scan tasks, ~25 waves on 8000 cores;
-    - initial shuffle partitions at ~256 MB of input each (capped), which AQE coalesces
-      toward 256 MB per partition after partial aggregation has shrunk the data;
+    - initial shuffle partitions at ~256 MB of input each, which AQE coalesces toward 256 MB per
+      partition after partial aggregation has shrunk the data; at most 200,000, since the driver keeps
+      a status for every pair of map task and partition (beyond ~50 TB partitions grow, results don't change);
     - skew-join splitting above 5x the median partition and 512 MB;
     - writes capped per file so output files stay splittable;
     - the shared checkpoint folder that the sweeps and streams write to.
