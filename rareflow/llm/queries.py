@@ -97,7 +97,58 @@ def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document, and the verdict of its distance from the language references."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return quality_rules.judge(docs, quality_rules.references(docs)).drop("lang", "text")
+    judged = quality_rules.judge(docs, quality_rules.references(docs)).drop("lang", "text")
+    return judged.withColumns({c: F.round(c, 6) for c in ("word_distance", "class_distance")})
+
+
+def _divergence_sql() -> str:
+    """SQL twin of op10, with the word lists and thresholds of ``quality_rules``."""
+    q = quality_rules
+    vocab = q.vocabulary(q.COMMON)
+    words = "[" + ", ".join(f"'{w}'" for w in vocab) + "]"
+    langs = ", ".join(f"'{k}'" for k in q.COMMON)
+
+    def distance(own: str, ref: str) -> str:
+        return f"""sqrt(greatest(list_sum(list_transform(list_zip({own}, {ref}), lambda z:
+          (case when z[1] > 0 then z[1] * log2(2 * z[1] / (z[1] + z[2])) else 0 end) + (case when z[2] > 0 then z[2] * log2(2 * z[2] / (z[1] + z[2])) else 0 end))) / 2, 0))"""
+
+    def mean(column: str, n: int) -> str:
+        return "[" + ", ".join(f"avg({column}[{i}])" for i in range(1, n + 1)) + "]"
+
+    return rf"""
+with t as (
+  select doc_id, lang, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l,
+    regexp_replace(text, '[\p{{Ll}}\x20\x09-\x0D]+', '', 'g') as rest
+  from (select doc_id, lang, coalesce(text, '') as text from documents)),
+e as (
+  select doc_id, i, array_to_string(list_slice(w, i, i + 7), ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from t where len(w) >= 8)),
+r as (
+  select doc_id, count(distinct i + k) as n from (
+    select doc_id, i, count(*) over (partition by doc_id, g) as many from e), range(8) x(k) where many > 1 group by doc_id),
+b as (
+  select t.*, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(regexp_replace(text, '[^{q.SYMBOLS}]+', '', 'g')) as n_symbols,
+    len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words, list_filter(list_transform(w, lambda x: lower(x)), lambda x: list_contains({words}, x)) as c
+  from t left join r on t.doc_id = r.doc_id),
+k as (
+  select *, [length(regexp_replace(rest, '[^\p{{Lu}}]+', '', 'g')), length(regexp_replace(rest, '[^\p{{Nd}}]+', '', 'g')),
+    length(regexp_replace(rest, '[^.,;:?''"()-]+', '', 'g')), length(regexp_replace(rest, '[^{q.SYMBOLS}]+', '', 'g'))] as cc from b),
+h as (
+  select *, case when n_words >= {q.MIN_WORDS} then list_concat(list_transform({words}, lambda v: len(list_filter(c, lambda x: x = v)) / n_words::double), [(n_words - len(c)) / n_words::double]) end as wh,
+    case when n_words >= {q.MIN_WORDS} then list_transform(list_concat(cc, [length(rest) - list_sum(cc)::bigint, word_chars - length(rest)]), lambda x: x / word_chars::double) end as ch
+  from k),
+refs as (
+  select lang, {mean("wh", len(vocab) + 1)} as wr, {mean("ch", 6)} as cr from h where n_words >= {q.MIN_WORDS} and lang in ({langs}) group by lang),
+d as (
+  select h.doc_id, min({distance("wh", "wr")}) as wd, min({distance("ch", "cr")}) as cd from h, refs where n_words >= {q.MIN_WORDS} group by h.doc_id),
+f as (
+  select h.*, wd, cd, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+    coalesce(wd > {q.MAX_WORD_DISTANCE} + {q.NOISE} / sqrt(n_words) or cd > {q.MAX_CLASS_DISTANCE}, false) as strays
+  from h left join d on h.doc_id = d.doc_id)
+select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines,
+  n_repeat_words::bigint as n_repeat_words, round(wd, 6) as word_distance, round(cd, 6) as class_distance, base_failed, not base_failed and not strays as kept
+from f
+"""
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,4 +215,5 @@ s as (
 select query_id, rank, vec_id, score from (
   select *, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank from s) where rank <= 20
 """,
+    "op10_divergence_rules": _divergence_sql(),
 }
