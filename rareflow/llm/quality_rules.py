@@ -128,9 +128,10 @@ def judge(docs: DataFrame, refs: dict[str, tuple[list[float], list[float]]], com
     return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(strays, F.lit(False))).select(*columns, *own)
 
 
-def filtered(docs: DataFrame, refs: dict[str, tuple[list[float], list[float]]], **rules) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with their own columns."""
-    judged = judge(docs, refs, **rules).withColumn("_part", F.spark_partition_id())
+def filtered(docs: DataFrame, refs: dict[str, tuple[list[float], list[float]]], text_col: str = "text", **rules) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with their own columns, whatever these are called."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_source"))
+    judged = judge(rows, refs, text_col="_source", **rules).withColumn("_part", F.spark_partition_id())
     # the second condition always holds; without it Spark moves the filter below the projections that make
     # ``kept`` step by step, and writes their expressions into each other over and over
-    return judged.where(F.col("kept") & (F.col("_part") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judged.where(F.col("kept") & (F.col("_part") >= 0)).select("_row.*")
