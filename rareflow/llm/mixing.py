@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from rareflow.llm.packing import ranked
 
 #: Rows of a block; sources and sum of weights that a schedule may have (it is held by every task).
-BLOCK_ROWS, MOST_SOURCES, MOST_WEIGHT = 64, 1000, 100_000
+BLOCK_ROWS, MOST_SOURCES, MOST_WEIGHT = 64, 500, 20_000
 
 
 def order(weights: list[int]) -> list[list[int]]:
