@@ -1,7 +1,7 @@
 """Shards by fixed virtual slots: records hash into thousands of slots, and a versioned map sends slots to shards.
 
 The hash and the number of slots never change, so a record keeps its slot for good. The map starts as slot modulo
-shards and is only edited: bytes are summed per slot, every shard keeps its smaller slots up to an even share, and the
+shards and is only edited: bytes are summed per slot, every shard keeps its larger slots up to an even share, and the
 slots beyond that go, largest first, to the shard that is lightest just then. An edit is stored as the next version
 beside the earlier ones. Everything is DataFrame functions; the greedy choice is a fold over one row that holds the
 slots in an array (as long as the fixed number of slots, whatever the input).
@@ -36,14 +36,15 @@ def first_map(spark: SparkSession, shards: int, slots: int = SLOTS) -> DataFrame
 def rebalanced(old: DataFrame, slot_bytes: DataFrame, shards: int) -> DataFrame:
     """The next version of a map for ``shards`` shards, given (v_slot, bytes).
 
-    A shard keeps its slots in ascending size while they fit an even share of all bytes; what doesn't fit, and
-    what belongs to shards that no longer exist, moves. Slots without bytes stay unless their shard is gone.
+    A shard keeps its largest slots, as many as fit an even share of all bytes; the smaller ones beyond it, and what
+    belongs to shards that no longer exist, move. Small slots fill the shares evenly, so loads end about a small
+    slot apart. Slots without bytes stay unless their shard is gone.
     """
     sized = old.join(slot_bytes, "v_slot", "left").select(
         "version", "v_slot", F.when(F.col("shard") < shards, F.col("shard")).alias("shard"), F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"))
     total = F.sum("bytes").over(Window.partitionBy())  # a row per slot
-    within = F.sum("bytes").over(Window.partitionBy("shard").orderBy("bytes", "v_slot").rowsBetween(Window.unboundedPreceding, 0))
-    marked = sized.withColumn("stays", F.col("shard").isNotNull() & (within * shards <= total))
+    within = F.sum("bytes").over(Window.partitionBy("shard").orderBy(F.desc("bytes"), "v_slot").rowsBetween(Window.unboundedPreceding, 0))
+    marked = sized.withColumn("stays", F.col("shard").isNotNull() & ((within * shards <= total) | (F.col("bytes") == 0)))
     load = [F.coalesce(F.sum(F.when(F.col("stays") & (F.col("shard") == i), F.col("bytes"))), F.lit(0)) for i in range(shards)]
     mover = F.when(~F.col("stays"), F.struct("bytes", F.negate("v_slot").alias("order"), "v_slot"))
     state = marked.groupBy().agg(F.array(*load).alias("loads"), F.reverse(F.array_sort(F.collect_list(mover))).alias("movers"))

@@ -119,7 +119,7 @@ def compare(got, want):
     got = sorted(((r.doc_id, (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words), r.word_distance, r.class_distance, r.base_failed, r.kept) for r in got), key=key)
     for g, w in zip(got, sorted(want, key=key), strict=True):
         assert g[:2] == w[:2] and g[4:] == w[3:], (g, w)
-        assert (g[2] is None) == (w[2] is None) and (w[2] is None or np.allclose(g[2:4], w[2], atol=1e-9)), (g, w)
+        assert (g[2] is None) == (w[2] is None) and (w[2] is None or np.allclose(g[2:4], w[2], atol=6e-7)), (g, w)
 
 
 def test_rules_of_the_table(spark):
@@ -159,7 +159,8 @@ def test_shards(spark):
         by.setdefault(r.shard, []).append(r.slot)
         load[r.shard] += r["size"]
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
-    assert max(load.values()) - min(load.values()) <= max(r["size"] for r in rows) * 2
+    even = sum(load.values()) / 40
+    assert max(load.values()) <= max(1.02 * even, max(r["size"] for r in rows)) and len(load) == 40
 
 
 def test_shards_of_odd_rows_and_ranks_in_parts(spark, odd, empty, monkeypatch, tmp_path):
@@ -186,9 +187,10 @@ def test_an_edit_moves_little_and_grows(spark):
     load = Counter()
     for s, shard in b.items():
         load[shard] += sizes[s]
-    assert max(load.values()) - min(load.values()) <= 100 and sum(a[s] != b[s] for s in a) < 64
+    moved = lambda x, y: sum(sizes[s] for s in x if x[s] != y[s]) / sum(sizes.values())
+    assert max(load.values()) - min(load.values()) <= 20 and moved(a, b) < 0.2
     grown = {x.v_slot: x.shard for x in sharding.rebalanced(new, weights, 9).collect()}
-    assert set(grown.values()) == set(range(9)) and sum(grown[s] != b[s] for s in b) < 64
+    assert set(grown.values()) == set(range(9)) and moved(b, grown) < 0.15
     shrunk = {x.v_slot: x.shard for x in sharding.rebalanced(new, weights, 4).collect()}
     assert set(shrunk.values()) == set(range(4))
 
