@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rareflow.session import work_path
 
-#: Python workers hand work on in pieces of about this many bytes.
-PIECE = 4 << 20
+#: Python workers take texts in pieces of about this many bytes.
+PIECE = 1 << 20
+BATCH_LIMIT = 4 << 20
 
 
 def kept(frame: DataFrame, name: str) -> DataFrame:
@@ -24,10 +27,20 @@ def kept(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def in_small_batches(frame: DataFrame) -> DataFrame:
+    """``frame``, after the session's limit of an Arrow batch was lowered to 4 MB if it is larger: a batch is held by the
+    JVM and by a worker at once, and rows of long texts would otherwise make each of them 64 MB."""
+    conf, name = frame.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = re.fullmatch(r"\s*(\d+)\s*([kmgt]?)b?\s*", conf.get(name).lower())
+    if not size or int(size[1]) << (10 * " kmgt".index(size[2] or " ")) > BATCH_LIMIT:
+        conf.set(name, str(BATCH_LIMIT))
+    return frame
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns as ``doc_id`` (long) and ``text`` (never null)."""
-    return docs.select(docs[id_col].cast("long").alias("doc_id"),
-                       F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    return in_small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"),
+                                         F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
 def crc(value: Column) -> Column:
@@ -44,6 +57,19 @@ def raw(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.large_binary()).to_pylist()]
 
 
+def parts(batch: pa.RecordBatch, column: str = "text", size: int = PIECE) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Consecutive rows of a batch with about ``size`` bytes of text each (one row at least), and their texts; only
+    one part's texts are held at a time."""
+    length = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto, start = np.cumsum(length), 0
+    while start < batch.num_rows:
+        before = upto[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(upto, before + size, "right")))
+        rows = batch.slice(start, stop - start)
+        yield rows, raw(rows.column(column))
+        start = stop
+
+
 def pieces(items: list[bytes], size: int = PIECE) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive items of about ``size`` bytes each (one item at least)."""
     start = held = 0

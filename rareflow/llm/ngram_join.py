@@ -31,17 +31,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rareflow.llm.common import kept, partitions, pieces, raw, texts
+from rareflow.llm.common import kept, partitions, parts, texts
 from rareflow.llm.components import components
 from rareflow.llm.grouped import arrays, groups, lists
 from rareflow.llm.shingles import shingle_sets
 
 #: Weight of a list's logarithm in DivideSkip's choice of the long lists.
 MU = 0.0085
-#: N-grams of the documents in a block, on average at most; a query portion may have four times as many.
-BLOCK_GRAMS = 1 << 17
+#: N-grams of the documents in a block, on average at most, and of a portion of those that ask.
+BLOCK_GRAMS = 1 << 16
 #: Bytes of text whose sets are made at once, and documents at most (they are numbered with 16 bits).
-BATCH_BYTES, BATCH_DOCS = 16 << 20, 1 << 16
+BATCH_BYTES, BATCH_DOCS = 8 << 20, 1 << 16
 _LOW = np.uint64((1 << 48) - 1)
 
 
@@ -126,10 +126,9 @@ def shared_sets(docs: DataFrame, size: int, similarity: tuple[int, int]) -> Data
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 20
         for batch in batches:
-            items = raw(batch.column("text"))
-            for lo, hi in pieces(items, BATCH_BYTES):
-                for a in range(lo, hi, BATCH_DOCS):
-                    b = min(hi, a + BATCH_DOCS)
+            for part, items in parts(batch, size=BATCH_BYTES):
+                for a in range(0, len(items), BATCH_DOCS):
+                    b = min(len(items), a + BATCH_DOCS)
                     sets = shingle_sets(items[a:b], size)
                     number += 1
                     prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
@@ -144,7 +143,7 @@ def shared_sets(docs: DataFrame, size: int, similarity: tuple[int, int]) -> Data
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([int(prints[0][0]) % int(buckets), *names.tolist()], pa.int64()), pa.array([number] * (len(names) + 1), pa.int64()),
                          pa.array([0] + [1] * len(names), pa.int32()),
-                         pa.array([batch.column("doc_id").slice(a, b - a).to_pylist(), *none], pa.list_(pa.int64())),
+                         pa.array([part.column("doc_id").slice(a, b - a).to_pylist(), *none], pa.list_(pa.int64())),
                          pa.array([[len(s) for s in sets], *none], pa.list_(pa.int32())), pa.array([prints, *none], pa.list_(pa.binary())),
                          pa.array([None, *[doc[i:j].tobytes() for i, j in zip(first.tolist(), last, strict=True)]], pa.binary()),
                          pa.array([None, *[low[i:j].tobytes() for i, j in zip(first.tolist(), last, strict=True)]], pa.binary())],
@@ -279,7 +278,7 @@ def similar_groups(docs: DataFrame, size: int = 5, similarity: tuple[int, int] =
     held = held.select("gram", F.col("key").alias("to_key"), F.col("sub").alias("to_sub"), "lo", "hi")
     asks = placed.join(held, "gram").where("struct(key, sub) < struct(to_key, to_sub) and not (lo = hi and lo = class)")
     asks = kept(asks.groupBy("row", "to_key", "to_sub").agg(F.first("m").alias("m"), F.first("class").alias("class")), "asks")
-    portions = asks.groupBy("to_key", "to_sub").agg(F.ceil(F.sum("m") / (4 * block_grams)).cast("int").alias("portions"))
+    portions = asks.groupBy("to_key", "to_sub").agg(F.ceil(F.sum("m") / block_grams).cast("int").alias("portions"))
     askers = asks.join(portions, ["to_key", "to_sub"]).select(
         "row", F.col("to_key").alias("key"), F.col("to_sub").alias("sub"), F.pmod(F.xxhash64("row"), F.col("portions")).cast("int").alias("portion"), "class", F.lit(False).alias("home"))
     hosts = home.join(portions.select(F.col("to_key").alias("key"), F.col("to_sub").alias("sub"), "portions"), ["key", "sub"]).join(classes, "row").select(

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rareflow.llm.common import ids_crc, kept, partitions, pieces, raw, texts
+from rareflow.llm.common import ids_crc, kept, partitions, parts, texts
 from rareflow.llm.tokens import encoder
 
 #: Rows that one task numbers, on average.
@@ -69,11 +69,10 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, items = batch.column("doc_id"), raw(batch.column("text"))
-            for a, b in pieces(items):
-                flat, edge = encoder(vocabulary).encode(items[a:b])
+            for part, items in parts(batch):
+                flat, edge = encoder(vocabulary).encode(items)
                 doc, piece, start, length, crc = [], [], [], [], []
-                for i, (lo, hi) in enumerate(zip(edge[:-1], edge[1:], strict=True), a):
+                for i, (lo, hi) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
                     ids = np.append(flat[lo:hi], np.uint32(end_id)).astype("<u4")
                     at = np.arange(len(ids) % capacity or capacity, len(ids) + 1, capacity).tolist()
                     for k, (x, y) in enumerate(zip([0, *at[:-1]], at, strict=True)):
@@ -83,7 +82,7 @@ def cut(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col: st
                         length.append(y - x)
                         crc.append(ids_crc(ids[x:y]))
                 yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                    [part.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                      pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"])
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rareflow.llm.checksums import crc32c, masked
-from rareflow.llm.common import ids_crc, pieces, raw, texts
+from rareflow.llm.common import ids_crc, parts, texts
 from rareflow.llm.tokens import encoder
 from rareflow.session import work_path
 
@@ -86,19 +86,18 @@ def write_records(docs: DataFrame, vocabulary: str, end_id: int, folder: str | N
         at = tokens = 0
         try:
             for batch in batches:
-                keys, items = batch.column("doc_id").to_pylist(), raw(batch.column("text"))
-                for a, b in pieces(items):
+                for rows, items in parts(batch):
                     if out is None:
                         store, path = _store(f"{folder}/data")
                         store.create_dir(path)
                         out = store.open_output_stream(f"{path}/{name}")
-                    flat, edge = encoder(vocabulary).encode(items[a:b])
+                    keys, (flat, edge) = rows.column("doc_id"), encoder(vocabulary).encode(items)
                     ids = [np.append(flat[i:j], np.uint32(end_id)) for i, j in zip(edge[:-1], edge[1:], strict=True)]
-                    framed = frame([payload(k, x) for k, x in zip(keys[a:b], ids, strict=True)])
+                    framed = frame([payload(k, x) for k, x in zip(keys.to_pylist(), ids, strict=True)])
                     out.write(b"".join(framed))
                     length, n = np.array([len(x) for x in framed]), np.array([len(x) for x in ids])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(b - a, part, np.int32)), pa.array([name] * (b - a)), pa.array(keys[a:b], pa.int64()),
+                        [pa.array(np.full(len(items), part, np.int32)), pa.array([name] * len(items)), keys,
                          pa.array(at + np.cumsum(length) - length), pa.array(length), pa.array(tokens + np.cumsum(n) - n), pa.array(n)],
                         names=["part", "file", "doc_id", "offset", "length", "tokens_before", "n_tokens"])
                     at, tokens = at + int(length.sum()), tokens + int(n.sum())

@@ -25,7 +25,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 _STEP = np.uint64(0xD1342543DE82EF95)
 #: Bytes handled at once; longer batches are cut between texts.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -15,7 +15,7 @@ from rareflow.llm.shingles import BASE, INVERSE, byte_weights, mix, powers
 
 _SEEDED = byte_weights(fold=False)
 #: Units that a worker keeps from batch to batch (about 30 bytes each); only memory and time depend on it.
-MOST_UNITS = 1_500_000
+MOST_UNITS = 1_000_000
 #: Units encoded in one call of the library's batch item.
 GROUP = 64
 
@@ -120,10 +120,11 @@ class UnitEncoder:
             plain = inner[a] & (blank[b] - blank[a] == 1) & ((data[a] == 32) | (data[a] == 10))
             units = [joined[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
             order, ids, sizes = self._encode_units(units, plain)
-            prints = np.concatenate([prints, fresh[~known][order]])
-            place = np.argsort(prints, kind="stable")
-            begin = np.concatenate([begin, len(flat) + np.cumsum(sizes) - sizes])[place]
-            prints, length = prints[place], np.concatenate([length, sizes.astype(np.int32)])[place]
+            added = fresh[~known][order]
+            begins, place = len(flat) + np.cumsum(sizes) - sizes, np.argsort(added)
+            at = np.searchsorted(prints, added[place])
+            prints, begin = np.insert(prints, at, added[place]), np.insert(begin, at, begins[place])
+            length = np.insert(length, at, sizes[place])
             flat = np.concatenate([flat, ids.astype(self.kind)])
             if len(prints) <= MOST_UNITS:
                 self.known = prints, begin, length, flat
