@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from rareflow.functions.columns import hash32, hash60
 from rareflow.operators.ordered import first_rows, global_row_number
 from rareflow.operators.validate import counts_dict, require_both_classes_counts
+from rareflow.session import work_path
 
 # Split seeds and held-out fractions (test first, then validation).
 TEST_SEED, VALIDATION_SEED = 42, 43
@@ -48,11 +49,15 @@ def nested_split(df: DataFrame, *, seeds: tuple[int, int] = (TEST_SEED, VALIDATI
                  levels: int = 2) -> tuple[DataFrame, ...]:
     """Random split, 80/20 by one seed, then 80/20 of the first part by another.
 
-    Returns (train, validation, test), or (train, test) with ``levels=1``. The parts are filters of
-    one tagged table (two seeded random columns), so they cover the input whatever the layout. Which row
-    goes where does depend on the layout; use ``hash_split`` where rows must stay put.
+    Returns (train, validation, test), or (train, test) with ``levels=1``. The rows are tagged by seeded draws
+    and written once as Parquet below ``spark.checkpoint.dir``; the parts are filters of that table, so each row
+    is in exactly one of them, whatever the layout of the input. Which one does depend on the layout; use
+    ``hash_split`` where rows must stay put.
     """
     tagged = random_tags(df, seeds=seeds, fractions=fractions, levels=levels)
+    path = work_path(df.sparkSession, "random-split")
+    tagged.write.parquet(path)
+    tagged = df.sparkSession.read.schema(tagged.schema).parquet(path)
     names = SPLITS if levels > 1 else (SPLITS[0], SPLITS[2])
     return tuple(tagged.where(F.col("split") == s).drop("split") for s in names)
 
@@ -60,7 +65,7 @@ def nested_split(df: DataFrame, *, seeds: tuple[int, int] = (TEST_SEED, VALIDATI
 def random_tags(df: DataFrame, *, seeds: tuple[int, int] = (TEST_SEED, VALIDATION_SEED),
                 fractions: tuple[float, float] = (TEST_FRACTION, VALIDATION_FRACTION), levels: int = 2,
                 out: str = "split") -> DataFrame:
-    """``df`` with the part of each row in one pass."""
+    """``df`` with the part of each row in one pass. A frame that is read again draws again, and by another layout otherwise."""
     inner = F.when(F.rand(seeds[1]) < fractions[1], F.lit("validation")).otherwise(F.lit("train")) if levels > 1 else F.lit("train")
     return df.withColumn(out, F.when(F.rand(seeds[0]) < fractions[0], F.lit("test")).otherwise(inner))
 

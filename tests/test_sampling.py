@@ -40,6 +40,17 @@ def test_nested_split_repeatable_and_covering(spark):
     assert allk == list(range(3000))
 
 
+@pytest.mark.parametrize("levels", [1, 2])
+def test_nested_split_of_a_shuffled_frame(spark, levels):
+    n = 100_000
+    df = spark.range(n).select("id", F.md5(F.col("id").cast("string")).alias("text"), (F.col("id") % 7).alias("v")).repartition("id")
+    parts = S.nested_split(df, levels=levels)
+    # parts read with different columns: the shuffle below each has other sizes, and is coalesced in another way
+    reads = [parts[0].select("id"), *[p.select("id", "text", "v") for p in parts[1:]]]
+    ids = [r["id"] for p in reads for r in p.select("id", *[c for c in p.columns if c != "id"]).collect()]
+    assert len(ids) == n and len(set(ids)) == n
+
+
 def test_global_row_number_matches_pandas(spark):
     df = keyed(spark, 5000)
     got = {r["k"]: r["row_number"] for r in global_row_number(df, ["k"], buckets=64).collect()}
