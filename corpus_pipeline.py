@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from rareflow.llm import mixing, ngram_join, packing, preference, quality_rules, queries
 from rareflow.llm.common import kept
 
+#: Target weights of the mix: tempered row counts.
+MIX = {"power": 0.5, "total": 1000}
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the Bradley-Terry scorer puts at its threshold or above."""
@@ -35,13 +38,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mix: files and rows ascend by place."""
-    placed = mixing.mix(docs, power=0.5, total=1000)
+    placed = mixing.mix(docs, **MIX)
     return placed.repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents at their places in sequences of 1024 tokens."""
-    return packing.pack(docs, public_tokenizers.path(queries.BYTE_BPE), queries.END_ID, queries.SEQUENCE_TOKENS)
+    """The pieces of all documents at their places in sequences of 1024 tokens, which are numbered in the order of the mix.
+    A table has no order of its own, so the places are found again: they follow from the rows."""
+    placed = mixing.mix(docs, **MIX).select("doc_id", "text", "position")
+    return packing.pack_in_order(placed, public_tokenizers.path(queries.BYTE_BPE), queries.END_ID, queries.SEQUENCE_TOKENS)
 
 
 STAGES = [

@@ -37,10 +37,12 @@ def in_small_batches(frame: DataFrame) -> DataFrame:
     return frame
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The two columns as ``doc_id`` (long) and ``text`` (never null)."""
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          position_col: str | None = None) -> DataFrame:
+    """The two columns as ``doc_id`` (long) and ``text`` (never null); a position (long) goes with them if it is named."""
+    position = [docs[position_col].cast("long").alias("position")] if position_col else []
     return in_small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"),
-                                         F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+                                         F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"), *position)
 
 
 def crc(value: Column) -> Column:

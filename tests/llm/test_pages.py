@@ -1,6 +1,7 @@
 """Revisits and top-k against brute force, the pipeline stage by stage, and the SQL twins."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -117,3 +118,33 @@ def test_stages_take_odd_and_empty_tables(spark, odd, empty):
     for docs in (odd.select(*columns, "row", "grams"), empty):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, docs, SF).count() >= 0
+
+
+def test_sequences_follow_the_weights_of_the_mix(spark, monkeypatch):
+    import corpus_pipeline
+
+    r = np.random.default_rng(5)
+    sources = ["a"] * 2000 + ["b"] * 700 + ["c"] * 300
+    rows = [(i, " ".join(["tok"] * int(r.integers(1, 1500))), "en", s, 0) for i, s in enumerate(sources)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+
+    def sequences():
+        return corpus_pipeline.packed(spark, docs, SF).collect()
+
+    tempered, again = sequences(), sequences()
+    assert sorted(map(tuple, tempered)) == sorted(map(tuple, again))
+    monkeypatch.setattr(corpus_pipeline, "MIX", {"weights": {"a": 1, "b": 1, "c": 2}})
+    given = sequences()
+    assert sorted(map(tuple, given)) != sorted(map(tuple, tempered))
+    for got, share in ((tempered, {"a": 0.49, "b": 0.29, "c": 0.22}), (given, {"a": 0.25, "b": 0.25, "c": 0.5})):
+        at, ids = {}, {x.sequence_id for x in got}
+        for x in got:
+            at.setdefault(x.sequence_id, []).append((x.offset, x.length))
+        assert ids == set(range(len(ids))) and Counter(x.doc_id for x in got).keys() == set(range(3000))
+        for places in at.values():  # gapless, and within the capacity
+            assert all(a + n == b for (a, n), (b, _) in zip(sorted(places), sorted(places)[1:], strict=False)) and sum(n for _, n in places) <= 1024
+        early = Counter()  # the first sixth, in which no source ends
+        for x in got:
+            if x.sequence_id < len(ids) / 6:
+                early[sources[x.doc_id]] += x.length
+        assert all(abs(early[s] / early.total() - w) < 0.1 for s, w in share.items()), (early, share)
