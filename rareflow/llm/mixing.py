@@ -4,62 +4,121 @@ A source of weight w among weights that sum to W may send its k-th block (from 1
 before slot ceil(k W / w). Taking in each slot the released block with the earliest deadline meets all deadlines, so after any
 number of slots each source is less than one block from its share. Weights are whole numbers, so the order repeats after W
 slots and a block's slot follows from its number by arithmetic. When a source has no blocks left, the others go on in a new
-stretch with their weights among themselves. Only the weights and one row count per source pass through the driver.
+stretch with their weights among themselves.
+
+Sources of one weight take turns in the order of their names, so the driver's queue holds one entry for each distinct weight,
+however many sources there are. It plays no more of a period than a stretch lasts: at most a slot for each block of the table.
+The slots go to Parquet in parts and meet the rows in an equi-join by (source, block).
 """
 
 from __future__ import annotations
 
 import heapq
+from collections import defaultdict
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rareflow.llm.common import kept
 from rareflow.llm.packing import ranked
+from rareflow.session import work_path
 
-#: Rows of a block; sources and sum of weights that a schedule may have (it is held by every task).
-BLOCK_ROWS, MOST_SOURCES, MOST_WEIGHT = 64, 500, 20_000
+#: Rows of a block, and the sum of weights up to which slots are long integers.
+BLOCK_ROWS, MOST_WEIGHT = 64, (1 << 62) - 1
+#: Slots that the driver writes at once, and repeats of a slot that one row stands for.
+SLOTS_AT_ONCE, REPEATS = 1 << 20, 1 << 12
 
 
-def order(weights: list[int]) -> list[list[int]]:
-    """The slots of one period that each source gets, ascending, by earliest deadline first."""
-    total = sum(weights)
-    waiting = [(0, i, 1) for i in range(len(weights))]  # release, source, block
+def turns(classes: dict[int, list], total: int) -> Iterator[object]:
+    """The source of each slot of one period, by earliest deadline first. ``classes`` has the sources of each weight, ascending;
+    their first blocks come in this order, then their second ones, and so on, so only the next block of each weight competes."""
+    waiting: list[tuple] = [(0, names[0], w, 0, 1) for w, names in classes.items()]  # release, source, weight, place in the class, block
     heapq.heapify(waiting)
-    ready: list[tuple[int, int, int]] = []  # deadline, source, block
-    out: list[list[int]] = [[] for _ in weights]
+    ready: list[tuple] = []  # deadline, source, weight, place, block
     for slot in range(total):
         while waiting and waiting[0][0] <= slot:
-            _, i, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-k * total // weights[i]), i, k))
-        _, i, k = heapq.heappop(ready)
+            _, s, w, i, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-k * total // w), s, w, i, k))
+        _, s, w, i, k = heapq.heappop(ready)
+        yield s
+        i, k = (i + 1, k) if i + 1 < len(classes[w]) else (0, k + 1)
+        if k <= w:
+            heapq.heappush(waiting, ((k - 1) * total // w, classes[w][i], w, i, k))
+
+
+def order(weights: list[int]) -> list[list[int]]:
+    """The slots of one period that each source gets, ascending, by earliest deadline first."""
+    classes: dict[int, list[int]] = defaultdict(list)
+    for i, w in enumerate(weights):
+        classes[w].append(i)
+    out: list[list[int]] = [[] for _ in weights]
+    for slot, i in enumerate(turns(classes, sum(weights))):
         out[i].append(slot)
-        if k < weights[i]:
-            heapq.heappush(waiting, (k * total // weights[i], i, k + 1))
     return out
 
 
-def stretches(weights: dict[str, int], rows: dict[str, int], block_rows: int) -> list[tuple]:
+def stretches(weights: dict[str, int], rows: dict[str, int], block_rows: int) -> Iterator[tuple]:
     """(source, first block, last block, first slot, period, slots of a period, rows missing before) for each source and
-    stretch; a stretch ends with the last block of a source."""
+    stretch in which it gets a slot; a stretch ends with the last block of a source, and of a period it has no later slots."""
     left = {s: -(-n // block_rows) for s, n in sorted(rows.items()) if n}
     sent = dict.fromkeys(left, 0)
-    out, start, missing = [], 0, 0
+    classes: dict[int, list[str]] = defaultdict(list)
+    for s in left:
+        classes[weights[s]].append(s)
+    start = missing = 0
+    period = sum(weights[s] for s in left)
     while left:
-        names = list(left)
-        period, places = sum(weights[s] for s in names), order([weights[s] for s in names])
-        ends = {s: (left[s] - 1) // len(p) * period + p[(left[s] - 1) % len(p)] for s, p in zip(names, places, strict=True)}
-        length = min(ends.values()) + 1
-        for s, p in zip(names, places, strict=True):
+        places: dict[str, list[int]] = defaultdict(list)
+        length = None
+        for slot, s in enumerate(turns(classes, period)):
+            places[s].append(slot)
+            if len(places[s]) == left[s]:  # within the first period
+                length = slot + 1
+                break
+        if length is None:  # whole periods
+            length = min((left[s] - 1) // len(p) * period + p[(left[s] - 1) % len(p)] for s, p in places.items()) + 1
+        ended = []
+        for s, p in places.items():
             many = length // period * len(p) + sum(x < length % period for x in p)
-            if many:
-                out.append((s, sent[s], sent[s] + many - 1, start, period, p, missing))
+            yield s, sent[s], sent[s] + many - 1, start, period, p, missing
             sent[s] += many
             left[s] -= many
-        for s in [s for s in names if not left[s]]:
+            if not left[s]:
+                ended.append(s)
+        for s in ended:
             missing += sent[s] * block_rows - rows[s]
+            period -= weights[s]
             del left[s]
+            classes[weights[s]].remove(s)
+            if not classes[weights[s]]:
+                del classes[weights[s]]
         start += length
-    return out
+
+
+def schedule(spark: SparkSession, weights: dict[str, int], rows: dict[str, int], block_rows: int) -> DataFrame:
+    """(_source, block, slot, weight, _missing) of every block, as Parquet."""
+    path = work_path(spark, "slots")
+    names = ["_source", "_first", "_step", "_repeats", "_slot", "_period", "weight", "_missing"]
+    form = pa.schema([(names[0], pa.string()), *[(c, pa.int64()) for c in names[1:]]])
+
+    def write(part: list[tuple]) -> None:
+        spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), form, strict=True)] if part else
+                                                   [pa.array([], f.type) for f in form], schema=form)).write.mode("append").parquet(path)
+
+    part: list[tuple] = []
+    for s, first, last, start, period, places, missing in stretches(weights, rows, block_rows):
+        for place, slot in enumerate(places):
+            if first + place <= last:
+                part.append((s, first + place, len(places), (last - first - place) // len(places), start + slot, period, weights[s], missing))
+            if len(part) == SLOTS_AT_ONCE:
+                write(part)
+                part = []
+    write(part)
+    slots = spark.read.parquet(path).withColumn("_part", F.explode(F.expr(f"sequence(0L, _repeats div {REPEATS})"))).repartition("_source", "_first", "_part")
+    slots = slots.withColumn("_n", F.explode(F.expr(f"sequence(_part * {REPEATS}, least(_repeats, _part * {REPEATS} + {REPEATS - 1}))")))
+    return kept(slots.selectExpr("_source", "_first + _n * _step as block", "_slot + _n * _period as slot", "weight", "_missing"), "schedule")
 
 
 def named(source: Column) -> Column:
@@ -81,13 +140,13 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, power: fl
 
     ``weights`` are target shares as whole numbers; a source that they don't name has weight 1. Without them they are tempered
     row counts. Within a source, rows come in the order of a seeded hash of the whole row; repeated rows stand next to each other
-    and get a place each. A null source is a source. An empty table gives no rows. More than MOST_SOURCES sources or a sum of
-    weights above MOST_WEIGHT is an error.
+    and get a place each. A null source is a source. An empty table gives no rows. There may be any number of sources; the driver
+    holds a weight and a row count of each. A sum of weights above MOST_WEIGHT, for which slots are no long integers, is an error.
     """
     docs = docs.drop("weight", "block", "slot", "position")
     spark = docs.sparkSession
     rows = docs.withColumns({"_source": named(docs[source_col]), "_mix": F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map")])})
-    sizes = {r["_source"]: r["n"] for r in rows.groupBy("_source").agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
+    sizes = {r["_source"]: r["n"] for r in rows.groupBy("_source").agg(F.count("*").alias("n")).collect()}
     if weights is None:
         target = tempered(sizes, power, total)
     else:
@@ -95,14 +154,9 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, power: fl
         if any(w < 1 for w in given.values()):
             raise ValueError("weights must be whole numbers from 1")
         target = {s: given.get(s, 1) for s in sizes}
-    if len(sizes) > MOST_SOURCES or sum(target.values()) > MOST_WEIGHT:
-        raise ValueError(f"a schedule holds {MOST_SOURCES} sources and a sum of weights of {MOST_WEIGHT} at most")
-    plan = [(*x, target[x[0]]) for x in stretches(target, sizes, block_rows)]
-    schema = "_source string, _first long, _last long, _start long, _period long, _slots array<int>, _missing long, weight long"
+    if sum(target.values()) > MOST_WEIGHT:
+        raise ValueError(f"the weights add up to more than {MOST_WEIGHT}")
     rows = ranked(rows, sum(sizes.values()), "_source", ["_mix"]).withColumn("block", F.expr(f"rank div {block_rows}"))
-    stretch = F.broadcast(spark.createDataFrame(plan, schema).withColumnRenamed("_source", "_s"))  # as long as the limits above allow
-    rows = rows.join(stretch, (F.col("_source") == F.col("_s")) & F.col("block").between(F.col("_first"), F.col("_last")))
-    rows = rows.withColumn("_k", F.col("block") - F.col("_first")).withColumn("_w", F.size("_slots"))
-    rows = rows.withColumn("slot", F.expr("_start + (_k div _w) * _period + _slots[cast(_k % _w as int)]"))
+    rows = rows.join(schedule(spark, target, sizes, block_rows), ["_source", "block"])
     rows = rows.withColumn("position", F.expr(f"slot * {block_rows} + rank % {block_rows} - _missing"))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns], "weight", "block", "slot", "position")

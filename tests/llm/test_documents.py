@@ -232,6 +232,19 @@ def test_mixing_of_the_table(spark):
         assert many <= mixing.BLOCK_ROWS and len({(r.source, r.block) for r in rows if r.slot == slot}) == 1
 
 
+def test_mixing_of_many_sources_and_fine_weights(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS_AT_ONCE", 700, raising=False)
+    monkeypatch.setattr(mixing, "REPEATS", 4, raising=False)
+    docs = spark.range(6000).selectExpr("id", "case when id < 3000 then 'big' when id < 4000 then 'mid' else concat('host', id % 1500) end as source")
+    rows = sorted(mixing.mix(docs, block_rows=2).collect(), key=lambda r: r.position)
+    assert [r.position for r in rows] == list(range(6000)) and len({r.id for r in rows}) == 6000
+    shares = {"big": 300_001, "mid": 100_000}
+    rows = sorted(mixing.mix(docs.where("id < 4000"), shares, block_rows=2).collect(), key=lambda r: r.position)
+    assert [r.position for r in rows] == list(range(4000)) and {(r.source, r.weight) for r in rows} == set(shares.items())
+    for n in range(0, 4000, 250):  # three to one within a block, until both end
+        assert abs(sum(r.source == "mid" for r in rows[:n]) - n / 4) <= 2
+
+
 def test_mixing_of_odd_rows(odd, empty):
     mixed = mixing.mix(odd, {"s0": 3, None: 2}, block_rows=2)
     rows = sorted(mixed.collect(), key=lambda r: r.position)
