@@ -3,7 +3,8 @@
 Base rules count words, symbols, repeated lines and repeated windows of words. The divergence rule compares two
 histograms of a document, over character classes and over common words, with references, one pair for each language,
 by the Jensen-Shannon distance; the nearest language counts. References are the mean histograms of all documents of a
-language that are long enough to have one; short documents are not judged by it. Everything is built-in functions.
+language that are long enough to have one; short documents, and those in a language without a reference, are not judged by it.
+Everything is built-in functions.
 """
 
 from __future__ import annotations
@@ -104,17 +105,21 @@ def distance(shares: Column, reference: list[float]) -> Column:
 
 def judge(docs: DataFrame, refs: dict[str, tuple[list[float], list[float]]], common: dict[str, list[str]] = COMMON,
           min_words: int = MIN_WORDS, max_word: float = MAX_WORD_DISTANCE, max_class: float = MAX_CLASS_DISTANCE,
-          noise: float = NOISE, text_col: str = "text") -> DataFrame:
+          noise: float = NOISE, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, word_distance, class_distance,
     base_failed and kept (of columns with these names, the new ones remain).
 
     A null text counts as empty and fails the base rules, as do all texts under 20 words. A text under ``min_words`` words,
-    and every text if there are no references, is judged by the base rules alone; its distances are null. Rows are
-    independent of each other, and nothing is shuffled.
+    and every text if there are no references, is judged by the base rules alone; its distances are null. A text whose language
+    is named but has no reference has distances, which say nothing about its quality, and is judged by the base rules alone too;
+    one of unknown language (null, or a table without ``lang_col``) is judged by the nearest reference. Rows are independent of
+    each other, and nothing is shuffled.
     """
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "word_distance", "class_distance", "base_failed", "kept"]
     columns = [c for c in docs.columns if c not in own]
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"))
+    lang = docs[lang_col].cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    known = F.coalesce(lang.isin(list(refs)), lang.isNull())
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"), known.alias("_known"))
     rows = histograms(base_counts(rows), common)
     long_enough = F.col("n_words") >= min_words
 
@@ -125,13 +130,15 @@ def judge(docs: DataFrame, refs: dict[str, tuple[list[float], list[float]]], com
     rows = rows.withColumns({"word_distance": nearest("_wh", 0), "class_distance": nearest("_ch", 1)})
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     strays = (F.col("word_distance") > max_word + noise / F.sqrt(F.col("n_words"))) | (F.col("class_distance") > max_class)
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~F.coalesce(strays, F.lit(False))).select(*columns, *own)
+    return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~(F.col("_known") & F.coalesce(strays, F.lit(False)))).select(*columns, *own)
 
 
-def filtered(docs: DataFrame, refs: dict[str, tuple[list[float], list[float]]], text_col: str = "text", **rules) -> DataFrame:
+def filtered(docs: DataFrame, refs: dict[str, tuple[list[float], list[float]]], text_col: str = "text", lang_col: str = "lang",
+             **rules) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with their own columns, whatever these are called."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_source"))
-    judged = judge(rows, refs, text_col="_source", **rules).withColumn("_part", F.spark_partition_id())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_source"),
+                       *([F.col(f"`{lang_col}`").alias("_lang")] if lang_col in docs.columns else []))
+    judged = judge(rows, refs, text_col="_source", lang_col="_lang", **rules).withColumn("_part", F.spark_partition_id())
     # the second condition always holds; without it Spark moves the filter below the projections that make
     # ``kept`` step by step, and writes their expressions into each other over and over
     return judged.where(F.col("kept") & (F.col("_part") >= 0)).select("_row.*")

@@ -195,6 +195,21 @@ def test_an_edit_moves_little_and_grows(spark):
     assert set(shrunk.values()) == set(range(4))
 
 
+def test_rules_let_languages_without_a_reference_pass(spark):
+    words = "il gatto nero dorme sotto una sedia vecchia mentre fuori piove molto forte sulla strada deserta".split()
+    r = random.Random(4)
+    italian = " ".join(r.choice(words) + r.choice(["", "", "re", "ti"]) for _ in range(120))
+    common = quality_rules.COMMON["en"]
+    english = [" ".join(r.choice(common) if i % 3 else f"word{r.randint(1, 900)}" for i in range(120)) for _ in range(12)]
+    rows = [(i, t, "en") for i, t in enumerate(english)] + [(20, italian, "it"), (21, italian, "en"), (22, italian, None), (23, "troppo corto", "it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    refs = quality_rules.references(docs.where("doc_id < 20"))
+    judged = {x.doc_id: x.kept for x in quality_rules.judge(docs, refs).collect()}
+    assert judged[20] and not any(judged[i] for i in (21, 22, 23)) and all(judged[i] for i in range(12))
+    assert {x.doc_id for x in quality_rules.filtered(docs, refs).collect()} == {*range(12), 20}
+    assert not any(x.kept for x in quality_rules.judge(docs.drop("lang"), refs).collect() if x.doc_id > 12)
+
+
 # --- mixing ------------------------------------------------------------------------
 
 @pytest.mark.parametrize("seed", range(8))
