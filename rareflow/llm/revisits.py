@@ -29,6 +29,15 @@ def canonical(url: Column) -> Column:
     return F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
 
 
+def lower_names(headers: Column) -> Column:
+    """Headers with their names in lower case. Of several spellings of a name the last in byte order counts, which is the
+    lower-case one if it is there."""
+    entries = F.map_entries(headers)
+    last = F.filter(entries, lambda e: ~F.exists(entries, lambda o: (F.lower(o["key"]) == F.lower(e["key"])) & (o["key"] > e["key"])))
+    renamed = F.map_from_entries(F.transform(last, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+    return F.when(F.exists(F.map_keys(headers), lambda k: k != F.lower(k)), renamed).otherwise(headers)
+
+
 def _field(headers: str, name: str) -> Column:
     return F.when(F.length(F.col(headers)[name]) > 0, F.col(headers)[name])
 
@@ -44,14 +53,14 @@ def resolve(records: DataFrame, id_col: str = "record_id", url_col: str = "url",
     Full responses are records with status 200. ``state`` is ``resolved``, ``validator_mismatch`` (the latest earlier response has
     other validators), ``no_earlier_response``, or ``no_url`` (null URL or time). An entity tag decides, by weak
     comparison; without one, the modification date does; a revisit with neither matches a response with neither. Of responses
-    at the same time the one with the largest id counts; a response at the revisit's own time is not earlier. Header names must be in
-    lower case; null headers count as none; an unresolved revisit keeps its own. Repeated records are resolved each;
+    at the same time the one with the largest id counts; a response at the revisit's own time is not earlier. Header names may
+    be in any case and come out in lower case; null headers count as none; an unresolved revisit keeps its own. Repeated records are resolved each;
     other columns are not read, and an empty table gives no rows.
     """
     none = F.create_map().cast("map<string,string>")
     rows = records.where(records[status_col].isin(200, 304)).select(
         records[id_col].cast("long").alias("record_id"), canonical(records[url_col].cast("string")).alias("url_key"), records[time_col].cast("long").alias("ts"),
-        (records[status_col] == 304).alias("revisit"), F.coalesce(records[headers_col].cast("map<string,string>"), none).alias("headers"))
+        (records[status_col] == 304).alias("revisit"), F.coalesce(lower_names(records[headers_col].cast("map<string,string>")), none).alias("headers"))
     located = rows.where("url_key is not null and ts is not null").repartitionByRange("url_key", "ts")
     located = kept(located.withColumn("part", F.spark_partition_id()), "crawl")
     full = F.when(~F.col("revisit"), F.struct("record_id", "ts", "headers"))

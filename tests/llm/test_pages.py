@@ -61,6 +61,17 @@ def brute_top(rows, every, k):
     return sorted(out)
 
 
+def test_header_names_in_any_case(spark):
+    rows = [(1, "a.org/x", 10, 200, {"ETag": "one", "Content-Type": "t", "Last-Modified": "d"}), (2, "a.org/x", 20, 304, {"ETAG": "two"}),
+            (3, "a.org/x", 30, 304, {"Etag": "W/one", "Cache-Control": "c"}), (4, "a.org/x", 40, 304, {"LAST-MODIFIED": "e"}),
+            (5, "a.org/x", 50, 304, {"ETag": "two", "etag": "one", "ETAG": "three"}), (6, "a.org/x", 60, 304, None)]
+    frame = spark.createDataFrame(rows, "record_id long, url string, ts long, status int, headers map<string,string>")
+    got = {x.record_id: (x.state, x.headers) for x in revisits.resolve(frame).collect()}
+    whole = {"etag": "one", "content-type": "t", "last-modified": "d"}
+    assert got == {2: ("validator_mismatch", {"etag": "two"}), 3: ("resolved", whole | {"etag": "W/one", "cache-control": "c"}),
+                   4: ("validator_mismatch", {"last-modified": "e"}), 5: ("resolved", whole), 6: ("validator_mismatch", {})}
+
+
 @pytest.mark.parametrize("shard_rows,leaf_rows,together", [(1000, 256, 8), (60, 8, 2), (25, 1, 1)])
 def test_top_k_equals_brute_force(spark, shard_rows, leaf_rows, together):
     r = np.random.default_rng(shard_rows)
