@@ -214,7 +214,9 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: float = 64, s
             packed["shard"].alias("block"), turns.alias("turn"),
             F.lit(0).alias("kind"), "shard", "ids", "width", "flat", "places", "scores")
         none = F.lit(None).cast("array<long>")
-        asked = packed.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("block"), "shard", "ids", "width", "flat").where("block <> shard").select(
+        there = F.broadcast(packed.select(F.col("shard").alias("block")))  # repeated rows share a shard, so some may have no rows
+        asked = packed.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("block"), "shard", "ids", "width", "flat").where("block <> shard").join(
+            there, "block", "left_semi").select(
             "block", (F.col("shard") / together).cast("int").alias("turn"), F.lit(1).alias("kind"), "shard", "ids", "width", "flat", none.alias("places"), none.alias("scores"))
         meet = asking.unionByName(asked).repartition("block", "turn").sortWithinPartitions("block", "turn", "kind", "shard")
         merged = home.unionByName(meet.mapInArrow(abroad, schema))

@@ -93,6 +93,14 @@ def test_top_k_of_odd_rows(spark):
     assert topk.top_k(frame.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("together", [1, 8])
+def test_top_k_of_equal_rows(spark, together):
+    for rows in ([(20, [1.0, 2.0])] * 20, [(20, [1.0, 2.0])] * 18 + [(40, [3.0, 1.0]), (7, [1.0, 1.0])]):
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = topk.top_k(frame, k=20, shard_rows=5, together=together, scale=1).collect()
+        assert sorted(map(tuple, got)) == sorted((*x[:3], x[3] // 64 // 64) for x in brute_top(rows, 20, 20))
+
+
 def test_pipeline_stages(spark, odd, empty, tmp_path):
     import corpus_pipeline
 
