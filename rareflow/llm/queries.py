@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rareflow.llm import mixing, ngram_join, packing, preference, quality_rules, records, revisits, sharding, token_counts, topk
+from rareflow.llm import byte_bpe, mixing, ngram_join, packing, preference, quality_rules, records, revisits, sharding, token_counts, topk
 
-BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
+BYTE_BPE, BYTE_RANKS, PIECE_BPE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 END_ID = 2
 SEQUENCE_TOKENS = 1024
 SHARDS = 40
@@ -101,6 +101,11 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumns({c: F.round(c, 6) for c in ("word_distance", "class_distance")})
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the ranks of a byte-level BPE and decoded again, as digests."""
+    return byte_bpe.round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
+
+
 def _divergence_sql() -> str:
     """SQL twin of op10, with the word lists and thresholds of ``quality_rules``."""
     q = quality_rules
@@ -160,7 +165,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_preference_quality, op2_token_counts, op3_ngram_join, op4_token_records, op5_revisits, op6_ball_tree_topk,
-                            op7_slot_shards, op8_best_fit_packing, op9_pfair_mixing, op10_divergence_rules, pipeline)
+                            op7_slot_shards, op8_best_fit_packing, op9_pfair_mixing, op10_divergence_rules, op13_byte_bpe, pipeline)
 }
 
 ORACLES: dict[str, str] = {
