@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rareflow.llm import byte_bpe, mixing, ngram_join, packing, preference, quality_rules, records, revisits, sharding, token_counts, topk
+from rareflow.llm import byte_bpe, manifest, mixing, ngram_join, packing, preference, quality_rules, records, revisits, sharding, token_counts, topk
+from rareflow.llm.common import crc
 
 BYTE_BPE, BYTE_RANKS, PIECE_BPE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 END_ID = 2
@@ -101,6 +102,17 @@ def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumns({c: F.round(c, 6) for c in ("word_distance", "class_distance")})
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, its proof by descent from the root, and the root that its tampered or original row folds to."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(crc(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    leaves = manifest.rows_of(docs, "source", "doc_id", ("doc_id", "source", "lang", "n_chars", "text"), claimed={"text": tampered})
+    built = manifest.build(leaves)
+    root = F.lit(built.root and built.root.hex()).cast("string")
+    found = manifest.proofs(built, leaves.select("group", "rank", "claimed", "doc_id", "leaf"))
+    return found.select("doc_id", "leaf", "subroot", root.alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == root).alias("verified"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the ranks of a byte-level BPE and decoded again, as digests."""
     return byte_bpe.round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
@@ -165,7 +177,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_preference_quality, op2_token_counts, op3_ngram_join, op4_token_records, op5_revisits, op6_ball_tree_topk,
-                            op7_slot_shards, op8_best_fit_packing, op9_pfair_mixing, op10_divergence_rules, op13_byte_bpe, pipeline)
+                            op7_slot_shards, op8_best_fit_packing, op9_pfair_mixing, op10_divergence_rules, op11_merkle_manifest, op13_byte_bpe, pipeline)
 }
 
 ORACLES: dict[str, str] = {
