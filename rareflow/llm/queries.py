@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rareflow.llm import byte_bpe, manifest, mixing, ngram_join, packing, preference, quality_rules, records, revisits, sharding, token_counts, topk
+from rareflow.llm import byte_bpe, conversations, manifest, mixing, ngram_join, packing, preference, quality_rules, records, revisits, sharding, token_counts, topk
 from rareflow.llm.common import crc
 
 BYTE_BPE, BYTE_RANKS, PIECE_BPE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
@@ -113,6 +113,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", root.alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == root).alias("verified"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation after its rows were damaged."""
+    turns = table(spark, sf_dir, "conversations")
+    return conversations.repair(turns, conversations.damage(turns))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the ranks of a byte-level BPE and decoded again, as digests."""
     return byte_bpe.round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
@@ -177,7 +183,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_preference_quality, op2_token_counts, op3_ngram_join, op4_token_records, op5_revisits, op6_ball_tree_topk,
-                            op7_slot_shards, op8_best_fit_packing, op9_pfair_mixing, op10_divergence_rules, op11_merkle_manifest, op13_byte_bpe, pipeline)
+                            op7_slot_shards, op8_best_fit_packing, op9_pfair_mixing, op10_divergence_rules, op11_merkle_manifest, op12_conversation_repair, op13_byte_bpe, pipeline)
 }
 
 ORACLES: dict[str, str] = {
