@@ -32,4 +32,4 @@ def md5_hash_sql(*parts: str, seed: int | str | None = None, digits: int = 8) ->
 
 def load_all() -> None:
     """Import every query module (each registers on import)."""
-    from rareflow.plans import data_queries, event_queries, io_queries, metric_queries, model_queries  # noqa: F401
+    from rareflow.plans import data_queries, event_queries, io_queries, metric_queries, model_queries, recovery_queries  # noqa: F401

@@ -126,6 +126,16 @@ def move(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"{source} could not be moved to {target}")
 
 
+def move_file(spark: SparkSession, source: str, target: str, pattern: str, name: str) -> None:
+    """Move the one file of ``source`` that fits the pattern into the folder ``target`` under a new name."""
+    fs, p = _fs(spark, f"{source}/{pattern}")
+    found = fs.globStatus(p)
+    if len(found) != 1:
+        raise OSError(f"{len(found)} files fit {source}/{pattern}")
+    if not fs.rename(found[0].getPath(), _fs(spark, f"{target}/{name}")[1]):
+        raise OSError(f"{found[0].getPath()} could not be moved")
+
+
 def dir_is_empty(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return not fs.exists(p) or len(fs.listStatus(p)) == 0
@@ -146,7 +156,7 @@ def bind_output(spark: SparkSession, output_dir: str, configuration: dict) -> No
         return
     state = "other" if begun is None or begun[0] != wanted else "same"
     if (state, there["predictions"] == there["checkpoint"]) != ("same", True):
-        found = ", ".join(f"{'a' if there[n] else 'no'} {n}" for n in ("checkpoint",)) + f", {'some' if there['predictions'] else 'no'} predictions"
+        found = f"{'a' if there['checkpoint'] else 'no'} checkpoint, {'some' if there['predictions'] else 'no'} predictions"
         raise ValueError(f"{output_dir} cannot go on with this run: {state} configuration, {found}. Give the run a folder of its own.")
 
 
@@ -261,19 +271,20 @@ class ProgressRecorder(StreamingQueryListener):
         if p.numInputRows:
             self.events.append({"batchId": p.batchId, "numInputRows": p.numInputRows,
                                 "processedRowsPerSecond": p.processedRowsPerSecond,
-                                "durationMs": dict(p.durationMs or {})})
+                                "durationMs": dict(p.durationMs or {}),
+                                "observed": {name: row.asDict() for name, row in (p.observedMetrics or {}).items()}})
 
     def onQueryIdle(self, event) -> None:
         pass
 
     def onQueryTerminated(self, event) -> None:
-        self.ended.add(str(event.id))
+        self.ended.add(str(event.runId))  # a restarted query keeps its id
 
 
 @contextmanager
 def recording(spark: SparkSession, queries: int = 1, wait_seconds: float = 60.0) -> Iterator[ProgressRecorder]:
     """A recorder of the streams that run inside the block; on the way out it waits until the reports of
-    ``queries`` ended streams have all arrived."""
+    ``queries`` ended runs have all arrived."""
     recorder = ProgressRecorder()
     spark.streams.addListener(recorder)
     try:
