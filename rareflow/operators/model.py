@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -172,20 +173,42 @@ def save_model(model: PipelineModel, path: str) -> None:
     model.write().save(path)
 
 
-def load_model(path: str, features: Sequence[str] | None = None) -> PipelineModel:
-    """Load a saved pipeline (assembler + forest). A bare forest saved by an older run is
-    wrapped with an assembler over ``features``, which must then be given in training order."""
+def saved_class(spark: SparkSession, path: str) -> str:
+    """The class that a saved model's metadata names; an error if there is no metadata, or none that names a class."""
     try:
-        model = PipelineModel.load(path)
-    except Exception as pipeline_error:  # noqa: BLE001 - not a pipeline: try a bare forest
-        try:
-            forest = RandomForestClassificationModel.load(path)
-        except Exception:  # noqa: BLE001
-            raise pipeline_error
-        if features is None:
-            raise ValueError("a bare forest needs its feature order to be scored") from None
-        assembler = VectorAssembler(inputCols=list(features), outputCol=forest.getFeaturesCol())
-        model = PipelineModel(stages=[assembler, forest])
+        lines = spark.read.text(f"{path.rstrip('/')}/metadata").select(F.get_json_object("value", "$.class").alias("name")).limit(2).collect()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise ValueError(f"{path} holds no saved model") from None
+    if len(lines) != 1 or not lines[0]["name"]:
+        raise ValueError(f"the metadata of {path} names no class")
+    return lines[0]["name"]
+
+
+def _bare_forest(path: str, features: Sequence[str] | None) -> PipelineModel:
+    if features is None:
+        raise ValueError("a bare forest needs its feature order to be scored")
+    forest = RandomForestClassificationModel.load(path)
+    return PipelineModel(stages=[VectorAssembler(inputCols=list(features), outputCol=forest.getFeaturesCol()), forest])
+
+
+#: How each class that a metadata file may name is loaded.
+LOADERS = {
+    "org.apache.spark.ml.PipelineModel": lambda path, features: PipelineModel.load(path),
+    "pyspark.ml.pipeline.PipelineModel": lambda path, features: PipelineModel.load(path),
+    "org.apache.spark.ml.classification.RandomForestClassificationModel": _bare_forest,
+}
+
+
+def load_model(path: str, features: Sequence[str] | None = None) -> PipelineModel:
+    """Load a saved model by the class in its metadata, which is read before any loader runs: a pipeline (assembler + forest) as it is,
+    a bare forest of an older run with an assembler over ``features``, which must then be given in training order. Any other
+    class, missing or malformed metadata, and a pipeline of another layout are errors; so are those of the loader itself."""
+    name = saved_class(SparkSession.active(), path)
+    if name not in LOADERS:
+        raise ValueError(f"{path} holds a {name}, which can't score rows here")
+    model = LOADERS[name](path, features)
     ModelScorer(model, features)
     return model
 
@@ -223,13 +246,14 @@ def tune_threshold(scorer, validation: DataFrame, spec: FeatureSpec, *, validate
 
 
 def search_candidates(train: DataFrame, validation: DataFrame, spec: FeatureSpec, candidates: Sequence[dict] = CANDIDATES,
-                      seed: int = MODEL_SEED, concurrency: int = 3, counts: dict | None = None, seconds: dict | None = None):
+                      seed: int = MODEL_SEED, concurrency: int = 3, counts: dict | None = None, seconds: dict | None = None, scores: str | None = None):
     """Fit each candidate on train, tune its threshold on validation only, rank.
 
     Returns (best model, ranked results DataFrame with one row per candidate). The training table is dealt and assembled
     once and kept for all fits, up to ``concurrency`` of which run at the same time (each is seeded). All
     forests then score the validation rows in one pass, and one sweep, split by candidate, tunes all thresholds. With ``counts``
-    ({label: rows} of train) both splits count as validated; ``seconds`` receives the time of each fit by name.
+    ({label: rows} of train) both splits count as validated; ``seconds`` receives the time of each fit by name. With ``scores``, a new folder, each validation row's
+    score by each candidate (key, label, candidate, score) is written there, and the sweep reads it back.
     """
     from concurrent.futures import ThreadPoolExecutor
 
@@ -252,10 +276,14 @@ def search_candidates(train: DataFrame, validation: DataFrame, spec: FeatureSpec
     finally:
         vectors.unpersist()
     models = [PipelineModel(stages=[assembler_for(spec), f]) for f in forests]
-    scored = validation.select(*spec.features, spec.label)
+    keys = list(spec.key) if scores else []
+    scored = validation.select(*dict.fromkeys([*keys, *spec.features, spec.label]))
     for i, model in enumerate(models):
         scored = ModelScorer(model, spec.features).score(scored).withColumnRenamed(PROBABILITY, f"_rf_p{i}")
-    stacked = scored.select(spec.label, F.posexplode(F.array(*[F.col(f"_rf_p{i}") for i in range(len(models))])).alias("candidate", "score"))
+    stacked = scored.select(*keys, spec.label, F.posexplode(F.array(*[F.col(f"_rf_p{i}") for i in range(len(models))])).alias("candidate", "score"))
+    if scores:
+        stacked.write.parquet(scores)
+        stacked = stacked.sparkSession.read.schema(stacked.schema).parquet(scores)
     groups = stacked.groupBy("candidate", "score").agg(F.count_if(F.col(spec.label) == 1).alias("positives"), F.count_if(F.col(spec.label) == 0).alias("negatives"))
     best = M.select_threshold(M.threshold_sweep(groups, partition_by="candidate", unique_scores=True), partition_by=["candidate"])
     names = F.array(*[F.lit(c["name"]) for c in candidates])

@@ -102,10 +102,12 @@ def split_disjointness(source: DataFrame, parts: dict[str, DataFrame], key: Sequ
 
 
 def shuffle_rows(df: DataFrame, seed: int = 42) -> DataFrame:
-    """Uniformly random row order: rows go to partitions by a random key and are sorted by it
-    inside each partition (one hash shuffle; as many partitions as the session's, or as AQE makes of them)."""
+    """Random row order: rows go to partitions by a seeded hash of the row and are sorted by it inside each partition (one hash shuffle; as many
+    partitions as the session's, or as AQE makes of them). The hash is the row's own, so a partition that is computed again after a
+    lost executor gets the same rows; equal rows stand next to each other."""
     r = "_rf_rand"
-    return df.withColumn(r, F.rand(seed)).repartition(r).sortWithinPartitions(r).drop(r)
+    hashed = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c, kind in df.dtypes if not kind.startswith(("map", "variant"))])
+    return df.withColumn(r, hashed).repartition(r).sortWithinPartitions(r).drop(r)
 
 
 def balance_classes(df: DataFrame, label: str, seed: int = 42, shuffle: bool = True) -> DataFrame:
@@ -146,10 +148,10 @@ def sample_with_replacement(df: DataFrame, key: Sequence[str], count: int, seed:
     ``spark.range`` (distributed) and meet the rows in an equi-join.
     """
     if count <= 0:
-        raise ValueError("Count must be a positive integer")
+        raise ValueError(f"{count} rows can't be taken: ask for one at least")
     n = rows if rows is not None else df.count()
     if n == 0:
-        raise ValueError("No transactions are available to send")
+        raise ValueError("there are no rows to draw from")
     ranked = global_row_number(df, key, name="_rn", rows=n, hasher=hasher)
     draws = df.sparkSession.range(count).select(
         F.col("id").alias("draw"), (hash60("id", seed=seed, hasher=hasher) % F.lit(n) + 1).alias("_rn"))
@@ -161,12 +163,12 @@ def sequential_take(df: DataFrame, order_col: str, count: int) -> DataFrame:
     or the column has nulls. Rows that tie follow a hash of the whole row. No single task sees all rows.
     """
     if count <= 0:
-        raise ValueError("Count must be a positive integer")
+        raise ValueError(f"{count} rows can't be taken: ask for one at least")
     row = df.agg(F.count(F.lit(1)).alias("n"), F.count(order_col).alias("nonnull")).first()
     if row["nonnull"] != row["n"]:
         raise ValueError(f"{order_col} has nulls; sequential order needs a non-null column")
     if count > row["n"]:
-        raise ValueError("count cannot exceed the dataset row count in sequential mode")
+        raise ValueError(f"{count} rows were asked for, and there are {row['n']}")
     return first_rows(df, [order_col], count)
 
 

@@ -14,6 +14,7 @@ from rareflow.plans.registry import md5_hash_sql, register
 from rareflow.plans.views import TX_FEATURES, TX_KEY, TX_SQL, orders_labelled, table, tx
 from rareflow.session import work_path
 from rareflow.sources import files as FS
+from rareflow.streaming.stream import copy_file
 
 CSV_COLS = [*TX_FEATURES, "y"]
 
@@ -73,8 +74,8 @@ ROW_TEXT_SQL = " || ".join(f"case when {c} is null then 'n;' else length({c}::va
 
 @register("table_fingerprint", f"""
 with r as (select {ROW_TEXT_SQL} as r from orders)
-select count(*) as rows, sum(({md5_hash_sql('r', seed=0, digits=15)})::hugeint)::varchar as hash_one,
-       sum(({md5_hash_sql('r', seed=1, digits=15)})::hugeint)::varchar as hash_two from r""")
+select count(*) as rows, sum(('0x' || substr(md5(r), 2, 15))::hugeint)::varchar as hash_one,
+       sum(('0x' || substr(md5(r), 18, 15))::hugeint)::varchar as hash_two from r""")
 def q_table_fingerprint(spark, d):
     return FS.table_fingerprint(table(spark, d, "orders"), FINGERPRINT_COLS)
 
@@ -87,3 +88,28 @@ def q_write_split_overwrite(spark, d):
     FS.write_split(rows.where("y2 = 0").select(*CSV_COLS), path)
     FS.write_split(rows.where("y2 = 1").select(*CSV_COLS), path, overwrite=True)
     return FS.scan_parquet(spark, path)
+
+
+@register("file_tree_hash", "select count(*) as rows, 4::bigint as files, true as same_in_other_splits, true as copies_agree, true as others_differ from lineitem")
+def q_file_tree_hash(spark, d):
+    """Tree hashes of a table's Parquet files: read in small splits as in large ones, of each file as of its copy, all files different."""
+    folder = work_path(spark, "hashed")
+    rows = table(spark, d, "lineitem")
+    rows.repartition(4, "l_orderkey").write.parquet(f"{folder}/a")
+    for i, name in enumerate(sorted(p.rsplit("/", 1)[1] for p in spark.read.parquet(f"{folder}/a").inputFiles())):
+        copy_file(spark, f"{folder}/a/{name}", f"{folder}/b/copy-{i}.parquet")
+    split, conf = "spark.sql.files.maxPartitionBytes", spark.conf
+    before = conf.get(split)
+    first = FS.file_tree_hash(spark, f"{folder}/a", "*.parquet")
+    try:
+        conf.set(split, "64k")
+        second = FS.file_tree_hash(spark, f"{folder}/a", "*.parquet")
+    finally:
+        conf.set(split, before)
+    copies = FS.file_tree_hash(spark, f"{folder}/b", "*.parquet").agg(F.sort_array(F.collect_list("tree_hash")).alias("of_copies"))  # four files
+    listed = first.withColumnRenamed("tree_hash", "one").join(second.select("path", "tree_hash"), "path", "full_outer").agg(
+        F.count(F.lit(1)).alias("files"), F.every(F.coalesce(F.col("one") == F.col("tree_hash"), F.lit(False))).alias("same_in_other_splits"),
+        F.sort_array(F.collect_list("one")).alias("of_files"), F.count_distinct("one").alias("different"))
+    counted = spark.read.parquet(f"{folder}/b").agg(F.count(F.lit(1)).alias("rows"))
+    return counted.crossJoin(listed).crossJoin(copies).select(  # a row each
+        "rows", "files", "same_in_other_splits", (F.col("of_files") == F.col("of_copies")).alias("copies_agree"), (F.col("different") == F.col("files")).alias("others_differ"))

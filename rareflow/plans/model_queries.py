@@ -8,7 +8,11 @@ also runs with an expression scorer, whose result SQL gives in full.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rareflow.operators import metrics as M
@@ -25,10 +29,6 @@ TX_SPLIT_SQL = f"""case when {md5_hash_sql(*TX_KEY, seed=42)} % 100 >= 80 then '
             when {md5_hash_sql(*TX_KEY, seed=43)} % 100 >= 80 then 'validation' else 'train' end"""
 
 
-#: Trees of the fits whose forest is only a means to an end; the fit and search queries use the full settings.
-FEW_TREES = 20
-
-
 def _splits(spark, d):
     """Train, validation and test from one written table: the hash split is computed once for all that a query does with it."""
     path = work_path(spark, "splits")
@@ -68,7 +68,7 @@ select l_linenumber, y2, count(*) as rows, count(*) as in_range, sum(l_orderkey:
 from tx where {TX_SPLIT_SQL} = 'test' group by l_linenumber, y2""")
 def q_score_table(spark, d):
     """Every test row is scored once, keeps its key, and has a probability."""
-    model, (_, _, test) = _fit(spark, d, num_trees=FEW_TREES)
+    model, (_, _, test) = _fit(spark, d)
     scored = MD.score_table(model, test, TX_SPEC2, keep=TX_KEY)
     return scored.groupBy("l_linenumber", "y2").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col("fraud_probability").between(0, 1)).alias("in_range"),
@@ -80,19 +80,24 @@ CANDIDATE_NAMES = ", ".join(f"({i}, '{c['name']}')" for i, c in enumerate(MD.CAN
 
 @register("search_candidates", "with " + TX_SQL + f""",
 v as (select count(*) filter (where y2 = 1) as positives, count(*) as rows from tx where {TX_SPLIT_SQL} = 'validation')
-select c.candidate, c.name, v.positives, v.rows, true as f1_agrees, true as rank_agrees
+select c.candidate, c.name, v.positives, v.rows, true as counts_agree, true as f1_agrees, true as rank_agrees
 from (values {CANDIDATE_NAMES}) c(candidate, name), v""")
 def q_search_candidates(spark, d):
-    """Each candidate's counts cover the validation rows, its F1 is that of its counts, and ranks follow F1, recall, precision."""
+    """Each candidate's counts, F1 and rank beside a recount of the written scores of the validation rows at its threshold."""
     train, val, _ = _splits(spark, d)
-    _, ranked = MD.search_candidates(train, val, TX_SPEC2)
-    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
-    rows = [r.asDict() for r in ranked.collect()]  # six rows
-    order = sorted(rows, key=lambda r: (-r["f1"], -r["recall"], -r["precision"], r["candidate"]))
-    place = F.create_map(*[F.lit(x) for i, r in enumerate(order, start=1) for x in (r["candidate"], i)])
-    return ranked.select("candidate", "name", (tp + fn).alias("positives"), (tp + fp + fn + tn).alias("rows"),
-                         (F.abs(F.col("f1") - 2 * tp / (2 * tp + fp + fn)) < 1e-12).alias("f1_agrees"),
-                         (F.col("rank") == place[F.col("candidate")]).alias("rank_agrees"))
+    path = work_path(spark, "candidate-scores")
+    _, ranked = MD.search_candidates(train, val, TX_SPEC2, scores=path)
+    hit, label = F.col("score") >= F.col("threshold"), F.col("y2")
+    cells = {"tp": hit & (label == 1), "fp": hit & (label == 0), "fn": ~hit & (label == 1), "tn": ~hit & (label == 0)}
+    scores = spark.read.parquet(path).join(F.broadcast(ranked.select("candidate", "threshold")), "candidate")  # six rows
+    recount = scores.groupBy("candidate").agg(*[F.count_if(c).alias(f"{n}_again") for n, c in cells.items()], F.count_distinct(*TX_KEY).alias("keys"))
+    tp, fp, fn = (F.col(f"{n}_again") for n in ("tp", "fp", "fn"))
+    by = [F.when(tp > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0), F.when(tp > 0, tp / (tp + fn)).otherwise(0.0), F.when(tp > 0, tp / (tp + fp)).otherwise(0.0)]
+    place = F.row_number().over(Window.orderBy(*[x.desc() for x in by], "candidate"))  # six rows
+    both = ranked.join(recount, "candidate").withColumn("place", place)
+    agree = [F.col(n) == F.col(f"{n}_again") for n in cells]
+    return both.select("candidate", "name", (tp + fn).alias("positives"), "keys", reduce(and_, agree).alias("counts_agree"),
+                       (F.abs(F.col("f1") - by[0]) < 1e-12).alias("f1_agrees"), (F.col("rank") == F.col("place")).alias("rank_agrees")).withColumnRenamed("keys", "rows")
 
 
 @register("evaluate_forest", "with " + TX_SQL + f"""
@@ -100,7 +105,7 @@ select count(*) filter (where y2 = 1) as positives, count(*) filter (where y2 =
 from tx where {TX_SPLIT_SQL} = 'test'""")
 def q_evaluate_forest(spark, d):
     """Held-out evaluation of a forest: its cells cover the test rows, and its metrics are those of its cells."""
-    model, (_, _, test) = _fit(spark, d, num_trees=FEW_TREES)
+    model, (_, _, test) = _fit(spark, d)
     out = MD.evaluate_model(model, test, TX_SPEC2, 0.5)
     tp, fp, fn = (F.col(c).cast("double") for c in ("tp", "fp", "fn"))
     agree = (F.abs(F.col("precision") * (tp + fp) - tp) < 1e-6) & (F.abs(F.col("recall") * (tp + fn) - tp) < 1e-6) & F.col("auprc").between(0, 1 + 1e-9)
@@ -147,7 +152,7 @@ def q_model_roundtrip(spark, d):
     """Save, load, and score the test split with both: every row equal."""
     from rareflow.streaming.events import score_parity
 
-    model, (_, _, test) = _fit(spark, d, num_trees=FEW_TREES)
+    model, (_, _, test) = _fit(spark, d)
     path = work_path(spark, "model")
     MD.save_model(model, path)
     loaded = MD.load_model(path, TX_FEATURES)

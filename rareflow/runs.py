@@ -138,15 +138,25 @@ def _last_tuning(entries: DataFrame) -> tuple[int, int]:
     return row["n"], row["seq"]
 
 
+def claim_number(spark: SparkSession, folder: str, least: int) -> int:
+    """The smallest free number from ``least`` on, which is the caller's alone: each number is an empty file that only one can create, and whoever finds
+    it there tries the next."""
+    number = least
+    while ST.path_exists(spark, f"{folder}/{number}") or not ST.create_new(spark, f"{folder}/_claims/{number}"):
+        number += 1
+    return number
+
+
 def tune_run(spark: SparkSession, run_dir: str, spec: FeatureSpec) -> dict:
-    """Re-select the threshold of a completed run from its saved validation split, any number of times. Readers
-    use the new table and sweep file together once both are written."""
+    """Re-select the threshold of a completed run from its saved validation split, any number of times, also at once. Each
+    tuning claims a number, writes a folder of its own, and is seen by readers once its registry entry is there: they use the table and the
+    sweep of the highest number recorded. A tuning that breaks off leaves its number unused."""
     run_id, registry, entries = _entries(spark, run_dir)
-    p, (number, _) = _paths(run_dir), _last_tuning(entries)
-    while ST.path_exists(spark, f"{p['tunings']}/{number + 1}"):  # left by a tuning that broke off
-        number += 1
-    record = _Record(spark, registry, run_id, entries.agg(F.max("seq")).first()[0] + 2)
-    return _tune(spark, MD.load_model(p["model"], spec.features), read_split(spark, run_dir, "validation"), spec, p, record, number + 1)
+    p = _paths(run_dir)
+    number = claim_number(spark, p["tunings"], _last_tuning(entries)[0] + 1)
+    first = entries.where("kind = 'tuning'").agg(F.min("seq")).first()[0]  # that of the training, which the final status follows
+    record = _Record(spark, registry, run_id, first + number)
+    return _tune(spark, MD.load_model(p["model"], spec.features), read_split(spark, run_dir, "validation"), spec, p, record, number)
 
 
 def load_run_threshold(spark: SparkSession, run_dir: str, spec: FeatureSpec) -> tuple:
@@ -233,7 +243,7 @@ def run_events(spark: SparkSession, run_dir: str, spec: FeatureSpec, *, count: i
                topic: str = "transactions") -> DataFrame:
     """Kafka records for ``count`` events drawn from a run's test split (sequential or seeded)."""
     if not rate > 0 or rate != rate or rate == float("inf"):
-        raise ValueError("Rate must be finite and greater than 0")
+        raise ValueError(f"{rate} is no rate: it must be a number above 0")
     _entries(spark, run_dir)
     test = read_split(spark, run_dir, "test")
     rows = V.assert_valid(test, spec, "Producer test data", require_both_classes=False)["rows"]
@@ -242,7 +252,7 @@ def run_events(spark: SparkSession, run_dir: str, spec: FeatureSpec, *, count: i
     key = list(spec.key)
     if sequential:
         if count > rows:
-            raise ValueError("count cannot exceed the dataset row count with sequential")
+            raise ValueError(f"{count} events in sequence need as many rows; the test split has {rows}")
         ranked = test.select(*spec.with_key())
         picked = global_row_number(ranked, key, name="_i", rows=rows, limit=count).withColumn("draw", F.col("_i") - 1)
     else:

@@ -6,11 +6,12 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rareflow.functions.columns import hash60, row_text
+from rareflow.session import work_path
 from rareflow.spec import check_schema
 
 
@@ -67,17 +68,58 @@ def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None, hashe
     unnoticed; sums are decimals and exact at any size.
     """
     row = row_text(*list(columns or df.columns))
-    total = [F.sum(hash60(row, seed=i, hasher=hasher).cast("decimal(38,0)")).cast("string").alias(n) for i, n in enumerate(("hash_one", "hash_two"))]
-    return df.agg(F.count(F.lit(1)).alias("rows"), *total)
+    digest = F.md5(row) if hasher == "md5" else F.concat(*[F.lpad(F.lower(F.hex(hash60(row, seed=i, hasher=hasher))), 16, "0") for i in (0, 1)])
+    half = lambda first: F.conv(F.substring("_rf_digest", first, 15), 16, 10).cast("decimal(38,0)")
+    totals = [F.sum(half(first)).cast("string").alias(n) for first, n in ((2, "hash_one"), (18, "hash_two"))]
+    return df.select(digest.alias("_rf_digest")).agg(F.count(F.lit(1)).alias("rows"), *totals)
 
 
 def file_sha256(spark: SparkSession, path: str, glob_filter: str | None = None) -> DataFrame:
     """SHA-256 of each input file (path, length, sha256), computed in the tasks that read them.
 
-    ``binaryFile`` loads one whole file per row (a file must stay below 2 GB); many files
+    ``binaryFile`` loads one whole file per row (a file must stay below 2 GB; ``file_tree_hash`` has no such limit); many files
     are hashed in parallel, and nothing but the digests reaches the driver.
     """
     reader = spark.read.format("binaryFile")
     if glob_filter:
         reader = reader.option("pathGlobFilter", glob_filter)
     return reader.load(path).select("path", "length", F.sha2(F.col("content"), 256).alias("sha256"))
+
+
+#: Digests that one node of a file's tree hash is made of.
+FAN = 4096
+
+
+def file_tree_hash(spark: SparkSession, path: str, glob_filter: str | None = None) -> DataFrame:
+    """(path, length, tree_hash) of each file below ``path``, of any size, its byte ranges read in parallel.
+
+    A file is taken as pieces that end with a line feed byte; each piece's SHA-256 is a leaf, ``FAN`` consecutive digests make one by hashing them in a row,
+    until one is left, and the tree hash is that of the file's length and this digest. Pieces depend on the bytes alone, so the result is
+    the same however the file is split among tasks. No file is read whole: a piece ends with the next line feed, which compressed data
+    has every few hundred bytes. Files that the name marks as compressed as a whole (``.gz``) are hashed as what they unpack to. Spark's readers pass over empty files, which therefore have no row.
+    """
+    reader = spark.read.option("lineSep", "\n")
+    if glob_filter:
+        reader = reader.option("pathGlobFilter", glob_filter)
+    meta = lambda c: F.col(f"_metadata.file_{c}")
+    pieces = reader.text(path).select(meta("path").alias("path"), meta("size").alias("length"), meta("block_start").alias("block"), F.unhex(F.sha2(F.col("value").cast("binary"), 256)).alias("digest"))
+    folder = work_path(spark, "pieces")
+    pieces.withColumn("at", F.monotonically_increasing_id()).write.parquet(folder)  # ascends within a block, which one task reads
+    pieces = spark.read.parquet(folder)
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    of_file = Window.partitionBy("path")
+    blocks = pieces.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))  # a row per split
+    blocks = blocks.select("path", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(of_file).alias("nodes"))
+    level = pieces.join(blocks, ["path", "block"]).select("path", "length", "nodes", (F.col("before") + F.col("at") - F.col("first")).alias("rank"), "digest")
+    found = None
+    while True:
+        runs = level.groupBy("path", "length", "nodes", F.expr(f"rank div {FAN}").alias("rank")).agg(F.sort_array(F.collect_list(F.struct("rank", "digest"))).alias("run"))
+        digest = F.unhex(F.sha2(F.unhex(F.array_join(F.transform("run", lambda r: F.hex(r["digest"])), "")), 256))
+        folder = work_path(spark, "pieces")
+        runs.select("path", "length", F.expr(f"(nodes + {FAN - 1}) div {FAN}").alias("nodes"), "rank", digest.alias("digest")).write.parquet(folder)
+        level = spark.read.parquet(folder)
+        top = level.where("nodes = 1").select("path", "length", F.sha2(F.concat(F.col("length").cast("string").cast("binary"), F.lit(":").cast("binary"), "digest"), 256).alias("tree_hash"))
+        found, level = top if found is None else found.unionByName(top), level.where("nodes > 1")
+        if not level.limit(1).count():
+            break
+    return found

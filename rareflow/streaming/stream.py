@@ -8,6 +8,7 @@ import time
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,21 +81,19 @@ def publish_frame(records: DataFrame, topic: str | None = None) -> DataFrame:
     return records.select(*cols)
 
 
-def publish_records(records: DataFrame, bootstrap_servers: str, topic: str | None = None) -> int:
-    """Batch write of (key, value[, topic]) records to Kafka (acks=all). A failed send fails the
-    job; the number written is observed during the write itself (no second pass)."""
-    from pyspark.sql import Observation
-
+def publish_records(records: DataFrame, bootstrap_servers: str | None = None, topic: str | None = None, fmt: str = "kafka", **options: str) -> int:
+    """Batch write of (key, value[, topic]) records to Kafka (acks=all), or in another format with its ``options`` (``path``). A failed send fails the
+    job; the number written is observed during the write itself (no second pass). ``recovery.deliver`` makes it safe to repeat."""
     import uuid
 
-    obs = Observation(f"rf_published_{uuid.uuid4().hex[:12]}")  # unique per write
-    frame = publish_frame(records, topic).observe(obs, F.count(F.lit(1)).alias("records"))
-    w = frame.write.format("kafka").option("kafka.bootstrap.servers", bootstrap_servers) \
-        .option("kafka.acks", "all")
-    if topic:
-        w = w.option("topic", topic)
-    w.save()
-    return int(obs.get["records"])
+    from pyspark.sql import Observation
+
+    if fmt == "kafka":
+        options = {"kafka.bootstrap.servers": bootstrap_servers, "kafka.acks": "all", **({"topic": topic} if topic else {}), **options}
+    seen = Observation(f"rf_published_{uuid.uuid4().hex[:12]}")  # unique per write
+    frame = publish_frame(records, topic).observe(seen, F.count(F.lit(1)).alias("records"))
+    frame.write.format(fmt).mode("append").options(**options).save()
+    return int(seen.get["records"])
 
 
 def stream_alerts(alerts: DataFrame, bootstrap_servers: str, topic: str, checkpoint: str) -> StreamingQuery:
@@ -136,6 +135,29 @@ def move_file(spark: SparkSession, source: str, target: str, pattern: str, name:
         raise OSError(f"{found[0].getPath()} could not be moved")
 
 
+def copy_file(spark: SparkSession, source: str, target: str) -> None:
+    """Copy one file, into folders that are made for it."""
+    (fs, p), (to_fs, to) = _fs(spark, source), _fs(spark, target)
+    to_fs.mkdirs(to.getParent())
+    spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, to_fs, to, False, spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def create_new(spark: SparkSession, path: str) -> bool:
+    """Create an empty file, which only one of several callers at once can: True for that one, False if the file is there."""
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p.getParent())
+    try:
+        if fs.getUri().getScheme() == "file":  # Hadoop's local file system looks first and creates then
+            file = spark.sparkContext._jvm.java.io.File(p.toUri().getPath())
+            return bool(file.createNewFile())
+        fs.create(p, False).close()
+        return True
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+
+
 def dir_is_empty(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return not fs.exists(p) or len(fs.listStatus(p)) == 0
