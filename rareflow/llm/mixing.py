@@ -1,124 +1,138 @@
 """Mixing sources to target weights by Pfair scheduling: earliest deadline first over blocks of rows.
 
-A source of weight w among weights that sum to W may send its k-th block (from 1) from slot floor((k - 1) W / w) on, and must
-before slot ceil(k W / w). Taking in each slot the released block with the earliest deadline meets all deadlines, so after any
-number of slots each source is less than one block from its share. Weights are whole numbers, so the order repeats after W
-slots and a block's slot follows from its number by arithmetic. When a source has no blocks left, the others go on in a new
-stretch with their weights among themselves.
-
-Sources of one weight take turns in the order of their names, so the driver's queue holds one entry for each distinct weight,
-however many sources there are. It plays no more of a period than a stretch lasts: at most a slot for each block of the table.
-The slots go to Parquet in parts and meet the rows in an equi-join by (source, block).
+Ideally, sources with blocks left share each slot by their weights, and a source leaves when its share of all slots so far covers its
+blocks. In that ideal each source has its k-th block served in an interval of time, and that interval, widened to whole slots, is the block's
+window: it is released with the slot in which the interval begins and due by the end of that in which it ends. Taking in each slot the released
+block with the earliest deadline meets every deadline, since the ideal itself fits the windows; so after any number of slots, however many sources
+have ended by then, each source is less than one block from its ideal share.
+
+With V the service that a unit of weight has got, the time is t(V) = sum of min(weight * V, blocks) over the sources, and block k of a source of
+weight w (from 0) is served from t(k / w) to t((k + 1) / w), exact as fractions. Sources of one weight have the same windows, so all k-th blocks of a
+weight are one entry in the driver's queue, taken in runs of slots: the driver plays (weight, block) pairs, not slots, and holds a count
+for each pair of a weight and a number of blocks. The runs go to Parquet in parts and meet the sources' blocks in an equi-join.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rareflow.llm.common import kept
+from rareflow.llm.manifest import numbered
 from rareflow.llm.packing import ranked
+from rareflow.operators.ordered import prefix_sum
 from rareflow.session import work_path
 
 #: Rows of a block, and the sum of weights up to which slots are long integers.
 BLOCK_ROWS, MOST_WEIGHT = 64, (1 << 62) - 1
-#: Slots that the driver writes at once, and repeats of a slot that one row stands for.
+#: Runs that the driver writes at once, and blocks of a source that one row makes.
 SLOTS_AT_ONCE, REPEATS = 1 << 20, 1 << 12
 
 
-def turns(classes: dict[int, list], total: int) -> Iterator[object]:
-    """The source of each slot of one period, by earliest deadline first. ``classes`` has the sources of each weight, ascending;
-    their first blocks come in this order, then their second ones, and so on, so only the next block of each weight competes."""
-    waiting: list[tuple] = [(0, names[0], w, 0, 1) for w, names in classes.items()]  # release, source, weight, place in the class, block
-    heapq.heapify(waiting)
-    ready: list[tuple] = []  # deadline, source, weight, place, block
-    for slot in range(total):
+def runs(sources: dict[tuple[int, int], int]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(weight, block, first place, places, first slot): slots in a row for the blocks of that number of the sources of a weight, given how many sources
+    there are of each (weight, blocks). Places count a weight's sources from 0, those with more blocks first."""
+    ending = sorted(sources, key=lambda e: Fraction(e[1], e[0]))  # in the order in which they leave
+    done, alive = [0], [sum(w * n for (w, _), n in sources.items())]
+    for w, blocks in ending:
+        done.append(done[-1] + blocks * sources[w, blocks])
+        alive.append(alive[-1] - w * sources[w, blocks])
+    lengths: dict[int, list[int]] = defaultdict(list)
+    many: dict[int, list[int]] = {}
+    for w, blocks in sorted(sources):
+        lengths[w].append(blocks)
+    for w, of in lengths.items():
+        many[w] = [0] * (len(of) + 1)  # sources with at least so many blocks
+        for i in range(len(of) - 1, -1, -1):
+            many[w][i] = many[w][i + 1] + sources[w, of[i]]
+
+    def window(w: int, k: int) -> tuple[int, int]:
+        """First slot of the release, and the slot before which block k is due."""
+        found = []
+        for served in (k, k + 1):
+            j = bisect_right(ending, 0, key=lambda e: e[1] * w - served * e[0])
+            found.append((done[j] * w + alive[j] * served, w))
+        return found[0][0] // w, -(-found[1][0] // w)
+
+    waiting: list[tuple[int, int, int, int]] = []  # release, weight, block, deadline
+    for w in lengths:
+        heapq.heappush(waiting, (window(w, 0)[0], w, 0, window(w, 0)[1]))
+    ready: list[tuple[int, int, int, int]] = []  # deadline, weight, block, next place
+    slot = 0
+    while waiting or ready:
         while waiting and waiting[0][0] <= slot:
-            _, s, w, i, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-k * total // w), s, w, i, k))
-        _, s, w, i, k = heapq.heappop(ready)
-        yield s
-        i, k = (i + 1, k) if i + 1 < len(classes[w]) else (0, k + 1)
-        if k <= w:
-            heapq.heappush(waiting, ((k - 1) * total // w, classes[w][i], w, i, k))
+            _, w, k, due = heapq.heappop(waiting)
+            heapq.heappush(ready, (due, w, k, 0))
+            if k + 1 < lengths[w][-1]:
+                release, due = window(w, k + 1)
+                heapq.heappush(waiting, (release, w, k + 1, due))
+        due, w, k, place = heapq.heappop(ready)
+        left = many[w][bisect_right(lengths[w], k)] - place
+        take = min(left, waiting[0][0] - slot) if waiting else left
+        yield w, k, place, take, slot
+        slot += take
+        if take < left:
+            heapq.heappush(ready, (due, w, k, place + take))
+
+
+def stretches(weights: dict[str, int], rows: dict[str, int], block_rows: int) -> Iterator[tuple]:
+    """The schedule of a small mix block by block: (source, block, block, slot, 1, [0], rows missing in the blocks before)."""
+    blocks = {s: -(-n // block_rows) for s, n in rows.items() if n}
+    sources: dict[tuple[int, int], int] = defaultdict(int)
+    places: dict[int, list[str]] = defaultdict(list)
+    for s in sorted(blocks, key=lambda s: (-blocks[s], s)):
+        sources[weights[s], blocks[s]] += 1
+        places[weights[s]].append(s)
+    missing = 0
+    for w, k, first, many, slot in runs(sources):
+        for i in range(many):
+            s = places[w][first + i]
+            yield s, k, k, slot + i, 1, [0], missing
+            missing += max(0, (k + 1) * block_rows - rows[s])
 
 
 def order(weights: list[int]) -> list[list[int]]:
-    """The slots of one period that each source gets, ascending, by earliest deadline first."""
-    classes: dict[int, list[int]] = defaultdict(list)
-    for i, w in enumerate(weights):
-        classes[w].append(i)
+    """The slots that each source gets, ascending, of one period in which each has as many blocks as its weight."""
     out: list[list[int]] = [[] for _ in weights]
-    for slot, i in enumerate(turns(classes, sum(weights))):
-        out[i].append(slot)
+    names = {f"{i:09d}": i for i in range(len(weights))}
+    for s, _, _, slot, *_ in stretches({n: weights[i] for n, i in names.items()}, {n: weights[i] for n, i in names.items()}, 1):
+        out[names[s]].append(slot)
     return out
 
 
-def stretches(weights: dict[str, int], rows: dict[str, int], block_rows: int) -> Iterator[tuple]:
-    """(source, first block, last block, first slot, period, slots of a period, rows missing before) for each source and
-    stretch in which it gets a slot; a stretch ends with the last block of a source, and of a period it has no later slots."""
-    left = {s: -(-n // block_rows) for s, n in sorted(rows.items()) if n}
-    sent = dict.fromkeys(left, 0)
-    classes: dict[int, list[str]] = defaultdict(list)
-    for s in left:
-        classes[weights[s]].append(s)
-    start = missing = 0
-    period = sum(weights[s] for s in left)
-    while left:
-        places: dict[str, list[int]] = defaultdict(list)
-        length = None
-        for slot, s in enumerate(turns(classes, period)):
-            places[s].append(slot)
-            if len(places[s]) == left[s]:  # within the first period
-                length = slot + 1
-                break
-        if length is None:  # whole periods
-            length = min((left[s] - 1) // len(p) * period + p[(left[s] - 1) % len(p)] for s, p in places.items()) + 1
-        ended = []
-        for s, p in places.items():
-            many = length // period * len(p) + sum(x < length % period for x in p)
-            yield s, sent[s], sent[s] + many - 1, start, period, p, missing
-            sent[s] += many
-            left[s] -= many
-            if not left[s]:
-                ended.append(s)
-        for s in ended:
-            missing += sent[s] * block_rows - rows[s]
-            period -= weights[s]
-            del left[s]
-            classes[weights[s]].remove(s)
-            if not classes[weights[s]]:
-                del classes[weights[s]]
-        start += length
-
-
-def schedule(spark: SparkSession, weights: dict[str, int], rows: dict[str, int], block_rows: int) -> DataFrame:
-    """(_source, block, slot, weight, _missing) of every block, as Parquet."""
-    path = work_path(spark, "slots")
-    names = ["_source", "_first", "_step", "_repeats", "_slot", "_period", "weight", "_missing"]
-    form = pa.schema([(names[0], pa.string()), *[(c, pa.int64()) for c in names[1:]]])
+def schedule(sources: DataFrame, block_rows: int) -> DataFrame:
+    """(_source, block, slot, weight, start) of every block, given (_source, weight, rows): ``start`` counts the rows of all blocks before."""
+    spark = sources.sparkSession
+    sources = sources.withColumn("blocks", F.expr(f"(rows + {block_rows - 1}) div {block_rows}")).withColumn("_fewest", -F.col("blocks"))
+    sources = kept(numbered(sources, ["weight"], "_fewest", "_source").select("_source", "weight", "rows", "blocks", F.col("rank").alias("place")), "sources")
+    counts = {(r["weight"], r["blocks"]): r["n"] for r in sources.groupBy("weight", "blocks").agg(F.count("*").alias("n")).collect()}
+    path, names = work_path(spark, "slots"), ["_weight", "_block", "_first", "_many", "_slot"]
+    form = pa.schema([(c, pa.int64()) for c in names])
 
     def write(part: list[tuple]) -> None:
-        spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), form, strict=True)] if part else
-                                                   [pa.array([], f.type) for f in form], schema=form)).write.mode("append").parquet(path)
+        columns = list(zip(*part, strict=True)) if part else [[]] * len(names)
+        spark.createDataFrame(pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=form)).write.mode("append").parquet(path)
 
     part: list[tuple] = []
-    for s, first, last, start, period, places, missing in stretches(weights, rows, block_rows):
-        for place, slot in enumerate(places):
-            if first + place <= last:
-                part.append((s, first + place, len(places), (last - first - place) // len(places), start + slot, period, weights[s], missing))
-            if len(part) == SLOTS_AT_ONCE:
-                write(part)
-                part = []
+    for run in runs(counts):
+        part.append(run)
+        if len(part) == SLOTS_AT_ONCE:
+            write(part)
+            part = []
     write(part)
-    slots = spark.read.parquet(path).withColumn("_part", F.explode(F.expr(f"sequence(0L, _repeats div {REPEATS})"))).repartition("_source", "_first", "_part")
-    slots = slots.withColumn("_n", F.explode(F.expr(f"sequence(_part * {REPEATS}, least(_repeats, _part * {REPEATS} + {REPEATS - 1}))")))
-    return kept(slots.selectExpr("_source", "_first + _n * _step as block", "_slot + _n * _period as slot", "weight", "_missing"), "schedule")
+    blocks = sources.withColumn("_part", F.explode(F.expr(f"sequence(0L, (blocks - 1) div {REPEATS})"))).repartition("_source", "_part")
+    blocks = blocks.withColumn("block", F.explode(F.expr(f"sequence(_part * {REPEATS}, least(blocks - 1, _part * {REPEATS} + {REPEATS - 1}))")))
+    played = spark.read.parquet(path)
+    placed = blocks.join(played, (F.col("weight") == F.col("_weight")) & (F.col("block") == F.col("_block")) & F.expr("place >= _first and place < _first + _many"))
+    placed = placed.selectExpr("_source", "block", "_slot + place - _first as slot", "weight", f"least({block_rows}, rows - block * {block_rows}) as _size")
+    return prefix_sum(placed, "slot", {"_upto": "_size"}, descending=False).selectExpr("_source", "block", "slot", "weight", "_upto - _size as start")
 
 
 def named(source: Column) -> Column:
@@ -126,11 +140,13 @@ def named(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
-def tempered(rows: dict[str, int], power: float, total: int) -> dict[str, int]:
-    """Whole weights of about ``total`` in sum, each source's row count to a power: under 1, small sources come more often."""
-    share = {s: n ** power for s, n in rows.items() if n}
-    whole = sum(share.values())
-    return {s: max(1, round(total * x / whole)) for s, x in share.items()}
+def tempered(sizes: DataFrame, power: float, total: int) -> DataFrame:
+    """(_source, rows, weight): whole weights of about ``total`` in sum, each source's row count to a power: under 1, small sources come more often.
+    Powers are summed as whole numbers, so the weights don't depend on how the sum is split among tasks."""
+    sizes = sizes.withColumn("_share", (F.pow("rows", F.lit(power)) * (1 << 20)).cast("decimal(38,0)"))
+    whole = sizes.agg(F.sum("_share")).first()[0]
+    weight = F.greatest(F.lit(1), F.round(F.lit(total) * F.col("_share").cast("double") / F.lit(float(whole or 1)))).cast("long")
+    return sizes.select("_source", "rows", weight.alias("weight"))
 
 
 def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, power: float = 0.5, total: int = 1000, block_rows: int = BLOCK_ROWS,
@@ -141,22 +157,25 @@ def mix(docs: DataFrame, weights: dict[str | None, int] | None = None, power: fl
     ``weights`` are target shares as whole numbers; a source that they don't name has weight 1. Without them they are tempered
     row counts. Within a source, rows come in the order of a seeded hash of the whole row; repeated rows stand next to each other
     and get a place each. A null source is a source. An empty table gives no rows. There may be any number of sources; the driver
-    holds a weight and a row count of each. A sum of weights above MOST_WEIGHT, for which slots are no long integers, is an error.
+    holds a count for each weight and number of blocks that occurs. A sum of weights above MOST_WEIGHT, for which slots are no long integers, is an error.
     """
     docs = docs.drop("weight", "block", "slot", "position")
     spark = docs.sparkSession
     rows = docs.withColumns({"_source": named(docs[source_col]), "_mix": F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c, kind in docs.dtypes if not kind.startswith("map")])})
-    sizes = {r["_source"]: r["n"] for r in rows.groupBy("_source").agg(F.count("*").alias("n")).collect()}
+    sizes = kept(rows.groupBy("_source").agg(F.count("*").alias("rows")), "source-sizes")
     if weights is None:
         target = tempered(sizes, power, total)
     else:
         given = {"" if s is None else f"={s}": int(w) for s, w in weights.items()}
         if any(w < 1 for w in given.values()):
             raise ValueError("weights must be whole numbers from 1")
-        target = {s: given.get(s, 1) for s in sizes}
-    if sum(target.values()) > MOST_WEIGHT:
+        if any(w > MOST_WEIGHT for w in given.values()):
+            raise ValueError(f"a weight is more than {MOST_WEIGHT}")
+        named_weights = spark.createDataFrame(list(given.items()), "_source string, _given long")
+        target = sizes.join(named_weights, "_source", "left").select("_source", "rows", F.coalesce("_given", F.lit(1)).cast("long").alias("weight"))
+    sums = target.agg(F.sum("rows").alias("rows"), F.sum(F.col("weight").cast("decimal(38,0)")).alias("weight")).first()
+    if (sums["weight"] or 0) > MOST_WEIGHT:
         raise ValueError(f"the weights add up to more than {MOST_WEIGHT}")
-    rows = ranked(rows, sum(sizes.values()), "_source", ["_mix"]).withColumn("block", F.expr(f"rank div {block_rows}"))
-    rows = rows.join(schedule(spark, target, sizes, block_rows), ["_source", "block"])
-    rows = rows.withColumn("position", F.expr(f"slot * {block_rows} + rank % {block_rows} - _missing"))
+    rows = ranked(rows, sums["rows"] or 0, "_source", ["_mix"]).withColumn("block", F.expr(f"rank div {block_rows}"))
+    rows = rows.join(schedule(target, block_rows), ["_source", "block"]).withColumn("position", F.expr(f"start + rank % {block_rows}"))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns], "weight", "block", "slot", "position")
