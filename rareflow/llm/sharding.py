@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from rareflow.llm.common import crc
 from rareflow.session import work_path
+from rareflow.streaming.stream import path_exists
 
 SLOTS = 4096
 #: Bytes that a record counts for besides its text.
@@ -38,7 +39,7 @@ def rebalanced(old: DataFrame, slot_bytes: DataFrame, shards: int) -> DataFrame:
 
     A shard keeps its largest slots, as many as fit an even share of all bytes; the smaller ones beyond it, and what
     belongs to shards that no longer exist, move. Small slots fill the shares evenly, so loads end about a small
-    slot apart. Slots without bytes stay unless their shard is gone.
+    slot apart. Slots without bytes stay unless their shard is gone; null bytes count as none.
     """
     sized = old.join(slot_bytes, "v_slot", "left").select(
         "version", "v_slot", F.when(F.col("shard") < shards, F.col("shard")).alias("shard"), F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"))
@@ -61,17 +62,21 @@ def rebalanced(old: DataFrame, slot_bytes: DataFrame, shards: int) -> DataFrame:
 
 
 def store_map(new: DataFrame, folder: str) -> DataFrame:
-    """Append a version to the map's folder, a subfolder for each version; returns it as read back."""
+    """Append a version to the map's folder, a subfolder for each version; returns it as read back. A version that is there is never replaced, unless
+    its write broke off. A map has a row per virtual slot, so it is never empty."""
     spark = new.sparkSession
     version = new.select("version").first()[0]
     path = f"{folder.rstrip('/')}/version={version}"
-    new.drop("version").write.mode("errorifexists").parquet(path)
+    if path_exists(spark, path) and not path_exists(spark, f"{path}/_SUCCESS"):
+        new.drop("version").write.mode("overwrite").parquet(path)
+    else:
+        new.drop("version").write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path).withColumn("version", F.lit(version))
 
 
 def load_map(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
-    """A version of the map, the latest unless named."""
-    table = spark.read.option("basePath", folder).parquet(folder)
+    """A version of the map, (v_slot, shard, version), the latest whole one unless named; one that isn't there has no rows."""
+    table = spark.read.schema("v_slot int, shard int, version int").option("basePath", folder).parquet(folder)
     version = version if version is not None else table.agg(F.max("version")).first()[0]
     return table.where(F.col("version") == version)
 
@@ -81,23 +86,31 @@ def shard(docs: DataFrame, shards: int, slots: int = SLOTS, folder: str | None =
     """(doc_id, size, text_crc32, v_slot, shard, slot, version): every row in a shard, shards near equal in bytes,
     ``slot`` a gapless number from 0 within the shard.
 
+    With a ``folder`` that holds a map, its latest version is edited for these rows and this number of shards and stored as the next one, so that
+    little moves; a folder without one begins with version 1, which is edited at once. The number of virtual slots is that of the stored map.
+
     A record's virtual slot comes from a hash of its id and text, so that neither a null id nor a much repeated
     text fills one slot; rows equal in both are indistinguishable and share one. A null text counts no bytes. Places
     are numbered in parallel by the hash order: a shard's rows are split over its virtual slots, and those again where
-    the table is large. An empty table gives no rows; its map is still version 1 and 2.
+    the table is large. An empty table gives no rows; its map is stored all the same.
     """
     spark = docs.sparkSession
-    folder = folder or work_path(spark, "shard-map")
+    folder = (folder or work_path(spark, "shard-map")).rstrip("/")
+    if not path_exists(spark, f"{folder}/map"):
+        store_map(first_map(spark, shards, slots), f"{folder}/map")
+    stored = load_map(spark, f"{folder}/map")
+    about = stored.agg(F.max("version").alias("version"), F.count("*").alias("slots")).first()
+    slots = about["slots"]
     text = docs[text_col].cast("string")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"),
                        (F.coalesce(F.octet_length(text), F.lit(0)) + RECORD_BYTES).cast("long").alias("size"),
                        F.coalesce(crc(text), F.lit(0)).alias("text_crc32"))
     rows = rows.withColumn("v_slot", virtual_slot([F.col("doc_id"), F.col("text_crc32")], slots))
     sums = rows.groupBy("v_slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    sums.write.parquet(f"{folder}/sums")  # at most a row per slot
-    sums = spark.read.parquet(f"{folder}/sums")
-    store_map(first_map(spark, shards, slots), f"{folder}/map")
-    version = store_map(rebalanced(load_map(spark, f"{folder}/map"), sums, shards), f"{folder}/map")
+    path = f"{folder}/sums/version={about['version'] + 1}"
+    sums.write.mode("overwrite").parquet(path)  # at most a row per slot; again, if an edit broke off
+    sums = spark.read.parquet(path)
+    version = store_map(rebalanced(stored, sums, shards), f"{folder}/map")
     total = sums.agg(F.sum("n")).first()[0] or 0
     parts = int(total // (slots * RANK_ROWS) + 1)
     rows = rows.withColumn("part", F.pmod(F.hash("doc_id", "text_crc32"), F.lit(parts)))
