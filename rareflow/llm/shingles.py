@@ -2,9 +2,8 @@
 
 A batch is one byte buffer. Words are runs of bytes outside space and \\t..\\r, A-Z counts as a-z. A word's key is its
 bytes, up to 15 of them, beyond that a cryptographic digest; its fingerprint mixes the two halves of the key, and a shingle's fingerprint
-mixes those of its words in order. So words can only be confused by chance: two different shingles of a corpus with n of them share
-a fingerprint with a probability of n^2 / 2^65 (0.7 for the five billion shingles of 30 GB), and a pair of documents only matters
-if its overlap is one shingle off the limit besides.
+mixes those of its words in order. So words can only be confused by chance: among n different shingles of a corpus, n^2 / 2^65 pairs are
+expected to share a fingerprint (0.7 for the five billion shingles of 30 GB).
 """
 
 from __future__ import annotations
