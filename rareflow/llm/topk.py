@@ -2,9 +2,15 @@
 
 A shard is a bounded number of rows with a ball tree over them: a node has a centre and a radius, so no vector in it has an
 inner product with q above q.centre + |q| radius. A query goes down only into nodes whose bound reaches its current k-th
-score, and visits the leaves that remain in the order of their bounds. Queries meet the shards in blocks: a task takes a
-block of queries through several shards one after the other and keeps the k-th scores, which start from the queries' own
-shard. What a block finds is merged per query. Components are whole numbers, floor(scale * x), and scores are exact.
+score, and visits the leaves that remain in the order of their bounds. Components are whole numbers, floor(scale * x), and
+scores are exact.
+
+Rows that lie close together share a shard: the upper part of the tree, cut on a bounded sample, tells each row its cell, and
+a cell with too many rows is dealt over several shards. The queries of a shard are a block. Before any shard is sent, the
+shards' balls alone (a centre and a radius each) are held against the blocks' k-th scores, and a shard goes to a block only if
+its bound reaches the k-th score of one of the block's queries. Blocks first search their own shard, then the shards that
+promise most; then the bounds are held against the better k-th scores, and what still reaches them is searched. A task takes a
+block through several shards one after the other and keeps its k-th scores.
 """
 
 from __future__ import annotations
@@ -20,6 +26,10 @@ from rareflow.llm.common import kept
 from rareflow.llm.grouped import arrays, groups, lists
 
 SHARD_ROWS, LEAF_ROWS, SHARDS_TOGETHER = 8192, 256, 8
+#: Bounds of what the driver and every task hold: numbers in the sample that cuts the cells, sampled rows for each cell, cells.
+SAMPLE_NUMBERS, SAMPLE_ROWS_A_CELL, MOST_CELLS = 1 << 20, 8, 2048
+#: Queries and shards that are held against each other at a time when the shards to send are chosen.
+QUERIES_AT_ONCE, BALLS_AT_ONCE = 1 << 15, 1024
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -35,6 +45,60 @@ def fitted(a: np.ndarray, width: int) -> np.ndarray:
     return a if a.shape[1] == width else np.pad(a, ((0, 0), (0, width - a.shape[1])))
 
 
+def apart(x: np.ndarray) -> np.ndarray:
+    """The direction between two far rows."""
+    one = x[((x - x.mean(axis=0)) ** 2).sum(axis=1).argmax()]
+    return x[((x - one) ** 2).sum(axis=1).argmax()] - one
+
+
+def upper_bounds(queries: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """For each query and ball, what no inner product of the query with a vector in the ball exceeds."""
+    norm = np.sqrt((queries ** 2).sum(axis=1))[:, None]
+    reach = np.sqrt((centres ** 2).sum(axis=1)) + radii
+    return queries @ centres.T + norm * radii + 1e-9 * (1 + norm * reach)  # the last is more than rounding takes away
+
+
+class Cells:
+    """The upper part of a ball tree, cut on a sample: ``of`` gives each row the number of its cell."""
+
+    def __init__(self, sample: np.ndarray, cells: int):
+        x = sample.astype(np.float64)
+        self.width, self.cuts, self.cells = x.shape[1], [], 0  # cuts: direction, middle, and what is below and above: a cut or a cell
+        todo = [(np.arange(len(x)), cells, None)]
+        while todo:
+            rows, parts, place = todo.pop()
+            cut = self._cut(x[rows]) if parts > 1 and len(rows) > 1 else None
+            if place is not None:
+                self.cuts[place[0]][2 + place[1]] = ("cut", len(self.cuts)) if cut else ("cell", self.cells)
+            if not cut:
+                self.cells += 1
+                continue
+            direction, middle = cut
+            self.cuts.append([direction, middle, None, None])
+            above = x[rows] @ direction >= middle
+            todo += [(rows[~above], parts // 2, (len(self.cuts) - 1, 0)), (rows[above], parts - parts // 2, (len(self.cuts) - 1, 1))]
+
+    @staticmethod
+    def _cut(x: np.ndarray) -> tuple[np.ndarray, float] | None:
+        direction = apart(x)
+        along = np.sort(x @ direction)
+        higher = along[along > along[0]]
+        return (direction, max(along[len(along) // 2], higher[0])) if len(higher) else None
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        x = fitted(rows[:, :self.width], self.width).astype(np.float64)
+        out, todo = np.zeros(len(x), np.int64), [("cut" if self.cuts else "cell", 0, np.arange(len(x)))]
+        while todo:
+            kind, number, at = todo.pop()
+            if kind == "cell":
+                out[at] = number
+            elif len(at):
+                direction, middle, *sides = self.cuts[number]
+                above = x[at] @ direction >= middle
+                todo += [(*sides[0], at[~above]), (*sides[1], at[above])]
+        return out
+
+
 class BallTree:
     """Splits rows in halves along the direction between two far rows until they fit a leaf."""
 
@@ -51,19 +115,14 @@ class BallTree:
                 self.nodes[parent][4].append(len(self.nodes))
             self.nodes.append((centre, far.max(), a, b, []))
             if b - a > leaf_rows:
-                one = own[far.argmax()]
-                other = own[((own - one) ** 2).sum(axis=1).argmax()]
-                side = np.argsort(own @ (other - one), kind="stable")
+                side = np.argsort(own @ apart(own), kind="stable")
                 self.order[a:b] = self.order[a:b][side]
                 middle = (a + b) // 2
                 todo += [(a, middle, len(self.nodes) - 1), (middle, b, len(self.nodes) - 1)]
 
     def leaf_bounds(self, queries: np.ndarray, least: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
         """Ranges of the leaves, and an upper bound for each query and leaf (minus infinity below a node that is ruled out)."""
-        norm = np.sqrt((queries ** 2).sum(axis=1))
-        centres, radii = np.array([n[0] for n in self.nodes]), np.array([n[1] for n in self.nodes])
-        bound = queries @ centres.T + norm[:, None] * radii
-        bound += 1e-6 * (1 + np.abs(bound))  # more than rounding can take away
+        bound = upper_bounds(queries, np.array([n[0] for n in self.nodes]), np.array([n[1] for n in self.nodes]))
         live = np.zeros(bound.shape, bool)
         live[:, 0] = True
         leaves = []
@@ -133,92 +192,196 @@ def whole_numbers(vectors: DataFrame, scale: float, id_col: str, vector_col: str
     return rows.where(ok).withColumn("v", F.transform("v", lambda x: F.floor(x * scale)))
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray | pa.Array, kind: type = np.int64) -> np.ndarray:
     rows = arrays(column)
-    out = np.zeros((len(rows), max(map(len, rows), default=0)), np.int64)
+    out = np.zeros((len(rows), max(map(len, rows), default=0)), kind)
     for i, r in enumerate(rows):
         out[i, :len(r)] = r
     return out
 
 
-def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: float = 64, shard_rows: int = SHARD_ROWS, leaf_rows: int = LEAF_ROWS,
-          together: int = SHARDS_TOGETHER, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every``, the ``k`` other rows with the highest inner
-    products, ties to smaller ids (all rows, if they are fewer).
+def cells_of(rows: DataFrame, count: int, shard_rows: int) -> DataFrame:
+    """``rows`` with ``cell``. The sample is uniform (the rows with the least hashes) and holds at most ``SAMPLE_NUMBERS`` numbers."""
+    shards = -(-count // shard_rows)
+    if shards <= 1:
+        return rows.withColumn("cell", F.lit(0).cast("long"))
+    width = max(1, rows.agg(F.max(F.size("v"))).first()[0])
+    wanted = min(max(SAMPLE_NUMBERS // width, 2), SAMPLE_ROWS_A_CELL * MOST_CELLS)
+    sample = _matrix(rows.select("v").orderBy(F.xxhash64(F.lit("sample"), "vec_id", "v")).limit(wanted).toArrow().column("v"))
+    cells = Cells(sample[:, :SAMPLE_NUMBERS], min(2 * shards, max(1, len(sample) // SAMPLE_ROWS_A_CELL), MOST_CELLS))
 
-    Rows with a null id or vector, or with null or non-finite components, take no part. Shorter vectors count as if filled up with
-    zeros. Ids may repeat: each such row is a query and a candidate of its own, and repeated queries share a ranking per id
-    and row. Components times ``scale`` must stay within 2^31 for scores to fit 64 bits. An empty table gives no rows.
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.append_column("cell", pa.array(cells.of(_matrix(batch.column("v")))))
+
+    return rows.mapInArrow(assign, "vec_id long, v array<long>, copies long, cell long")
+
+
+def packed_shards(vectors: DataFrame, every: int, k: int, shard_rows: int) -> DataFrame:
+    """A row for each shard: its ids and vectors, the places, copies and vectors of its queries, its ball.
+
+    Equal rows (id and vector) are one row with a number of copies. A query finds k of them at most, so k + 1 are searched;
+    their own results are all the same, so one of them asks.
     """
-    rows = kept(whole_numbers(vectors, scale, id_col, vector_col), "vectors")
-    shards = max(1, -(-rows.count() // shard_rows))
+    rows = kept(vectors.groupBy("vec_id", "v").agg(F.count("*").alias("copies")), "vectors")
+    total = rows.agg(F.sum(F.least("copies", F.lit(k + 1)))).first()[0] or 0
+    rows = kept(cells_of(rows, total, shard_rows), "cells")
+    # a row for each cell, at most MOST_CELLS: how many shards it is dealt over, and the number of the first
+    portions = rows.groupBy("cell").agg(F.ceil(F.sum(F.least("copies", F.lit(k + 1))) / shard_rows).alias("portions"))
+    portions = portions.withColumn("first", F.sum("portions").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)))
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k + 1).cast("long"))))
+    dealt = rows.join(F.broadcast(portions), "cell").select("*", copy.alias("copy")).withColumn(
+        "shard", F.coalesce("first", F.lit(0)) + F.pmod(F.xxhash64("vec_id", "v", "copy"), F.col("portions")))
+    asks = F.when((F.col("copy") == 1) & (F.col("vec_id") % every == 0), F.col("copies")).otherwise(F.lit(0).cast("long"))
+    dealt = dealt.select("shard", "vec_id", "v", asks.alias("asks"), "copy").repartition("shard").sortWithinPartitions("shard", "vec_id", F.xxhash64("v"), "v", "copy")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (shard,), table in groups(batches, ["shard"]):
-            matrix, ids = _matrix(table.column("v")), table.column("vec_id").to_numpy()
+            matrix, ids, asks = _matrix(table.column("v")), table.column("vec_id").to_numpy(), table.column("asks").to_numpy()
+            asking = np.flatnonzero(asks)
+            centre = matrix.astype(np.float64).mean(axis=0)
+            radius = float(np.sqrt(((matrix - centre) ** 2).sum(axis=1)).max())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([shard]), lists([ids], pa.int64()), pa.array([matrix.shape[1]], pa.int32()), lists([matrix.ravel()], pa.int64())],
-                names=["shard", "ids", "width", "flat"])
+                [pa.array([shard]), lists([ids], pa.int64()), pa.array([matrix.shape[1]], pa.int32()), lists([matrix.ravel()], pa.int64()),
+                 lists([asking], pa.int64()), lists([ids[asking]], pa.int64()), lists([asks[asking]], pa.int64()), lists([matrix[asking].ravel()], pa.int64()),
+                 lists([centre], pa.float64()), pa.array([radius])],
+                names=["shard", "ids", "width", "flat", "q_rows", "q_ids", "q_copies", "q_flat", "centre", "radius"])
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)))
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "vec_id", F.xxhash64("v"))
-    packed = kept(dealt.mapInArrow(assemble, "shard long, ids array<long>, width int, flat array<long>"), "shards")
+    return kept(dealt.mapInArrow(assemble, "shard long, ids array<long>, width int, flat array<long>, q_rows array<long>, q_ids array<long>, "
+                                 "q_copies array<long>, q_flat array<long>, centre array<double>, radius double"), "shards")
 
-    def unpacked(table: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        out = []
-        for shard, ids, width, flat in zip(table.column("shard").to_pylist(), arrays(table.column("ids")), table.column("width").to_pylist(), arrays(table.column("flat")), strict=True):
-            out.append((shard, ids, flat.reshape(len(ids), width), (shard << 32) + np.arange(len(ids))))
-        return out
 
-    def found(block: int, own: np.ndarray, q_ids: np.ndarray, best: Best) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(best.query), block)), pa.array(own[best.query]), pa.array(q_ids[best.query]), pa.array(best.id), pa.array(best.score)],
-                                          names=["block", "place", "query_id", "vec_id", "score"])
+FOUND = "block long, place long, query_id long, copies long, vec_id long, score long"
+
 
-    schema = "block long, place long, query_id long, vec_id long, score long"
+def _best(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("place").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _standing(blocks: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """``blocks`` (of ``packed_shards``, those with queries) with the k-th scores of the queries that have k."""
+    reached = best.groupBy("block", "place").agg(F.count("*").alias("n"), F.min("score").alias("score")).where(F.col("n") >= k)
+    reached = reached.groupBy("block").agg(F.collect_list(F.struct("place", "score")).alias("r"))  # the queries of a shard
+    return blocks.join(reached.select("block", F.col("r.place").alias("places"), F.col("r.score").alias("scores")), "block", "left")
+
+
+def _least(places: np.ndarray, table: pa.Table | pa.RecordBatch, i: int) -> np.ndarray:
+    reached = dict(zip(table.column("places")[i].as_py() or [], table.column("scores")[i].as_py() or [], strict=True))
+    return np.array([reached.get(p, -np.inf) for p in places.tolist()], np.float64)
+
+
+def _places(shard: int, rows: np.ndarray) -> np.ndarray:
+    return (shard << 32) + rows
+
+
+def _found(block: int, places: np.ndarray, ids: np.ndarray, copies: np.ndarray, best: Best) -> pa.RecordBatch:
+    q = best.query
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(q), block, np.int64)), *(pa.array(x) for x in (places[q], ids[q], copies[q], best.id, best.score))],
+                                      names=[f.split()[0] for f in FOUND.split(", ")])
+
+
+def reaching(standing: DataFrame, balls: DataFrame, shards: int, blocks_together: int) -> DataFrame:
+    """(block, shard, queries, bound): the shards whose ball reaches the k-th score of some query of the block, other than its own;
+    for how many queries, and the highest bound. A task holds the queries of ``blocks_together`` blocks, and the balls pass by."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, kinds, shard = (batch.column(c).to_numpy() for c in ("group", "kind", "shard"))
+            edges = [0, *(np.flatnonzero((np.diff(keys) != 0) | (np.diff(kinds) != 0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if keys[a] != group:
+                    group, held = keys[a], []
+                if kinds[a] == 0:
+                    for i in range(a, b):
+                        places = _places(int(shard[i]), arrays(batch.column("q_rows").slice(i, 1))[0])
+                        flat = arrays(batch.column("flat").slice(i, 1))[0]
+                        queries = flat.reshape(len(places), len(flat) // len(places))
+                        held.append((int(shard[i]), queries, _least(places, batch, i)))
+                    continue
+                for c in range(a, b, BALLS_AT_ONCE):
+                    d = min(b, c + BALLS_AT_ONCE)
+                    centres, radii = _matrix(batch.column("flat").slice(c, d - c), np.float64), batch.column("radius").slice(c, d - c).to_numpy()
+                    for block, queries, least in held:
+                        width = max(queries.shape[1], centres.shape[1])
+                        bound = upper_bounds(fitted(queries, width), fitted(centres, width), radii)
+                        live = bound >= least[:, None]
+                        n = live.sum(axis=0)
+                        go = np.flatnonzero((n > 0) & (shard[c:d] != block))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(go), block, np.int64)), pa.array(shard[c:d][go]), pa.array(n[go].astype(np.int64)), pa.array(bound[:, go].max(axis=0, initial=-np.inf))],
+                                                         names=["block", "shard", "queries", "bound"])
+
+    none, numbers = F.lit(None).cast("array<long>"), "array<double>"
+    asking = standing.select((F.col("block") / blocks_together).cast("long").alias("group"), F.lit(0).alias("kind"), F.col("block").alias("shard"), "q_rows",
+                             F.col("q_flat").cast(numbers).alias("flat"), F.lit(0.0).alias("radius"), "places", "scores")
+    every_group = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((shards - 1) // blocks_together).cast("long")))
+    passing = balls.select(every_group.alias("group"), F.lit(1).alias("kind"), "shard", none.alias("q_rows"), F.col("centre").alias("flat"), "radius", none.alias("places"), none.alias("scores"))
+    meet = asking.unionByName(passing).repartition("group").sortWithinPartitions("group", "kind", "shard")
+    return meet.mapInArrow(choose, "block long, shard long, queries long, bound double")
+
+
+def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: float = 64, shard_rows: int = SHARD_ROWS, leaf_rows: int = LEAF_ROWS,
+          together: int = SHARDS_TOGETHER, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every``, the ``k`` other rows with the highest inner
+    products, ties to smaller ids (all rows, if they are fewer).
+
+    Rows with a null id or vector, or with null or non-finite components, take no part. Shorter vectors count as if filled up with
+    zeros. Ids may repeat: each such row is a query and a candidate of its own, and repeated queries share a ranking per id
+    and row. Components times ``scale`` must stay within 2^31 for scores to fit 64 bits. An empty table gives no rows.
+    """
+    packed = packed_shards(whole_numbers(vectors, scale, id_col, vector_col), every, k, shard_rows)
 
     def at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, ids, matrix, places in unpacked(pa.Table.from_batches([batch])):
-                q = np.flatnonzero(ids % every == 0)
-                best = Best(len(q), k, np.full(len(q), -np.inf))
-                search(matrix, ids, places, matrix[q], places[q], best, leaf_rows)
-                yield found(shard, places[q], ids[q], best)
+            columns = (arrays(batch.column(c)) for c in ("ids", "flat", "q_rows", "q_copies"))
+            for shard, ids, flat, rows, copies in zip(batch.column("shard").to_pylist(), *columns, strict=True):
+                matrix, best = flat.reshape(len(ids), len(flat) // len(ids)), Best(len(rows), k, np.full(len(rows), -np.inf))
+                places = _places(shard, np.arange(len(ids)))
+                search(matrix, ids, places, matrix[rows], places[rows], best, leaf_rows)
+                yield _found(shard, places[rows], ids[rows], copies, best)
 
     def abroad(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            for i, (shard, ids, matrix, places) in enumerate(unpacked(table)):
-                block = table.column("block")[i].as_py()
-                if table.column("kind")[i].as_py() == 0:  # the queries of a block, and where they stand
+            for i in range(batch.num_rows):
+                shard, kind = batch.column("shard")[i].as_py(), batch.column("kind")[i].as_py()
+                ids, flat, rows, copies = (arrays(batch.column(c).slice(i, 1))[0] for c in ("ids", "flat", "q_rows", "q_copies"))
+                matrix = flat.reshape(len(ids), batch.column("width")[i].as_py())
+                if kind == 0:  # the queries of a block, and where they stand
                     if best is not None:
-                        yield found(*at, best)
-                    q = np.flatnonzero(ids % every == 0)
-                    least = np.full(len(q), -np.inf)
-                    reached = dict(zip(table.column("places")[i].as_py() or [], table.column("scores")[i].as_py() or [], strict=True))
-                    for j, p in enumerate(places[q].tolist()):
-                        least[j] = reached.get(p, -np.inf)
-                    best, queries, at = Best(len(q), k, least), matrix[q], (block, places[q], ids[q])
+                        yield _found(*at, best)
+                    at, queries = (shard, _places(shard, rows), ids, copies), matrix
+                    best = Best(len(ids), k, _least(at[1], batch, i))
                 else:
-                    search(matrix, ids, places, queries, at[1], best, leaf_rows)
+                    search(matrix, ids, _places(shard, np.arange(len(ids))), queries, at[1], best, leaf_rows)
         if best is not None:
-            yield found(*at, best)
-
-    home = kept(packed.mapInArrow(at_home, schema), "home")
-    merged = home
-    if shards > 1:
-        reached = home.groupBy("block", "place").agg(F.count("*").alias("n"), F.min("score").alias("score")).where(F.col("n") >= k)
-        reached = reached.groupBy("block").agg(F.collect_list("place").alias("places"), F.collect_list("score").alias("scores"))  # a shard's queries
-        turns = F.explode(F.sequence(F.lit(0), F.lit((shards - 1) // together)))
-        asking = packed.join(reached, packed["shard"] == reached["block"], "left").select(
-            packed["shard"].alias("block"), turns.alias("turn"),
-            F.lit(0).alias("kind"), "shard", "ids", "width", "flat", "places", "scores")
-        none = F.lit(None).cast("array<long>")
-        there = F.broadcast(packed.select(F.col("shard").alias("block")))  # repeated rows share a shard, so some may have no rows
-        asked = packed.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("block"), "shard", "ids", "width", "flat").where("block <> shard").join(
-            there, "block", "left_semi").select(
-            "block", (F.col("shard") / together).cast("int").alias("turn"), F.lit(1).alias("kind"), "shard", "ids", "width", "flat", none.alias("places"), none.alias("scores"))
-        meet = asking.unionByName(asked).repartition("block", "turn").sortWithinPartitions("block", "turn", "kind", "shard")
-        merged = home.unionByName(meet.mapInArrow(abroad, schema))
-    rank = F.row_number().over(Window.partitionBy("place").orderBy(F.desc("score"), "vec_id"))
-    return merged.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            yield _found(*at, best)
+
+    best = kept(_best(packed.select("shard", "ids", "flat", "q_rows", "q_copies").where(F.size("q_rows") > 0).mapInArrow(at_home, FOUND), k).drop("rank"), "home")
+    size = packed.agg(F.count("*").alias("n"), F.max("shard").alias("last"), F.max(F.size("q_rows")).alias("most")).first()
+    if size["n"] > 1 and size["most"]:
+        blocks = packed.where(F.size("q_rows") > 0).select(F.col("shard").alias("block"), "width", "q_rows", "q_ids", "q_copies", "q_flat")
+        balls, none = packed.select("shard", "centre", "radius"), F.lit(None).cast("array<long>")
+        done = None
+        for promising in (True, False):
+            standing = _standing(blocks, best, k)
+            pairs = reaching(standing, balls, size["last"] + 1, max(1, QUERIES_AT_ONCE // size["most"]))
+            if done is not None:
+                pairs = pairs.join(done.select("block", "shard"), ["block", "shard"], "left_anti")
+            order = F.row_number().over(Window.partitionBy("block").orderBy(F.desc("queries"), F.desc("bound"), "shard")) - 1
+            pairs = pairs.withColumn("order", order).withColumn("turn", (F.col("order") / together).cast("int"))
+            pairs = kept(pairs.where("turn = 0") if promising else pairs, "pairs")
+            asking = pairs.select("block", "turn").distinct().join(standing, "block").select(
+                "block", "turn", F.lit(0).alias("kind"), F.lit(-1).alias("order"), F.col("block").alias("shard"), F.col("q_ids").alias("ids"), "width", F.col("q_flat").alias("flat"),
+                "q_rows", "q_copies", "places", "scores")
+            asked = pairs.join(packed.select("shard", "ids", "width", "flat"), "shard").select(
+                "block", "turn", F.lit(1).alias("kind"), "order", "shard", "ids", "width", "flat", *[none.alias(c) for c in ("q_rows", "q_copies", "places", "scores")])
+            meet = asking.unionByName(asked).repartition("block", "turn").sortWithinPartitions("block", "turn", "kind", "order")
+            best = kept(_best(best.unionByName(meet.mapInArrow(abroad, FOUND)), k).drop("rank"), "best")
+            done = pairs
+    ranked = _best(best, k).withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return ranked.select("query_id", "rank", "vec_id", "score")
