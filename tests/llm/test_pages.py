@@ -101,6 +101,45 @@ def test_top_k_of_equal_rows(spark, together):
         assert sorted(map(tuple, got)) == sorted((*x[:3], x[3] // 64 // 64) for x in brute_top(rows, 20, 20))
 
 
+def test_top_k_sends_few_shards_of_clustered_rows(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    centres, sent, shards = r.normal(size=(12, 16)), [], []
+    plain = topk.kept
+
+    def counted(frame, name):
+        out = plain(frame, name)
+        if name in ("pairs", "shards"):
+            (sent if name == "pairs" else shards).append(out.count())
+        return out
+
+    monkeypatch.setattr(topk, "kept", counted)
+    x = centres[r.integers(0, 12, 1200)] + 0.05 * r.normal(size=(1200, 16))
+    rows = [(int(i), v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = topk.top_k(frame, k=20, shard_rows=50, leaf_rows=16, together=2).collect()
+    assert sorted(map(tuple, got)) == brute_top(rows, 20, 20)
+    assert shards[0] >= 24 and sum(sent) < 0.4 * shards[0] * (shards[0] - 1)
+
+
+def test_top_k_of_a_row_repeated_often(spark):
+    rows = [(20, [1.0, 2.0])] * 300 + [(20, [1.0, 1.0])] * 3 + [(i, [2.0, i % 3 / 2]) for i in range(100, 130)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    assert sorted(map(tuple, topk.top_k(frame, k=5, shard_rows=8, leaf_rows=3).collect())) == brute_top(rows, 20, 5)
+
+
+def test_cells_and_trees_of_odd_samples():
+    for x in (np.zeros((9, 3)), np.array([[0.0], [0.0], [7.0]]), np.zeros((1, 0)), np.arange(64.0).reshape(32, 2)):
+        cells = topk.Cells(x, 4)
+        assert set(cells.of(x)) <= set(range(cells.cells)) and len(cells.of(np.zeros((0, 5)))) == 0
+        tree, order = topk.BallTree.of(x, 2)
+        leaves = sorted(zip(tree.begin[tree.leaves], tree.end[tree.leaves], strict=True))
+        assert [a for a, _ in leaves] == [0, *(b for _, b in leaves)][:-1] and leaves[-1][1] == len(x) and sorted(order) == list(range(len(x)))
+        q = np.ones((2, x.shape[1]))
+        _, bound = tree.leaf_bounds(q, np.full(2, -np.inf))
+        for (a, b), high in zip([(tree.begin[i], tree.end[i]) for i in tree.leaves], bound[0], strict=True):
+            assert (x[order[a:b]] @ q[0]).max() <= high
+
+
 def test_pipeline_stages(spark, odd, empty, tmp_path):
     import corpus_pipeline
 
