@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rareflow.llm.common import kept
+
 BLANK = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -26,6 +28,8 @@ COMMON = {
 MIN_WORDS = 40
 #: Allowed distances; that of common words is widened by NOISE / sqrt(words), about what chance adds.
 MAX_WORD_DISTANCE, MAX_CLASS_DISTANCE, NOISE = 0.15, 0.27, 1.1
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+VERDICT = [*COUNTS, "word_distance", "class_distance", "base_failed", "kept"]
 
 
 def words_of(text: Column) -> Column:
@@ -60,39 +64,49 @@ def vocabulary(common: dict[str, list[str]]) -> list[str]:
     return sorted({w for words in common.values() for w in words})
 
 
-def histograms(rows: DataFrame, common: dict[str, list[str]]) -> DataFrame:
-    """Adds ``_wh`` and ``_ch``, the shares of common words (last: all others) and of character classes (upper-case,
-    digits, sentence marks, symbols, anything else that is no lower-case letter, lower-case letters) to rows with
-    ``_words`` and ``_text``; a text without words has neither."""
+def measured(docs: DataFrame, columns: list[str], common: dict[str, list[str]], text_col: str, lang_col: str) -> DataFrame:
+    """A row for each document, from one reading of its text: ``_row`` (its ``columns``), ``_lang``, the base counts, ``_wc`` (how
+    often each common word occurs, last: all other words) and ``_cc`` (characters of each class: upper-case, digits, sentence
+    marks, symbols, anything else that is no lower-case letter, lower-case letters). A null text counts as empty."""
+    lang = docs[lang_col].cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    out = base_counts(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns], F.lit(0).alias("_")).alias("_row"), lang.alias("_lang"),
+                                  F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text")))
     vocab = vocabulary(common)
-    out = rows.withColumn("_n", F.size("_words").cast("double"))
-    out = out.withColumn("_c", F.filter(F.transform("_words", lambda w: F.lower(w)), lambda w: w.isin(vocab)))
-    out = out.withColumn("_wc", F.transform(F.array(*[F.lit(w) for w in vocab]), lambda w: F.size("_c") - F.size(F.array_remove("_c", w))))
-    out = out.withColumn("_rest", F.regexp_replace("_text", r"[\p{Ll}\x20\x09-\x0D]+", ""))
+    out = out.withColumn("_c", F.filter(F.transform("_words", lambda w: F.lower(w)), lambda w: w.isin(vocab))).drop("_words")
+    out = out.withColumn("_rest", F.regexp_replace("_text", r"[\p{Ll}\x20\x09-\x0D]+", "")).drop("_text")
     kinds = [r"[^\p{Lu}]+", r"[^\p{Nd}]+", r"[^.,;:?'\"()\-]+", f"[^{SYMBOLS}]+"]
-    out = out.withColumn("_cc", F.array(*[F.length(F.regexp_replace("_rest", k, "")) for k in kinds], F.length("_rest")))
-    letters = F.length(F.array_join("_words", "")).cast("double")
-    return out.withColumns({
-        "_wh": F.when(F.col("_n") > 0, F.concat(F.transform("_wc", lambda x: x / F.col("_n")), F.array((F.col("_n") - F.size("_c")) / F.col("_n")))),
-        "_ch": F.when(F.col("_n") > 0, F.transform(
-            F.concat(F.slice("_cc", 1, 4), F.array(F.col("_cc")[4] - F.col("_cc")[0] - F.col("_cc")[1] - F.col("_cc")[2] - F.col("_cc")[3], (letters - F.col("_cc")[4]).cast("int"))),
-            lambda x: x / letters)),
-    }).drop("_n", "_c", "_wc", "_rest", "_cc")
+    out = out.withColumns({f"_k{i}": F.length(F.regexp_replace("_rest", k, "")) for i, k in enumerate(kinds)} | {"_others": F.length("_rest")})
+    return out.select(
+        "_row", "_lang", *COUNTS,
+        # ``_c`` is named more than once, so Spark doesn't move its expression into the lambda, to be computed for each word
+        F.concat(F.transform(F.array(*[F.lit(w) for w in vocab]), lambda w: F.size("_c") - F.size(F.array_remove("_c", w))),
+                 F.array((F.col("n_words") - F.size("_c")).cast("int"))).alias("_wc"),
+        F.array(*[F.col(f"_k{i}") for i in range(4)], F.col("_others") - sum((F.col(f"_k{i}") for i in range(1, 4)), F.col("_k0")),
+                (F.col("word_chars") - F.col("_others")).cast("int")).alias("_cc"))
 
 
-def references(docs: DataFrame, common: dict[str, list[str]] = COMMON, min_words: int = MIN_WORDS,
-               text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
-    """Mean histograms (common words, character classes) of every language in ``common`` over all its documents of at
-    least ``min_words`` words; a language without any is left out. One small row for each language reaches the driver."""
-    rows = docs.select(docs[lang_col].cast("string").alias("_lang"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"))
-    rows = rows.where(F.col("_lang").isin(list(common))).withColumn("_words", words_of(F.col("_text"))).where(F.size("_words") >= min_words)
-    rows = histograms(rows, common).select("_lang", "_wh", "_ch")
+def shares(rows: DataFrame, min_words: int) -> DataFrame:
+    """Adds ``_wh`` and ``_ch``, the histograms of ``_wc`` and ``_cc`` as shares, to measured rows; they are null in short texts."""
+    long_enough = F.col("n_words") >= max(min_words, 1)
+    return rows.withColumns({name: F.when(long_enough, F.transform(counts, lambda x: x / F.col(total).cast("double")))
+                             for name, counts, total in (("_wh", "_wc", "n_words"), ("_ch", "_cc", "word_chars"))})
+
+
+def _means(rows: DataFrame, common: dict[str, list[str]], min_words: int) -> dict[str, tuple[list[float], list[float]]]:
+    rows = shares(rows.where(F.col("_lang").isin(list(common)) & (F.col("n_words") >= max(min_words, 1))), min_words).select("_lang", "_wh", "_ch")
     sizes = {"_wh": len(vocabulary(common)) + 1, "_ch": 6}
     means = [F.avg(F.col(c)[i]).alias(f"{c}{i}") for c, n in sizes.items() for i in range(n)]
     found = rows.groupBy("_lang").agg(*means).collect()
     return {r["_lang"]: tuple([r[f"{c}{i}"] for i in range(n)] for c, n in sizes.items()) for r in found}
 
 
+def references(docs: DataFrame, common: dict[str, list[str]] = COMMON, min_words: int = MIN_WORDS,
+               text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
+    """Mean histograms (common words, character classes) of every language in ``common`` over all its documents of at
+    least ``min_words`` words; a language without any is left out. One small row for each language reaches the driver."""
+    return _means(measured(docs, [], common, text_col, lang_col), common, min_words)
+
+
 def distance(shares: Column, reference: list[float]) -> Column:
     """Jensen-Shannon distance (base 2: 0 to 1) of an array of shares from a reference."""
 
@@ -103,42 +117,49 @@ def distance(shares: Column, reference: list[float]) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
-def judge(docs: DataFrame, refs: dict[str, tuple[list[float], list[float]]], common: dict[str, list[str]] = COMMON,
+def _verdicts(rows: DataFrame, columns: list[str], refs: dict[str, tuple[list[float], list[float]]], min_words: int, max_word: float,
+              max_class: float, noise: float) -> DataFrame:
+    """Measured rows as ``columns`` of ``_row`` and the columns of a verdict."""
+    known = F.coalesce(F.col("_lang").isin(list(refs)), F.col("_lang").isNull())
+
+    def nearest(shares: str, k: int) -> Column:
+        far = [distance(F.col(shares), pair[k]) for _, pair in sorted(refs.items())]
+        return F.when(F.col("n_words") >= min_words, F.array_min(F.array(*far))) if far else F.lit(None).cast("double")
+
+    rows = shares(rows, min_words).withColumns({"word_distance": nearest("_wh", 0), "class_distance": nearest("_ch", 1)})
+    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    strays = (F.col("word_distance") > max_word + noise / F.sqrt(F.col("n_words"))) | (F.col("class_distance") > max_class)
+    rows = rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~(known & F.coalesce(strays, F.lit(False))))
+    return rows.select(*[F.col(f"_row.`{c}`") for c in columns], *VERDICT)
+
+
+def judge(docs: DataFrame, refs: dict[str, tuple[list[float], list[float]]] | None = None, common: dict[str, list[str]] = COMMON,
           min_words: int = MIN_WORDS, max_word: float = MAX_WORD_DISTANCE, max_class: float = MAX_CLASS_DISTANCE,
-          noise: float = NOISE, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, word_distance, class_distance,
+          noise: float = NOISE, text_col: str = "text", lang_col: str = "lang", columns: list[str] | None = None) -> DataFrame:
+    """``docs`` (only ``columns``, if they are named) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, word_distance, class_distance,
     base_failed and kept (of columns with these names, the new ones remain).
 
     A null text counts as empty and fails the base rules, as do all texts under 20 words. A text under ``min_words`` words,
     and every text if there are no references, is judged by the base rules alone; its distances are null. A text whose language
     is named but has no reference has distances, which say nothing about its quality, and is judged by the base rules alone too;
     one of unknown language (null, or a table without ``lang_col``) is judged by the nearest reference. Rows are independent of
-    each other, and nothing is shuffled.
+    each other, and nothing is shuffled. Without ``refs``, the references are those of ``docs``: the measured rows are
+    written once, with the columns to return, and both references and verdicts are taken from that table, so a text is read once.
     """
-    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "word_distance", "class_distance", "base_failed", "kept"]
-    columns = [c for c in docs.columns if c not in own]
-    lang = docs[lang_col].cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
-    known = F.coalesce(lang.isin(list(refs)), lang.isNull())
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("_text"), known.alias("_known"))
-    rows = histograms(base_counts(rows), common)
-    long_enough = F.col("n_words") >= min_words
-
-    def nearest(shares: str, k: int) -> Column:
-        far = [distance(F.col(shares), pair[k]) for _, pair in sorted(refs.items())]
-        return F.when(long_enough, F.array_min(F.array(*far))) if far else F.lit(None).cast("double")
-
-    rows = rows.withColumns({"word_distance": nearest("_wh", 0), "class_distance": nearest("_ch", 1)})
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    strays = (F.col("word_distance") > max_word + noise / F.sqrt(F.col("n_words"))) | (F.col("class_distance") > max_class)
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~(F.col("_known") & F.coalesce(strays, F.lit(False)))).select(*columns, *own)
+    columns = [c for c in (docs.columns if columns is None else columns) if c not in VERDICT]
+    rows = measured(docs, columns, common, text_col, lang_col)
+    if refs is None:
+        rows = kept(rows, "measured")
+        refs = _means(rows, common, min_words)
+    return _verdicts(rows, columns, refs, min_words, max_word, max_class, noise)
 
 
-def filtered(docs: DataFrame, refs: dict[str, tuple[list[float], list[float]]], text_col: str = "text", lang_col: str = "lang",
+def filtered(docs: DataFrame, refs: dict[str, tuple[list[float], list[float]]] | None = None, text_col: str = "text", lang_col: str = "lang",
              **rules) -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with their own columns, whatever these are called."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_source"),
-                       *([F.col(f"`{lang_col}`").alias("_lang")] if lang_col in docs.columns else []))
-    judged = judge(rows, refs, text_col="_source", lang_col="_lang", **rules).withColumn("_part", F.spark_partition_id())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_own"), F.col(f"`{text_col}`").alias("_source"),
+                       *([F.col(f"`{lang_col}`").alias("_tongue")] if lang_col in docs.columns else []))
+    judged = judge(rows, refs, text_col="_source", lang_col="_tongue", columns=["_own"], **rules).withColumn("_part", F.spark_partition_id())
     # the second condition always holds; without it Spark moves the filter below the projections that make
     # ``kept`` step by step, and writes their expressions into each other over and over
-    return judged.where(F.col("kept") & (F.col("_part") >= 0)).select("_row.*")
+    return judged.where(F.col("kept") & (F.col("_part") >= 0)).select("_own.*")

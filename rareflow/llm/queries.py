@@ -97,8 +97,7 @@ def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every document, and the verdict of its distance from the language references."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    judged = quality_rules.judge(docs, quality_rules.references(docs)).drop("lang", "text")
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), columns=["doc_id"])
     return judged.withColumns({c: F.round(c, 6) for c in ("word_distance", "class_distance")})
 
 
