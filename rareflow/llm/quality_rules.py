@@ -3,7 +3,7 @@
 Base rules count words, symbols, repeated lines and repeated windows of words. The divergence rule compares two
 histograms of a document, over character classes and over common words, with references, one pair for each language,
 by the Jensen-Shannon distance; the nearest language counts. References are the mean histograms of all documents of a
-language that are long enough to have one; short documents, and those in a language without a reference, are not judged by it.
+language that pass the base rules and are long enough to have one; short documents, and those in a language without a reference, are not judged by it.
 Everything is built-in functions.
 """
 
@@ -92,8 +92,12 @@ def shares(rows: DataFrame, min_words: int) -> DataFrame:
                              for name, counts, total in (("_wh", "_wc", "n_words"), ("_ch", "_cc", "word_chars"))})
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
 def _means(rows: DataFrame, common: dict[str, list[str]], min_words: int) -> dict[str, tuple[list[float], list[float]]]:
-    rows = shares(rows.where(F.col("_lang").isin(list(common)) & (F.col("n_words") >= max(min_words, 1))), min_words).select("_lang", "_wh", "_ch")
+    rows = shares(rows.where(F.col("_lang").isin(list(common)) & (F.col("n_words") >= max(min_words, 1)) & ~base_failed()), min_words).select("_lang", "_wh", "_ch")
     sizes = {"_wh": len(vocabulary(common)) + 1, "_ch": 6}
     means = [F.avg(F.col(c)[i]).alias(f"{c}{i}") for c, n in sizes.items() for i in range(n)]
     found = rows.groupBy("_lang").agg(*means).collect()
@@ -103,7 +107,7 @@ def _means(rows: DataFrame, common: dict[str, list[str]], min_words: int) -> dic
 def references(docs: DataFrame, common: dict[str, list[str]] = COMMON, min_words: int = MIN_WORDS,
                text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
     """Mean histograms (common words, character classes) of every language in ``common`` over all its documents of at
-    least ``min_words`` words; a language without any is left out. One small row for each language reaches the driver."""
+    least ``min_words`` words that pass the base rules, so repetitive junk doesn't shift them; a language without any is left out. One small row for each language reaches the driver."""
     return _means(measured(docs, [], common, text_col, lang_col), common, min_words)
 
 
@@ -127,9 +131,8 @@ def _verdicts(rows: DataFrame, columns: list[str], refs: dict[str, tuple[list[fl
         return F.when(F.col("n_words") >= min_words, F.array_min(F.array(*far))) if far else F.lit(None).cast("double")
 
     rows = shares(rows, min_words).withColumns({"word_distance": nearest("_wh", 0), "class_distance": nearest("_ch", 1)})
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     strays = (F.col("word_distance") > max_word + noise / F.sqrt(F.col("n_words"))) | (F.col("class_distance") > max_class)
-    rows = rows.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~(known & F.coalesce(strays, F.lit(False))))
+    rows = rows.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~(known & F.coalesce(strays, F.lit(False))))
     return rows.select(*[F.col(f"_row.`{c}`") for c in columns], *VERDICT)
 
 

@@ -160,7 +160,8 @@ h as (
     case when n_words >= {q.MIN_WORDS} then list_transform(list_concat(cc, [length(rest) - list_sum(cc)::bigint, word_chars - length(rest)]), lambda x: x / word_chars::double) end as ch
   from k),
 refs as (
-  select lang, {mean("wh", len(vocab) + 1)} as wr, {mean("ch", 6)} as cr from h where n_words >= {q.MIN_WORDS} and lang in ({langs}) group by lang),
+  select lang, {mean("wh", len(vocab) + 1)} as wr, {mean("ch", 6)} as cr from h
+  where n_words >= {q.MIN_WORDS} and 100 * n_repeat_words <= 30 * n_words and n_words >= 20 and lang in ({langs}) group by lang),
 d as (
   select h.doc_id, min({distance("wh", "wr")}) as wd, min({distance("ch", "cr")}) as cd from h, refs where n_words >= {q.MIN_WORDS} group by h.doc_id),
 f as (

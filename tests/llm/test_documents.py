@@ -100,7 +100,8 @@ def verdicts(rows):
     vocab = quality_rules.vocabulary(quality_rules.COMMON)
     sums = {}
     for _, lang, text in rows:
-        if lang in quality_rules.COMMON and len(WORD.findall(text or "")) >= quality_rules.MIN_WORDS:
+        n, *_, repeated = base(text)
+        if lang in quality_rules.COMMON and n >= max(quality_rules.MIN_WORDS, 20) and 100 * repeated <= 30 * n:
             sums.setdefault(lang, []).append(shares(text, vocab))
     refs = {k: [np.mean([x[i] for x in v], axis=0).tolist() for i in (0, 1)] for k, v in sums.items()}
     out = []
