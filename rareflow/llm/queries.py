@@ -42,7 +42,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written as framed records and read back through the offset index."""
     folder, index = records.write_records(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), END_ID)
-    return records.read_records(index, folder, with_ids=False)
+    return records.read_records(records.dealt_by_bytes(index), folder, with_ids=False)
 
 
 def crawl(pages: DataFrame) -> DataFrame:

@@ -27,6 +27,8 @@ from rareflow.session import work_path
 INDEX = "part int, file string, doc_id long, offset long, length long, tokens_before long, n_tokens long"
 #: Bytes of records that a reader fetches and checks at once.
 FETCH = 8 << 20
+#: Bytes of records that one task reads.
+TASK_BYTES = 64 << 20
 
 
 class DamagedRecord(ValueError):
@@ -119,9 +121,19 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
     return index.join(files, "part").withColumn("start", F.col("base") + F.col("tokens_before")).drop("base")
 
 
+def dealt_by_bytes(index: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """``index`` in as many partitions as its records have bytes / ``task_bytes``, whatever the size of the index itself: stretches of
+    neighbouring records of a quarter of that, dealt by hash and in the order of their files. An empty index is one partition;
+    repeated rows of the index stay, and are read as often."""
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    stretch = F.floor(F.col("offset") / (task_bytes / 4))
+    return index.repartition(-(-total // task_bytes) or 1, "part", stretch).sortWithinPartitions("part", "offset")
+
+
 def read_records(index: DataFrame, folder: str, with_ids: bool = True) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, and token_ids unless told otherwise): the records that ``index``
-    names, in its order, each fetched at its offset and checked. Sort the index by anything for a shuffled read."""
+    names, in its order, each fetched at its offset and checked. Sort the index by anything for a shuffled read; for a whole one
+    deal it with ``dealt_by_bytes``, as its splits are sized by the index, not by the records."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", token_ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

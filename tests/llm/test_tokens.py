@@ -87,7 +87,13 @@ def test_records_round_trip(odd, empty, library, tmp_path):
     for r in rows:
         assert r.start == at and r.n_tokens == len(r.token_ids) and r.ids_crc32 == zlib.crc32(np.array(r.token_ids, "<u4").tobytes())
         at += r.n_tokens
-    assert records.write_records(empty, BPE, 2, f"file://{tmp_path}/e")[1].count() == 0
+    bytes_ = sum(r.length for r in index.collect())
+    small = records.dealt_by_bytes(index, 1 << 12)
+    assert small.rdd.getNumPartitions() == -(-bytes_ // (1 << 12)) > 4 and records.dealt_by_bytes(index).rdd.getNumPartitions() == 1
+    key = lambda r: r.start
+    assert sorted(records.read_records(small, folder).collect(), key=key) == sorted(rows, key=key)
+    nothing = records.write_records(empty, BPE, 2, f"file://{tmp_path}/e")[1]
+    assert nothing.count() == 0 and records.dealt_by_bytes(nothing).count() == 0
 
 
 def test_damaged_records_are_refused():
