@@ -60,6 +60,15 @@ def test_fingerprint_sees_values_move_between_columns(spark):
     assert len(prints) == 4
 
 
+def test_fingerprint_hashes_each_row_by_two_seeds(spark):
+    import hashlib
+
+    texts = ["1:1;2:xy;", "2:12;n;", "1:3;0:;"]
+    rows = spark.createDataFrame([(1, "xy"), (12, None), (3, "")], "a int, b string")
+    sums = [str(sum(int(hashlib.md5(f"{seed}:{t}".encode()).hexdigest()[:15], 16) for t in texts)) for seed in (0, 1)]
+    assert tuple(FS.table_fingerprint(rows).first()) == (3, *sums)
+
+
 def test_file_sha256_matches_hashlib(spark):
     import glob
     import hashlib
