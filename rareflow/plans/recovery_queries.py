@@ -88,19 +88,20 @@ def q_batch_metrics(spark, d):
 @register("read_predictions_committed", SCORED_SQL + f"""
 select status, count(*) as n, count(*) + count(*) filter (where kafka_offset % {STAGED_PARTS} = 0) as n_by_pattern, 2::bigint as stray_files from sc group by status""")
 def q_read_predictions_committed(spark, d):
-    """Predictions in a folder that also holds a file no batch committed (a copy of a quarter of the rows) and one that breaks off in
-    its first line: the folder gives committed rows only, a file pattern gives the copies too."""
+    """Predictions in a folder that also holds two entries no batch committed, a copy of a quarter of the rows (part files of the tasks that
+    wrote them, in a folder of that name: no task sees all copies) and a file that breaks off in its first line: the folder gives committed
+    rows only, a file pattern gives the copies too."""
     base, inp = staged_input(spark, d)
     out, schema = f"{base}/out", ST.prediction_schema(["value"])
     ST.run_stream(ST.sink_predictions(_stream_scored(spark, inp), out))
     rows = ST.read_predictions(spark, out, schema)
-    rows.where(F.pmod("kafka_offset", F.lit(STAGED_PARTS)) == 0).coalesce(1).write.option("ignoreNullFields", "false").json(f"{base}/copy")
+    rows.where(F.pmod("kafka_offset", F.lit(STAGED_PARTS)) == 0).write.option("ignoreNullFields", "false").json(f"{base}/copy")
     spark.createDataFrame([('{"EventId":"driv',)], "value string").coalesce(1).write.option("lineSep", " ").text(f"{base}/broken")
-    for folder, ending in (("copy", "json"), ("broken", "txt")):
-        ST.move_file(spark, f"{base}/{folder}", f"{out}/predictions", f"part-*.{ending}", f"stray-{folder}.json")
+    ST.move(spark, f"{base}/copy", f"{out}/predictions/stray-copy.json")
+    ST.move_file(spark, f"{base}/broken", f"{out}/predictions", "part-*.txt", "stray-broken.json")
     every = spark.read.schema(schema).json(f"{out}/predictions/*.json")
     return rows.groupBy("status").agg(F.count(F.lit(1)).alias("n")).join(
-        every.groupBy("status").agg(F.count(F.lit(1)).alias("n_by_pattern")), "status").withColumn("stray_files", F.lit(R.stray_files(spark, out).count()).cast("long"))
+        every.groupBy("status").agg(F.count(F.lit(1)).alias("n_by_pattern")), "status").withColumn("stray_files", F.lit(R.stray_entries(spark, out).count()).cast("long"))
 
 
 @register("topic_streams", SCORED_SQL + " select * from sc")

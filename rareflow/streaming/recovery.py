@@ -141,6 +141,12 @@ def stray_files(spark: SparkSession, output_dir: str, pattern: str = "*.json") -
     return there.join(committed_files(spark, output_dir), "path", "left_anti")
 
 
+def stray_entries(spark: SparkSession, output_dir: str, pattern: str = "*.json") -> DataFrame:
+    """(entry, files, length) of the stray files by what lies directly in the sink's folder: a file, or a folder of part files that tasks wrote together."""
+    entry = F.regexp_extract("path", r"/predictions/([^/]+)(?:/[^/]+)?$", 1).alias("entry")
+    return stray_files(spark, output_dir, pattern).groupBy(entry).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("length"))
+
+
 # --- metrics of each batch -------------------------------------------------------------
 
 OBSERVED = "scored_events"

@@ -79,6 +79,24 @@ def test_leftovers_are_told_from_committed_files(spark):
         ST.move_file(spark, f"{base}/stray", out, "part-*.txt", "x")
 
 
+def test_copies_are_written_by_many_tasks_and_are_one_stray_entry(spark, monkeypatch):
+    from conftest import SF
+
+    from rareflow.plans import recovery_queries as Q
+
+    seen, entries, split = [], R.stray_entries, "spark.sql.files.maxPartitionBytes"
+    monkeypatch.setattr(R, "stray_entries", lambda *a: seen.append(entries(*a)) or seen[0])
+    before = spark.conf.get(split)
+    try:
+        spark.conf.set(split, "8k")
+        got = Q.q_read_predictions_committed(spark, SF).collect()
+        files = {r.entry: r.files for r in seen[0].collect()}
+    finally:
+        spark.conf.set(split, before)
+    assert {r.stray_files for r in got} == {2} and set(files) == {"stray-copy.json", "stray-broken.json"}
+    assert files["stray-copy.json"] > 1 and files["stray-broken.json"] == 1
+
+
 def test_observed_batches_agree_with_what_is_written(spark):
     base = work_path(spark, "t-observed")
     src, out = f"{base}/src", f"{base}/out"
