@@ -79,3 +79,18 @@ def test_file_sha256_matches_hashlib(spark):
     local = path.replace("file:", "")
     want = {p.split("/")[-1]: hashlib.sha256(open(p, "rb").read()).hexdigest() for p in glob.glob(f"{local}/*.csv")}
     assert got == want and got
+
+
+def test_few_files_hold_the_rows_that_a_shuffle_would_deal_them(spark):
+    from rareflow.plans.io_queries import _write_few_files
+
+    rows = spark.range(400).select(F.when(F.col("id") % 9 > 0, F.col("id") % 50).alias("k"), "id")
+    path = work_path(spark, "t-few")
+    _write_few_files(spark, rows, "k", 4, path)
+    name = F.input_file_name()
+    got = spark.read.parquet(path).groupBy(name.alias("f")).agg(F.sort_array(F.collect_list("id")).alias("ids")).collect()
+    want = rows.repartition(4, "k").groupBy(F.spark_partition_id()).agg(F.sort_array(F.collect_list("id")).alias("ids")).collect()
+    assert sorted(r.ids for r in got) == sorted(r.ids for r in want) and len(got) == 4
+    none = work_path(spark, "t-few-none")
+    _write_few_files(spark, rows.limit(0), "k", 4, none)
+    assert spark.read.parquet(none).count() == 0
