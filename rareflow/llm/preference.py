@@ -3,12 +3,13 @@
 Each document with label 1 is preferred to documents with label 0. With scores w.x, the chance that a preference holds is
 1 / (1 + exp(-(w.x1 - w.x0))), so w is fitted to differences of features and needs no intercept. The threshold is a quantile
 of the training scores: the share of label 0 lies below it. A score is shown as a number from 0 to 1 that is CUT at the threshold.
+Every labelled document takes part: they are dealt into blocks with both labels, whose preferences tasks sum up, step by step.
 Features come from the text alone: lengths, shares of character classes, repetition, and hashed word frequencies.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,12 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rareflow.llm.common import in_small_batches, parts, pieces, texts
-from rareflow.llm.grouped import arrays, lists
+from rareflow.llm.common import in_small_batches, kept, parts, pieces, texts
+from rareflow.llm.grouped import arrays, groups, lists
 from rareflow.llm.shingles import BLOCK, mix, word_prints
+from rareflow.operators.ordered import global_row_number, prefix_sum
 
-#: Labelled rows that the fit uses at most, those with the smallest hashes of their ids, and preferences for each of the more frequent label.
-SAMPLE, PAIRS_EACH = 16384, 4
+#: Labelled rows of a block, within which preferences are formed, and preferences for each row of the more frequent label.
+BLOCK_ROWS, PAIRS_EACH = 1024, 4
 #: What a score at the threshold is shown as.
 CUT = 0.7
 HASHED = 64
@@ -95,37 +97,62 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip(s, -700, 700)))
 
 
-def fit(x: np.ndarray, label: np.ndarray, pairs_each: int = PAIRS_EACH, ridge: float = 1e-3) -> Ranker:
-    """Minimise the mean logistic loss of preferences plus ``ridge`` by Newton's method. Without both labels there is no
-    preference: all weights are 0, and every text scores CUT."""
-    width = x.shape[1]
+def _preferences(z: np.ndarray, label: np.ndarray, pairs_each: int) -> np.ndarray:
+    """Differences of rows with label 1 and 0: ``pairs_each`` for each row of the more frequent label."""
     good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-    if not len(good) or not len(bad):
-        return Ranker(np.zeros(width), np.ones(width), np.zeros(width), 0.0)
-    centre, scale = x.mean(axis=0), x.std(axis=0)
-    scale = np.where(scale > 1e-9, scale, 1.0)
-    z = (x - centre) / scale
     k = np.arange(pairs_each * max(len(good), len(bad)))
     turn = k // min(len(good), len(bad))  # shifts the pairing from round to round
-    diff = z[good[(k + turn * (len(good) < len(bad))) % len(good)]] - z[bad[(k + turn * (len(good) >= len(bad))) % len(bad)]]
-    w = np.zeros(width)
+    return z[good[(k + turn * (len(good) < len(bad))) % len(good)]] - z[bad[(k + turn * (len(good) >= len(bad))) % len(bad)]]
+
 
-    def loss(w: np.ndarray) -> float:
-        return float(np.logaddexp(0, -(diff @ w)).mean() + ridge / 2 * w @ w)
+def _terms(diff: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Of some preferences: their number, and the sums of their losses, gradients and Hessians, in a row."""
+    margin = diff @ w
+    p = 1 / (1 + np.exp(np.clip(margin, -700, 700)))
+    hessian = (diff * (p * (1 - p))[:, None]).T @ diff
+    return np.concatenate([[len(diff), np.logaddexp(0, -margin).sum()], -(diff * p[:, None]).sum(axis=0), hessian.ravel()])
 
+
+def _newton(terms: Callable[[np.ndarray], np.ndarray], width: int, ridge: float) -> np.ndarray:
+    """The weights of the least mean loss plus ``ridge``; ``terms`` sums ``_terms`` over all preferences."""
+    def measured(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        n, loss, rest = (t := terms(w))[0], t[1], t[2:]
+        return loss / n + ridge / 2 * w @ w, rest[:width] / n + ridge * w, rest[width:].reshape(width, width) / n + ridge * np.eye(width)
+
+    w = np.zeros(width)
+    now, gradient, hessian = measured(w)
     for _ in range(50):
-        p = 1 / (1 + np.exp(np.clip(diff @ w, -700, 700)))
-        gradient = -(diff * p[:, None]).mean(axis=0) + ridge * w
-        hessian = (diff * (p * (1 - p))[:, None]).T @ diff / len(diff) + ridge * np.eye(width)
-        step, now = np.linalg.solve(hessian, gradient), loss(w)
-        rate = 1.0
-        while rate > 1e-6 and loss(w - rate * step) > now:
+        step, rate = np.linalg.solve(hessian, gradient), 1.0
+        found = measured(w - step)
+        while rate > 1e-6 and found[0] > now:
             rate /= 2
+            found = measured(w - rate * step)
         w = w - rate * step
+        now, gradient, hessian = found
         if np.abs(rate * step).max() < 1e-6:
             break
-    s = z @ w
-    return Ranker(centre, scale, w, float(np.quantile(s, len(bad) / (len(good) + len(bad)))))
+    return w
+
+
+def _indifferent(width: int) -> Ranker:
+    """Without both labels there is no preference: all weights are 0, and every text scores CUT."""
+    return Ranker(np.zeros(width), np.ones(width), np.zeros(width), 0.0)
+
+
+def _some(scale: np.ndarray) -> np.ndarray:
+    return np.where(scale > 1e-9, scale, 1.0)
+
+
+def fit(x: np.ndarray, label: np.ndarray, pairs_each: int = PAIRS_EACH, ridge: float = 1e-3) -> Ranker:
+    """Minimise the mean logistic loss of preferences plus ``ridge`` by Newton's method, for rows held as one block; ``learn`` does
+    it for the blocks of a table."""
+    if not (label == 1).any() or not (label == 0).any():
+        return _indifferent(x.shape[1])
+    centre, scale = x.mean(axis=0), _some(x.std(axis=0))
+    z = (x - centre) / scale
+    diff = _preferences(z, label, pairs_each)
+    w = _newton(lambda w: _terms(diff, w), x.shape[1], ridge)
+    return Ranker(centre, scale, w, float(np.quantile(z @ w, (label == 0).sum() / ((label == 0).sum() + (label == 1).sum()))))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -133,15 +160,62 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ranker:
-    """Fit on labelled documents that are not held out, ``sample`` at most: those whose ids have the smallest hashes, so a
-    uniform choice that doesn't depend on the order of rows. Labels other than 0 and 1, null ids and ids with labels that
-    differ are left out. Only the sample's features reach the driver."""
+def _blocks(rows: DataFrame, counts: dict[int, int], block: int) -> DataFrame:
+    """Rows (doc_id, label, x) as one row per block of about ``block`` of them: (label, own, x), x row after row. In hash order of the ids, each block
+    gets its share of both labels; where a label has fewer rows than there are blocks, each row serves several, and is ``own`` in the first."""
+    many = -(-sum(counts.values()) // block)
+    tagged = global_row_number(rows.withColumn("_rf_print", F.xxhash64("x")), ["doc_id", "_rf_print"], partition_by=["label"], rows=sum(counts.values()))
+    n = F.when(F.col("label") == 1, F.lit(counts[1])).otherwise(F.lit(counts[0]))
+    tagged = tagged.withColumns({"n": n, "at": F.col("row_number") - 1, "many": F.lit(many)})
+    first, last = "(at * many + n - 1) div n", "((at + 1) * many + n - 1) div n - 1"
+    dealt = tagged.select("label", "x", "row_number", F.posexplode(F.expr(f"if(n >= many, array(at * many div n), sequence({first}, {last}))")).alias("nth", "block"))
+    dealt = dealt.select("block", "label", "row_number", (F.col("nth") == 0).cast("int").alias("own"), "x").repartition("block").sortWithinPartitions("block", "row_number", "label")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in groups(batches, ["block"]):
+            label, own, x = (np.array(rows.column("label")), np.array(rows.column("own")), np.concatenate(arrays(rows.column("x"))))
+            yield pa.RecordBatch.from_arrays([lists([label], pa.int32()), lists([own], pa.int32()), lists([x], pa.float64())], names=["label", "own", "x"])
+
+    return kept(dealt.mapInArrow(run, "label array<int>, own array<int>, x array<double>"), "preference-blocks")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for label, own, x in zip(*(arrays(batch.column(c)) for c in ("label", "own", "x")), strict=True):
+            yield label, own == 1, x.reshape(len(label), -1)
+
+
+def _summed(blocks: DataFrame, part: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of ``part`` over all blocks; one row of sums per task reaches the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for block in _unpacked(batches):
+            total = part(*block) if total is None else total + part(*block)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([lists([total], pa.float64())], names=["total"])
+
+    return np.sum(arrays(blocks.mapInArrow(run, "total array<double>").toArrow().column("total")), axis=0)
+
+
+def _quantile(scores: DataFrame, share: float, n: int) -> float:
+    """The quantile of a column ``s`` of ``n`` rows, as numpy interpolates it, by running counts of its values."""
+    at = share * (n - 1)
+    low, high = int(at), min(int(at) + 1, n - 1)
+    upto = prefix_sum(scores.groupBy("s").agg(F.count(F.lit(1)).alias("n")), "s", {"upto": "n"}, descending=False)
+    a, b = upto.agg(*[F.min(F.when(F.col("upto") > i, F.col("s"))) for i in (low, high)]).first()
+    return a + (b - a) * (at - low)
+
+
+def learn(docs: DataFrame, labels: DataFrame, block: int = BLOCK_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+          pairs_each: int = PAIRS_EACH, ridge: float = 1e-3) -> Ranker:
+    """Fit on all labelled documents that are not held out. Labels other than 0 and 1, null ids and ids with labels that differ are left out.
+
+    Features are computed once and written in blocks. Each Newton step is a job over them, of which sums reach the driver; centre and scale are
+    those of all rows, and the threshold is a quantile of all their scores. Rows of up to one block are fitted as by ``fit``."""
     marks = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label"))
     marks = marks.where("doc_id is not null and label in (0, 1)").where(~held_out(F.col("doc_id")))
     marks = marks.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
-    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")  # at most ``sample`` short rows
+    rows = texts(docs, id_col, text_col).join(marks, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,9 +223,21 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), lists(list(features(items)), pa.float64())],
                                                  names=["doc_id", "label", "x"])
 
-    found = rows.mapInArrow(run, "doc_id long, label int, x array<double>").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")).limit(sample).toArrow()
-    x = np.array(arrays(found.column("x"))) if found.num_rows else np.zeros((0, N_FEATURES))
-    return fit(x, found.column("label").to_numpy())
+    found = kept(rows.mapInArrow(run, "doc_id long, label int, x array<double>"), "preference-features")
+    counts = {0: 0, 1: 0, **dict(found.groupBy("label").count().collect())}  # a row per label
+    if not counts[0] or not counts[1]:
+        return _indifferent(N_FEATURES)
+    blocks, n = _blocks(found, counts, block), sum(counts.values())
+    centre = _summed(blocks, lambda label, own, x: x[own].sum(axis=0)) / n
+    scale = _some(np.sqrt(_summed(blocks, lambda label, own, x: ((x[own] - centre) ** 2).sum(axis=0)) / n))
+    w = _newton(lambda w: _summed(blocks, lambda label, own, x: _terms(_preferences((x - centre) / scale, label, pairs_each), w)), N_FEATURES, ridge)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own, x in _unpacked(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(((x[own] - centre) / scale) @ w)], names=["s"])
+
+    scores = kept(blocks.mapInArrow(score, "s double"), "preference-scores")
+    return Ranker(centre, scale, w, _quantile(scores, counts[0] / n, n))
 
 
 def scored(docs: DataFrame, ranker: Ranker, text_col: str = "text", score_col: str = "score") -> DataFrame:

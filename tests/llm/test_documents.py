@@ -35,6 +35,35 @@ def test_held_out_labels_change_nothing(spark):
     assert np.array_equal(a.weight, b.weight) and a.threshold == b.threshold
 
 
+def marked(spark, n, rare=5):
+    rows = [(i, " ".join(["good words", "in", "some order"][: 1 + i % 3] * (1 + i % 4)) + (" | || !!" if i % rare == 0 else f" end{i % 7}.")) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % rare > 0)) for i in range(n)], "doc_id long, quality int")
+
+
+def test_every_labelled_document_is_learnt_from(spark):
+    docs, labels = marked(spark, 400)
+    taken = {r.doc_id: r.text for r in docs.where(~preference.held_out(F.col("doc_id"))).collect()}
+    x = preference.features([t.encode() for t in taken.values()])
+    good = np.array([i % 5 > 0 for i in taken])
+    whole, blocks = preference.learn(docs, labels), preference.learn(docs, labels, 16)
+    for ranker in (whole, blocks):
+        assert np.allclose(ranker.centre, x.mean(axis=0)) and np.allclose(ranker.scale, np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1.0))
+        s = ((x - ranker.centre) / ranker.scale) @ ranker.weight
+        assert np.isclose(ranker.threshold, np.quantile(s, 1 - good.mean()))
+        assert s[good].min() > s[~good].max()
+
+
+def test_rows_of_a_rare_label_serve_many_blocks(spark):
+    docs, labels = marked(spark, 300, rare=60)
+    seen = []
+    for block in (8, 1024):
+        ranker = preference.learn(docs, labels, block)
+        seen.append(ranker)
+        score = {r.doc_id: r.score for r in preference.scored(docs, ranker).collect()}
+        assert all(score[i] < min(v for k, v in score.items() if k % 60) for i in range(0, 300, 60))
+    assert np.allclose(seen[0].centre, seen[1].centre) and np.allclose(seen[0].scale, seen[1].scale)
+
+
 def test_threshold_is_a_quantile_and_preferences_hold():
     r = np.random.default_rng(1)
     x = r.normal(size=(400, 5))
