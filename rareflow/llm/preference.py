@@ -168,8 +168,9 @@ def _blocks(rows: DataFrame, counts: dict[int, int], block: int) -> DataFrame:
     n = F.when(F.col("label") == 1, F.lit(counts[1])).otherwise(F.lit(counts[0]))
     tagged = tagged.withColumns({"n": n, "at": F.col("row_number") - 1, "many": F.lit(many)})
     first, last = "(at * many + n - 1) div n", "((at + 1) * many + n - 1) div n - 1"
-    dealt = tagged.select("label", "x", "row_number", F.posexplode(F.expr(f"if(n >= many, array(at * many div n), sequence({first}, {last}))")).alias("nth", "block"))
-    dealt = dealt.select("block", "label", "row_number", (F.col("nth") == 0).cast("int").alias("own"), "x").repartition("block").sortWithinPartitions("block", "row_number", "label")
+    dealt = tagged.select("doc_id", "label", "x", F.posexplode(F.expr(f"if(n >= many, array(at * many div n), sequence({first}, {last}))")).alias("nth", "block"))
+    dealt = dealt.select("block", "doc_id", "label", (F.col("nth") == 0).cast("int").alias("own"), "x").repartition("block")
+    dealt = dealt.sortWithinPartitions("block", F.xxhash64("doc_id"), "doc_id", F.xxhash64("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in groups(batches, ["block"]):

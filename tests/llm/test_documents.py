@@ -46,6 +46,9 @@ def test_every_labelled_document_is_learnt_from(spark):
     x = preference.features([t.encode() for t in taken.values()])
     good = np.array([i % 5 > 0 for i in taken])
     whole, blocks = preference.learn(docs, labels), preference.learn(docs, labels, 16)
+    order = [r.doc_id for r in docs.orderBy(F.xxhash64("doc_id")).collect() if r.doc_id in taken]
+    alone = preference.fit(preference.features([taken[i].encode() for i in order]), np.array([int(i % 5 > 0) for i in order]))
+    assert np.allclose(whole.weight, alone.weight, atol=1e-6) and np.isclose(whole.threshold, alone.threshold)
     for ranker in (whole, blocks):
         assert np.allclose(ranker.centre, x.mean(axis=0)) and np.allclose(ranker.scale, np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1.0))
         s = ((x - ranker.centre) / ranker.scale) @ ranker.weight
