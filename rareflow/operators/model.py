@@ -158,7 +158,11 @@ def train_forest(train: DataFrame, spec: FeatureSpec, *, seed: int = MODEL_SEED,
         counts = {0: int(report["negatives"]), 1: int(report["positives"])}
     counts = counts or counts_dict(train, spec.label)
     chosen = {**{k: v for k, v in CANDIDATES[0].items() if k != "name"}, **settings}
-    forest = fit_forest(fit_input(train, spec, sum(counts.values())), spec.label, counts, chosen, seed)
+    vectors = fit_input(train, spec, sum(counts.values())).persist(StorageLevel.DISK_ONLY)  # read several times; memory is for the bags
+    try:
+        forest = fit_forest(vectors, spec.label, counts, chosen, seed)
+    finally:
+        vectors.unpersist()
     return PipelineModel(stages=[assembler_for(spec), forest])
 
 

@@ -156,3 +156,10 @@ def test_two_selected_thresholds_are_refused(spark):
     sweep.write.parquet(path)
     with pytest.raises(ValueError, match="more than one"):
         MD.load_selected_threshold(spark, path, "m", ["a"])
+
+
+def test_a_fit_reads_its_dealt_rows_from_disk_and_lets_them_go(spark, monkeypatch):
+    seen, fit = [], MD.fit_forest
+    monkeypatch.setattr(MD, "fit_forest", lambda vectors, *a: seen.append((vectors, vectors.storageLevel.useDisk)) or fit(vectors, *a))
+    MD.train_forest(frame(spark), SPEC, num_trees=2, max_depth=2)
+    assert seen[0][1] and not seen[0][0].storageLevel.useDisk
