@@ -211,20 +211,20 @@ def learn(docs: DataFrame, labels: DataFrame, block: int = BLOCK_ROWS, id_col: s
           pairs_each: int = PAIRS_EACH, ridge: float = 1e-3) -> Ranker:
     """Fit on all labelled documents that are not held out. Labels other than 0 and 1, null ids and ids with labels that differ are left out.
 
-    Features are computed once and written in blocks. Each Newton step is a job over them, of which sums reach the driver; centre and scale are
-    those of all rows, and the threshold is a quantile of all their scores. Rows of up to one block are fitted as by ``fit``."""
+    Features are computed before labels are joined, so texts are read where they lie and only rows of N_FEATURES numbers are shuffled; they are written in
+    blocks. Each Newton step is a job over them, of which sums reach the driver; centre and scale are those of all rows, and the threshold is a quantile of all
+    their scores. Rows of up to one block are fitted as by ``fit``."""
     marks = labels.select(labels[id_col].cast("long").alias("doc_id"), labels[label_col].cast("int").alias("label"))
     marks = marks.where("doc_id is not null and label in (0, 1)").where(~held_out(F.col("doc_id")))
     marks = marks.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
-    rows = texts(docs, id_col, text_col).join(marks, "doc_id")
+    rows = texts(docs, id_col, text_col).where("doc_id is not null").where(~held_out(F.col("doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, items in parts(batch):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), lists(list(features(items)), pa.float64())],
-                                                 names=["doc_id", "label", "x"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists(list(features(items)), pa.float64())], names=["doc_id", "x"])
 
-    found = kept(rows.mapInArrow(run, "doc_id long, label int, x array<double>"), "preference-features")
+    found = kept(rows.mapInArrow(run, "doc_id long, x array<double>").join(marks, "doc_id").select("doc_id", "label", "x"), "preference-features")
     counts = {0: 0, 1: 0, **dict(found.groupBy("label").count().collect())}  # a row per label
     if not counts[0] or not counts[1]:
         return _indifferent(N_FEATURES)

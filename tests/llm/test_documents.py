@@ -1,5 +1,6 @@
 """Quality classifier, quality rules, shards and mixing against brute force."""
 
+import itertools
 import math
 import random
 import re
@@ -67,6 +68,31 @@ def test_rows_of_a_rare_label_serve_many_blocks(spark):
     assert np.allclose(seen[0].centre, seen[1].centre) and np.allclose(seen[0].scale, seen[1].scale)
 
 
+def test_texts_are_measured_before_labels_are_joined(spark, monkeypatch):
+    docs, labels = marked(spark, 200)
+    more = docs.unionByName(spark.createDataFrame([(i, "unmarked || text " * (i or 1)) for i in (None, None, 1000, 1001, 1001)], docs.schema))
+    plans, kept = {}, preference.kept
+
+    def seen(frame, name):
+        plans[name] = frame._jdf.queryExecution().executedPlan().toString().splitlines()
+        return kept(frame, name)
+
+    monkeypatch.setattr(preference, "kept", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for labels too large to broadcast
+    try:
+        some = preference.learn(more, labels.unionByName(spark.createDataFrame([(None, 1), (5000, 0)], labels.schema)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plan = plans["preference-features"]
+    at = next(i for i, line in enumerate(plan) if "MapInArrow" in line)
+    depth = plan[at].index("MapInArrow")
+    below = list(itertools.takewhile(lambda line: len(line) - len(line.lstrip(" :+-")) > depth, plan[at + 1:]))
+    assert any("SortMergeJoin" in line for line in plan[:at]) and below and not any("Exchange" in line or "Join" in line for line in below)
+    plain = preference.learn(docs, labels)
+    assert np.allclose(some.weight, plain.weight) and np.allclose(some.centre, plain.centre) and np.isclose(some.threshold, plain.threshold)
+
+
 def test_threshold_is_a_quantile_and_preferences_hold():
     r = np.random.default_rng(1)
     x = r.normal(size=(400, 5))
