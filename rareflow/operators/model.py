@@ -9,6 +9,7 @@ same code, whether the score comes from a fitted pipeline or an expression.
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -26,6 +27,7 @@ from rareflow.operators import metrics as M
 from rareflow.operators.ordered import row_hash
 from rareflow.operators.validate import apply_class_weights, assert_valid, counts_dict, training_class_weights
 from rareflow.spec import FeatureSpec
+from rareflow.streaming import stream as ST
 
 PROBABILITY = "fraud_probability"
 
@@ -355,7 +357,11 @@ def registry_rows(spark: SparkSession, run_id: str, seq: int, kind: str, rows: D
 
 
 def append_registry(entries: DataFrame, path: str) -> None:
-    entries.write.mode("append").parquet(path)
+    """Add entries, also at once with others: each writes a hidden folder of its own, whose files are moved when whole. Jobs that append to one folder
+    share the folder of their temporary files, and the first to end removes it."""
+    staged = f"{path.rstrip('/')}/_entries-{uuid.uuid4().hex}"
+    entries.write.parquet(staged)
+    ST.move_parts(entries.sparkSession, staged, path)
 
 
 def run_status(spark: SparkSession, path: str, run_id: str) -> str | None:

@@ -135,6 +135,17 @@ def move_file(spark: SparkSession, source: str, target: str, pattern: str, name:
         raise OSError(f"{found[0].getPath()} could not be moved")
 
 
+def move_parts(spark: SparkSession, source: str, target: str) -> None:
+    """Move the files that a job wrote to ``source`` into the folder ``target``, which may hold others, and remove ``source``."""
+    fs, p = _fs(spark, source)
+    _, to = _fs(spark, target)
+    fs.mkdirs(to)
+    for found in fs.globStatus(_fs(spark, f"{source}/part-*")[1]):
+        if not fs.rename(found.getPath(), to):
+            raise OSError(f"{found.getPath()} could not be moved")
+    fs.delete(p, True)
+
+
 def copy_file(spark: SparkSession, source: str, target: str) -> None:
     """Copy one file, into folders that are made for it."""
     (fs, p), (to_fs, to) = _fs(spark, source), _fs(spark, target)

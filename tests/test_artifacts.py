@@ -102,6 +102,14 @@ def test_numbers_are_claimed_once(spark):
     assert sorted(numbers) == list(range(2, 18))
 
 
+def test_entries_appended_at_once_are_all_there(spark):
+    path = work_path(spark, "t-entries")
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda i: MD.append_registry(MD.registry_rows(spark, f"r{i % 3}", i, "rows", values={"a": i, "b": -i}), path), range(48)))
+    found = sorted((r.run_id, r.seq, r.metric, r.value) for r in spark.read.parquet(path).collect())
+    assert found == sorted((f"r{i % 3}", i, m, v) for i in range(48) for m, v in (("a", float(i)), ("b", float(-i))))
+
+
 def test_tunings_at_once_are_all_recorded(spark, rows):
     base = work_path(spark, "t-tunings")
     small = [dict(name="small", num_trees=3, max_depth=3, min_instances_per_node=1, weighting="none")]
