@@ -23,9 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rareflow.functions.columns import check_threshold
+from rareflow.operators import forest as FO
 from rareflow.operators import metrics as M
-from rareflow.operators.ordered import row_hash
-from rareflow.operators.validate import apply_class_weights, assert_valid, counts_dict, training_class_weights
+from rareflow.operators.validate import assert_valid, counts_dict, training_class_weights
 from rareflow.spec import FeatureSpec
 from rareflow.streaming import stream as ST
 
@@ -123,30 +123,24 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features",
     return out_df.drop(*[f"_rf_vec_{f}" for f in arrays])
 
 
-#: Partitions of a fit's input, and rows of one beyond which there are more. A forest's bags are drawn per
-#: partition, so the layout may depend on the data but never on the cluster.
-FIT_PARTITIONS, FIT_ROWS = 16, 500_000
-
-
-def fit_input(rows: DataFrame, spec: FeatureSpec, count: int) -> DataFrame:
-    """(features, label) in a layout that only the rows decide: dealt and sorted by a hash of the row."""
-    flat = rows.select(*spec.features, spec.label).withColumn("_rf_hash", row_hash(rows.select(*spec.features, spec.label)))
-    flat = flat.repartition(max(FIT_PARTITIONS, -(-count // FIT_ROWS)), "_rf_hash").sortWithinPartitions("_rf_hash", *spec.features)
-    return assembler_for(spec).transform(flat).select("features", spec.label)
+def fit_input(rows: DataFrame, spec: FeatureSpec) -> tuple[DataFrame, list[list[float]]]:
+    """The counted cells of all rows, in a layout that only the rows decide, and the thresholds between the bins of each feature."""
+    cells, cuts = FO.count_cells(rows, spec.features, spec.label)
+    return FO.deal(cells), cuts
 
 
 def assembler_for(spec: FeatureSpec) -> VectorAssembler:
     return VectorAssembler(inputCols=list(spec.features), outputCol="features")
 
 
-def fit_forest(vectors: DataFrame, label: str, counts: dict, settings: dict, seed: int) -> RandomForestClassificationModel:
-    """One forest on an assembled table, with ``settings`` as in ``CANDIDATES``."""
+def fit_forest(cells: DataFrame, cuts: list[list[float]], label: str, counts: dict, settings: dict, seed: int) -> RandomForestClassificationModel:
+    """One forest on the cells of ``fit_input``, with ``settings`` as in ``CANDIDATES``."""
     weights = training_class_weights(counts, settings.get("weighting", "none"))
     forest = RandomForestClassifier(featuresCol="features", labelCol=label, seed=seed, numTrees=settings["num_trees"],
                                     maxDepth=settings["max_depth"], minInstancesPerNode=settings["min_instances_per_node"])
     if len(set(weights.values())) > 1:
-        vectors, forest = apply_class_weights(vectors, label, weights), forest.setWeightCol("class_weight")
-    return without_summary(forest.fit(vectors))
+        forest = forest.setWeightCol("class_weight")
+    return FO.grow(cells, cuts, forest, weights)
 
 
 def train_forest(train: DataFrame, spec: FeatureSpec, *, seed: int = MODEL_SEED, counts: dict | None = None,
@@ -160,11 +154,12 @@ def train_forest(train: DataFrame, spec: FeatureSpec, *, seed: int = MODEL_SEED,
         counts = {0: int(report["negatives"]), 1: int(report["positives"])}
     counts = counts or counts_dict(train, spec.label)
     chosen = {**{k: v for k, v in CANDIDATES[0].items() if k != "name"}, **settings}
-    vectors = fit_input(train, spec, sum(counts.values())).persist(StorageLevel.DISK_ONLY)  # read several times; memory is for the bags
+    cells, cuts = fit_input(train, spec)
+    cells = cells.persist(StorageLevel.DISK_ONLY)  # read once for each level
     try:
-        forest = fit_forest(vectors, spec.label, counts, chosen, seed)
+        forest = fit_forest(cells, cuts, spec.label, counts, chosen, seed)
     finally:
-        vectors.unpersist()
+        cells.unpersist()
     return PipelineModel(stages=[assembler_for(spec), forest])
 
 
@@ -255,8 +250,8 @@ def search_candidates(train: DataFrame, validation: DataFrame, spec: FeatureSpec
                       seed: int = MODEL_SEED, concurrency: int = 3, counts: dict | None = None, seconds: dict | None = None, scores: str | None = None):
     """Fit each candidate on train, tune its threshold on validation only, rank.
 
-    Returns (best model, ranked results DataFrame with one row per candidate). The training table is dealt and assembled
-    once and kept for all fits, up to ``concurrency`` of which run at the same time (each is seeded). All
+    Returns (best model, ranked results DataFrame with one row per candidate). The training rows are binned and counted
+    once for all fits, up to ``concurrency`` of which run at the same time (each is seeded). All
     forests then score the validation rows in one pass, and one sweep, split by candidate, tunes all thresholds. With ``counts``
     ({label: rows} of train) both splits count as validated; ``seconds`` receives the time of each fit by name. With ``scores``, a new folder, each validation row's
     score by each candidate (key, label, candidate, score) is written there, and the sweep reads it back.
@@ -267,11 +262,12 @@ def search_candidates(train: DataFrame, validation: DataFrame, spec: FeatureSpec
         report = assert_valid(train, spec, "Training data")
         assert_valid(validation, spec, "Validation data")
         counts = {0: int(report["negatives"]), 1: int(report["positives"])}
-    vectors = fit_input(train, spec, sum(counts.values())).persist(StorageLevel.MEMORY_AND_DISK)
+    cells, cuts = fit_input(train, spec)
+    cells = cells.persist(StorageLevel.DISK_ONLY)  # read once for each level of each fit
 
     def timed(candidate: dict) -> RandomForestClassificationModel:
         began = time.monotonic()
-        forest = fit_forest(vectors, spec.label, counts, candidate, seed)
+        forest = fit_forest(cells, cuts, spec.label, counts, candidate, seed)
         if seconds is not None:
             seconds[candidate["name"]] = time.monotonic() - began
         return forest
@@ -280,7 +276,7 @@ def search_candidates(train: DataFrame, validation: DataFrame, spec: FeatureSpec
         with ThreadPoolExecutor(max_workers=max(1, concurrency)) as pool:
             forests = list(pool.map(timed, candidates))
     finally:
-        vectors.unpersist()
+        cells.unpersist()
     models = [PipelineModel(stages=[assembler_for(spec), f]) for f in forests]
     keys = list(spec.key) if scores else []
     scored = validation.select(*dict.fromkeys([*keys, *spec.features, spec.label]))
